@@ -53,21 +53,23 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: f
     return table.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, per_range: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, per_range: int = 1024, broadcast_sources: int = 50_000) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, text_hash.
 
     ``size`` counts words, 0 for a null text. ``taken`` is a whole multiple of ``size``. Null sources form one
     source. Rows with equal keys (repeated ids) are ordered by text; rows equal in both are alike. The row at
     which the budget ends is taken if that brings the source nearer to its target. An empty table gives no rows.
+    The number of ranges of at most ``broadcast_sources`` sources is broadcast; beyond that Spark joins by source.
     """
     body = F.col(text)
     key = -F.log(uniform(F.col(doc_id))) / quality_weight(body)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(body).alias("size"), key.alias("key"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("text_hash"))
     rows = save(rows, "mix")
-    n = rows.count()
-    ranges = max(1, -(-n // per_range))
-    # exp(-key) is in (0, 1) and falls as the key grows
-    rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges))
+    # each source is cut into ranges of about per_range rows; exp(-key) is in (0, 1) and falls as the key grows
+    cuts = save(rows.groupBy(F.col("source").alias("of")).agg(F.ceil(F.count(F.lit(1)) / per_range).alias("ranges")), "cuts")
+    side = F.broadcast(cuts) if cuts.count() <= broadcast_sources else cuts
+    rows = rows.join(side, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * F.col("ranges"))).drop("ranges")
     sums = save(rows.groupBy("source", "range").agg(F.sum("size").alias("words")), "ranges")
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, epochs)
     goal = goal.select(
