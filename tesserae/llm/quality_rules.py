@@ -34,11 +34,6 @@ def features() -> dict[str, Column]:
     }
 
 
-def cholesky(cov: dict[tuple[int, int], Column], p: int) -> dict[tuple[int, int], Column]:
-    """Rows of the lower factor as nested expressions over columns of ``cov``, one select per column at the caller."""
-    return {(i, j): cov[i, j] for i in range(p) for j in range(i + 1)}
-
-
 def _factor(df: DataFrame, cov: str, out: str, p: int) -> DataFrame:
     """Add the Cholesky factor of ``{cov}{i}{j}`` (lower part) as ``{out}{i}{j}``."""
     for j in range(p):
@@ -80,7 +75,20 @@ def _params(tag: str, p: int) -> list[str]:
     return [f"{tag}m{i}" for i in range(p)] + [f"{tag}l{i}{j}" for i in range(p) for j in range(i + 1)]
 
 
-def robust_estimates(rows: DataFrame, share: float = 0.75, steps: int = 2, accuracy: int = 1000, inlier: float = 12.83) -> DataFrame:
+def _meet(rows: DataFrame, params: DataFrame, n_groups: int, how: str = "inner", broadcast_groups: int = 10_000, salts: int = 64) -> DataFrame:
+    """Join the parameters of each group to its rows without bringing a group's rows into one task.
+
+    Parameters of at most ``broadcast_groups`` groups are broadcast. More are repeated for each of ``salts``
+    salts, among which the rows of a group are dealt.
+    """
+    if n_groups <= broadcast_groups:
+        return rows.join(F.broadcast(params), "g", how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("x0", "x1", "x2"), F.lit(salts)))
+    spread = params.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(spread, ["g", "_salt"], how).drop("_salt")
+
+
+def robust_estimates(rows: DataFrame, n_groups: int, share: float = 0.75, steps: int = 2, accuracy: int = 1000, inlier: float = 12.83) -> DataFrame:
     """(g, x0..) -> (g, m0.., l00..): centre and Cholesky factor of the reweighted MCD estimate of each group.
 
     ``inlier`` is the squared distance within which rows enter the reweighted estimate: the 0.975 quantile of
@@ -89,7 +97,7 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, steps: int = 2, accur
     p = len(FEATURES)
     medians = rows.groupBy("g").agg(*[F.percentile_approx(f"x{i}", 0.5, accuracy).alias(f"med{i}") for i in range(p)])
     centre = save(medians, "medians")
-    with_centre = lambda: rows.join(centre, "g")
+    with_centre = lambda: _meet(rows, centre, n_groups)
     spread = with_centre().groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"med{i}")), 0.5, accuracy).alias(f"mad{i}") for i in range(p)])
     spread = spread.select("g", *[F.greatest(1.4826 * F.col(f"mad{i}"), F.lit(FLOOR[FEATURES[i]])).alias(f"sd{i}") for i in range(p)])
     centre = save(centre.join(spread, "g"), "spread")
@@ -106,14 +114,14 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, steps: int = 2, accur
     med = [f"med{i}" for i in range(p)]
     now = save(start.select("g", *med, *_params("a", p), *_params("b", p)), "start")
     for step in range(steps):
-        far = _distance(_distance(rows.join(now, "g"), "am", "al", "da", p), "bm", "bl", "db", p)
+        far = _distance(_distance(_meet(rows, now, n_groups), "am", "al", "da", p), "bm", "bl", "db", p)
         cut = save(far.groupBy("g").agg(F.percentile_approx("da", share, accuracy).alias("ca"), F.percentile_approx("db", share, accuracy).alias("cb")), f"cut{step}")
-        sums = far.join(cut, "g").groupBy("g", *med).agg(*_moments(F.col("da") <= F.col("ca"), "a", p), *_moments(F.col("db") <= F.col("cb"), "b", p))
+        sums = _meet(far, cut, n_groups).groupBy("g", *med).agg(*_moments(F.col("da") <= F.col("ca"), "a", p), *_moments(F.col("db") <= F.col("cb"), "b", p))
         got = _estimate(_estimate(sums, "a", p), "b", p)
         now = save(got.select("g", *med, *_params("a", p), *_params("b", p), "adet", "bdet"), f"step{step}")
     best = now.select("g", *med, *[F.when(F.col("adet") <= F.col("bdet"), F.col(f"a{c[1:]}")).otherwise(F.col(f"b{c[1:]}")).alias(f"r{c[1:]}") for c in _params("a", p)])
     # the nearest 75 % of a normal sample have a smaller scatter than all of it: 1.35 makes up for that in five dimensions
-    near = _distance(rows.join(best, "g"), "rm", "rl", "d", p)
+    near = _distance(_meet(rows, best, n_groups), "rm", "rl", "d", p)
     sums = near.groupBy("g", *med).agg(*_moments(F.col("d") <= F.lit(inlier * 1.35), "f", p))
     return save(_estimate(sums, "f", p).select("g", *[F.col(f"fm{i}").alias(f"m{i}") for i in range(p)], *[F.col(f"fl{i}{j}").alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)]), "robust")
 
@@ -139,10 +147,12 @@ def judge(docs: DataFrame, cutoff: float = 40.0, least_rows: int = 100, min_word
     rest = level.groupBy(F.col("g1").alias("g_of")).agg(F.sum("n").alias("m"))
     groups = level.join(rest, F.col("g1") == F.col("g_of")).select(F.col("lang").alias("gl"), F.col("source").alias("gs"), F.when(F.col("m") < least_rows, F.lit("\2")).otherwise(F.col("g1")).alias("g"))
     groups = save(groups, "groups")
-    rows = stats.join(groups, (F.col("lang") == F.col("gl")) & (F.col("source") == F.col("gs")), "left").drop("gl", "gs")
+    side = F.broadcast(groups) if groups.count() <= 10_000 else groups
+    rows = stats.join(side, (F.col("lang") == F.col("gl")) & (F.col("source") == F.col("gs")), "left").drop("gl", "gs")
     rows = save(rows.withColumns({f"x{i}": c for i, c in enumerate(features().values())}), "vectors")
-    robust = robust_estimates(rows.where(~F.col("base_failed")).select("g", *[f"x{i}" for i in range(p)]))
-    seen = _distance(rows.join(robust, "g", "left"), "m", "l", "distance", p)
+    n_groups = groups.count()
+    robust = robust_estimates(rows.where(~F.col("base_failed")).select("g", *[f"x{i}" for i in range(p)]), n_groups)
+    seen = _distance(_meet(rows, robust, n_groups, "left"), "m", "l", "distance", p)
     near = F.coalesce(F.col("distance") <= F.lit(cutoff), F.lit(True))
     return seen.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
