@@ -367,7 +367,7 @@ _TOP = "(SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(scor
 
 def _should(spark, d, corpus):
     hits, matched = _matched(spark, d, corpus)
-    return search.bool_should(matched, search.phrase_match(hits, PHRASES)).withColumn("score", F.round("score", 6))
+    return search.bool_should(matched, search.phrase_match(hits, PHRASES))
 
 
 @query(rf"WITH {_CORPUS}, {_PHRASE}, {_BOTH} SELECT query_id, count(*) AS hits, round(sum(score), 3) AS total FROM should GROUP BY 1")
