@@ -85,6 +85,7 @@ def test_shards_balance(spark):
         ("<main><table><tr><td>cell one<td>cell two</table><script>var a='</p>'</script><form>q<input></form></main>", "cell one\n\ncell two"),
         ("", ""),
         ("<!-- nothing -->", ""),
+        ("<article><!--><p>one</p><!---><p>two</p><!-- > no --></article>", "one\n\ntwo"),
         ("<article><header><h2>Head</h2><span>by line</span></header><p>Body text</p><aside>see also</aside></article>", "Head\n\nBody text"),
     ],
 )
