@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import combinations
@@ -25,6 +27,9 @@ from tesserae.llm.common import save
 
 END = 2
 
+#: A run of white space beyond this goes to the JSON file's tokenizer: the pattern of the ranks overflows its stack between 0.7 and 1 million.
+LONG_RUN = 100_000
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(name: str):
@@ -40,6 +45,36 @@ def encoder(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+@functools.lru_cache(maxsize=2)
+def _json_tokenizer(name: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+
+
+@functools.lru_cache(maxsize=2)
+def exact_encoder(name: str):
+    """Text to the ids of the vocabulary's JSON file, in which an added token is one id.
+
+    The ranks give these ids for all texts but two kinds, which the JSON file's tokenizer takes itself: those that
+    hold the string of an added token, and those with a run of white space over ``LONG_RUN``.
+    """
+    import public_tokenizers
+
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f)["added_tokens"]]
+    fast = encoder(name)
+
+    def encode(text: str) -> list[int]:
+        special = any(t in text for t in added)
+        if special or len(text) > LONG_RUN and any(m.end() - m.start() > LONG_RUN for m in re.finditer(r"\s+", text)):
+            return _json_tokenizer(name).encode(text, add_special_tokens=False).ids
+        return fast(text)
+
+    return encode
+
+
 def pieces(ids: np.ndarray, room: int) -> list[tuple[int, int, int]]:
     """(start, length, crc32 of the ids); only ids beyond ``room`` are cut, and only the first piece may be short."""
     first = len(ids) % room or room
@@ -49,7 +84,7 @@ def pieces(ids: np.ndarray, room: int) -> list[tuple[int, int, int]]:
 
 def _cut(room: int, vocabulary: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary)
+        encode = exact_encoder(vocabulary)
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
@@ -170,7 +205,7 @@ def _pack_group(room: int):
 def pack_documents(docs: DataFrame, room: int = 1024, vocabulary: str = "byte_bpe_50k", doc_id: str = "doc_id", text: str = "text", per_group: int = 8192, slack: int = 8, rounds: int = 3) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document is its ids and an end id; a null text is an empty one, so it is the end id alone. Repeated
+    A document is its ids (``exact_encoder``) and an end id; a null text is an empty one, so it is the end id alone. Repeated
     rows and ids are packed like any other; ``sequence_id`` is unique in the result, ``offset`` gapless from 0
     in each sequence. A bin with less than ``slack`` free tokens counts as full between rounds. An empty
     table gives no rows. Other columns are not read.

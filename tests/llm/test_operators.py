@@ -296,6 +296,23 @@ def test_encoder_gives_the_ids_of_the_json_file():
     assert [list(fast(t)) for t in texts] == [slow.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_packed_ids_are_those_of_the_json_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    exact = packing.exact_encoder("byte_bpe_50k")
+    assert exact("hello <|endoftext|> bye") == [31373, 220, 50256, 33847]
+    texts = ["hello <|endoftext|> bye", "<|endoftext|><|endoftext|>\n", "<|endoftext| > x", " " * 1_000_000 + "word", "a" + "\n" * 1_000_000 + "b", "\t \u3000\n" * 300_000, " " * 150_000 + "x", "a  b\n\n c\t"]
+    want = Counter()
+    for i, t in enumerate(texts):
+        ids = slow.encode(t, add_special_tokens=False).ids
+        assert list(exact(t)) == ids
+        want[i, 0, 0, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())] += 1
+    got = packing.pack_documents(make(spark, [(i, t, "en", "s1") for i, t in enumerate(texts)]), 2_000_000).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+
+
 def test_local_search_empties_bins():
     # best fit leaves three bins here where two hold all: 6+4 and 5+5
     assert len(packing.local_search([[0, 2], [1], [3]], [6, 4, 3, 7], 10)) == 2
