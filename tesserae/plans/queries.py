@@ -13,6 +13,7 @@ from tesserae.operators.index import build_postings, field_stats, term_stats, to
 from tesserae.plans import retrieval
 from tesserae.plans.views import CODE, CODE_LINKS, FX_COMPLAINTS, FX_PRODUCTS, FX_WAREHOUSE, LINKS, NAME_LINKS, changes, complaints, products, table, warehouse
 from tesserae.sources import dumps, store, tables
+from tesserae.sources.scratch import save
 from tesserae.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -536,23 +537,32 @@ def changed_documents_per_code(spark, d):
 
 @query()
 def process_queries(spark, d):
-    """Product codes and benchmark words, in the three modes, over all business documents; vectors by hashing."""
+    """Every product by its code and by its name, and every benchmark passage, over all business documents; vectors by hashing.
+
+    Names and passages are dealt over the three modes; codes are keyword queries, the only ones with clauses for codes.
+    Queries alike in text and mode are answered once, and each gets the answer.
+    """
     encode = vectors.hashing_encoder(64)
     docs = all_docs(spark, d)
     docs = docs.withColumn("content_vector", vectors.embed(encode)("all_content")).withColumn("key", F.xxhash64("_id"))
     corpus = retrieval.Corpus.of(docs, ["title", "status", "searchable_content", "all_content", "content"])
     docs = corpus.docs
-    p = products(spark, d).where("stock_qty % 10 = 0")
-    mode = F.element_at(F.array(F.lit("keyword"), F.lit("vector"), F.lit("hybrid")), (F.col("stock_qty") / 10 % 3 + 1).cast("int"))
-    q = p.select(F.xxhash64("product_id").alias("query_id"), F.col("product_name").alias("query"), mode.alias("mode"), F.lit(3).alias("top_k"), F.lit(False).alias("convert_to_traditional"))
+    mode = lambda n: F.element_at(F.array(F.lit("keyword"), F.lit("vector"), F.lit("hybrid")), (F.col(n) % 3 + 1).cast("int"))
+    p, passages = products(spark, d), table(spark, d, "benchmark")
+    every = p.select(F.xxhash64(F.lit("name"), "product_id").alias("id"), F.col("product_name").alias("query"), mode("stock_qty").alias("mode"))
+    every = every.unionByName(p.select(F.xxhash64(F.lit("code"), "product_id").alias("id"), F.col("product_id").alias("query"), F.lit("keyword").alias("mode")))
+    every = save(every.unionByName(passages.select(F.xxhash64(F.lit("passage"), "item_id").alias("id"), F.col("text").alias("query"), mode("item_id").alias("mode"))), "queries")
+    alike = every.groupBy("query", "mode").agg(F.min("id").alias("query_id"))
+    q = save(alike.withColumns({"top_k": F.lit(3), "convert_to_traditional": F.lit(False)}), "asked")
 
     def near(queries, factor):
         asked = queries.withColumn("query_vector", vectors.embed(encode)("query"))
         found = vectors.vector_search(asked, docs, 64, 3 * factor, key="key")
         return found.join(docs.select(F.col("key"), F.col("_id").alias("name")), F.col("_id") == F.col("key")).select("query_id", F.col("name").alias("_id"), "score")
 
-    out = retrieval.process_queries(q, corpus, near)
-    return out.select("query_id", "mode", "processed_query", "total_hits", F.size(F.coalesce("results", F.array())).alias("n_results"), "context", "prompt")
+    out = retrieval.process_queries(q, corpus, near, code=r"^P\d{6}$").drop("mode")
+    asked = every.join(q.select("query_id", "query", "mode"), ["query", "mode"])
+    return asked.join(out, "query_id").select(F.col("id").alias("query_id"), "mode", "processed_query", "total_hits", F.size(F.coalesce("results", F.array())).alias("n_results"), "context", "prompt")
 
 
 @query()

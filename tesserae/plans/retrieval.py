@@ -125,12 +125,12 @@ def fuzzy_search(queries: DataFrame, corpus: Corpus, k: int = 10, table: tuple[s
     return search.top_k_per_query(matches, k)
 
 
-def process_queries(queries: DataFrame, corpus: Corpus, vector_hits=None, max_contexts: int = 5, to_traditional=same, to_simplified=same) -> DataFrame:
+def process_queries(queries: DataFrame, corpus: Corpus, vector_hits=None, max_contexts: int = 5, code: str = search.QUERY_CODE, to_traditional=same, to_simplified=same) -> DataFrame:
     """One row per valid query: processed query, mode, total hits, results, context and prompt.
 
     The search takes the query as it came; the converted one is shown and goes into the prompt. ``vector_hits``
     takes (queries, factor) and gives the nearest documents, factor * top_k a query; without it vector queries
-    find nothing and hybrid ones only by keyword.
+    find nothing and hybrid ones only by keyword. Keyword queries that match ``code`` are product codes.
     """
     asked = search.valid_queries(queries).where("reject is null")
     names = ["query_id", "_id", "score"]
@@ -138,7 +138,7 @@ def process_queries(queries: DataFrame, corpus: Corpus, vector_hits=None, max_co
     nearest = lambda part, factor: vector_hits(part, factor).select(*names) if vector_hits else empty
     kw, vec, hyb = (asked.where(F.col("mode") == m) for m in ("keyword", "vector", "hybrid"))
     script = {"to_traditional": to_traditional, "to_simplified": to_simplified}
-    kw_all = keyword_matches(kw, corpus, **script)
+    kw_all = keyword_matches(kw, corpus, code=code, **script)
     hyb_all = hybrid_matches(hyb, corpus, nearest(hyb, 2), **script)
     vec_all = nearest(vec, 1)
     kw_all, hyb_all, vec_all = (save(m, "matches") for m in (kw_all, hyb_all, vec_all))

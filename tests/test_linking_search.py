@@ -135,3 +135,25 @@ def test_all_documents_have_one_schema(spark):
     from tesserae.schemas import DOCUMENT
 
     assert docs.columns == list(DOCUMENT)
+
+
+def test_process_queries_asks_every_product_and_passage(spark):
+    from tesserae.plans.queries import process_queries
+
+    d, modes = "/root/testdata/sf0.001", ("keyword", "vector", "hybrid")
+    parts, passages = spark.read.parquet(f"{d}/part.parquet").collect(), spark.read.parquet(f"{d}/benchmark.parquet").collect()
+    codes = [f"P{r['p_partkey']:06d}" for r in parts]
+    want = Counter((r["p_name"], modes[r["p_size"] % 3]) for r in parts) + Counter((c, "keyword") for c in codes) + Counter((r["text"].strip(), modes[r["item_id"] % 3]) for r in passages)
+    got = process_queries(spark, d).collect()
+    assert Counter((r["processed_query"], r["mode"]) for r in got) == want and len({r["query_id"] for r in got}) == len(got)
+    fields = ("status", "searchable_content", "all_content", "content")
+    docs = all_docs(spark, d).select("_id", "product_ids", F.col("metadata")["product_id"].alias("own"), tokenize(F.col("title")).alias("title"), *[tokenize(F.col(f)).alias(f) for f in fields]).collect()
+    holds, in_code = {}, {}
+    for r in docs:
+        for t in {t for f in fields for t in r[f] or []}:
+            holds.setdefault(t, set()).add(r["_id"])
+        for t in {t.upper() for f in ("title", *fields[1:]) for t in r[f] or []} | set(r["product_ids"] or []) | {r["own"]}:
+            in_code.setdefault(t, set()).add(r["_id"])
+    texts = spark.createDataFrame([(q,) for q, m in want if m == "keyword" and q not in codes], "q string").select("q", tokenize(F.col("q")).alias("t")).collect()
+    hits = {r["q"]: len(set().union(*[holds.get(t, set()) for t in r["t"]])) for r in texts} | {c: len(in_code.get(c, ())) for c in codes}
+    assert all(r["total_hits"] == hits[r["processed_query"]] for r in got if r["mode"] == "keyword")
