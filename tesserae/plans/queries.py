@@ -567,8 +567,8 @@ def process_queries(spark, d):
 
 @query()
 def highlights(spark, d):
-    """Fragments of the five best documents of each query, with the query's terms marked."""
-    q = corpus_queries(spark, d)
+    """Fragments of the five best documents of each whole benchmark passage, with the passage's terms marked."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(5).alias("top_k"))
     boosts = retrieval.Boosts(fields=FIELDS, phrases=PHRASES)
     top = retrieval.keyword_search(q, _corpus(spark, d), boosts=boosts).join(q.select("query_id", "query"), "query_id").join(table(spark, d, "documents").select(F.col("doc_id").alias("_id"), "text"), "_id")
     return top.select("query_id", "_id", "rank", F.array_join(results.highlight_udf()("text", tokenize(F.col("query"))), "\n").alias("fragments"))

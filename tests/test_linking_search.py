@@ -157,3 +157,32 @@ def test_process_queries_asks_every_product_and_passage(spark):
     texts = spark.createDataFrame([(q,) for q, m in want if m == "keyword" and q not in codes], "q string").select("q", tokenize(F.col("q")).alias("t")).collect()
     hits = {r["q"]: len(set().union(*[holds.get(t, set()) for t in r["t"]])) for r in texts} | {c: len(in_code.get(c, ())) for c in codes}
     assert all(r["total_hits"] == hits[r["processed_query"]] for r in got if r["mode"] == "keyword")
+
+
+def test_highlights_take_whole_passages(spark, tmp_path):
+    from tesserae.plans.queries import highlights
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    texts = {i: " ".join(rng.choices(words, k=rng.randrange(12, 40))) for i in range(40)}
+    asked = {0: " ".join(rng.choices(words, k=14)), 1: "q1 q2 q3 q4 w7 w8", 2: " ".join(texts[5].split()[1:12]), 3: "q1 q2 q3 q4 q5"}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(asked.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    fields = {"title": ({i: t.split()[:8] for i, t in texts.items()}, 3.0, 30.0), "content": ({i: t.split() for i, t in texts.items()}, 2.0, 5.0)}
+    scores = {q: Counter() for q in asked}
+    for q, text in asked.items():
+        terms, best = text.split(), Counter()
+        for toks, boost, phrase_boost in fields.values():
+            avg = sum(map(len, toks.values())) / len(toks)
+            df = Counter(t for x in toks.values() for t in set(x))
+            idf = lambda t: math.log(1 + (len(toks) - df[t] + 0.5) / (df[t] + 0.5))  # noqa: B023, E731
+            for i, x in toks.items():
+                part = lambda tf, w: w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / avg)) if tf else 0.0  # noqa: B023, E731
+                best[i] = max(best[i], boost * sum(part(x.count(t), idf(t)) for t in terms))
+                runs = sum(x[k : k + len(terms)] == terms for k in range(len(x)))
+                scores[q][i] += phrase_boost * part(runs, sum(map(idf, terms)))
+        for i, s in best.items():
+            scores[q][i] += s
+    want = {(q, i, rank, "\n".join(results.highlight(texts[i], asked[q].split(), 150, 3, "<mark>", "</mark>"))) for q in asked for rank, (i, s) in enumerate(sorted(scores[q].items(), key=lambda x: (-x[1], x[0]))[:5], 1) if s > 0}
+    got = [tuple(r) for r in highlights(spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) and {q for q, *_ in got} == {0, 1, 2}
