@@ -200,12 +200,12 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, blocks: int | None = None) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, component_size, text_hash.
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id, component_size, text_hash, root.
 
     A null text, like one without words, has fingerprint zero and is linked like any other. Rows with equal
     fingerprints are in one component, repeated ids included. ``component_id`` is the smallest id in the
-    component; null ids are ignored there, and it is null if all ids of the component are. An empty table
-    gives no rows. Other columns are not read.
+    component; null ids are ignored there, and it is null if all ids of the component are. ``root`` names the
+    component even where ids repeat or are null. An empty table gives no rows. Other columns are not read.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = save(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp"), F.xxhash64(body).alias("text_hash")), "simhash")
@@ -213,21 +213,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = connected(near_links(nodes.select("fp"), nodes.count(), distance, blocks))
     tied = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "n", "root")
     groups = tied.where("root is not null").groupBy("root").agg(F.min("first").alias("id"), F.sum("n").alias("size"))
-    linked = tied.where("root is not null").select("fp", "root").join(groups, "root").select("fp", "id", "size")
-    alone = tied.where("root is null").select("fp", F.col("first").alias("id"), F.col("n").alias("size"))
+    linked = tied.where("root is not null").select("fp", "root").join(groups, "root").select("fp", "id", "size", "root")
+    alone = tied.where("root is null").select("fp", F.col("first").alias("id"), F.col("n").alias("size"), F.col("fp").alias("root"))
     of = save(linked.unionByName(alone), "membership")
     return rows.join(of, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("id").alias("component_id"), F.col("size").alias("component_size"), "text_hash"
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("id").alias("component_id"), F.col("size").alias("component_size"), "text_hash", "root"
     )
 
 
 def representatives(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """(doc_id, text_hash) of the one document of each component that stays: the smallest id.
+    """(doc_id, text_hash) of the one document of each component that stays: the smallest id, null last.
 
     Where several rows have that id, the one with the smallest text_hash stays; in a component without ids too.
     """
-    found = near_duplicates(docs, distance=distance)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    with_id = first.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    without = first.where("doc_id is null").groupBy("doc_id", "fingerprint").agg(F.min("text_hash").alias("text_hash")).select("doc_id", "text_hash")
-    return with_id.unionByName(without)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    return near_duplicates(docs, distance=distance).groupBy("root").agg(F.min(order).alias("m")).select("m.doc_id", "m.text_hash")

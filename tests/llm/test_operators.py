@@ -153,6 +153,23 @@ def test_simhash(spark, odd_docs, no_docs):
     assert kept.count() == len(set(roots.values())) and kept.columns == odd_docs.columns
 
 
+def test_one_row_of_each_component_stays_with_repeated_and_null_ids(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    first, second, third = ([word() for _ in range(300)] for _ in range(3))
+    texts = [" ".join(t) for t in (first, second, third)]
+    copies = lambda t: (" ".join([*t.split()[:k], word(), *t.split()[k + 1 :]]) for k in range(300))
+    near = [next(c for c in copies(t) if 0 < (slow_fingerprint(c) ^ slow_fingerprint(t)).bit_count() <= 4) for t in texts]
+    # the id 1 is the smallest of two components; a third one has no ids
+    rows = [(1, texts[0], "en", "s1"), (5, near[0], "en", "s1"), (1, texts[1], "en", "s1"), (6, near[1], "en", "s1"), (None, texts[2], "en", "s1"), (None, near[2], "en", "s1")]
+    roots = slow_components({slow_fingerprint(r[1]) for r in rows}, 4)
+    assert len(set(roots.values())) == 3 and len(roots) == 6
+    docs = make(spark, rows)
+    kept = keep_rows(docs, simhash.representatives(docs)).collect()
+    assert Counter(roots[slow_fingerprint(r["text"])] for r in kept) == {r: 1 for r in roots.values()}
+    assert [r["doc_id"] for r in kept].count(1) == 2
+
+
 @pytest.mark.parametrize("blocks", [6, 7])
 def test_links_connect_what_all_pairs_connect(spark, blocks):
     rng = random.Random(blocks)
