@@ -14,8 +14,11 @@ from tesserae.llm.queries import fresh_index
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a text in which a language can be told; those without a letter go."""
-    found = language_id.predict(spark, language_id.train(docs), F.col("text"))
+    """Documents with a letter; the others go, whatever the language. Where no row has a language to learn from, too."""
+    model = language_id.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.predict(spark, model, F.col("text"))
     return docs.withColumn("_ts_found", found).where(F.col("_ts_found.lang_pred") != "und").drop("_ts_found")
 
 

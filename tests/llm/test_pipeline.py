@@ -33,6 +33,13 @@ def test_stages(spark, odd_docs):
         docs, before = spark.createDataFrame(after, after_df.schema), after
 
 
+def test_documents_stay_where_no_language_can_be_learnt(spark):
+    texts = ["some words", "Élan", "日本語", "12 34 !!", "", None, " \t", "ª 1"]
+    docs = make(spark, [(i, t, None, "s1") for i, t in enumerate(texts)])
+    kept = corpus_pipeline.language_stage(spark, docs, "")
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, t in enumerate(texts) if any(map(str.isalpha, t or ""))} and kept.columns == docs.columns
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 100 and {"doc_id", "sequence_id", "offset"} <= set(got.columns)
