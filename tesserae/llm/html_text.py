@@ -1,9 +1,10 @@
 """Main text of HTML pages by consensus paths of their hosts.
 
-First pass: every page's containers are scored by the text they hold, and each page votes for the generalised
-tag-class paths of its best ones. Votes are summed by host in Spark. Second pass: a page is extracted again
-from the elements on its host's winning paths, best path first; a page that has none of them uses its own
-best container.
+First pass: a page's containers are scored by the text they hold outside links and cut into regions: a container
+with text of its own, or one that is marked as an article, is one region; one that only lays out others is cut
+into these. Each page votes for the generalised tag-class paths of its regions with the share of its text that
+each holds, and votes are averaged by host and path in Spark. Second pass: a page that has regions on several
+paths takes the path that its host's pages and its own text speak for most, with what belongs to it.
 """
 
 from __future__ import annotations
@@ -11,45 +12,73 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from math import sqrt
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import save
 
-_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.S)
+#: A tag without ``<`` in it and with ``<`` and ``>`` in no quoted value; others go by ``_ATTRIBUTES``. No pattern looks back.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+_NAME_ONLY = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTES = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:([\"'])|([^\s>]*+)))?+)")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+_COMMENT_END = re.compile(r"--!?>")
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*|\d+")
+_DIGITS = re.compile(r"\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
-#: Elements that never hold article text, and roles and class words that mark such elements.
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
+#: Elements that never hold article text, and roles that mark such elements.
 DROP = frozenset("head nav header footer aside form menu dialog button select option datalist fieldset label legend input script style textarea title noscript iframe noembed noframes template svg math canvas audio video object".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-DROP_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager header masthead footer sidebar sidenav aside widget widgets comment comments disqus reply replies respond form subscribe newsletter signup login cookie cookies consent gdpr notice notices notification alert popup modal overlay share sharing social related recommended toolbar copyright skip".split())
+#: Words in a class or id that mark boilerplate wherever they stand in it, and words that do so only where they come first.
+SURE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager masthead footer sidebar sidenav comment comments disqus newsletter login popup modal toolbar".split())
+FIRST_WORDS = frozenset("aside promo promotion header widget widgets reply replies respond form subscribe signup cookie cookies consent gdpr notice notices notification alert overlay share sharing social related recommended copyright skip".split())
+#: Words before which a word of the second kind counts, too, and words after which a name says nothing of its element.
+SITE_WORDS = frozenset("site top global blog mobile left right bottom page".split())
+STATE_WORDS = frozenset("has with no without not".split())
 KEEP_CLASSES = frozenset("content main article post story entry-content post-content article-content article-body post-body story-body main-content page-content".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article body center div main section td html".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag on the left ends an open element on the right, unless one of the bounds stands between.
-ENDS = {t: ("p",) for t in "address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()}
+ENDS = {t: ("p",) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()}
 ENDS |= {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th"), "body": ("head",)}
 BOUNDS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "tfoot": ("table",)}
 _P_BOUNDS = ("table", "td", "th", "caption", "button", "object", "html", "body")
+_CELLS, _TABLE = ("td", "th", "table"), frozenset("table tr tbody thead tfoot body html".split())
+
+#: How plainly an element says that it holds the article.
+ARTICLE, MAIN, NAMED = 3, 2, 1
 
 
 class Node:
-    __slots__ = ("tag", "classes", "drop", "parent", "path", "blocks", "own", "links", "score", "last")
+    """An open or closed element. ``own`` is what stands in it outside inner containers; ``chars`` and ``score`` count all of it."""
+
+    __slots__ = ("tag", "name", "key", "above", "drop", "kind", "holder", "own", "chars", "score", "h1", "inner", "kids", "region")
+
+    def __init__(self, tag: str, classes: tuple[str, ...], drop: bool, above: Node | None, holder: Node | None, kind: int):
+        self.tag, self.drop, self.above, self.holder, self.kind = tag, drop, above, holder, kind
+        self.name = _DIGITS.sub("#", ".".join([tag, *sorted(classes)])) if classes else tag
+        # a path is known by a hash of its names, so that deep pages cost no long strings
+        self.key = xxhash.xxh64_intdigest(self.name.encode("utf-8", "replace"), above.key if above else 0)
+        self.own = self.chars = self.score = self.inner = 0
+        self.h1, self.kids, self.region = False, [], None
 
-    def __init__(self, tag: str, classes: tuple[str, ...], drop: bool, parent: Node | None):
-        self.tag, self.classes, self.drop, self.parent = tag, classes, drop, parent
-        here = ".".join([tag, *sorted(re.sub(r"\d+", "#", c) for c in classes)])
-        self.path = f"{parent.path}>{here}" if parent and parent.tag != "html" else here
-        self.own = self.links = self.score = 0
-        self.blocks = (0, 0)
+
+def path_of(node: Node, most: int = 16) -> str:
+    """The innermost names on the path of a node, for the reader."""
+    names: list[str] = []
+    while node.above is not None and len(names) < most:
+        names.append(node.name)
+        node = node.above
+    return (">" if node.above is not None else "") + ">".join(reversed(names))
 
 
 def _is_boilerplate(tag: str, classes: tuple[str, ...], ident: str, role: str) -> bool:
@@ -59,19 +88,55 @@ def _is_boilerplate(tag: str, classes: tuple[str, ...], ident: str, role: str) -
         return False
     for name in (*classes, ident):
         parts = [w.lower() for w in _NAME.findall(name)]
-        if parts and parts[0] not in ("has", "with", "no", "without") and not DROP_WORDS.isdisjoint(parts):
+        if not parts or not STATE_WORDS.isdisjoint(parts):
+            continue
+        if tag not in CONTAINER and tag not in ("ul", "ol", "dl", "table", "section", "span"):
+            parts = parts if len(parts) == 1 else []  # a paragraph in class market-share is about shares
+        if not SURE_WORDS.isdisjoint(parts) or parts and (parts[0] in FIRST_WORDS or parts[0] in SITE_WORDS and not FIRST_WORDS.isdisjoint(parts)):
             return True
     return False
 
 
-def parse(page: str) -> tuple[list[tuple[str, Node]], list[Node]]:
-    """Blocks of text outside boilerplate, each with the container it stands in, and all containers in page order."""
-    blocks: list[tuple[str, Node]] = []
-    root = Node("html", (), False, None)
-    containers, stack, text = [root], [root], []
+def _kind(tag: str, classes: tuple[str, ...], attributes: dict[str, str]) -> int:
+    role = attributes.get("role", "").lower()
+    if tag == "article" or role == "article" or "articlebody" in attributes.get("itemprop", "").lower().split():
+        return ARTICLE
+    if tag == "main" or role == "main":
+        return MAIN
+    return NAMED if any(c.lower() in KEEP_CLASSES for c in (*classes, attributes.get("id", ""))) else 0
+
+
+def _slow_tag(page: str, at: int) -> tuple[int, dict[str, str]]:
+    """The end of a tag whose attributes start at ``at``, and the attributes; -1 where the page ends in it."""
+    attributes: dict[str, str] = {}
+    while found := _ATTRIBUTES.match(page, at):
+        at = found.end()
+        if found[1]:
+            return at, attributes
+        value = found[4] or ""
+        if quote := found[3]:
+            end = page.find(quote, at)
+            if end < 0:
+                break
+            value, at = page[at:end], end + 1
+        attributes.setdefault(found[2].lower(), value)
+    return -1, attributes
+
+
+def parse(page: str) -> tuple[list[tuple[str, int, Node, bool]], list[Node]]:
+    """Blocks of text outside boilerplate (text, characters in links, container, in a first heading), and all containers in page order.
+
+    Each character is looked at a bounded number of times, however deep, unclosed or unmatched the tags are: a
+    tag, comment or quoted value that never ends ends the page, and open elements are found by their tag.
+    """
+    blocks: list[tuple[str, int, Node, bool]] = []
+    root = Node("html", (), False, None, None, 0)
+    containers, stack, holders, text = [root], [root], [root], []
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
     dropped = 0  # open elements whose text goes
-    links, in_link = 0, 0
-    heading_in_header = 0
+    links = in_link = 0
+    kept_heading = False  # inside a heading of an article's header
+    article_header = 0  # open headers of an article
 
     def flush() -> None:
         nonlocal links
@@ -79,149 +144,230 @@ def parse(page: str) -> tuple[list[tuple[str, Node]], list[Node]]:
             joined = _SPACE.sub(" ", "".join(text)).strip()
             text.clear()
             if joined:
-                holder = next(n for n in reversed(stack) if n.tag in CONTAINER)
-                holder.own += len(joined)
-                holder.links += min(links, len(joined))
-                blocks.append((joined, holder))
+                blocks.append((joined, min(links, len(joined)), holders[-1], bool(places.get("h1"))))
         links = 0
 
     def add(piece: str) -> None:
         nonlocal links
-        if piece and (not dropped or heading_in_header == dropped):
-            decoded = entities.unescape(piece)
+        if piece and (not dropped or kept_heading and dropped == 1):
+            decoded = entities.unescape(piece) if "&" in piece else piece
             text.append(decoded)
             if in_link:
                 links += len(decoded)
 
     def close(to: int) -> None:
-        nonlocal dropped, in_link, heading_in_header
+        nonlocal dropped, in_link, kept_heading, article_header
         while len(stack) > to:
-            if stack[-1].tag in BLOCK or stack[-1].drop:
+            node = stack[-1]
+            if node.tag in BLOCK:
                 flush()
-            node = stack.pop()
+            stack.pop()
+            places[node.tag].pop()
+            if holders[-1] is node:
+                holders.pop()
             dropped -= node.drop
             in_link -= node.tag == "a"
-            if heading_in_header and node.tag in HEADING:
-                heading_in_header = 0
+            if node.tag in HEADING:
+                kept_heading = False
+            elif node.tag == "header" and article_header:
+                article_header -= 1
+
+    def last(tag: str) -> int:
+        found = places.get(tag)
+        return found[-1] if found else 0
 
     at, n = 0, len(page)
     while at < n:
-        found = _TOKEN.search(page, at)
-        if not found:
+        start = page.find("<", at)
+        if start < 0:
             add(page[at:])
             break
-        add(page[at : found.start()])
-        at = found.end()
-        tag = found.group(2)
-        if not tag:
+        follows = page[start + 1 : start + 2]
+        if not (follows.isalpha() and follows.isascii()) and follows not in ("/", "!", "?"):
+            add(page[at : start + 1])
+            at = start + 1
             continue
-        tag = tag.lower()
-        if found.group(1):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+        add(page[at:start])
+        if page.startswith("<!--", start):
+            at = start + 4
+            if page.startswith(">", at) or page.startswith("->", at):
+                at = page.index(">", at) + 1
+                continue
+            end = _COMMENT_END.search(page, at)
+            if not end:
+                break
+            at = end.end()
+            continue
+        attributes: dict[str, str] = {}
+        found = _TAG.match(page, start)
+        if found:
+            at, raw = found.end(), found[3]
+            if raw and ("class" in raw or "id" in raw or "role" in raw or "itemprop" in raw or not raw.islower()):
+                for k, a, b, c in _ATTRIBUTE.findall(raw):
+                    attributes.setdefault(k.lower(), a or b or c)
+        elif found := _NAME_ONLY.match(page, start):
+            at, attributes = _slow_tag(page, found.end())
+            if at < 0:
+                break
+        else:  # a declaration, an instruction, or an end tag without a name
+            end = page.find(">", start)
+            if end < 0:
+                break
+            at = end + 1
+            continue
+        tag = found[2].lower()
+        if found[1]:
+            to = last(tag)
+            if to and (tag in _TABLE or to >= max(map(last, _CELLS))):
+                close(to)
             continue
         for ended in ENDS.get(tag, ()):
-            bounds = BOUNDS.get(tag, ()) if ended != "p" else _P_BOUNDS
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == ended:
-                    close(i)
-                    break
-                if stack[i].tag in bounds:
-                    break
+            to = last(ended)
+            if to and to > max(map(last, BOUNDS.get(tag, ()) if ended != "p" else _P_BOUNDS), default=0):
+                close(to)
         if tag == "html":
             continue
         if stack[-1].tag == "head" and tag not in IN_HEAD:
             close(len(stack) - 1)
-        attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(found.group(3))} if found.group(3) else {}
-        classes, ident = tuple(attributes.get("class", "").split()), attributes.get("id", "")
         if tag in BLOCK:
             flush()
         elif tag == "br":
             add(" ")
         if tag in VOID:
             continue
-        drop = _is_boilerplate(tag, classes, ident, attributes.get("role", "").lower())
-        if drop:
-            flush()
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else n
+            if not end:
+                break
+            at = end.end()
             continue
-        node = Node(tag, classes, drop, stack[-1])
+        classes = tuple(attributes.get("class", "").split())
+        drop = _is_boilerplate(tag, classes, attributes.get("id", ""), attributes.get("role", "").lower())
+        node = Node(tag, classes, drop, stack[-1], holders[-1], _kind(tag, classes, attributes) if tag in CONTAINER else 0)
         # a heading in the header of an article is the article's
-        if dropped == 1 and tag in HEADING and stack[-1].tag != "nav" and any(s.tag == "header" and s.drop and any(a.tag in ("article", "main") for a in stack[:i]) for i, s in enumerate(stack)):
-            heading_in_header = 1
+        if tag in HEADING and dropped == 1 and article_header:
+            kept_heading = True
+        if tag == "header" and drop and (article_header or not dropped and (last("article") or last("main"))):
+            article_header += 1
+        places.setdefault(tag, []).append(len(stack))
         stack.append(node)
         dropped += drop
         in_link += tag == "a"
         if tag in CONTAINER and not dropped:
             containers.append(node)
+            holders.append(node)
     close(1)
     flush()
     return blocks, containers
 
 
-def best_containers(blocks: list[tuple[str, Node]], containers: list[Node]) -> list[tuple[Node, float]]:
-    """Containers by score: the text outside links that stands directly in them counts fully, that of their inner
-    containers three quarters a level, so the closest container of most text leads."""
-    for node in containers:
-        node.score = max(0, node.own - 2 * node.links)
+def regions_of(blocks: list[tuple[str, int, Node, bool]], containers: list[Node]) -> list[Node]:
+    """The containers that the page is cut into, in page order; every block is in one of them, but for rows of links."""
+    for text, links, holder, h1 in blocks:
+        plain = len(text) - links
+        holder.chars += len(text)
+        holder.score += plain
+        holder.own += plain if 2 * plain > len(text) else 0
+        holder.h1 |= h1
     for node in reversed(containers):
-        up = node.parent
-        while up is not None and up.tag not in CONTAINER:
-            up = up.parent
-        if up is not None:
-            up.score += 0.75 * node.score
-    return sorted(((c, float(c.score)) for c in containers if c.score > 0), key=lambda x: -x[1])
+        if (up := node.holder) is not None and node.chars:
+            up.chars += node.chars
+            up.score += node.score
+            up.h1 |= node.h1
+            up.inner = max(up.inner, node.inner, node.kind)
+            up.kids.append(node)
+    out, todo = [], [containers[0]] if containers[0].chars else []
+    while todo:
+        node = todo.pop()
+        if node.kind == ARTICLE or node.own or not node.kids or node.kind > node.inner:
+            out.append(node)
+        else:
+            todo += node.kids  # the first of them is the last in the list
+    chosen = set(map(id, out))
+    for node in containers:
+        node.region = node if id(node) in chosen else node.holder.region if node.holder is not None else None
+    return out
+
+
+#: A region: path, path of what lays it out, share of the page's text on its path, whether it is the first on its path, whether
+#: it holds a first heading, its kind, whether most of it is outside links, path to read, text.
+REGION = ("key", "up", "share", "first", "h1", "kind", "prose", "path", "text")
+
+
+def page_regions(page: str | None) -> list[tuple]:
+    """The regions of a page in page order, as tuples of ``REGION``; none where there is no text."""
+    blocks, containers = parse(page or "")
+    found = regions_of(blocks, containers)
+    texts: dict[int, list[str]] = {}
+    for text, _, holder, _ in blocks:
+        if holder.region is not None:
+            texts.setdefault(id(holder.region), []).append(text)
+    by_key: dict[int, float] = {}
+    for node in found:
+        by_key[node.key] = by_key.get(node.key, 0.0) + node.score + 1e-3 * node.chars  # of links alone, the longest
+    total, seen, out = sum(by_key.values()), set(), []
+    for node in found:
+        up = node.holder.key if node.holder is not None else 0
+        out.append((node.key, up, by_key[node.key] / total, node.key not in seen, node.h1, node.kind, 2 * node.score > node.chars, path_of(node), "\n\n".join(texts.get(id(node), []))))
+        seen.add(node.key)
+    return out
+
+
+def choose(found: list[tuple], means: dict[int, float]) -> tuple[str, str]:
+    """(text, path) of the regions that the page keeps, given the average share that each path holds on its host.
+
+    The path with the highest average share times the square root of its share here leads, an article or main
+    element counting twice. Beside it stay, where one element lays them out: a first heading before it if it has none,
+    and, unless it is an article element, prose whose average share, and the geometric mean of it and the share here,
+    are at least a quarter of its own.
+    """
+    if not found:
+        return "", ""
+    rank = lambda r: (means[r[0]] * sqrt(r[2]) * (2 if r[5] >= MAIN else 1), -order[r[0]])
+    order: dict[int, int] = {}
+    for i, r in enumerate(found):
+        order.setdefault(r[0], i)
+    best = max(found, key=rank)
+    ups = {r[1] for r in found if r[0] == best[0]}
+    headed = any(r[4] for r in found if r[0] == best[0])
+    keep = []
+    for i, r in enumerate(found):
+        beside = r[1] in ups
+        title = beside and r[4] and not headed and i < order[best[0]]
+        usual = 4 * means[r[0]] >= means[best[0]] and 16 * means[r[0]] * r[2] >= means[best[0]] * best[2]
+        part = beside and best[5] < ARTICLE and r[6] and usual
+        if r[0] == best[0] or title or part:
+            keep.append(r[8])
+    return "\n\n".join(t for t in keep if t), best[7]
 
 
-def _above(node: Node) -> Iterator[Node]:
-    while (node := node.parent) is not None:
-        yield node
+def extract(page: str | None, means: dict[int, float] | None = None) -> tuple[str, str]:
+    """(text, path) of one page; shares of the page itself stand for paths that ``means`` lacks."""
+    found = page_regions(page)
+    return choose(found, {r[0]: (means or {}).get(r[0], r[2]) for r in found})
 
 
-def _inside(node: Node | None, path: str) -> bool:
-    while node is not None:
-        if node.path == path:
-            return True
-        node = node.parent
-    return False
+_REGION_TYPE = "array<struct<key: long, up: long, share: double, first: boolean, h1: boolean, kind: int, prose: boolean, path: string, text: string>>"
 
 
-def extract(page: str, paths: list[str]) -> tuple[str, str]:
-    """The text of the elements on the first of ``paths`` that holds any, else of the page's best container; the path used."""
-    blocks, containers = parse(page)
-    for path in paths:
-        if chosen := [b for b, holder in blocks if _inside(holder, path)]:
-            return "\n\n".join(chosen), path
-    best = best_containers(blocks, containers)
-    if not best:
-        return "\n\n".join(b for b, _ in blocks), ""
-    path = best[0][0].path
-    return "\n\n".join(b for b, holder in blocks if _inside(holder, path)), path
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
 
 
-def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        sums: dict[tuple[str, str], float] = {}
-        for host, page in zip(pdf["host"], pdf["html"]):
-            ranked = best_containers(*parse(page or ""))
-            # what encloses the best container has the same text and more, and would gather the votes of every layout
-            ranked = [(c, s) for c, s in ranked if not any(c is up for up in _above(ranked[0][0]))][:3]
-            total = sum(s for _, s in ranked)
-            for node, s in ranked:
-                # a page's votes sum to 1, so that a long page counts like a short one
-                sums[host, node.path] = sums.get((host, node.path), 0.0) + s / total
-        yield pd.DataFrame([(h, p, v) for (h, p), v in sums.items()], columns=["host", "path", "votes"])
-
-
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for page in pdf["html"]:
+            found = [(_signed(r[0]), _signed(r[1]), *r[2:]) for r in page_regions(page)]
+            rows.append([dict(zip(REGION, r)) for r in found])
+        yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "host": pdf["host"], "regions": rows})
+
+
+def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        got = [extract(page or "", list(paths) if paths is not None else []) for page, paths in zip(pdf["html"], pdf["paths"])]
+        got = []
+        for found, means in zip(pdf["regions"], pdf["means"]):
+            got.append(choose([tuple(r[k] for k in REGION) for r in found], {m["key"]: m["mean"] for m in means}))
         yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": [t for t, _ in got], "path": [p for _, p in got]})
 
 
@@ -230,27 +376,30 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def host_paths(pages: DataFrame, least: float = 0.05) -> DataFrame:
-    """(host, paths): the paths with at least ``least`` of the host's votes, most votes first."""
-    votes = pages.select("host", "html").mapInPandas(_votes, "host string, path string, votes double")
-    votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    votes = save(votes, "votes")
-    total = votes.groupBy(F.col("host").alias("of")).agg(F.sum("votes").alias("total"))
-    won = votes.join(total, F.col("host") == F.col("of")).where(F.col("votes") >= least * F.col("total"))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.round("votes", 6)).alias("v"), "path")))  # at most 1 / least rows a host
-    return won.groupBy("host").agg(F.transform(ranked, lambda r: r["path"]).alias("paths"))
+def host_means(scored: DataFrame) -> DataFrame:
+    """(host, key, mean): the average share of a page's text on each path, over the host's pages that have it."""
+    votes = scored.select("host", F.explode(F.filter("regions", lambda r: r["first"])).alias("r")).select("host", "r.key", "r.share")
+    return votes.groupBy("host", "key").agg(F.avg("share").alias("mean"))
 
 
-def main_texts(pages: DataFrame, least: float = 0.05, broadcast_hosts: int = 100_000, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars, path.
 
-    A null page is an empty one and gives an empty text. Pages without a host form one host. Paths of at most
-    ``broadcast_hosts`` hosts are broadcast; beyond that they are joined by host, where Spark may split a host
-    with many pages. Repeated rows are extracted each; an empty table gives no rows. Other columns are not read.
+    A null page is an empty one and gives an empty text. Pages without a host form one host. Of paths that are
+    equally good the first on the page leads. Repeated rows are extracted each; an empty table gives no rows. A
+    page is parsed once, in time that grows with its length whatever its tags are. Other columns are not read.
+
+    Every page votes. A page whose regions are all on one path has nothing to choose from, so only the texts of
+    the others meet the averages; these are joined by host and path on narrow rows, where Spark may split a host
+    with many pages.
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    paths = save(host_paths(rows, least), "paths").withColumnRenamed("host", "of")
-    side = F.broadcast(paths) if paths.count() <= broadcast_hosts else paths
-    joined = rows.join(side, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "paths")
-    out = joined.mapInPandas(_texts, "page_id long, url string, text string, path string")
-    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
+    scored = rows.mapInPandas(_score, f"page_id long, url string, host string, regions {_REGION_TYPE}")
+    scored = save(scored.withColumn("row", F.monotonically_increasing_id()), "regions")
+    several = F.size(F.filter("regions", lambda r: r["first"])) > 1
+    joined = F.array_join(F.transform(F.filter("regions", lambda r: r["text"] != ""), lambda r: r["text"]), "\n\n")
+    plain = scored.where(~several).select("page_id", "url", joined.alias("text"), F.coalesce(F.get("regions", F.lit(0))["path"], F.lit("")).alias("path"))
+    asked = scored.where(several).select("row", "host", F.explode(F.filter("regions", lambda r: r["first"])).alias("r")).select("row", "host", "r.key")
+    means = asked.join(host_means(scored), ["host", "key"]).groupBy("row").agg(F.collect_list(F.struct("key", "mean")).alias("means"))  # the paths of one page
+    chosen = scored.where(several).join(means, "row").select("page_id", "url", "regions", "means").mapInPandas(_choose, "page_id long, url string, text string, path string")
+    return plain.unionByName(chosen).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
