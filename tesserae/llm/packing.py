@@ -4,8 +4,9 @@ Documents are tokenised in place and cut only where they are longer than a seque
 short row per piece. Full pieces are sequences of their own. The others are dealt by hash into bounded
 groups, each packed in a task: best fit in order of falling length, then local search between underfull
 bins - moves, one-for-one, two-for-one and one-for-two exchanges that raise the sum of squared fills - until
-bins empty or nothing improves. The pieces of the bins that are still open then meet those of other groups
-in a further round; there are a few such bins in each group, so a round has far fewer rows than the last.
+the bins are as few as their sizes allow or no exchange between any two of them gains. The pieces of the bins
+that are still open then meet those of other groups in further rounds, each of at most half as many rows as
+the last, until they are one group.
 """
 
 from __future__ import annotations
@@ -123,59 +124,109 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(give: list[int], take: list[int], space: int, sizes: list[int]) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """What a fuller bin should give for what it should take so that it gains most of ``space``; None if nothing gains."""
-    gives = {0: ()} | {sizes[i]: (i,) for i in give}
-    takes = {sizes[j]: (j,) for j in take}
-    one_g, one_t = list(gives), list(takes)
-    two_g = {sizes[i] + sizes[j]: (i, j) for i, j in combinations(give, 2)}
-    two_t = {sizes[i] + sizes[j]: (i, j) for i, j in combinations(take, 2)}
-    best, found = 0, None
-    for left, right, lefts, rights in ((one_g, one_t, gives, takes), (one_g, list(two_t), gives, two_t), (list(two_g), one_t, two_g, takes)):
-        if not left or not right:
-            continue
-        gain = np.subtract.outer(np.array(right), np.array(left))
-        gain[gain > space] = 0
-        if (top := int(gain.max())) > best:
-            r, g = np.unravel_index(int(gain.argmax()), gain.shape)
-            best, found = top, (lefts[left[g]], rights[right[r]])
-    return found
-
-
-def local_search(bins: list[list[int]], sizes: list[int], room: int, tries: int = 50_000) -> list[list[int]]:
+class _Underfull:
+    """The bins with space left, by that space, and what each holds as bit masks: its sizes and its sums of two sizes."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], room: int):
+        self.bins, self.sizes, self.room = bins, sizes, room
+        self.space = [room - sum(sizes[i] for i in b) for b in bins]
+        self.one, self.two = [0] * len(bins), [0] * len(bins)
+        self.members: dict[int, set[int]] = {}
+        self.held: dict[int, tuple[int, int]] = {}  # of all members: sizes, and sizes or sums of two; bit 0 is for nothing
+        for b in range(len(bins)):
+            self.enter(b)
+
+    def measure(self, b: int) -> None:
+        one = twice = two = 0
+        for i in self.bins[b]:
+            bit = 1 << self.sizes[i]
+            twice |= one & bit
+            one |= bit
+        for s in {self.sizes[i] for i in self.bins[b]}:
+            two |= (one if twice >> s & 1 else one & ~(1 << s)) << s
+        self.one[b], self.two[b] = one, two & ((2 << self.room) - 1)
+
+    def enter(self, b: int) -> None:
+        if 0 < self.space[b] < self.room:
+            self.measure(b)
+            self.members.setdefault(self.space[b], set()).add(b)
+            one, any_ = self.held.get(self.space[b], (1, 1))
+            self.held[self.space[b]] = (one | self.one[b], any_ | self.one[b] | self.two[b])
+
+    def leave(self, b: int) -> None:
+        s = self.space[b]
+        if b not in self.members.get(s, ()):
+            return
+        self.members[s].discard(b)
+        one = any_ = 1
+        for o in self.members[s]:
+            one, any_ = one | self.one[o], any_ | self.one[o] | self.two[o]
+        self.held[s] = (one, any_)
+        if not self.members[s]:
+            del self.members[s], self.held[s]
+
+    def exchange(self, a: int) -> tuple[int, tuple[int, ...], int, tuple[int, ...]] | None:
+        """(gain, what ``a`` gives, the bin that takes it, what it gives back): the most that a bin can gain from ``a``.
+
+        One is given for nothing, one or two, or two for one. Only exchanges that raise the sum of squared fills count:
+        the bin that gains has room for it and is then fuller than ``a`` was.
+        """
+        gain, found = 0, None
+        for space, (one, any_) in self.held.items():
+            least = max(gain, space - self.space[a]) + 1
+            for given, back, single in ((self.one[a], any_, True), (self.two[a], one, False)):
+                while given and least <= space:
+                    x = (given & -given).bit_length() - 1
+                    given &= given - 1
+                    at = max(0, x - space)
+                    if fit := back >> at:  # the least that is large enough to make room
+                        v = at + (fit & -fit).bit_length() - 1
+                        if x - v >= least:
+                            gain, found, least = x - v, (x, space, v, single), x - v + 1
+        if not found:
+            return None
+        x, space, v, single = found
+        gives = self.pick(a, x, single)
+        for b in sorted(self.members[space]):
+            if v == 0 or self.one[b] >> v & 1 or single and self.two[b] >> v & 1:
+                return gain, gives, b, self.pick(b, v, v == 0 or bool(self.one[b] >> v & 1)) if v else ()
+        raise AssertionError("masks name what no bin holds")
+
+    def pick(self, b: int, total: int, single: bool) -> tuple[int, ...]:
+        """One item, or two, of bin ``b`` that sum to ``total``."""
+        if single:
+            return (next(i for i in self.bins[b] if self.sizes[i] == total),)
+        return next((i, j) for i, j in combinations(self.bins[b], 2) if self.sizes[i] + self.sizes[j] == total)
+
+
+def local_search(bins: list[list[int]], sizes: list[int], room: int) -> list[list[int]]:
     """Exchange documents between underfull bins while the sum of squared fills grows; emptied bins go.
 
-    The emptiest bin is the one to empty; fuller bins take from it, the fullest first. Ends when the bins are
-    as few as the sizes allow, when no exchange between any two gains, or after ``tries`` pairs of bins: what
-    stands then is a packing of all documents, too.
+    The emptiest bins are emptied first, by the exchanges that gain most. Ends when the bins are as few as the
+    sizes allow, or when no move, one-for-one, two-for-one or one-for-two exchange between any two bins gains.
+    Each exchange raises a sum of bounded integers, so there is an end.
     """
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    fewest = -(-sum(fill) // room)
-    live, changed = sum(map(bool, bins)), True
-    while changed and tries > 0:
+    state = _Underfull([list(b) for b in bins], sizes, room)
+    live = sum(map(bool, bins))
+    fewest, changed = -(-sum(sizes[i] for b in bins for i in b) // room), True
+    while changed and live > fewest:
         changed = False
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < room), key=lambda b: fill[b])
-        while under and live > fewest and tries > 0:
-            low = under.pop(0)
-            for b in reversed(under):
-                # a single document for a single one only swaps the bins' names
-                while bins[low] and fill[low] <= fill[b] < room and (len(bins[b]) > 1 or len(bins[low]) > 1 or fill[b] + fill[low] <= room):
-                    tries -= 1
-                    found = _exchange(bins[b], bins[low], room - fill[b], sizes)
-                    if not found:
-                        break
-                    gave, took = found
-                    gain = sum(sizes[i] for i in took) - sum(sizes[i] for i in gave)
-                    bins[b] = [i for i in bins[b] if i not in gave] + list(took)
-                    bins[low] = [i for i in bins[low] if i not in took] + list(gave)
-                    fill[b] += gain
-                    fill[low] -= gain
-                    changed = True
-                if not bins[low]:
-                    live -= 1
+        for a in sorted((b for group in state.members.values() for b in group), key=lambda b: (-state.space[b], b)):
+            state.leave(a)
+            while found := state.exchange(a):
+                gain, gives, b, back = found
+                state.leave(b)
+                state.bins[b] = [i for i in state.bins[b] if i not in back] + list(gives)
+                state.bins[a] = [i for i in state.bins[a] if i not in gives] + list(back)
+                state.space[a], state.space[b], changed = state.space[a] + gain, state.space[b] - gain, True
+                state.enter(b)
+                state.measure(a)
+            state.enter(a)
+            if not state.bins[a]:
+                live -= 1
+                if live <= fewest:
                     break
-            under = sorted((b for b in under if fill[b] < room), key=lambda b: fill[b])
-    return [b for b in bins if b]
+    return [b for b in state.bins if b]
 
 
 def pack(sizes: list[int], room: int) -> list[list[int]]:
@@ -202,30 +253,30 @@ def _pack_group(room: int):
     return run
 
 
-def pack_documents(docs: DataFrame, room: int = 1024, vocabulary: str = "byte_bpe_50k", doc_id: str = "doc_id", text: str = "text", per_group: int = 8192, slack: int = 8, rounds: int = 3) -> DataFrame:
+def pack_documents(docs: DataFrame, room: int = 1024, vocabulary: str = "byte_bpe_50k", doc_id: str = "doc_id", text: str = "text", per_group: int = 8192) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids (``exact_encoder``) and an end id; a null text is an empty one, so it is the end id alone. Repeated
-    rows and ids are packed like any other; ``sequence_id`` is unique in the result, ``offset`` gapless from 0
-    in each sequence. A bin with less than ``slack`` free tokens counts as full between rounds. An empty
-    table gives no rows. Other columns are not read.
+    rows and ids are packed like any other, texts of any length are cut whole, and pieces of equal length are packed in
+    the order of a row number, so that ties don't matter. ``sequence_id`` is unique in the result, ``offset`` gapless
+    from 0 in each sequence. An empty table gives no rows. Other columns are not read.
     """
     cut = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(_cut(room, vocabulary), "doc_id long, piece int, start long, length long, ids_crc32 long")
     cut = save(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     done = [cut.where(F.col("length") == room).withColumns({"sequence_id": F.col("uid"), "offset": F.lit(0).cast("long")}).select(*columns)]
     left = cut.where(F.col("length") < room)
-    n = left.count()
-    for k in range(rounds):
-        groups = max(1, -(-n // per_group))
+    n, k = left.count(), 0
+    while n:
+        groups = -(-n // per_group)
         dealt = left.select("uid", "doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("uid", F.lit(k)), F.lit(groups)).alias("group"))
         packed = save(dealt.groupBy("group").applyInPandas(_pack_group(room), _PACKED), f"packed{k}")
-        n = packed.where(F.col("fill") <= room - slack).count()
-        if groups == 1 or k == rounds - 1 or not n:
+        still_open = packed.where(F.col("fill") < room).count()
+        if groups == 1 or 2 * still_open > n:
             done.append(packed.select(*columns))
             break
-        done.append(packed.where(F.col("fill") > room - slack).select(*columns))
-        left = packed.where(F.col("fill") <= room - slack)
+        done.append(packed.where(F.col("fill") == room).select(*columns))
+        left, n, k = packed.where(F.col("fill") < room), still_open, k + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

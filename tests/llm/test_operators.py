@@ -306,8 +306,7 @@ def test_encoder_gives_the_ids_of_the_json_file():
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
-    fast = packing.encoder("byte_bpe_50k")
+    fast = packing.exact_encoder("byte_bpe_50k")
     texts = ["", " ", "a  b\n\n c\t", "<|endoftext|> x", "Élan vital, d'où 12345 !!??", "日本語 текст 🎉🎉", "x" * 3000, "it's we'll \r\n\r\n end   ", " nbsp em"]
     assert [list(fast(t)) for t in texts] == [slow.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -342,6 +341,53 @@ def test_local_search_empties_bins():
         assert len(got) <= len(packing.best_fit(sizes, 60))
 
 
+def gaining(bins, sizes, room):
+    """Whether any exchange of the kinds between any two bins, tried one by one, raises the sum of squared fills."""
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    for a, b in itertools.permutations(range(len(bins)), 2):
+        kinds = [((i,), back) for i in bins[a] for back in [(), *itertools.combinations(bins[b], 1), *itertools.combinations(bins[b], 2)]]
+        kinds += [(two, (i,)) for two in itertools.combinations(bins[a], 2) for i in [*bins[b]]]
+        for gives, back in kinds:
+            g = sum(sizes[i] for i in gives) - sum(sizes[i] for i in back)
+            if 0 < g <= room - fill[b] and (fill[b] + g) ** 2 + (fill[a] - g) ** 2 > fill[a] ** 2 + fill[b] ** 2:
+                return True
+    return False
+
+
+def test_local_search_ends_where_nothing_gains():
+    rng = random.Random(16)
+    ended = 0
+    for _ in range(150):
+        room = rng.choice([20, 60, 97])
+        sizes = [rng.randrange(1, room) for _ in range(rng.randrange(2, 30))]
+        order = rng.sample(range(len(sizes)), len(sizes))
+        bins = []  # first fit in an order that is not that of the sizes
+        for i in order:
+            at = next((b for b in bins if sum(sizes[k] for k in b) + sizes[i] <= room), None)
+            bins.append([i]) if at is None else at.append(i)
+        got = packing.local_search(bins, sizes, room)
+        assert sorted(i for b in got for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= room for b in got)
+        fewest = -(-sum(sizes) // room)
+        assert len(got) == fewest or not gaining(got, sizes, room)
+        ended += len(got) > fewest
+    assert ended > 20
+
+
+def test_local_search_empties_many_bins_of_a_poor_start():
+    rng = random.Random(17)
+    sizes = [min(1023, int(rng.lognormvariate(6, 0.7)) + 1) for _ in range(4000)]
+    bins, at = [], 0
+    for i in range(len(sizes)):  # next fit
+        if bins and at + sizes[i] <= 1024:
+            bins[-1].append(i)
+        else:
+            bins.append([i])
+            at = 0
+        at += sizes[i]
+    got, fewest = packing.local_search(bins, sizes, 1024), -(-sum(sizes) // 1024)
+    assert len(bins) > 1.2 * fewest and len(got) < 1.01 * fewest
+
+
 def test_packing(spark, odd_docs, no_docs):
     fast, want = packing.encoder("byte_bpe_50k"), Counter()
     for r in odd_docs.collect():
