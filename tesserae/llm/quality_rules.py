@@ -3,9 +3,12 @@
 Each document's counts are turned into a short vector of transformed statistics. For every language and
 source the minimum-covariance-determinant estimate of centre and scatter is sought: from two robust starts,
 concentration steps take the share of rows nearest in Mahalanobis distance and estimate again from these,
-and the start of smaller determinant wins; a reweighted estimate follows. Rows far from the centre under it
-are rejected. All of it is DataFrame aggregation: the rows never leave their place but as partial sums and
-quantile sketches, which merge by group, so a group with a third of all rows is no hot spot.
+until no determinant falls any more, and the start of smaller determinant wins; a reweighted estimate follows.
+The same is done for every language and for all rows, and each estimate is drawn to the one above it as if
+that were worth some rows: a source with many rows stands by its own, one with few leans on its language.
+Rows far from the centre are rejected. All of it is DataFrame aggregation: the rows never leave their place
+but as partial sums and quantile sketches, which merge by group, so a group with a third of all rows is no
+hot spot.
 """
 
 from __future__ import annotations
@@ -62,7 +65,7 @@ def _moments(inside: Column, tag: str, p: int) -> list[Column]:
 
 def _estimate(df: DataFrame, tag: str, p: int, scale: float = 1.0) -> DataFrame:
     """Mean, covariance (at least the floor) and factor from the sums of ``_moments``; and the log-determinant."""
-    n = F.col(f"{tag}n")
+    n = F.nullif(F.col(f"{tag}n"), F.lit(0.0))
     df = df.withColumns({f"{tag}m{i}": F.col(f"{tag}s{i}") / n for i in range(p)})
     cov = lambda i, j: (F.col(f"{tag}q{i}{j}") / n - F.col(f"{tag}m{i}") * F.col(f"{tag}m{j}")) * F.lit(scale) + F.lit(FLOOR[FEATURES[i]] ** 2 if i == j else 0.0)
     df = df.withColumns({f"{tag}c{i}{j}": cov(i, j) for i in range(p) for j in range(i + 1)})
@@ -88,11 +91,12 @@ def _meet(rows: DataFrame, params: DataFrame, n_groups: int, how: str = "inner",
     return salted.join(spread, ["g", "_salt"], how).drop("_salt")
 
 
-def robust_estimates(rows: DataFrame, n_groups: int, share: float = 0.75, steps: int = 2, accuracy: int = 1000, inlier: float = 12.83) -> DataFrame:
-    """(g, x0..) -> (g, m0.., l00..): centre and Cholesky factor of the reweighted MCD estimate of each group.
+def robust_estimates(rows: DataFrame, n_groups: int, share: float = 0.75, settled: float = 1e-3, accuracy: int = 1000, inlier: float = 12.83) -> DataFrame:
+    """(g, x0..) -> (g, fn, fm0.., fc00..): number of rows, centre and covariance of the reweighted MCD estimate of each group.
 
-    ``inlier`` is the squared distance within which rows enter the reweighted estimate: the 0.975 quantile of
-    chi-square with five degrees of freedom.
+    Concentration ends when no group's log-determinant falls by more than ``settled``; as the least scatter bounds it
+    from below, it does end. ``inlier`` is the squared distance within which rows enter the reweighted estimate: the
+    0.975 quantile of chi-square with five degrees of freedom. A group none of whose rows is inside has fn 0 and nulls.
     """
     p = len(FEATURES)
     medians = rows.groupBy("g").agg(*[F.percentile_approx(f"x{i}", 0.5, accuracy).alias(f"med{i}") for i in range(p)])
@@ -113,46 +117,66 @@ def robust_estimates(rows: DataFrame, n_groups: int, share: float = 0.75, steps:
     start = start.withColumns({f"al{i}{j}": F.col(f"sd{i}") if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)})
     med = [f"med{i}" for i in range(p)]
     now = save(start.select("g", *med, *_params("a", p), *_params("b", p)), "start")
-    for step in range(steps):
+    step, before = 0, None
+    while True:
         far = _distance(_distance(_meet(rows, now, n_groups), "am", "al", "da", p), "bm", "bl", "db", p)
         cut = save(far.groupBy("g").agg(F.percentile_approx("da", share, accuracy).alias("ca"), F.percentile_approx("db", share, accuracy).alias("cb")), f"cut{step}")
         sums = _meet(far, cut, n_groups).groupBy("g", *med).agg(*_moments(F.col("da") <= F.col("ca"), "a", p), *_moments(F.col("db") <= F.col("cb"), "b", p))
         got = _estimate(_estimate(sums, "a", p), "b", p)
         now = save(got.select("g", *med, *_params("a", p), *_params("b", p), "adet", "bdet"), f"step{step}")
+        if before is not None:
+            fell = F.max(F.greatest(F.col("wasa") - F.col("adet"), F.col("wasb") - F.col("bdet")))
+            if (now.join(before, "g").agg(fell).first()[0] or 0.0) <= settled:
+                break
+        step, before = step + 1, now.select("g", F.col("adet").alias("wasa"), F.col("bdet").alias("wasb"))
     best = now.select("g", *med, *[F.when(F.col("adet") <= F.col("bdet"), F.col(f"a{c[1:]}")).otherwise(F.col(f"b{c[1:]}")).alias(f"r{c[1:]}") for c in _params("a", p)])
     # the nearest 75 % of a normal sample have a smaller scatter than all of it: 1.35 makes up for that in five dimensions
     near = _distance(_meet(rows, best, n_groups), "rm", "rl", "d", p)
     sums = near.groupBy("g", *med).agg(*_moments(F.col("d") <= F.lit(inlier * 1.35), "f", p))
-    return save(_estimate(sums, "f", p).select("g", *[F.col(f"fm{i}").alias(f"m{i}") for i in range(p)], *[F.col(f"fl{i}{j}").alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)]), "robust")
+    covariances = [f"fc{i}{j}" for i in range(p) for j in range(i + 1)]
+    return save(_estimate(sums, "f", p).select("g", "fn", *[f"fm{i}" for i in range(p)], *covariances), "robust")
 
 
-def judge(docs: DataFrame, cutoff: float = 40.0, least_rows: int = 100, min_words: int = 10, most_repeated: int = 20, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def _levels(*names: str) -> list[Column]:
+    """Names of all rows, of the language, and of the language and source."""
+    return [F.lit("[]"), *[F.to_json(F.array(*names[:k])) for k in range(1, len(names) + 1)]]
+
+
+def shrunk(pairs: DataFrame, robust: DataFrame, worth: float, p: int) -> DataFrame:
+    """(g0, g1, g2) -> (g, m0.., l00..): the estimate of g2 drawn to that of g1, itself drawn to that of g0, as if to ``worth`` rows of it."""
+    names = [f"fm{i}" for i in range(p)] + [f"fc{i}{j}" for i in range(p) for j in range(i + 1)]
+    out = pairs
+    for k in range(3):
+        at = robust.select(F.col("g").alias(f"of{k}"), F.col("fn").alias(f"n{k}"), *[F.col(c).alias(f"{c}_{k}") for c in names])
+        out = out.join(at, F.col(f"g{k}") == F.col(f"of{k}"), "left")
+    for k in (1, 2):
+        own = F.col(f"n{k}") / (F.col(f"n{k}") + F.lit(worth))
+        out = out.withColumns({f"{c}_{k}": own * F.coalesce(f"{c}_{k}", f"{c}_{k - 1}") + (1 - own) * F.col(f"{c}_{k - 1}") for c in names})
+    out = _factor(out.select(F.col("g2").alias("g"), *[F.col(f"{c}_2").alias(c) for c in names]), "fc", "l", p)
+    return save(out.select("g", *[F.col(f"fm{i}").alias(f"m{i}") for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)]), "shrunk")
+
+
+def judge(docs: DataFrame, cutoff: float = 40.0, worth: float = 30.0, min_words: int = 10, most_repeated: int = 20, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept.
 
     A null text has no words, so it fails the base rules. Groups are a language and a source (null is one
-    value of each); those with fewer than ``least_rows`` rows that pass the base rules are taken together by
-    language, and languages still smaller all together. Estimates come from the rows that pass; only
-    these are judged by ``distance`` (null for the others). Ties and repeated rows count each. An empty table
+    value of each). Estimates come from the rows that pass the base rules; only these are judged by ``distance``
+    (null for the others). A group's estimate is drawn to its language's, and that to the one of all rows, as if
+    these were worth ``worth`` rows. Ties and repeated rows count each; long texts are counted whole. An empty table
     gives no rows. Other columns are not read.
     """
     p = len(FEATURES)
     counts = base_counts(F.col(text))
-    stats = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("\0")).alias("lang"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("source"), *[c.alias(k) for k, c in counts.items()])
+    stats = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), *[c.alias(k) for k, c in counts.items()])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    stats = save(stats.withColumn("base_failed", failed), "counts")
-    passed = stats.where(~F.col("base_failed"))
-    sizes = passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    small = F.col("n") < least_rows
-    level = sizes.withColumn("g1", F.when(small, F.concat_ws("\1", "lang", F.lit("\2"))).otherwise(F.concat_ws("\1", "lang", "source")))
-    rest = level.groupBy(F.col("g1").alias("g_of")).agg(F.sum("n").alias("m"))
-    groups = level.join(rest, F.col("g1") == F.col("g_of")).select(F.col("lang").alias("gl"), F.col("source").alias("gs"), F.when(F.col("m") < least_rows, F.lit("\2")).otherwise(F.col("g1")).alias("g"))
-    groups = save(groups, "groups")
-    side = F.broadcast(groups) if groups.count() <= 10_000 else groups
-    rows = stats.join(side, (F.col("lang") == F.col("gl")) & (F.col("source") == F.col("gs")), "left").drop("gl", "gs")
-    rows = save(rows.withColumns({f"x{i}": c for i, c in enumerate(features().values())}), "vectors")
-    n_groups = groups.count()
-    robust = robust_estimates(rows.where(~F.col("base_failed")).select("g", *[f"x{i}" for i in range(p)]), n_groups)
-    seen = _distance(_meet(rows, robust, n_groups, "left"), "m", "l", "distance", p)
+    stats = stats.withColumn("base_failed", failed).withColumn("g", _levels("lang", "source")[2])
+    rows = save(stats.withColumns({f"x{i}": c for i, c in enumerate(features().values())}), "vectors")
+    passed = rows.where(~F.col("base_failed"))
+    pairs = save(passed.select("lang", "source").distinct().select(*[c.alias(f"g{k}") for k, c in enumerate(_levels("lang", "source"))]), "groups")
+    n_pairs = pairs.count()
+    levelled = passed.select(F.explode(F.array(*_levels("lang", "source"))).alias("g"), *[f"x{i}" for i in range(p)])
+    robust = robust_estimates(levelled, 2 * n_pairs + 1)  # a group, its language, and all rows
+    seen = _distance(_meet(rows, shrunk(pairs, robust, worth, p), n_pairs, "left"), "m", "l", "distance", p)
     near = F.coalesce(F.col("distance") <= F.lit(cutoff), F.lit(True))
     return seen.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
