@@ -50,10 +50,10 @@ def product_docs(products: DataFrame, null_text: str = "None") -> DataFrame:
 
 
 def warehouse_docs(warehouse: DataFrame, products: DataFrame, pattern: str = linking.CODE, null_text: str = "None") -> DataFrame:
-    """One document per row; ids: the row's own, then those its notes mention."""
-    rows = warehouse.withColumn("_key", F.concat_ws(":", "product_id", "warehouse_location"))
-    links = linking.link_products(rows.select("_key", "special_notes").distinct(), products, pattern, "_key", "special_notes")
-    rows = linking.enrich_from_product(rows, products, ["product_name"]).join(links.withColumnRenamed("product_ids", "_ids"), "_key", "left")
+    """One document per row; ids: the row's own, then those its own notes mention. The table has no key, so links go by the notes."""
+    notes = warehouse.select(F.col("special_notes").alias("_notes"), "special_notes").where("special_notes is not null").distinct()
+    links = linking.link_products(notes, products, pattern, "_notes", "special_notes").withColumnRenamed("product_ids", "_ids")
+    rows = linking.enrich_from_product(warehouse, products, ["product_name"]).join(links, F.col("special_notes") == F.col("_notes"), "left")
     c = lambda name: _col(rows, name)
     s = lambda name: shown(c(name), null_text)
     name = F.coalesce(F.nullif(c("product_name"), F.lit("")), c("p_product_name"), F.lit(""))

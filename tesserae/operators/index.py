@@ -67,17 +67,37 @@ def tokenize_udf(words: Iterable[str], stop: Iterable[str] = (), smart: bool = F
     return run
 
 
-def build_postings(docs: DataFrame, fields: dict[str, Column], key: str = "_id", positions: bool = True) -> DataFrame:
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` evaluated once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _reduced(tokens: Column, positions: bool) -> Column:
+    """Tokens in order -> an array with one (term, tf, positions) for each distinct token, by sorting them in the row."""
+
+    def runs(by_term: Column) -> Column:
+        starts = F.filter(F.transform(by_term, lambda x, i: F.when((i > 0) & (F.get(by_term, i - 1)["t"] == x["t"]), F.lit(None)).otherwise(i)), lambda i: i.isNotNull())
+
+        def one(all_starts: Column, at: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(all_starts, k + 1), F.size(by_term)) - at
+            where = [F.transform(F.slice(by_term, at + 1, n), lambda x: x["i"]).alias("positions")] if positions else []
+            return F.struct(F.get(by_term, at)["t"].alias("term"), n.cast("long").alias("tf"), *where)
+
+        return _let(starts, lambda all_starts: F.transform(all_starts, lambda at, k: one(all_starts, at, k)))
+
+    return _let(F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))), runs)
+
+
+def build_postings(docs: DataFrame, fields: dict[str, Column], key: str = "_id", positions: bool = True, first: str | None = None) -> DataFrame:
     """(field, term, key, tf, len, positions) of tokenised ``fields``; one row per field, term and document.
 
-    Tokens of one document are reduced in its own row, so nothing is shuffled here.
+    Tokens of one document are reduced in its own row, so nothing is shuffled here. ``first`` names a column that is
+    true on one row for each document and field.
     """
-    arrays = F.array(*[F.struct(F.lit(f).alias("field"), F.transform(c, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))).alias("tokens")) for f, c in fields.items()])
-    each = docs.select(key, F.explode(arrays).alias("f")).select(key, "f.field", F.size("f.tokens").alias("len"), F.explode("f.tokens").alias("t"))
-    counts = [F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")]
-    if positions:
-        counts.append(F.array_sort(F.collect_list("t.pos")).alias("positions"))
-    return each.groupBy("field", F.col("t.term").alias("term"), key).agg(*counts)
+    each = docs.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c.alias("tokens")) for f, c in fields.items()])).alias("f"))
+    rows = each.select(key, "f.field", F.size("f.tokens").alias("len"), F.posexplode(_reduced(F.col("f.tokens"), positions)).alias("no", "p"))
+    marks = [(F.col("no") == 0).alias(first)] if first else []
+    return rows.select("field", "p.term", key, "p.tf", "len", *(["p.positions"] if positions else []), *marks)
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
@@ -85,10 +105,9 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def field_stats(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    """(field, n_docs, avg_len) over the documents that have a token in the field."""
-    sizes = docs.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(c).alias("len")) for f, c in fields.items()])).alias("f")).select("f.*")
-    return sizes.where("len > 0").groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+def field_stats(postings: DataFrame, first: str) -> DataFrame:
+    """(field, n_docs, avg_len) over the documents that have a token in the field, from postings with a ``first`` mark."""
+    return postings.where(F.col(first)).groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
 
 
 def idf(n: Column, df: Column) -> Column:

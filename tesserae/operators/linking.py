@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.sources.scratch import save
+
 CODE = r"(?U)\bP\d{3}\b"
 
 
@@ -18,24 +20,34 @@ def valid_ids(found: DataFrame, products: DataFrame) -> DataFrame:
     return found.join(products.select("product_id"), "product_id", "left_semi").select(*found.columns)
 
 
-def name_mentions(texts: DataFrame, products: DataFrame, key: str = "row_id", text: str = "text", name: str = "product_name", gram: int = 3) -> DataFrame:
+def _pieces(text: Column, n: int) -> Column:
+    """The distinct pieces of ``n`` characters, in time that grows with the length."""
+    chars = F.transform(F.array(F.split(text, "")), lambda c: F.transform(c, lambda x, i: F.when(i + n <= F.size(c), F.concat(x, *[F.get(c, i + k) for k in range(1, n)])))).getItem(0)
+    return F.array_distinct(F.filter(chars, lambda g: g.isNotNull() & (F.length(g) == n)))
+
+
+def name_mentions(texts: DataFrame, products: DataFrame, key: str = "row_id", text: str = "text", name: str = "product_name", gram: int = 3, broadcast_names: int = 200_000) -> DataFrame:
     """(key, product_id): products whose name stands in the text, case-sensitive; names that several ids share link all.
 
-    Each distinct name waits under one of its ``gram``-character pieces, the one fewest names have, and meets
-    only texts that hold this piece; ``contains`` then decides. Names shorter than ``gram`` are looked up in
-    the texts' pieces of their own length.
+    Each distinct name waits under one of its ``gram``-character pieces, the one fewest names have; names shorter
+    than that are pieces themselves. Texts are cut into pieces of the lengths that wait, without the text on their
+    rows; a piece that is awaited brings its names. Texts meet these few candidates once, by key, and ``contains``
+    decides. Pieces of at most ``broadcast_names`` names are broadcast; beyond that Spark joins by piece and may
+    split a frequent one.
     """
-    names = products.where(F.length(name) > 0).select(F.col(name).alias("name")).distinct()
-    pieces = lambda c, n: F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-    long = names.where(F.length("name") >= gram).select("name", F.explode(pieces(F.col("name"), gram)).alias("gram"))
+    names = save(products.where(F.length(name) > 0).select(F.col(name).alias("name")).distinct(), "names")
+    long = names.where(F.length("name") >= gram).select("name", F.explode(_pieces(F.col("name"), gram)).alias("gram"))
     common = long.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     block = long.join(common, "gram").groupBy("name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    short = names.where(F.length("name") < gram).select("name", F.col("name").alias("gram"))
-    rows = texts.select(key, F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    sized = F.array_distinct(F.flatten(F.array(*[pieces(F.col("_text"), n) for n in range(1, gram + 1)])))
-    grams = rows.select(key, "_text", F.explode(sized).alias("gram"))
-    hit = grams.join(block.unionByName(short), "gram").where(F.contains("_text", F.col("name"))).select(key, "name")
-    return hit.join(products.select("product_id", F.col(name).alias("name")), "name").select(key, "product_id").distinct()
+    waiting = save(block.select("name", "gram").unionByName(names.where(F.length("name") < gram).select("name", F.col("name").alias("gram"))), "pieces")
+    lengths = sorted(r[0] for r in waiting.select(F.length("gram")).distinct().collect())  # at most ``gram`` numbers
+    rows = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.length(text) > 0)
+    none = F.array().cast("array<string>")
+    grams = rows.select("_key", F.explode(F.concat(none, *[_pieces(F.col("_text"), n) for n in lengths])).alias("gram"))
+    side = F.broadcast(waiting) if waiting.count() <= broadcast_names else waiting
+    likely = grams.join(side, "gram").groupBy("_key").agg(F.collect_set("name").alias("names"))  # the candidates of one text
+    hit = likely.join(rows, "_key").select("_key", F.explode(F.filter("names", lambda n: F.contains("_text", n))).alias("name"))
+    return hit.join(products.select("product_id", F.col(name).alias("name")), "name").select(F.col("_key").alias(key), "product_id").distinct()
 
 
 def link_products(texts: DataFrame, products: DataFrame, pattern: str = CODE, key: str = "row_id", text: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.operators.index import bm25, idf
+from tesserae.sources.scratch import save
 
 QUERY_CODE = r"^[PW]\d{3}$"
 
@@ -88,12 +89,15 @@ def phrase_match(hits: DataFrame, boosts: dict[str, float], key: str = "_id", be
     return scored.groupBy("query_id", key).agg(F.sum("s").alias("score"))
 
 
-def exact_term(wanted: DataFrame, docs: DataFrame, column: str, boost: float, n_docs: Column | int, key: str = "_id") -> DataFrame:
-    """(query_id, value) against a keyword or array column: boost * idf for the documents that have the value."""
-    kind = docs.schema[column].dataType
+def exact_term(wanted: DataFrame, docs: DataFrame, column: str, boost: float, n_docs: Column | int, key: str = "_id", normalize=None) -> DataFrame:
+    """(query_id, value) against a keyword or array column: boost * idf for the documents that have the value.
+
+    ``normalize`` is applied to both sides where the column is normalised, as the status is.
+    """
+    kind, norm = docs.schema[column].dataType, normalize or (lambda c: c)
     value = F.explode(F.array_distinct(column)) if isinstance(kind, T.ArrayType) else F.col(column)
-    having = docs.select(key, value.alias("value")).where("value is not null")
-    hit = wanted.select("query_id", "value").distinct().join(having, "value")
+    having = docs.select(key, value.alias("value")).where("value is not null").select(key, norm(F.col("value")).alias("value"))
+    hit = wanted.select("query_id", norm(F.col("value")).alias("value")).distinct().join(having, "value")
     df = hit.groupBy("value").agg(F.countDistinct(key).alias("df"))
     return hit.join(df, "value").select("query_id", key, (F.lit(float(boost)) * idf(F.lit(n_docs), F.col("df"))).alias("score"))
 
@@ -121,12 +125,6 @@ def dedupe_best(hits: DataFrame, by: Column, key: str = "_id") -> DataFrame:
     return hits.withColumn("_by", F.coalesce(by.cast("string"), F.col(key).cast("string"))).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_by", "_rn")
 
 
-def over_fetch(hits: DataFrame, k: Column, factor: int, key: str = "_id", by: Column | None = None) -> DataFrame:
-    """``factor`` times k hits, deduplicated, then k."""
-    more = top_k_per_query(hits, k * factor, key).drop("rank")
-    return top_k_per_query(dedupe_first(more, key) if by is None else dedupe_best(more, by, key), k, key)
-
-
 def hybrid_join(keyword: DataFrame, nearest: DataFrame, keyword_weight: float = 0.6, vector_weight: float = 0.4, key: str = "_id") -> DataFrame:
     """Weighted sum over hits of either side."""
     a = keyword.select("query_id", key, F.col("score").alias("_k"))
@@ -159,23 +157,47 @@ def _distance(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([_edits(x, y, int(m)) for x, y, m in zip(a, b, most)], dtype="int32")
 
 
+#: Words up to this length are keyed by what is left after deletions, longer ones by segments.
+_SHORT, _SEGMENTS = 32, 5
+
+
+def _deletion_keys(word: Column, most: Column) -> Column:
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    one, none = cut(word), F.array().cast("array<string>")
+    two = F.flatten(F.transform(one, cut))
+    return F.array_distinct(F.concat(F.array(word), F.when(most >= 1, one).otherwise(none), F.when(most >= 2, two).otherwise(none)))
+
+
+def _segment_keys(word: Column, length: Column, shift: int) -> Column:
+    """Names and texts of the segments that a word of ``length`` has, taken from ``word`` at ``shift`` from their place."""
+    bound = lambda i: F.floor(length * i / _SEGMENTS).cast("int")
+    key = lambda i: F.concat_ws(":", length.cast("string"), F.lit(str(i)), F.substr(word, bound(i) + 1 + shift, bound(i + 1) - bound(i)))
+    return F.array(*[F.when(bound(i) + shift >= 0, key(i)) for i in range(_SEGMENTS)])
+
+
 def fuzzy_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(query_term, term, edits): words of the vocabulary within 0, 1 or 2 edits by the query term's length (to 2, to 5, more).
 
-    Two words that close agree after at most that many characters are deleted from each, so the words left after
-    deletions are the keys of an equi-join; the distance, with a swap of neighbours as one edit, then decides.
+    Only words of about the length of a query term get keys. Short words that are close agree after at most that
+    many characters are deleted from each, so what is left after deletions are the keys of an equi-join. Two edits,
+    swaps of neighbours included, leave one of five segments of a long word whole and at most two places away, so
+    these are its keys; their number doesn't grow with the word. Spark's own distance decides, but for pairs in
+    which a swap, one edit here and two there, may matter.
     """
     allowed = F.when(F.length("query_term") <= 2, 0).when(F.length("query_term") <= 5, 1).otherwise(2)
-    cut = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
-
-    def keys(word: Column, most: Column) -> Column:
-        one = cut(word)
-        two = F.flatten(F.transform(one, cut))
-        return F.array_distinct(F.concat(F.array(word), F.when(most >= 1, one).otherwise(F.array().cast("array<string>")), F.when(most >= 2, two).otherwise(F.array().cast("array<string>"))))
-
-    left = terms.select("query_term").distinct().withColumn("most", allowed)
+    left = save(terms.select("query_term").distinct().withColumns({"most": allowed, "n": F.length("query_term")}), "terms")
+    lengths = left.select(F.explode(F.sequence(F.col("n") - F.col("most"), F.col("n") + F.col("most"))).alias("m")).distinct()
+    words = vocabulary.select("term").distinct().withColumn("m", F.length("term")).join(lengths, "m", "left_semi")
     # a shorter word is far from a query term of another allowance by its length already, so it needs fewer deletions
-    right = vocabulary.select("term").distinct().withColumn("key", F.explode(keys(F.col("term"), F.when(F.length("term") >= 6, 2).when(F.length("term") >= 3, 1).otherwise(0))))
-    near = left.select("query_term", "most", F.explode(keys(F.col("query_term"), F.col("most"))).alias("key")).join(right, "key")
-    near = near.where(F.abs(F.length("query_term") - F.length("term")) <= F.col("most")).select("query_term", "most", "term").distinct()
-    return near.withColumn("edits", _distance("query_term", "term", "most")).where("edits <= most").select("query_term", "term", "edits")
+    most = F.when(F.col("m") >= 6, 2).when(F.col("m") >= 3, 1).otherwise(0)
+    short = words.where(F.col("m") <= _SHORT + 2).select("term", F.explode(_deletion_keys(F.col("term"), most)).alias("key"))
+    asked = left.where(F.col("n") <= _SHORT).select("query_term", "most", F.explode(_deletion_keys(F.col("query_term"), F.col("most"))).alias("key"))
+    long = words.where(F.col("m") > _SHORT - 2).select("term", F.explode(_segment_keys(F.col("term"), F.col("m"), 0)).alias("key"))
+    shifted = F.flatten(F.array(*[_segment_keys(F.col("query_term"), F.col("n") + F.lit(d), s) for d in range(-2, 3) for s in range(-2, 3)]))
+    asked_long = left.where(F.col("n") > _SHORT).select("query_term", "most", F.explode(F.filter(shifted, lambda k: k.isNotNull())).alias("key"))
+    met = asked.join(short, "key").unionByName(asked_long.join(long, "key")).select("query_term", "most", "term")
+    far = F.when(F.col("most") == 0, F.when(F.col("query_term") == F.col("term"), 0).otherwise(-1)).when(F.col("most") == 1, F.levenshtein("query_term", "term", 2)).otherwise(F.levenshtein("query_term", "term", 4))
+    near = save(met.where(F.abs(F.length("query_term") - F.length("term")) <= F.col("most")).distinct().withColumn("far", far).where("far >= 0"), "near")
+    plain = near.where("far <= 1 and far <= most").select("query_term", "term", F.col("far").alias("edits"))
+    swapped = near.where("far > 1").withColumn("edits", _distance("query_term", "term", "most")).where("edits <= most")
+    return plain.unionByName(swapped.select("query_term", "term", "edits"))

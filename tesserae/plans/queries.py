@@ -295,8 +295,7 @@ def sliding_change_counts(spark, d):
 
 # --- retrieval ---------------------------------------------------------------------------------------------
 
-#: The corpus of documents with a title field, and its queries: the first words of each benchmark passage.
-N_WORDS = 4
+# The corpus is all documents with a title field, its queries are all benchmark passages.
 
 
 def corpus_docs(spark, d):
@@ -305,8 +304,7 @@ def corpus_docs(spark, d):
 
 
 def corpus_queries(spark, d):
-    words = F.slice(tokenize(F.col("text")), 1, N_WORDS)
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"), F.lit(5).alias("top_k"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(5).alias("top_k"))
 
 
 FIELDS = {"title": 3.0, "content": 2.0}
@@ -321,7 +319,7 @@ _CORPUS = rf"""toks AS (SELECT doc_id AS _id, {_TOK.format("text")} AS c FROM do
 fields AS (SELECT _id, 'content' AS field, c AS t FROM toks UNION ALL SELECT _id, 'title', c[1:8] FROM toks),
 post AS (SELECT _id, field, term, count(*) AS tf, any_value(len) AS len FROM (SELECT _id, field, unnest(t) AS term, len(t) AS len FROM fields) GROUP BY 1, 2, 3),
 df AS (SELECT field, term, count(*) AS df FROM post GROUP BY 1, 2), fl AS (SELECT field, count(*) AS n_docs, avg(len(t)) AS avg_len FROM fields WHERE len(t) > 0 GROUP BY 1),
-q AS (SELECT item_id AS query_id, {_TOK.format("text")}[1:{N_WORDS}] AS t FROM benchmark),
+q AS (SELECT item_id AS query_id, {_TOK.format("text")} AS t FROM benchmark),
 qt AS (SELECT query_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS term_no, len(t) AS n_terms FROM q),
 hits AS (SELECT qt.*, post._id, post.field, tf, len, avg_len, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf FROM qt JOIN post USING (term) JOIN df USING (field, term) JOIN fl USING (field)),
 part AS (SELECT *, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS s FROM hits),
@@ -341,8 +339,8 @@ def postings(spark, d):
 
 @query(rf"WITH {_CORPUS} SELECT field, term, df, n_docs, round(avg_len, 6) AS avg_len FROM df JOIN fl USING (field)")
 def term_statistics(spark, d):
-    docs, fields = corpus_docs(spark, d), {n: tokenize(F.col(n)) for n in FIELDS}
-    return term_stats(build_postings(docs, fields, positions=False)).join(field_stats(docs, fields), "field").select("field", "term", "df", "n_docs", F.round("avg_len", 6).alias("avg_len"))
+    found = save(build_postings(corpus_docs(spark, d), {n: tokenize(F.col(n)) for n in FIELDS}, positions=False, first="_first"), "postings")
+    return term_stats(found).join(field_stats(found, "_first"), "field").select("field", "term", "df", "n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
 def _matched(spark, d, corpus):
@@ -432,15 +430,26 @@ def fuzzy_join(spark, d):
     return search.fuzzy_join(terms, words).select("query_term", "term")
 
 
-@query(rf"""WITH {_CORPUS}, {_FUZZY}, spread AS (SELECT DISTINCT query_id, near.term FROM qt JOIN near ON qt.term = near.query_term),
-f AS (SELECT query_id, post._id, 3.0 * sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score
- FROM spread JOIN post USING (term) JOIN df USING (field, term) JOIN fl USING (field) WHERE field = 'content' GROUP BY 1, 2)
-SELECT query_id, _id, round(score, 4) AS score, rank FROM """ + _TOP.format("f", 10))
+_SPREAD = """spread AS (SELECT DISTINCT query_id, near.term FROM qt JOIN near ON qt.term = near.query_term),
+f AS (SELECT query_id, _id, max(s * CASE field WHEN 'title' THEN 2.0 ELSE 3.0 END) AS score FROM (SELECT query_id, post._id, post.field, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS s
+ FROM spread JOIN post USING (term) JOIN df USING (field, term) JOIN fl USING (field) GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(rf"WITH {_CORPUS}, {_FUZZY}, {_SPREAD} SELECT query_id, _id, round(score, 4) AS score, rank FROM " + _TOP.format("f", 10))
 def fuzzy_search(spark, d):
     matches = retrieval.fuzzy_matches(corpus_queries(spark, d), _corpus(spark, d)).withColumn("exact", F.col("score")).withColumn("score", F.round("score", 6))
     return search.top_k_per_query(matches, 10).select("query_id", "_id", F.round("exact", 4).alias("score"), "rank")
 
 
+@query(rf"WITH {_CORPUS}, {_FUZZY}, {_SPREAD}, g AS (SELECT query_id, source, count(*) AS cnt FROM f JOIN documents ON doc_id = _id WHERE source IS NOT NULL GROUP BY 1, 2) "
+       "SELECT query_id, source AS source_file, cnt AS count FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cnt DESC, source) AS rn FROM g) WHERE rn <= 10")
+def fuzzy_facets(spark, d):
+    """The sources of all documents that a passage matches by near words."""
+    corpus = _corpus(spark, d)
+    met = retrieval.fuzzy_matches(corpus_queries(spark, d), corpus).join(corpus.docs.select("_id", F.col("source").alias("source_file")), "_id")
+    return facets.source_facet(met).withColumnRenamed("value", "source_file")
+
+
 @query("""SELECT item_id AS query_id, variant, CASE WHEN variant = text THEN 1.0 ELSE 0.8 END::DOUBLE AS variant_boost FROM
 (SELECT item_id, text, unnest(list_distinct([trim(text), translate(trim(text), 'ae', 'eo'), translate(trim(text), 'o', 'a')])) AS variant FROM benchmark)""")
 def query_variants(spark, d):

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators import facets, results, search, vectors
+from tesserae.functions.columns import normalize_keyword
+from tesserae.operators import facets, results, search
 from tesserae.operators.index import build_postings, field_stats, term_stats, tokenize
 from tesserae.sources.scratch import save
 
@@ -22,7 +23,7 @@ class Boosts:
     hybrid_phrases: dict[str, float] = field(default_factory=lambda: {"all_content": 3})
     code_phrases: dict[str, float] = field(default_factory=lambda: {"title": 30, "content": 20})
     code_anywhere: dict[str, float] = field(default_factory=lambda: {"all_content": 10, "searchable_content": 10})
-    fuzzy_fields: dict[str, float] = field(default_factory=lambda: {"content": 3})
+    fuzzy_fields: dict[str, float] = field(default_factory=lambda: {"doc_id": 5, "content": 3, "title": 2, "searchable_content": 2, "all_content": 2})
     status, hybrid_status, code_ids, code_key, hybrid_match = 20.0, 10.0, 50.0, 40.0, 0.7
     keyword_weight, vector_weight = 0.6, 0.4
 
@@ -32,7 +33,6 @@ class Corpus:
     """Documents with their postings and statistics."""
 
     docs: DataFrame
-    fields: dict[str, Column]
     postings: DataFrame
     terms: DataFrame
     lengths: DataFrame
@@ -40,54 +40,70 @@ class Corpus:
 
     @classmethod
     def of(cls, docs: DataFrame, names: list[str], tokens=tokenize) -> Corpus:
-        """Documents and postings are written once; every clause of every query reads the written tables."""
+        """Documents are tokenised once; every clause of every query reads the written tables."""
         docs = save(docs, "docs")
-        fields = {n: tokens(F.col(n)) for n in names}
-        postings = save(build_postings(docs, fields), "postings")
-        return cls(docs, fields, postings, term_stats(postings), save(field_stats(docs, fields), "lengths"), docs.count())
+        postings = save(build_postings(docs, {n: tokens(F.col(n)) for n in names}, first="_first"), "postings")
+        terms, lengths = save(term_stats(postings), "terms"), save(field_stats(postings, "_first"), "lengths")
+        return cls(docs, postings.drop("_first"), terms, lengths, docs.count())
 
 
 def _hits(corpus: Corpus, variants: DataFrame, tokens) -> DataFrame:
+    """Postings of the variants' terms; further columns of ``variants`` stay on the hits."""
     terms = search.query_terms(variants, tokens(F.col("variant")))
     sizes = terms.groupBy("query_id", "variant").agg(F.count(F.lit(1)).alias("n_terms"))
-    return search.postings_join(terms.join(sizes, ["query_id", "variant"]), corpus.postings, corpus.terms, corpus.lengths)
+    more = variants.select("query_id", "variant", *[c for c in variants.columns if c not in ("query_id", "variant", "variant_boost")])
+    found = search.postings_join(terms.join(sizes, ["query_id", "variant"]), corpus.postings, corpus.terms, corpus.lengths)
+    return found.join(more, ["query_id", "variant"]) if len(more.columns) > 2 else found
 
 
 def same(c: Column) -> Column:
     return c
 
 
+#: What the variants of a query are for: the query itself, a conversion of it, or a product code.
+_OWN, _OTHER, _CODE = "own", "other", "code"
+
+
+def _variants(queries: DataFrame, to_traditional, to_simplified, raw_boost: float, other_boost: float) -> DataFrame:
+    """Variants with a ``role``; blanks round a query don't change its terms, so its stripped form stands for it in phrases."""
+    made = search.query_variants(queries, to_traditional, to_simplified, raw_boost, other_boost)
+    own = queries.select("query_id", F.trim("query").alias("variant"), F.lit(_OWN).alias("role"))
+    return made.join(own, ["query_id", "variant"], "left").withColumn("role", F.coalesce("role", F.lit(_OTHER)))
+
+
 def keyword_matches(queries: DataFrame, corpus: Corpus, boosts: Boosts = Boosts(), tokens=tokenize, code: str = search.QUERY_CODE, to_traditional=same, to_simplified=same) -> DataFrame:
-    """(query_id, _id, score) of all documents that match; queries that are product codes take the code clauses."""
+    """(query_id, _id, score) of all documents that match; queries that are product codes take the code clauses.
+
+    All variants of all queries meet the postings once; their hits are written and shared by the clauses.
+    """
     flagged = queries.select("query_id", "query", search.is_code_query(F.col("query"), code).alias("is_code"))
     codes, texts = flagged.where("is_code"), flagged.where("not is_code")
-    clauses = []
     wanted = codes.select("query_id", F.upper(F.trim("query")).alias("value"))
-    ids = corpus.docs.columns
+    variants = _variants(texts, to_traditional, to_simplified, 1.0, 0.8)
+    as_variant = wanted.select("query_id", F.col("value").alias("variant"), F.lit(1.0).alias("variant_boost"), F.lit(_CODE).alias("role"))
+    hits = save(_hits(corpus, variants.unionByName(as_variant), tokens), "hits")
+    role, clauses, ids = F.col("role"), [], corpus.docs.columns
     if "product_ids" in ids:
         clauses.append(search.exact_term(wanted, corpus.docs, "product_ids", boosts.code_ids, corpus.n_docs))
     if "metadata" in ids:
         own = corpus.docs.select("_id", F.col("metadata")["product_id"].alias("own"))
         clauses.append(search.exact_term(wanted, own, "own", boosts.code_key, corpus.n_docs))
-    as_variant = wanted.select("query_id", F.col("value").alias("variant"), F.lit(1.0).alias("variant_boost"))
-    code_hits = _hits(corpus, as_variant, tokens)
+    code_hits = hits.where(role == _CODE)
     clauses += [search.phrase_match(code_hits, boosts.code_phrases), search.phrase_match(code_hits, boosts.code_anywhere, best=True)]
     if "status" in ids:
-        clauses.append(search.exact_term(texts.select("query_id", F.col("query").alias("value")), corpus.docs, "status", boosts.status, corpus.n_docs))
-    raw = texts.select("query_id", F.col("query").alias("variant"), F.lit(1.0).alias("variant_boost"))
-    clauses.append(search.phrase_match(_hits(corpus, raw, tokens), boosts.phrases))
-    variants = search.query_variants(texts, to_traditional, to_simplified)
-    clauses.append(search.match_fields(_hits(corpus, variants, tokens), boosts.fields))
+        clauses.append(search.exact_term(texts.select("query_id", F.col("query").alias("value")), corpus.docs, "status", boosts.status, corpus.n_docs, normalize=normalize_keyword))
+    clauses.append(search.phrase_match(hits.where(role == _OWN), boosts.phrases))
+    clauses.append(search.match_fields(hits.where(role != _CODE), boosts.fields))
     return search.bool_should(*clauses)
 
 
 def keyword_search(queries: DataFrame, corpus: Corpus, **options) -> DataFrame:
     """The ``top_k`` best documents of each query, of twice as many fetched."""
-    return _cut(keyword_matches(queries, corpus, **options), queries, 2)
+    return over_fetch(keyword_matches(queries, corpus, **options), queries, 2)
 
 
-def _cut(matches: DataFrame, queries: DataFrame, factor: int, by: Column | None = None) -> DataFrame:
-    """``over_fetch`` with each query's own k."""
+def over_fetch(matches: DataFrame, queries: DataFrame, factor: int, by: Column | None = None) -> DataFrame:
+    """The ``top_k`` best of ``factor`` times as many hits of each query, the best one of each document or ``by`` value."""
     sized = matches.select("query_id", "_id", "score").join(queries.select("query_id", "top_k"), "query_id")
     more = search.top_k_per_query(sized, F.col("top_k") * factor).drop("rank")
     deduped = search.dedupe_best(more, F.lit(None).cast("string") if by is None else by)
@@ -96,17 +112,17 @@ def _cut(matches: DataFrame, queries: DataFrame, factor: int, by: Column | None
 
 def hybrid_matches(queries: DataFrame, corpus: Corpus, nearest: DataFrame, boosts: Boosts = Boosts(), tokens=tokenize, to_traditional=same, to_simplified=same) -> DataFrame:
     """(query_id, _id, score): keyword clauses and nearest vectors, weighted. Codes have no clauses of their own here."""
-    variants = search.query_variants(queries, to_traditional, to_simplified, boosts.hybrid_match, boosts.hybrid_match)
-    raw = queries.select("query_id", F.col("query").alias("variant"), F.lit(1.0).alias("variant_boost"))
-    clauses = [search.match_fields(_hits(corpus, variants, tokens), boosts.hybrid_fields), search.phrase_match(_hits(corpus, raw, tokens), boosts.hybrid_phrases)]
+    variants = save(_variants(queries, to_traditional, to_simplified, boosts.hybrid_match, boosts.hybrid_match), "variants")
+    hits = save(_hits(corpus, variants, tokens), "hits")
+    clauses = [search.match_fields(hits, boosts.hybrid_fields), search.phrase_match(hits.where(F.col("role") == _OWN), boosts.hybrid_phrases)]
     if "status" in corpus.docs.columns:
-        clauses.append(search.exact_term(variants.select("query_id", F.col("variant").alias("value")), corpus.docs, "status", boosts.hybrid_status, corpus.n_docs))
+        clauses.append(search.exact_term(variants.select("query_id", F.col("variant").alias("value")), corpus.docs, "status", boosts.hybrid_status, corpus.n_docs, normalize=normalize_keyword))
     return search.hybrid_join(search.bool_should(*clauses), nearest, boosts.keyword_weight, boosts.vector_weight)
 
 
 def hybrid_search(queries: DataFrame, corpus: Corpus, nearest: DataFrame, by: Column | None = None, **options) -> DataFrame:
     """The k best of three times as many, the best hit of each ``by`` value. ``nearest`` holds 2k hits a query at most."""
-    return _cut(hybrid_matches(queries, corpus, nearest, **options), queries, 3, by)
+    return over_fetch(hybrid_matches(queries, corpus, nearest, **options), queries, 3, by)
 
 
 def fuzzy_matches(queries: DataFrame, corpus: Corpus, boosts: Boosts = Boosts(), tokens=tokenize) -> DataFrame:
@@ -125,12 +141,14 @@ def fuzzy_search(queries: DataFrame, corpus: Corpus, k: int = 10, table: tuple[s
     return search.top_k_per_query(matches, k)
 
 
-def process_queries(queries: DataFrame, corpus: Corpus, vector_hits=None, max_contexts: int = 5, code: str = search.QUERY_CODE, to_traditional=same, to_simplified=same) -> DataFrame:
-    """One row per valid query: processed query, mode, total hits, results, context and prompt.
+def process_queries(queries: DataFrame, corpus: Corpus, vector_hits=None, max_contexts: int | None = None, code: str = search.QUERY_CODE, to_traditional=same, to_simplified=same, tokens=tokenize) -> DataFrame:
+    """One row per valid query: processed query, mode, total hits, results with highlights, facets, context and prompt.
 
     The search takes the query as it came; the converted one is shown and goes into the prompt. ``vector_hits``
     takes (queries, factor) and gives the nearest documents, factor * top_k a query; without it vector queries
-    find nothing and hybrid ones only by keyword. Keyword queries that match ``code`` are product codes.
+    find nothing and hybrid ones only by keyword. Keyword queries that match ``code`` are product codes. Keyword and
+    hybrid hits have highlights, which the context prefers; keyword queries have facets over all their matches. The
+    context takes all results, or ``max_contexts`` of them.
     """
     asked = search.valid_queries(queries).where("reject is null")
     names = ["query_id", "_id", "score"]
@@ -138,18 +156,26 @@ def process_queries(queries: DataFrame, corpus: Corpus, vector_hits=None, max_co
     nearest = lambda part, factor: vector_hits(part, factor).select(*names) if vector_hits else empty
     kw, vec, hyb = (asked.where(F.col("mode") == m) for m in ("keyword", "vector", "hybrid"))
     script = {"to_traditional": to_traditional, "to_simplified": to_simplified}
-    kw_all = keyword_matches(kw, corpus, code=code, **script)
-    hyb_all = hybrid_matches(hyb, corpus, nearest(hyb, 2), **script)
+    kw_all = keyword_matches(kw, corpus, code=code, tokens=tokens, **script)
+    hyb_all = hybrid_matches(hyb, corpus, nearest(hyb, 2), tokens=tokens, **script)
     vec_all = nearest(vec, 1)
     kw_all, hyb_all, vec_all = (save(m, "matches") for m in (kw_all, hyb_all, vec_all))
     every = kw_all.select(*names).unionByName(hyb_all.select(*names)).unionByName(vec_all)
-    cut = _cut(kw_all, kw, 2).unionByName(_cut(hyb_all, hyb, 3)).unionByName(_cut(vec_all, vec, 1))
-    shown = save(cut.join(corpus.docs, "_id"), "shown")
-    shaped = results.shape_results(shown)
-    rows = shaped.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "index", "content"))).alias("results"))  # top_k rows at most
-    part = results.context_part(F.col("metadata"), F.lit(None).cast("map<string,array<string>>"), F.col("searchable_content"), F.col("all_content"))
+    cut = over_fetch(kw_all, kw, 2).unionByName(over_fetch(hyb_all, hyb, 3)).unionByName(over_fetch(vec_all, vec, 1))
+    variants = F.array(F.trim("query"), to_traditional(F.trim("query")), to_simplified(F.trim("query")))
+    terms = asked.select("query_id", "mode", "query", F.explode(F.array_distinct(variants)).alias("v")).select("query_id", "mode", tokens(F.col("v")).alias("t"))
+    terms = terms.groupBy("query_id", "mode").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("terms"))  # of one query
+    shown = save(results.with_highlights(cut.join(corpus.docs, "_id").join(terms, "query_id")), "shown")
+    shaped = results.shape_results(shown, "highlights")
+    rows = shaped.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "index", "content", "highlights"))).alias("results"))  # top_k rows at most
+    part = results.context_part(F.col("metadata"), F.map_from_entries("highlights"), F.col("searchable_content"), F.col("all_content"))
     context = results.format_context(shown, part, max_contexts)
     head = asked.select("query_id", "mode", F.when(F.coalesce("convert_to_traditional", F.lit(True)), to_traditional(F.trim("query"))).otherwise(F.trim("query")).alias("processed_query"))
     out = head.join(facets.total_hits(every), "query_id", "left").join(rows, "query_id", "left").join(context, "query_id", "left")
+    met = kw_all.select("query_id", "_id").join(corpus.docs.select("_id", *[c for c in ("type", "product_ids") if c in corpus.docs.columns]), "_id")
+    for column, counted in (("type", facets.type_facet), ("product_ids", facets.product_facet)):
+        if column in met.columns:
+            values = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "value"))), lambda x: F.struct(x["value"].alias("value"), (-x["n"]).alias("count")))
+            out = out.join(counted(met).groupBy("query_id").agg(values.alias(f"{column}_facet")), "query_id", "left")  # twenty values at most
     out = out.withColumn("total_hits", F.coalesce("total_hits", F.lit(0))).withColumn("context", F.coalesce("context", F.lit("")))
     return out.withColumn("prompt", results.build_prompt(F.col("processed_query"), F.col("context")))

@@ -140,8 +140,14 @@ def import_outcome(statements: DataFrame, max_error_share: float = 0.1) -> DataF
 
 
 def statement_stats(statements: DataFrame, most_errors: int = 10, sql_width: int = 200, error_width: int = 500) -> DataFrame:
-    """(file, stmt_no, stmt_type, ok, sql, error) -> counts by file and type, with the first errors cut short."""
-    first = Window.partitionBy("file", "stmt_type", "ok").orderBy("stmt_no")
-    ranked = statements.withColumn("_rn", F.row_number().over(first))
-    bad = F.when(~F.col("ok") & (F.col("_rn") <= most_errors), F.struct("stmt_no", F.substring("sql", 1, sql_width).alias("sql"), F.substring("error", 1, error_width).alias("error")))
-    return ranked.groupBy("file", "stmt_type").agg(F.count(F.lit(1)).alias("statements"), F.count_if(F.col("ok")).alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.array_sort(F.collect_list(bad)).alias("errors"))
+    """(file, stmt_no, stmt_type, ok, sql, error) -> counts by file and type, with the first errors cut short.
+
+    Counts are summed where the rows are. Only failed statements are ranked, of which Spark keeps the first few a task.
+    """
+    counts = statements.groupBy("file", "stmt_type").agg(F.count(F.lit(1)).alias("statements"), F.count_if(F.col("ok")).alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"))
+    first = Window.partitionBy("file", "stmt_type").orderBy("stmt_no")
+    bad = statements.where(~F.col("ok")).select("file", "stmt_type", "stmt_no", F.substring("sql", 1, sql_width).alias("sql"), F.substring("error", 1, error_width).alias("error"))
+    few = bad.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= most_errors)
+    errors = few.groupBy("file", "stmt_type").agg(F.array_sort(F.collect_list(F.struct("stmt_no", "sql", "error"))).alias("errors"))
+    none = F.array().cast("array<struct<stmt_no: bigint, sql: string, error: string>>")
+    return counts.join(errors, ["file", "stmt_type"], "left").withColumn("errors", F.coalesce("errors", none))

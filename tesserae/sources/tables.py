@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources.numbering import number_in_order
+
 
 def read_table(spark: SparkSession, path: str | None = None, *, jdbc: dict[str, str] | None = None, predicates: list[str] | None = None) -> DataFrame:
     """A table from Parquet, or by JDBC, where ``predicates`` (or partition options) split the read over tasks."""
@@ -34,18 +36,9 @@ def incremental_extract(df: DataFrame, since: datetime | str | None, ts: str = "
 
 
 def page_rows(df: DataFrame, ts: str, key: str, page_size: int = 5000) -> DataFrame:
-    """Every row with its ``page_no`` from 0 and ``row_no`` from 1 in the order of (ts, key), without one global sort.
-
-    Rows are counted by day, the days' counts are summed in order, and rows are numbered within their day.
-    """
-    day = F.coalesce(F.to_date(ts), F.lit("0001-01-01").cast("date"))
-    tagged = df.withColumn("_day", day)
-    counts = tagged.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
-    starts = counts.select(F.col("_day").alias("_d"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = tagged.withColumn("_i", F.row_number().over(Window.partitionBy("_day").orderBy(ts, key)))
-    out = numbered.join(starts, F.col("_day") == F.col("_d")).withColumn("row_no", F.col("_start") + F.col("_i"))
-    return out.withColumn("page_no", F.floor((F.col("row_no") - 1) / page_size).cast("long")).drop("_day", "_d", "_start", "_i")
+    """Every row with its ``page_no`` from 0 and ``row_no`` from 1 in the order of (ts, key), without one task for all or for one time."""
+    out = number_in_order(df, [F.col(ts), F.col(key)], "row_no")
+    return out.withColumn("page_no", F.floor((F.col("row_no") - 1) / page_size).cast("long"))
 
 
 def page(df: DataFrame, ts: str, key: str, page_no: int, page_size: int = 5000) -> DataFrame:

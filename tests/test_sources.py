@@ -3,7 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tesserae import schemas
-from tesserae.sources import dumps, store, tables
+from tesserae.sources import dumps, numbering, store, tables
 
 DUMP = """-- a comment; with a semicolon
 /* another; one */
@@ -73,3 +73,15 @@ def test_written_documents_are_read_by_index(spark, tmp_path):
     store.write_docs(docs, str(tmp_path / "s"))
     read = index_filter(spark.read.parquet(str(tmp_path / "s")), "erp-*")
     assert read.count() == 2 and "PartitionFilters: [isnotnull(_index" in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_of_rows_that_share_one_time(spark):
+    rows = spark.range(0, 5000, 1, 7).select(F.when(F.col("id") % 9 > 0, F.lit("2024-01-01 00:00:00").cast("timestamp")).otherwise(F.timestamp_seconds(F.col("id"))).alias("ts"), (F.col("id") * 7919 % 5003).alias("key"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 1), (None, 2)], rows.schema))
+    got = numbering.number_in_order(rows, [F.col("ts"), F.col("key")], "n", per_part=300)
+    of = {(r["ts"], r["key"]): r["n"] for r in got.collect()}
+    order = sorted(of, key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
+    assert [of[k] for k in order] == list(range(1, 5003))
+    assert numbering.number_in_order(rows.limit(0), [F.col("ts")], "n").count() == 0
+    paged = tables.page_rows(rows, "ts", "key", 100)
+    assert {r["page_no"]: r["count"] for r in paged.groupBy("page_no").count().collect()} == {p: 100 if p < 50 else 2 for p in range(51)}
