@@ -94,8 +94,8 @@ def _meet(rows: DataFrame, params: DataFrame, n_groups: int, how: str = "inner",
 def robust_estimates(rows: DataFrame, n_groups: int, share: float = 0.75, settled: float = 1e-3, accuracy: int = 1000, inlier: float = 12.83) -> DataFrame:
     """(g, x0..) -> (g, fn, fm0.., fc00..): number of rows, centre and covariance of the reweighted MCD estimate of each group.
 
-    Concentration ends when no group's log-determinant falls by more than ``settled``; as the least scatter bounds it
-    from below, it does end. ``inlier`` is the squared distance within which rows enter the reweighted estimate: the
+    A start takes steps as long as its log-determinant falls by more than ``settled``; as the least scatter bounds it
+    from below, all come to an end. ``inlier`` is the squared distance within which rows enter the reweighted estimate: the
     0.975 quantile of chi-square with five degrees of freedom. A group none of whose rows is inside has fn 0 and nulls.
     """
     p = len(FEATURES)
@@ -117,18 +117,20 @@ def robust_estimates(rows: DataFrame, n_groups: int, share: float = 0.75, settle
     start = start.withColumns({f"al{i}{j}": F.col(f"sd{i}") if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)})
     med = [f"med{i}" for i in range(p)]
     now = save(start.select("g", *med, *_params("a", p), *_params("b", p)), "start")
-    step, before = 0, None
-    while True:
+    step, moved = 0, True
+    while moved:
         far = _distance(_distance(_meet(rows, now, n_groups), "am", "al", "da", p), "bm", "bl", "db", p)
         cut = save(far.groupBy("g").agg(F.percentile_approx("da", share, accuracy).alias("ca"), F.percentile_approx("db", share, accuracy).alias("cb")), f"cut{step}")
         sums = _meet(far, cut, n_groups).groupBy("g", *med).agg(*_moments(F.col("da") <= F.col("ca"), "a", p), *_moments(F.col("db") <= F.col("cb"), "b", p))
-        got = _estimate(_estimate(sums, "a", p), "b", p)
-        now = save(got.select("g", *med, *_params("a", p), *_params("b", p), "adet", "bdet"), f"step{step}")
-        if before is not None:
-            fell = F.max(F.greatest(F.col("wasa") - F.col("adet"), F.col("wasb") - F.col("bdet")))
-            if (now.join(before, "g").agg(fell).first()[0] or 0.0) <= settled:
-                break
-        step, before = step + 1, now.select("g", F.col("adet").alias("wasa"), F.col("bdet").alias("wasb"))
+        got = _estimate(_estimate(sums, "a", p), "b", p).select("g", *med, *_params("a", p), *_params("b", p), "adet", "bdet")
+        if step:  # a start that doesn't gain stays where it was, as quantiles are approximate and may step back
+            was = now.select(F.col("g").alias("of"), *[F.col(c).alias(f"was_{c}") for t in "ab" for c in (*_params(t, p), f"{t}det")])
+            both = got.join(was, F.col("g") == F.col("of"))
+            fell = {t: F.col(f"was_{t}det") - F.col(f"{t}det") > settled for t in "ab"}
+            better = [F.when(fell[t], F.col(c)).otherwise(F.col(f"was_{c}")).alias(c) for t in "ab" for c in (*_params(t, p), f"{t}det")]
+            got = both.select("g", *med, *better, (fell["a"] | fell["b"]).alias("moved"))
+        now = save(got if step else got.withColumn("moved", F.lit(True)), f"step{step}")
+        step, moved = step + 1, not now.where("moved").isEmpty()
     best = now.select("g", *med, *[F.when(F.col("adet") <= F.col("bdet"), F.col(f"a{c[1:]}")).otherwise(F.col(f"b{c[1:]}")).alias(f"r{c[1:]}") for c in _params("a", p)])
     # the nearest 75 % of a normal sample have a smaller scatter than all of it: 1.35 makes up for that in five dimensions
     near = _distance(_meet(rows, best, n_groups), "rm", "rl", "d", p)

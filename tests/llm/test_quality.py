@@ -38,31 +38,29 @@ def log_det(cov):
     return np.linalg.slogdet(cov)[1] / 2
 
 
-def slow_mcd(x, share=0.75):
+def slow_mcd(x):
     med = quantile(x, 0.5)
     sd = np.maximum(1.4826 * quantile(np.abs(x - med), 0.5), np.sqrt(FLOOR2))
     wrapped = np.tanh((x - med) / sd)
     b = np.cov(wrapped.T, bias=True).reshape(P, P) * np.outer(sd, sd) / 0.4 + np.diag(FLOOR2)
-    return [(med, np.diag(sd**2)), (med, b)], share
+    return [(med, np.diag(sd**2)), (med, b)]
 
 
-def slow_estimates(groups):
-    """All groups take the same number of steps, as one loop serves them."""
-    now, det = {g: slow_mcd(x)[0] for g, x in groups.items()}, None
+def concentrated(x, mean, cov):
+    """(log-determinant, mean, covariance) where steps gain nothing any more."""
+    best = None
     while True:
-        for g, x in groups.items():
-            stepped = []
-            for mean, cov in now[g]:
-                d = distances(x, mean, cov)
-                stepped.append(estimate(x[d <= quantile(d, 0.75) * (1 + 1e-12)]))
-            now[g] = stepped
-        new = {(g, k): log_det(c) for g, two in now.items() for k, (_, c) in enumerate(two)}
-        if det and max(det[k] - new[k] for k in new) <= 1e-3:
-            break
-        det = new
+        d = distances(x, mean, cov)
+        mean, cov = estimate(x[d <= quantile(d, 0.75) * (1 + 1e-12)])
+        if best and best[0] - log_det(cov) <= 1e-3:
+            return best
+        best = (log_det(cov), mean, cov)
+
+
+def slow_estimates(groups):
     out = {}
     for g, x in groups.items():
-        mean, cov = min(now[g], key=lambda mc: log_det(mc[1]))
+        _, mean, cov = min((concentrated(x, *start) for start in slow_mcd(x)), key=lambda r: r[0])
         inside = x[distances(x, mean, cov) <= 12.83 * 1.35]
         out[g] = (len(inside), *(estimate(inside) if len(inside) else (None, None)))
     return out
@@ -115,11 +113,7 @@ def test_determinant_is_near_the_least_of_all_subsets():
         x = rng.normal(size=(14, P)) * 1.5
         x[:3] += rng.normal(size=P) * 9
         least = min(log_det(estimate(x[list(s)])[1]) for s in itertools.combinations(range(14), 11))
-        (two, _), now = slow_mcd(x), None
-        now = two
-        for _ in range(20):
-            now = [estimate(x[(d := distances(x, *mc)) <= quantile(d, 0.75) * (1 + 1e-12)]) for mc in now]
-        close += min(log_det(c) for _, c in now) <= least + 0.05
+        close += min(concentrated(x, *start)[0] for start in slow_mcd(x)) <= least + 0.05
     assert close >= 3
 
 
