@@ -511,3 +511,49 @@ def test_mixing(spark, odd_docs, no_docs):
         assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6 for s in sizes)
         assert Counter(map(tuple, mixing.mix(docs, per_range=per_range).collect())) == Counter(map(tuple, got))
     assert mixing.mix(no_docs).count() == 0
+
+
+def slow_mix(rows):
+    """taken of each row: bins, tails, keys, one sort a source."""
+    cut = lambda bins, part, whole: min(bins, math.floor(bins * part / max(whole, 1)))
+    binned = []
+    for r in rows:
+        t, w = r["text"] or "", words_of(r["text"])
+        binned.append((cut(1000, sum(c in "#*$%&|<>!0123456789" for c in t), len(t)), min(500, math.floor(10 * len(plain(t)) / max(len(w), 1))), cut(100, len(set(w)), len(w))))
+    n, keyed = len(rows), []
+    for r, (a, b, c) in zip(rows, binned):
+        far = (sum(x[0] >= a for x in binned), 2 * min(sum(x[1] <= b for x in binned), sum(x[1] >= b for x in binned)), sum(x[2] <= c for x in binned))
+        weight = max(0.05, math.prod(min(1.0, f / n / 0.05) for f in far))
+        u = (int(hashlib.md5(str("null" if r["doc_id"] is None else r["doc_id"]).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        h = xxhash.xxh64_intdigest((r["text"] or "").encode(), 42)
+        keyed.append((-math.log(u) / weight, h - (1 << 64) if h >> 63 else h))
+    sizes = Counter()
+    for r in rows:
+        sizes[r["source"]] += len(words_of(r["text"]))
+    want, out = slow_targets(sizes), Counter()
+    for s in sizes:
+        epochs = math.floor(want[s] / sizes[s]) if sizes[s] else 0
+        rest, upto = want[s] - epochs * sizes[s], 0
+        for _, i in sorted((keyed[i], i) for i, r in enumerate(rows) if r["source"] == s):
+            size = len(words_of(rows[i]["text"]))
+            upto += size
+            more = upto <= rest or (upto - size < rest and 2 * rest >= 2 * upto - size)
+            out[rows[i]["doc_id"], rows[i]["source"], size, size * (epochs + more)] += 1
+    return out
+
+
+def test_mix_equals_one_sort_a_source(spark, odd_docs):
+    same = make(spark, [(None, "one and the same row here", "en", "hot")] * 300 + [(7, f"text {'x' * (i % 9)} of one id {i % 50}", "en", "hot") for i in range(200)] + [(3000 + i, f"more {i}", "en", "cold") for i in range(500)])
+    for docs, per_range in ((odd_docs, 3), (same, 5), (odd_docs.unionByName(same), 64), (spark.read.parquet(f"{SF}/documents.parquet"), 4)):
+        got = mixing.mix(docs, per_range=per_range, broadcast_sources=0 if per_range == 64 else 50_000).collect()
+        assert Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in got) == slow_mix(docs.collect())
+
+
+def test_common_level_against_sorting(spark):
+    rng = random.Random(11)
+    for k in range(6):
+        sizes = {i: rng.choice([0, 1, 5, 5, rng.randrange(1, 10_000), 10 ** rng.randrange(1, 9)]) for i in range(rng.choice([1, 7, 300]))}
+        want = slow_targets(sizes)
+        rows = [(float(2 * s), float((3, 1, 2)[i % 3])) for i, s in sizes.items()]
+        level = mixing.common_level(spark.createDataFrame(rows, "cap double, weight double"), 1.5 * sum(sizes.values()), bins=4)
+        assert all(math.isclose(min(c, level * w), want[i], rel_tol=1e-9, abs_tol=1e-9) for i, (c, w) in enumerate(rows))
