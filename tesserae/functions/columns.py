@@ -113,3 +113,18 @@ def field_pairs(metadata: Column, most: int = 3, width: int = 50) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole with 2 decimals; 0 for an empty whole."""
     return F.when(whole > 0, F.round(100.0 * part / whole, 2)).otherwise(F.lit(0.0))
+
+
+def state_json(name: Column, value: Column) -> Column:
+    """An aggregate: (name, value) rows as one JSON object in order of names, as a sync's state is kept."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name.cast("string").alias("k"), value.cast("string").alias("v"))))))
+
+
+def state_rows(text: Column) -> Column:
+    """A JSON object back as (key, value) entries; none for null or what isn't an object."""
+    return F.coalesce(F.map_entries(F.from_json(text, "map<string,string>")), F.array().cast("array<struct<key: string, value: string>>"))
+
+
+def document_json(df_columns: list[str]) -> Column:
+    """A document as JSON; fields without a value are left out."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df_columns]))

@@ -75,6 +75,7 @@ def related_products(links: DataFrame, products: DataFrame, key: str = "row_id")
 
 
 def orphan_rows(rows: DataFrame, products: DataFrame) -> DataFrame:
+    """Rows whose product is unknown; with the tables exchanged, products that no row has."""
     return rows.join(products.select("product_id"), "product_id", "left_anti")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from tesserae.operators.index import build_postings, field_stats, term_stats, to
 from tesserae.plans import retrieval
 from tesserae.plans.views import CODE, CODE_LINKS, FX_COMPLAINTS, FX_PRODUCTS, FX_WAREHOUSE, LINKS, NAME_LINKS, changes, complaints, products, table, warehouse
 from tesserae.sources import dumps, store, tables
-from tesserae.sources.scratch import save
+from tesserae.sources.scratch import save, shared_dir
 from tesserae.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,7 @@ def query(sql: str | None = None):
     return register
 
 
+_TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 SINCE = "2024-01-10 00:00:00"
 joined = lambda c: F.array_join(c, ",")
 pairs = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(F.map_filter(m, lambda k, v: v.isNotNull()))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
@@ -118,11 +120,15 @@ def import_outcome(spark, d):
     return dumps.import_outcome(table(spark, d, "events").select(F.col("event_type").alias("file"), (F.col("user_id") % 12 != 0).alias("ok")))
 
 
-@query("""SELECT event_type AS file, 'K' || (user_id % 3) AS stmt_type, count(*) AS statements, count(*) FILTER (WHERE user_id % 12 <> 0) AS succeeded, count(*) FILTER (WHERE user_id % 12 = 0) AS failed FROM events GROUP BY 1, 2""")
+@query("""WITH s AS (SELECT event_type AS file, 'K' || (user_id % 3) AS stmt_type, event_id, user_id % 12 <> 0 AS ok, props FROM events),
+e AS (SELECT file, stmt_type, string_agg(event_id || ':' || substr(props, 1, 200) || ':refused', ';' ORDER BY event_id) AS errors
+ FROM (SELECT *, row_number() OVER (PARTITION BY file, stmt_type ORDER BY event_id) AS rn FROM s WHERE NOT ok) WHERE rn <= 10 GROUP BY 1, 2)
+SELECT file, stmt_type, count(*) AS statements, count(*) FILTER (WHERE ok) AS succeeded, count(*) FILTER (WHERE NOT ok) AS failed, coalesce(any_value(errors), '') AS errors FROM s LEFT JOIN e USING (file, stmt_type) GROUP BY 1, 2""")
 def statement_stats(spark, d):
     e = table(spark, d, "events")
     s = e.select(F.col("event_type").alias("file"), F.col("event_id").alias("stmt_no"), F.concat(F.lit("K"), (F.col("user_id") % 3).cast("string")).alias("stmt_type"), (F.col("user_id") % 12 != 0).alias("ok"), F.col("props").alias("sql"), F.lit("refused").alias("error"))
-    return dumps.statement_stats(s).drop("errors")
+    shown = lambda e: F.concat_ws(":", e["stmt_no"].cast("string"), e["sql"], e["error"])
+    return dumps.statement_stats(s).withColumn("errors", F.array_join(F.transform("errors", shown), ";"))
 
 
 @query("""SELECT page_id, 1 AS rn, html AS body FROM pages""")
@@ -227,6 +233,136 @@ def union_docs(spark, d):
     return all_docs(spark, d).groupBy("_index").agg(F.count(F.lit(1)).alias("docs"), F.countDistinct("_id").alias("keys"))
 
 
+@query(rf"""WITH {FX_PRODUCTS}, {FX_WAREHOUSE}, {FX_COMPLAINTS} SELECT 'product_' || product_id AS _id, '產品編號 ' || product_id || ' 產品名稱 ' || product_name || ' 型號 ' || product_model || ' 分類 ' || category AS searchable FROM fx_products
+UNION ALL SELECT 'warehouse_' || product_id || '_' || replace(warehouse_location, ' ', '_'), '產品 ' || product_id || ' ' || coalesce(product_name, '') || ' 倉庫 ' || warehouse_location || ' 數量 ' || quantity FROM fx_warehouse LEFT JOIN fx_products USING (product_id)
+UNION ALL SELECT 'complaint_' || complaint_id, '客訴編號 ' || complaint_id || ' 客戶 None 類型 ' || complaint_type || ' ' || description FROM fx_complaints""")
+def document_texts(spark, d):
+    """The searchable texts of all documents of the three tables."""
+    return all_docs(spark, d).select("_id", F.col("searchable_content").alias("searchable"))
+
+
+@query(rf"""WITH {FX_PRODUCTS}, {FX_WAREHOUSE} SELECT 'warehouse_' || product_id || '_' || replace(warehouse_location, ' ', '_') AS _id,
+'last_inventory_date=' || last_inventory_date || ';min_stock_level=' || min_stock_level || ';product_id=' || product_id || ';product_name=' || coalesce(product_name, '') || ';quantity=' || quantity || ';special_notes=' || special_notes || ';warehouse_location=' || warehouse_location AS metadata
+FROM fx_warehouse LEFT JOIN fx_products USING (product_id)""")
+def warehouse_metadata(spark, d):
+    return documents.warehouse_docs(warehouse(spark, d), products(spark, d), CODE).select("_id", pairs(F.col("metadata")).alias("metadata"))
+
+
+@query(rf"""WITH {FX_PRODUCTS}, {FX_COMPLAINTS}, {CODE_LINKS}, {NAME_LINKS}, {LINKS}, related AS (SELECT complaint_id, string_agg(product_id || '(' || product_name || ')', ', ' ORDER BY product_id) AS related
+ FROM (SELECT complaint_id, unnest(ids) AS product_id FROM links) JOIN fx_products USING (product_id) GROUP BY 1)
+SELECT 'complaint_' || complaint_id AS _id, description AS content, 'complaint_date=' || complaint_date || ';complaint_type=' || complaint_type || ';customer_name=' || customer_name || coalesce(';related_products=' || related.related, '') || ';severity=' || severity AS metadata
+FROM fx_complaints LEFT JOIN related USING (complaint_id)""")
+def complaint_metadata(spark, d):
+    return documents.complaint_docs(complaints(spark, d), products(spark, d), CODE).select("_id", "content", pairs(F.col("metadata")).alias("metadata"))
+
+
+@query(rf"""WITH {FX_PRODUCTS} SELECT product_id, 'category=' || category || ';field_brand=' || product_model || CASE WHEN stock_qty % 2 = 0 THEN ';field_note=even' ELSE '' END AS metadata FROM fx_products""")
+def dynamic_fields(spark, d):
+    """Columns named ``field_*`` come into the metadata that lacks them; ``field_brand`` is there already."""
+    p = products(spark, d).withColumns({"field_brand": F.lit("not taken"), "field_note": F.when(F.col("stock_qty") % 2 == 0, "even")})
+    own = F.create_map(F.lit("category"), F.col("category"), F.lit("field_brand"), F.col("product_model"))
+    return p.select("product_id", pairs(documents.dynamic_fields(p, own)).alias("metadata"))
+
+
+@query(f"""WITH {FX_PRODUCTS}, {FX_WAREHOUSE}, {FX_COMPLAINTS} SELECT 'erp-products' AS _index, count(*) AS docs FROM fx_products UNION ALL SELECT 'erp-complaints', count(*) FROM fx_complaints""")
+def write_docs(spark, d):
+    """All documents written by index and read again with an index filter that opens two of the three folders."""
+    path = f"{shared_dir(spark)}/tesserae-{uuid.uuid4().hex}-store"
+    store.write_docs(all_docs(spark, d), path)
+    found = spark.read.parquet(path)
+    return search.index_filter(found, "erp-p*").unionByName(search.index_filter(found, "erp-c*")).groupBy("_index").agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query(f"""WITH {FX_PRODUCTS}, {FX_WAREHOUSE}, {FX_COMPLAINTS} SELECT 'erp-*' AS pattern, (SELECT count(*) FROM fx_products) + (SELECT count(*) FROM fx_warehouse) + (SELECT count(*) FROM fx_complaints) AS docs
+UNION ALL SELECT 'erp-w*', count(*) FROM fx_warehouse UNION ALL SELECT '*ts', count(*) + (SELECT count(*) FROM fx_complaints) FROM fx_products UNION ALL SELECT 'erp_products', 0""")
+def index_filter(spark, d):
+    """Documents of the indexes that each pattern names; ``_`` is no wildcard."""
+    docs = save(all_docs(spark, d).select("_index"), "indexes")
+    counts = [search.index_filter(docs, p).agg(F.count(F.lit(1)).alias("docs")).select(F.lit(p).alias("pattern"), "docs") for p in ("erp-*", "erp-w*", "*ts", "erp_products")]
+    return documents.union_docs(*counts)
+
+
+@query("SELECT doc_id, source FROM documents WHERE lang = 'de'")
+def term_filter(spark, d):
+    return search.term_filter(table(spark, d, "documents"), "lang", "de").select("doc_id", "source")
+
+
+@query(rf"""WITH {FX_PRODUCTS}, {FX_COMPLAINTS}, {CODE_LINKS}, n AS (SELECT product_id, count(*) AS df FROM code_links GROUP BY 1)
+SELECT product_id, complaint_id, round(50.0 * ln(1 + ((SELECT count(*) FROM fx_complaints) - df + 0.5) / (df + 0.5)), 6) AS score FROM code_links JOIN n USING (product_id)""")
+def exact_codes(spark, d):
+    """Every product's code among the codes that complaints name."""
+    p, c = products(spark, d), complaints(spark, d)
+    ids = linking.code_mentions(c, p, CODE, "complaint_id", "description").groupBy("complaint_id").agg(F.collect_set("product_id").alias("product_ids"))
+    wanted = p.select(F.col("product_id").alias("query_id"), F.col("product_id").alias("value"))
+    hits = search.exact_term(wanted, ids, "product_ids", retrieval.Boosts().code_ids, c.count(), key="complaint_id")
+    return hits.select(F.col("query_id").alias("product_id"), "complaint_id", F.round("score", 6).alias("score"))
+
+
+@query(rf"""WITH {FX_PRODUCTS}, n AS (SELECT status, count(*) AS df FROM fx_products GROUP BY 1)
+SELECT status, product_id, round(20.0 * ln(1 + ((SELECT count(*) FROM fx_products) - df + 0.5) / (df + 0.5)), 6) AS score FROM fx_products JOIN n USING (status)""")
+def exact_status(spark, d):
+    """Each status asked in capitals with an accent; the status is compared in lower case with accents folded."""
+    p = products(spark, d)
+    wanted = p.select(F.col("status").alias("query_id"), F.translate(F.upper("status"), "AEIO", "ÁÈÎÖ").alias("value")).distinct()
+    hits = search.exact_term(wanted, p, "status", retrieval.Boosts().status, p.count(), key="product_id", normalize=fn.normalize_keyword)
+    return hits.select(F.col("query_id").alias("status"), "product_id", F.round("score", 6).alias("score"))
+
+
+_PART = "ln(1 + (n - {df} + 0.5) / ({df} + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * {len} / {avg}))"
+
+
+@query(rf"""WITH {FX_PRODUCTS}, t AS (SELECT product_id, [{_TOK.format("'[' || product_id || '] ' || product_name || ' (' || product_model || ')'")}, {_TOK.format("concat_ws(' ', product_id, product_name, product_model, category, status)")},
+ {_TOK.format("'產品編號 ' || product_id || ' 產品名稱 ' || product_name || ' 型號 ' || product_model || ' 分類 ' || category")}] AS f FROM fx_products),
+l AS (SELECT product_id, len(f[1]) AS t, len(f[2]) AS a, len(f[3]) AS s, avg(len(f[1])) OVER () AS t_avg, avg(len(f[2])) OVER () AS a_avg, avg(len(f[3])) OVER () AS s_avg, count(*) OVER () AS n FROM t)
+SELECT product_id, 'product_' || product_id AS _id, round(50 * ln(1 + (n - 0.5) / 1.5) + 30 * {_PART.format(df="1", len="t", avg="t_avg")} + 10 * greatest({_PART.format(df="1", len="a", avg="a_avg")}, {_PART.format(df="1", len="s", avg="s_avg")}), 5) AS score FROM l""")
+def code_search(spark, d):
+    """Every product's code, in lower case with blanks round it, as a keyword query over the product documents."""
+    p = products(spark, d)
+    corpus = retrieval.Corpus.of(documents.product_docs(p), ["title", "content", "searchable_content", "all_content"])
+    queries = p.select(F.col("product_id").alias("query_id"), F.concat(F.lit(" "), F.lower("product_id"), F.lit(" ")).alias("query"), F.lit(3).alias("top_k"))
+    top = retrieval.keyword_search(queries, corpus, code=r"^P\d{6}$")
+    return top.select(F.col("query_id").alias("product_id"), "_id", F.round("score", 5).alias("score"))
+
+
+@query("""SELECT event_type AS "table", strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_modified FROM events GROUP BY 1""")
+def sync_state(spark, d):
+    """The marks of all tables written as one JSON object and read back."""
+    e = changes(spark, d)
+    marks = e.groupBy("table").agg(F.date_format(F.max("last_modified"), "yyyy-MM-dd HH:mm:ss").alias("last_modified"))
+    text = marks.agg(fn.state_json(F.col("table"), F.col("last_modified")).alias("state"))
+    return text.select(F.explode(fn.state_rows(F.col("state"))).alias("s")).select(F.col("s.key").alias("table"), F.col("s.value").alias("last_modified"))
+
+
+@query(f"""WITH {FX_PRODUCTS} SELECT product_id, json_extract_string(j, '$.name') AS name, CAST(json_extract(j, '$.qty') AS INT) AS qty, json_extract(j, '$.none') IS NULL AS left_out
+FROM (SELECT product_id, to_json(struct_pack(name := product_name, qty := stock_qty)) AS j FROM fx_products)""")
+def json_documents(spark, d):
+    p = products(spark, d).select("product_id", F.col("product_name").alias("name"), F.col("stock_qty").alias("qty"), F.lit(None).cast("string").alias("none"))
+    j = p.select("product_id", fn.document_json(["name", "qty", "none"]).alias("j"))
+    return j.select("product_id", F.get_json_object("j", "$.name").alias("name"), F.get_json_object("j", "$.qty").cast("int").alias("qty"), (~F.contains("j", F.lit('"none"'))).alias("left_out"))
+
+
+@query("""SELECT doc_id, translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') AS folded, CASE WHEN length(text) <= 256 THEN text END AS short,
+regexp_replace('a <em>' || source || '</em> b', '<em>(.*?)</em>', '<mark>\\1</mark>', 'g') AS marked, CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INT) AS VARCHAR) AS day,
+'field_a: ' || coalesce(source, '') || chr(10) || 'field_b: ' || substr(text, 1, 50) AS fields FROM documents""")
+def column_functions(spark, d):
+    docs = table(spark, d, "documents")
+    m = F.create_map(F.lit("field_b"), F.col("text"), F.lit("other"), F.lit("x"), F.lit("field_a"), F.col("source"))
+    marked = fn.em_to_mark(F.concat(F.lit("a <em>"), F.col("source"), F.lit("</em> b")))
+    day = fn.date_text(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")))
+    return docs.select("doc_id", fn.normalize_keyword(F.col("text")).alias("folded"), fn.ignore_above(F.col("text")).alias("short"), marked.alias("marked"), day.alias("day"), fn.field_pairs(m).alias("fields"))
+
+
+@query("""SELECT doc_id, regexp_replace(text, '[\\r\\x{200B}-\\x{200D}\\x{FEFF}]', '', 'g') AS clean, text AS decoded FROM documents""")
+def clean_texts(spark, d):
+    """Texts with zero-width characters and carriage returns between their words, and texts as bytes of changing encodings."""
+    docs, n = table(spark, d, "documents"), F.col("doc_id") % 3
+    spoilt = F.regexp_replace("text", " ", "\u200b \r\ufeff")
+    mark = lambda name, b: F.concat(F.lit(b), F.encode("text", name))
+    raw = F.when(n == 0, F.encode("text", "UTF-8")).when(n == 1, mark("UTF-16LE", b"\xff\xfe")).otherwise(mark("UTF-8", b"\xef\xbb\xbf"))
+    clean = fn.clean_text(spoilt)
+    return docs.select("doc_id", clean.alias("clean"), F.regexp_replace(fn.decode(raw), "^\ufeff", "").alias("decoded"))
+
+
 @query(f"""WITH {FX_PRODUCTS} SELECT product_id, CASE WHEN status = 'active' THEN trim(coalesce(product_model, '') || ' ' || product_name) ELSE product_name || ' ' || category END AS embed FROM fx_products""")
 def embedding_text(spark, d):
     p = products(spark, d).withColumns({"all_content": F.concat_ws(" ", "product_name", "category"), "field_description": F.when(F.col("status") == "active", F.col("product_model")), "field_product_name": F.when(F.col("status") == "active", F.col("product_name")).otherwise("")})
@@ -314,7 +450,6 @@ def _corpus(spark, d):
     return retrieval.Corpus.of(corpus_docs(spark, d), list(FIELDS))
 
 
-_TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _CORPUS = rf"""toks AS (SELECT doc_id AS _id, {_TOK.format("text")} AS c FROM documents),
 fields AS (SELECT _id, 'content' AS field, c AS t FROM toks UNION ALL SELECT _id, 'title', c[1:8] FROM toks),
 post AS (SELECT _id, field, term, count(*) AS tf, any_value(len) AS len FROM (SELECT _id, field, unnest(t) AS term, len(t) AS len FROM fields) GROUP BY 1, 2, 3),

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tesserae.operators import vectors
 from tesserae.operators.documents import embedding_text
 from tesserae.sources import dumps, store
+from tesserae.sources.scratch import save
 
 
 def stream_recent_changes(changes: DataFrame, ts: str = "ts", table: str = "table", delay: str = "10 minutes", size: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
@@ -33,8 +34,8 @@ def append_batch(docs: DataFrame, path: str, writer: str, number: int) -> None:
     docs.write.mode("overwrite").parquet(f"{path}/writer={writer}/batch={number}")
 
 
-def read_latest(spark: SparkSession, path: str, schema: str, key: str = "_id", order: tuple[str, ...] = ("updated_at", "vector_generated_at", "batch")) -> DataFrame:
-    """The store as it stands: the last row of each document over all batches.
+def read_latest(spark: SparkSession, path: str, schema: str, key: str = "_id", order: tuple[str, ...] = ("updated_at", "vector_generated_at", "batch"), keys: DataFrame | None = None) -> DataFrame:
+    """The store as it stands: the last row of each document over all batches, or of the documents of ``keys`` only.
 
     A later change wins over an earlier row and over its vector; of rows of one change the one with a vector wins.
     """
@@ -44,6 +45,8 @@ def read_latest(spark: SparkSession, path: str, schema: str, key: str = "_id", o
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)  # no batch yet
+    if keys is not None:
+        rows = rows.join(keys.select(key), key, "left_semi").select(*rows.columns)
     return store.latest_per_key(rows, key, *order).drop("writer", "batch")
 
 
@@ -60,8 +63,13 @@ def stream_sync(changes: DataFrame, build: Callable[[DataFrame], DataFrame], pat
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
-def stream_file_drop(spark: SparkSession, path: str, load: Callable[[DataFrame, int], None], checkpoint: str, archive: str | None = None, per_batch: int = 16) -> DataStreamWriter:
-    """New dump files -> ``load(statements, batch number)``; done files move to ``archive`` if given."""
+def stream_file_drop(spark: SparkSession, path: str, load: Callable[[DataFrame, int], DataFrame | None], checkpoint: str, archive: str | None = None, per_batch: int = 16, ledger: str | None = None) -> DataStreamWriter:
+    """New dump files -> ``load(statements, batch number)``; done files move to ``archive`` if given.
+
+    With a ``ledger`` folder a file whose latest row there has the same content is not loaded again. ``load`` may return
+    (file, ok) for its statements, from which the ledger takes whether a file succeeded; without it all do. A batch that is
+    run again after a failure doesn't see its own rows and replaces them.
+    """
     reader = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", "*.sql")
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
@@ -70,12 +78,36 @@ def stream_file_drop(spark: SparkSession, path: str, load: Callable[[DataFrame,
         import pandas as pd
 
         for pdf in batches:
-            for file, text in zip(pdf["file"], pdf["value"]):
-                yield pd.DataFrame([(file, i, k, s) for i, (k, s) in enumerate(dumps.split_statements(text or ""))], columns=["file", "stmt_no", "stmt_type", "sql"])
+            for file, digest, text in zip(pdf["file"], pdf["hash"], pdf["value"]):
+                yield pd.DataFrame([(file, digest, i, k, s) for i, (k, s) in enumerate(dumps.split_statements(text or ""))], columns=["file", "hash", "stmt_no", "stmt_type", "sql"])
 
-    files = reader.load(path).select(F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0).alias("file"), "value")
-    statements = files.mapInPandas(split, "file string, stmt_no long, stmt_type string, sql string")
-    return statements.writeStream.foreachBatch(lambda df, n: load(df, n)).option("checkpointLocation", checkpoint)
+    def run(batch: DataFrame, number: int) -> None:
+        if ledger is None:
+            load(batch.drop("hash"), number)
+            return
+        session = batch.sparkSession
+        fresh = dumps.new_files(batch.select("file", "hash").distinct(), read_ledger(session, ledger).where(F.col("batch") != number))
+        fresh = save(fresh.select("file", "hash"), "fresh")  # as the ledger stood before this batch
+        outcome = load(batch.join(fresh, ["file", "hash"], "left_semi").select("file", "stmt_no", "stmt_type", "sql"), number)
+        rows = fresh.withColumn("success", F.lit(True))
+        if outcome is not None:
+            rows = fresh.join(dumps.import_outcome(outcome).select("file", "success"), "file", "left").withColumn("success", F.coalesce("success", F.lit(True)))
+        rows.withColumn("processed_at", F.current_timestamp()).select("file", "hash", "processed_at", "success").write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+
+    files = reader.load(path).select(F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0).alias("file"), F.md5("value").alias("hash"), "value")
+    statements = files.mapInPandas(split, "file string, hash string, stmt_no long, stmt_type string, sql string")
+    return statements.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """(file, hash, processed_at, success, batch) of all batches; empty before the first."""
+    schema = "file string, hash string, processed_at timestamp, success boolean, batch long"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def vectorize(docs: DataFrame, encode: vectors.Encoder, now, key: str = "_id") -> DataFrame:
@@ -86,10 +118,13 @@ def vectorize(docs: DataFrame, encode: vectors.Encoder, now, key: str = "_id") -
 
 
 def stream_vectorize(changes: DataFrame, path: str, schema: str, encode: vectors.Encoder, now, checkpoint: str) -> DataStreamWriter:
-    """After each batch of changes, vectors for the stored documents that lack one, written as rows with a vector."""
+    """After each batch of changes, vectors for its documents as they stand in the store, where they lack one; written as rows with a vector.
+
+    Only the batch's documents are read from the store. One whose text could not be encoded is tried again when it changes.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        docs = vectors.docs_without_vector(read_latest(batch.sparkSession, path, schema))
+        docs = vectors.docs_without_vector(read_latest(batch.sparkSession, path, schema, keys=batch.select("_id").distinct()))
         patch = vectorize(docs, encode, now)
         append_batch(store.partial_update(docs, patch, ["_id"], ["content_vector", "vector_generated_at"]).where("content_vector is not null"), path, "vectors", number)
 

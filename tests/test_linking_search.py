@@ -186,3 +186,55 @@ def test_highlights_take_whole_passages(spark, tmp_path):
     want = {(q, i, rank, "\n".join(results.highlight(texts[i], asked[q].split(), 150, 3, "<mark>", "</mark>"))) for q in asked for rank, (i, s) in enumerate(sorted(scores[q].items(), key=lambda x: (-x[1], x[0]))[:5], 1) if s > 0}
     got = [tuple(r) for r in highlights(spark, str(tmp_path)).collect()]
     assert set(got) == want and len(got) == len(want) and {q for q, *_ in got} == {0, 1, 2}
+
+
+def test_warehouse_rows_of_one_place_keep_their_own_notes(spark):
+    w = spark.createDataFrame([("P001", "hall", 1, "needs P002"), ("P001", "hall", 2, "a sensor"), ("P001", "hall", 3, None)], "product_id string, warehouse_location string, quantity int, special_notes string")
+    got = {r["metadata"]["quantity"]: r["product_ids"] for r in documents.warehouse_docs(w, products(spark)).collect()}
+    assert got == {"1": ["P001", "P002"], "2": ["P001", "P004"], "3": ["P001"]}
+
+
+def test_fuzzy_long_words(spark):
+    rng = random.Random(18)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    asked = [word(n) for n in (6, 30, 31, 32, 33, 34, 35, 60, 300)]
+    edited = set(asked)
+    for w in asked:
+        for _ in range(60):
+            chars = list(w)
+            for _ in range(rng.randrange(1, 4)):
+                i = rng.randrange(len(chars) - 1)
+                kind = rng.randrange(4)
+                if kind == 0:
+                    del chars[i]
+                elif kind == 1:
+                    chars.insert(i, rng.choice("abcxyz"))
+                elif kind == 2:
+                    chars[i] = rng.choice("abcxyz")
+                else:
+                    chars[i], chars[i + 1] = chars[i + 1], chars[i]
+            edited.add("".join(chars))
+    vocabulary = [(w,) for w in edited] + [("z" * 100_000,)]
+    got = {(r["query_term"], r["term"]): r["edits"] for r in search.fuzzy_join(spark.createDataFrame([(w,) for w in asked], "query_term string"), spark.createDataFrame(vocabulary, "term string")).collect()}
+    want = {(a, b): d for a in asked for b in edited if (d := search._edits(a, b, 2)) <= 2}
+    assert got == want and len(want) > 200
+
+
+def test_names_in_long_texts(spark):
+    texts = [(1, "x " * 200_000 + "motor x"), (2, "y" * 300_000), (3, "ab")]
+    got = linking.name_mentions(spark.createDataFrame(texts, "row_id int, text string"), products(spark), broadcast_names=0)
+    assert {tuple(r) for r in got.collect()} == {(1, "P002"), (3, "P003")}
+
+
+def test_results_have_highlights_and_facets(spark):
+    p = spark.createDataFrame([("P001", "red sensor", "<ok>", "note with sensor in it"), ("P002", "blue motor", "OK", None)], "product_id string, product_name string, status string, field_note string")
+    docs = documents.product_docs(p)
+    corpus = retrieval.Corpus.of(docs, ["title", "status", "searchable_content", "all_content", "content"])
+    q = spark.createDataFrame([(1, "sensor", "keyword", 3, False), (2, "sensor", "hybrid", 3, False), (3, "ök", "keyword", 3, False), (4, "none such", "vector", 3, False)], "query_id int, query string, mode string, top_k int, convert_to_traditional boolean")
+    got = {r["query_id"]: r for r in retrieval.process_queries(q, corpus).collect()}
+    marks = {e["key"]: e["value"] for e in got[1]["results"][0]["highlights"]}
+    assert marks["all_content"] == ["P001 red <mark>sensor</mark> <ok>"] and marks["field_note"] == ["note with <mark>sensor</mark> in it"]
+    assert "<mark>sensor</mark>" in got[1]["context"] and "<em>sensor</em>" in got[2]["context"]
+    assert [tuple(x) for x in got[1]["type_facet"]] == [("product_master", 1)] and [tuple(x) for x in got[1]["product_ids_facet"]] == [("P001", 1)]
+    assert got[2]["type_facet"] is None and got[4]["results"] is None and got[4]["context"] == "" and got[4]["total_hits"] == 0
+    assert [r["index"] for r in got[3]["results"]] == ["erp-products"] and "P002" in got[3]["context"]  # the status in capitals is met without its accent

@@ -60,3 +60,26 @@ def test_file_drop_and_late_rows(spark, tmp_path):
     assert seen == [("a.sql", 0, "INSERT"), ("a.sql", 1, "INSERT")]
     df = spark.createDataFrame([(1, datetime(2024, 1, 1))] * 2 + [(2, datetime(2024, 1, 1))], "k int, ts timestamp")
     assert jobs.late_rows(df, "k", "ts").count() == 2
+
+
+def test_file_drop_with_ledger(spark, tmp_path):
+    source, ledger = tmp_path / "sql", str(tmp_path / "ledger")
+    source.mkdir()
+    seen = []
+
+    def load(df, n):
+        rows = df.collect()
+        seen.extend((r["file"], r["sql"]) for r in rows)
+        return spark.createDataFrame([(r["file"], "bad" not in r["sql"]) for r in rows], "file string, ok boolean")
+
+    def drop(name, text, checkpoint):
+        (source / name).write_text(text)
+        run(jobs.stream_file_drop(spark, str(source), load, str(tmp_path / checkpoint), ledger=ledger))
+
+    drop("a.sql", "INSERT INTO t VALUES (1);", "c1")
+    drop("b.sql", "INSERT INTO t VALUES ('bad');", "c1")
+    drop("c.sql", "INSERT INTO t VALUES (2);", "c2")  # a new checkpoint reads all files again, as batch 0
+    assert sorted(seen) == [("a.sql", "INSERT INTO t VALUES (1)")] * 2 + [("b.sql", "INSERT INTO t VALUES ('bad')"), ("c.sql", "INSERT INTO t VALUES (2)")]
+    drop("b.sql", "INSERT INTO t VALUES (3);", "c3")
+    assert seen[-1] == ("b.sql", "INSERT INTO t VALUES (3)")
+    assert {(r["file"], r["success"]) for r in jobs.read_ledger(spark, ledger).collect()} >= {("b.sql", True)}
