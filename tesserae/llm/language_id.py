@@ -1,15 +1,16 @@
 """Language ID by unigram pieces with the segmentation summed out.
 
-Pieces are those of a fixed public vocabulary, up to ``max_piece`` characters. A language gives each piece a
-probability; a word's probability is the sum over all its segmentations, which the forward algorithm gets in
-one pass. Probabilities are fitted by expectation-maximisation on the word counts of a bounded sample of
-labelled rows: expected piece counts are summed in Spark, and only the table of pieces by languages, whose
-size the vocabulary bounds, comes back. Scoring adds up the log-probabilities of a text's words.
+Pieces are those of a fixed public vocabulary, all of them. A language gives each piece a probability; a
+word's probability is the sum over all its segmentations, which the forward algorithm gets in one pass.
+Probabilities are fitted by expectation-maximisation on the word counts of a bounded sample of labelled rows,
+until the likelihood hardly grows: expected piece counts are summed in Spark, and only the table of pieces by
+languages, whose size the vocabulary bounds, comes back. Scoring adds up the log-probabilities of a text's words.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,14 +29,14 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @functools.lru_cache(maxsize=2)
-def vocabulary(name: str, max_piece: int) -> tuple[str, ...]:
-    """The pieces of a SentencePiece model of up to ``max_piece`` characters, lower case, in order."""
+def vocabulary(name: str) -> tuple[str, ...]:
+    """The pieces of a SentencePiece model, lower case, in order."""
     import public_tokenizers
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(f"{name}.model"))
     plain = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return tuple(sorted({p.lower() for p in plain if len(p.lower()) <= max_piece and p.lower()}))
+    return tuple(sorted({p.lower() for p in plain if p}))
 
 
 def word_key(word: str) -> str:
@@ -113,13 +114,15 @@ class Lattice:
             scale += np.log(now)
         return scale
 
-    def expected(self, many: list[str], counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces in one language, of words up to ``_BATCHED`` characters."""
-        table, total = self.table(probs[:, None]), np.zeros(len(self.pieces) + 2)
+    def expected(self, many: list[str], counts: np.ndarray, probs: np.ndarray) -> tuple[np.ndarray, float]:
+        """Expected counts of the pieces in one language, and the words' log-likelihood."""
+        table, total, likelihood = self.table(probs[:, None]), np.zeros(len(self.pieces) + 2), 0.0
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(many):
             if len(w) <= _BATCHED:
                 by_length.setdefault(len(w), []).append(k)
+            else:
+                likelihood += counts[k] * self._expected_long(w, counts[k], table[:, 0].tolist(), total)
         for n, at in by_length.items():
             arcs, weight = self.arcs([many[k] for k in at]), counts[at]
             alpha = self.forward(arcs, n, table)
@@ -128,20 +131,42 @@ class Lattice:
                 beta[i] += beta[j] * table[ids]
             for (i, j), ids in arcs.items():
                 np.add.at(total, ids, (alpha[i] * table[ids] * beta[j] / alpha[n])[:, 0] * weight)
-        return total[:-2]
+            likelihood += float(weight @ np.log(alpha[n][:, 0]))
+        return total[:-2], likelihood
+
+    def _expected_long(self, word: str, count: float, table: list[float], total: np.ndarray) -> float:
+        """Adds the expected counts of a word of any length to ``total``, by sums scaled at each character; its log-probability."""
+        n, m, none = len(word), self.max_piece, len(self.pieces)
+        arcs = [[(i, k) for i in range(max(0, j - m), j) if (k := self.ids.get(word[i:j], none + (j == i + 1))) != none] for j in range(n + 1)]
+        # alpha[j] is the sum up to j over the product of the scales up to j; a piece over several characters is scaled by those it spans
+        alpha, scale, log_p = [1.0] + [0.0] * n, [1.0] * (n + 1), 0.0
+        span = lambda i, j: math.prod(scale[i + 1 : j + 1])
+        for j in range(1, n + 1):
+            now = sum(alpha[i] * table[k] / span(i, j - 1) for i, k in arcs[j])
+            alpha[j], scale[j] = 1.0, now
+            log_p += math.log(now)
+        beta = [0.0] * n + [1.0]
+        for j in range(n, 0, -1):
+            for i, k in arcs[j]:
+                part = table[k] * beta[j] / span(i, j)
+                beta[i] += part
+                total[k] += count * alpha[i] * part
+        return log_p
 
 
 def _expect(pieces: tuple[str, ...], langs: list[str], probs: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice, total = Lattice(pieces), np.zeros_like(probs)
+        lattice, total, likelihood = Lattice(pieces), np.zeros_like(probs), 0.0
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
                 k = langs.index(lang)
                 for at in range(0, len(part), 20_000):
                     some = part.iloc[at : at + 20_000]
-                    total[:, k] += lattice.expected([word_key(w) for w in some["word"]], some["n"].to_numpy(float), probs[:, k])
+                    found, log_p = lattice.expected([word_key(w) for w in some["word"]], some["n"].to_numpy(float), probs[:, k])
+                    total[:, k] += found
+                    likelihood += log_p
         piece, lang = np.nonzero(total)
-        yield pd.DataFrame({"piece": piece, "lang": lang, "n": total[piece, lang]})
+        yield pd.DataFrame({"piece": np.append(piece, -1), "lang": np.append(lang, 0), "n": np.append(total[piece, lang], likelihood)})
 
     return run
 
@@ -190,30 +215,39 @@ def _by_words(texts: list[str | None], most: int) -> Iterator[tuple[int, list[li
         yield start, part
 
 
-def train(docs: DataFrame, name: str = "piece_bpe_32k", max_piece: int = 8, max_train: int = 2000, steps: int = 2, smooth: float = 0.01, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel | None:
+def train(docs: DataFrame, name: str = "piece_bpe_32k", max_train: int = 2000, settled: float = 2e-3, smooth: float = 0.01, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel | None:
     """Fit on rows that aren't held out and have a text and a language; None if there is no such row.
 
-    At most about ``max_train`` rows a language are used, chosen by a hash of the id.
+    At most about ``max_train`` rows a language are used, chosen by a hash of the id. Steps end when one raises the
+    log-likelihood by less than ``settled`` of it; as no step lowers it and it is below zero, there is such a step.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    langs, pieces = sorted(counts), vocabulary(name, max_piece)
+    langs, pieces = sorted(counts), vocabulary(name)
     rate = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, max_train / counts[k]))]), F.col("lang"))
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < rate * 1_000_000)
     table = save(sample.select("lang", F.explode(words(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "words")
     probs = np.full((len(pieces), len(langs)), 1.0 / len(pieces))
-    for _ in range(steps):
+    before = -math.inf
+    while True:
         summed = table.mapInPandas(_expect(pieces, langs, probs), "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        now, found = float(summed.loc[summed["piece"] < 0, "n"].sum()), summed[summed["piece"] >= 0]
         probs = np.full_like(probs, smooth)
-        probs[summed["piece"], summed["lang"]] += summed["n"]
+        probs[found["piece"], found["lang"]] += found["n"]
         probs /= probs.sum(axis=0)
-    return LanguageModel(langs, pieces, probs)
+        if now - before <= settled * -now:
+            return LanguageModel(langs, pieces, probs)
+        before = now
 
 
 def predict(spark: SparkSession, model: LanguageModel | None, text: Column) -> Column:
-    """struct(lang_pred string, score double); ``und`` with score 0 for a null text, one without a letter, or no model."""
+    """struct(lang_pred string, score double); ``und`` with score 0 for a null text, one without a letter, or no model.
+
+    Texts alike are scored alike, whatever rows they stand on; an empty table gives no rows. Of languages that score the
+    same the first by name leads. A text of any length is scored whole, a very long word by sums scaled as they grow.
+    """
     if model is None:
         return F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = spark.sparkContext.broadcast(model)

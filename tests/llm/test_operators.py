@@ -460,8 +460,30 @@ def test_forward_sums_all_segmentations():
 
 def test_expected_counts_are_segmentation_averages():
     lattice = language_id.Lattice(("a", "aa"))
-    got = lattice.expected(["aa"], np.array([3.0]), np.array([0.5, 0.25]))
-    assert np.allclose(got, [3.0 * 2 * 0.5, 3.0 * 0.5])  # a a and aa are equally likely
+    got, log_p = lattice.expected(["aa"], np.array([3.0]), np.array([0.5, 0.25]))
+    assert np.allclose(got, [3.0 * 2 * 0.5, 3.0 * 0.5]) and math.isclose(log_p, 3 * math.log(0.5))  # a a and aa are equally likely
+
+
+def test_expected_counts_of_long_words_equal_those_of_short_ones(monkeypatch):
+    rng = random.Random(13)
+    pieces = tuple(sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 6))) for _ in range(25)} | {"a"}))
+    lattice, probs = language_id.Lattice(pieces), np.random.default_rng(2).random(len(pieces)) / len(pieces)
+    many = ["".join(rng.choice("abx") for _ in range(rng.randrange(1, 31))) for _ in range(40)]
+    counts = np.array([float(rng.randrange(1, 9)) for _ in many])
+    short, p = lattice.expected(many, counts, probs)
+    monkeypatch.setattr(language_id, "_BATCHED", 0)
+    long, q = lattice.expected(many, counts, probs)
+    assert np.allclose(short, long) and math.isclose(p, q)
+    total, log_p = lattice.expected(["ab" * 20_000], np.array([2.0]), probs)
+    assert np.isfinite(total).all() and np.isfinite(log_p) and total @ np.array([len(x) for x in pieces]) <= 2 * 40_000 + 1e-3
+
+
+def test_a_language_without_spaces_is_learnt(spark):
+    rng = random.Random(14)
+    rows = [(i, "".join(rng.choice(("ka", "mo", "ti") if i % 2 else ("gre", "blo", "stu")) for _ in range(60)), "xx" if i % 2 else "yy", "s") for i in range(120)]
+    model = language_id.train(make(spark, rows))
+    got = make(spark, rows).withColumn("p", language_id.predict(spark, model, F.col("text"))).collect()
+    assert all(r["p"]["lang_pred"] == r["lang"] and r["p"]["score"] > 0.9 for r in got)
 
 
 def test_language_held_out(spark, odd_docs, no_docs):
