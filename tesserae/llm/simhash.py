@@ -4,11 +4,12 @@ Blocks: the 64 bits are split into ``b`` blocks. A close pair differs in at most
 agrees on some ``b - distance`` blocks: with one key for each choice of that many blocks, every close pair
 shares a key. More blocks give longer keys and smaller blocks of rows; ``blocks_for`` takes the number from
 the count of fingerprints, and any number finds the same pairs. Only distinct fingerprints are compared, so
-copies cost nothing here. Rows that share a key stand together in one sorted run; Hamming distances are
-checked there, and a run emits a spanning forest of its links rather than all pairs, so a large group of
-near copies stays linear in output. Groups are the connected components of the links, found by randomised
-contraction: every node takes the least of its neighbourhood under a hash, edges are renamed and shrink by
-a constant factor each round.
+copies cost nothing here. Keys are counted, and the fingerprints of a key that too many share - a large family
+of near copies - are met again under longer keys; at 16 blocks a key leaves 16 bits free, which bounds its rows.
+Rows that share a key stand together in one sorted run; Hamming distances are checked there, and a run emits
+a spanning forest of its links rather than all pairs, so a large group of near copies stays linear in output.
+Groups are the connected components of the links, found by randomised contraction: every node takes the least
+of its neighbourhood under a hash, edges are renamed and shrink by a constant factor each round.
 """
 
 from __future__ import annotations
@@ -138,10 +139,12 @@ def _as_stars(edges: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int
 def _link_partition(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        edges: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def work(key: list, fps: list) -> None:
-            edges.extend((a, b) for a, b in _links_in_runs(np.concatenate(key), np.concatenate(fps), distance) if len(a))
+        def work(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            edges = [e for e in _links_in_runs(np.concatenate([k for k, _ in parts]), np.concatenate([f for _, f in parts]), distance) if len(e[0])]
+            if stars := _as_stars(edges):
+                a, b = (np.array([s[i] for s in stars], np.uint64).view(np.int64) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -152,28 +155,43 @@ def _link_partition(distance: int):
             fps = batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
             last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
             if last:
-                work([k for k, _ in held] + [key[:last]], [f for _, f in held] + [fps[:last]])
+                yield from work([*held, (key[:last], fps[:last])])
                 held = []
             elif held and held[-1][0][-1] != key[-1]:
-                work([k for k, _ in held], [f for _, f in held])
+                yield from work(held)
                 held = []
             held.append((key[last:].copy(), fps[last:].copy()))
         if held:
-            work([k for k, _ in held], [f for _, f in held])
-        stars = _as_stars(edges)
-        a, b = (np.array([s[i] for s in stars], np.uint64).view(np.int64) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield from work(held)
 
     return run
 
 
-def near_links(fps: DataFrame, n: int, distance: int = 4, blocks: int | None = None) -> DataFrame:
-    """Distinct ``fp`` -> links (a, b) that connect exactly what all pairs within ``distance`` connect."""
-    masks = block_masks(blocks or blocks_for(n, distance), distance)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(signed)])).alias("key")
-    dealt = fps.select("fp", keys).select("fp", "key.choice", "key.bits").repartition("choice", "bits")
-    return dealt.sortWithinPartitions("choice", "bits", "fp").mapInArrow(_link_partition(distance), "a long, b long")
+#: From this many blocks on, all choices of blocks for a distance of 4 leave 16 bits free at most, so a key has at most 65,536 fingerprints.
+_MOST_BLOCKS = 16
+
+
+def near_links(fps: DataFrame, n: int, distance: int = 4, blocks: int | None = None, most: int = 50_000) -> DataFrame:
+    """Distinct ``fp`` -> links (a, b) that connect exactly what all pairs within ``distance`` connect.
+
+    Fingerprints of keys that more than ``most`` share are met again under keys of two more blocks: pairs of such a key
+    are among them, and the pigeonhole argument holds for any number of blocks. Counting is partial where the rows
+    are, so a frequent key is not brought into one task.
+    """
+    blocks, found = blocks or blocks_for(n, distance), None
+    while True:
+        signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(blocks, distance)]
+        keys = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(signed)])).alias("key")
+        dealt, hot = fps.select("fp", keys).select("fp", "key.choice", "key.bits"), None
+        if blocks < _MOST_BLOCKS:
+            hot = save(dealt.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).drop("n"), "hot")
+            hot = None if hot.isEmpty() else hot
+        few = dealt.repartition("choice", "bits") if hot is None else dealt.join(hot, ["choice", "bits"], "left_anti").repartition("choice", "bits")
+        links = few.sortWithinPartitions("choice", "bits", "fp").mapInArrow(_link_partition(distance), "a long, b long")
+        found = links if found is None else found.unionByName(links)
+        if hot is None:
+            return found
+        fps, blocks = save(dealt.join(hot, ["choice", "bits"], "left_semi").select("fp").distinct(), "family"), min(blocks + 2, _MOST_BLOCKS)
 
 
 def connected(edges: DataFrame) -> DataFrame:

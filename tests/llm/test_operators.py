@@ -169,8 +169,8 @@ def test_one_row_of_each_component_stays_with_repeated_and_null_ids(spark):
     assert [r["doc_id"] for r in kept].count(1) == 2
 
 
-@pytest.mark.parametrize("blocks", [6, 7])
-def test_links_connect_what_all_pairs_connect(spark, blocks):
+@pytest.mark.parametrize("blocks, most", [(6, 50_000), (7, 50_000), (6, 40), (7, 3)])
+def test_links_connect_what_all_pairs_connect(spark, blocks, most):
     rng = random.Random(blocks)
     fps = {rng.getrandbits(64) for _ in range(150)}
     for f in list(fps)[:40]:
@@ -181,7 +181,7 @@ def test_links_connect_what_all_pairs_connect(spark, blocks):
     fps |= {dense ^ rng.getrandbits(9) for _ in range(300)}
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    found = simhash.connected(simhash.near_links(df, len(fps), 4, blocks)).collect()
+    found = simhash.connected(simhash.near_links(df, len(fps), 4, blocks, most)).collect()
     got = {f: f for f in fps} | {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in found}
     same = lambda of: {frozenset(x for x in fps if of[x] == r) for r in set(of.values())}
     assert same(got) == same(slow_components(fps, 4))
@@ -199,6 +199,11 @@ def test_forest_by_blocks_equals_direct():
     assert names[0] == names[1]
 
 
+def test_keys_of_16_blocks_leave_16_bits():
+    for blocks in range(16, 20):
+        assert max(64 - m.bit_count() for m in simhash.block_masks(blocks, 4)) <= 16
+
+
 def test_connected_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.connected(df).collect()}
