@@ -3,11 +3,14 @@
 Lines are hashed. Rows of a hash are first reduced to counts, which prove most lines too rare or confined to
 one site; the sites of the others are gathered in HyperLogLog sketches that merge by aggregation. Where an
 estimate lies near the threshold, within several times its standard error, the exact number of distinct
-sites decides. Lines seen on enough sites are removed from every document.
+sites decides. Lines seen on enough sites are removed from every document: of lines of a few words and more on
+two fifths of the sites or eight, of shorter ones on four fifths.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,34 +22,47 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")))
 
 
-def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 12, errors: float = 6.0) -> DataFrame:
-    """(line, site) -> (line, sites): the lines of at least ``min_sites`` distinct sites."""
-    pairs = save(lines.groupBy("line", "site").agg(F.count(F.lit(1)).alias("n")), "sites")
-    spread = pairs.groupBy("line").agg(F.sum("n").alias("n"), F.min("site").alias("low"), F.max("site").alias("high"))
-    likely = save(spread.where((F.col("n") >= min_sites) & (F.col("low") < F.col("high")) if min_sites > 1 else F.lit(True)).select(F.col("line").alias("k")), "likely")
+#: Share of the sites that a line must be on, at least ``LEAST_SITES`` of them; a line of ``MIN_WORDS`` words needs no more than ``ENOUGH``.
+SHARE, SHORT_SHARE, LEAST_SITES, ENOUGH, MIN_WORDS = 0.4, 0.8, 3, 8, 4
+
+
+def sites_needed(n_sites: int) -> tuple[int, int]:
+    """(for lines of MIN_WORDS words and more, for shorter ones). A short line may be ordinary speech on many sites, so it must be on most of them."""
+    return max(LEAST_SITES, min(ENOUGH, math.ceil(SHARE * n_sites))), max(LEAST_SITES, math.ceil(SHORT_SHARE * n_sites))
+
+
+def boilerplate(lines: DataFrame, lg_k: int = 12, errors: float = 6.0) -> DataFrame:
+    """(line, need, site) -> (line, sites): the lines of at least ``need`` distinct sites; ``need`` is the same for all rows of a line."""
+    need = F.col("need")
+    pairs = save(lines.groupBy("line", "need", "site").agg(F.count(F.lit(1)).alias("n")), "sites")
+    spread = pairs.groupBy("line", "need").agg(F.sum("n").alias("n"), F.min("site").alias("low"), F.max("site").alias("high"))
+    likely = save(spread.where((F.col("n") >= need) & ((F.col("low") < F.col("high")) | (need <= 1))).select(F.col("line").alias("k")), "likely")
     rest = pairs.join(likely, F.col("line") == F.col("k"), "left_semi")
-    sketch = rest.groupBy("line").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"))
-    estimate = save(sketch.select("line", F.hll_sketch_estimate("sketch").alias("sites")), "estimates")
-    margin = errors * 1.04 / 2 ** (lg_k / 2) * min_sites + 1
-    near = estimate.where(F.abs(F.col("sites") - min_sites) <= margin).select(F.col("line").alias("k"))
-    exact = rest.join(near, F.col("line") == F.col("k"), "left_semi").groupBy("line").agg(F.count(F.lit(1)).alias("sites"))
-    clear = estimate.where(F.col("sites") > min_sites + margin)
-    return clear.unionByName(exact.where(F.col("sites") >= min_sites))
+    sketch = rest.groupBy("line", "need").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"))
+    estimate = save(sketch.select("line", "need", F.hll_sketch_estimate("sketch").alias("sites")), "estimates")
+    margin = errors * 1.04 / 2 ** (lg_k / 2) * need + 1
+    near = estimate.where(F.abs(F.col("sites") - need) <= margin).select(F.col("line").alias("k"))
+    exact = rest.join(near, F.col("line") == F.col("k"), "left_semi").groupBy("line", "need").agg(F.count(F.lit(1)).alias("sites"))
+    clear = estimate.where(F.col("sites") > need + margin)
+    return clear.unionByName(exact.where(F.col("sites") >= need)).select("line", "sites")
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 8, min_words: int = 4, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """One row per document: doc_id, text without boilerplate lines, n_lines, n_removed.
 
-    Lines are separated by line feeds and compared without white space at their ends; lines of fewer than
-    ``min_words`` words stay. Null sites count as one site. A null text stays null with no lines. Rows that
-    repeat are cleaned each; an empty table gives no rows. Other columns are not read.
+    Lines are separated by line feeds and compared without white space at their ends; lines without a word stay.
+    How many sites a line must be on follows from the number of sites (``sites_needed``). Null sites count as one
+    site. A null text stays null with no lines. Rows that repeat are cleaned each; long texts and lines are taken
+    whole; an empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(site).cast("string"), F.lit("\0"))).alias("site"))
+    enough, short = sites_needed(rows.select("site").distinct().count())
     lines = F.split("text", "\n", -1)
-    each = rows.select("site", F.explode(lines).alias("raw")).where(n_words(F.col("raw")) >= min_words)
-    spread = save(boilerplate(each.select(line_hash(F.col("raw")).alias("line"), "site"), min_sites), "boilerplate").select(F.col("line").alias("k"))
+    each = rows.select("site", F.explode(lines).alias("raw")).withColumn("w", n_words(F.col("raw"))).where("w > 0")
+    need = F.when(F.col("w") >= MIN_WORDS, F.lit(enough)).otherwise(F.lit(short))
+    spread = save(boilerplate(each.select(line_hash(F.col("raw")).alias("line"), need.alias("need"), "site")), "boilerplate").select(F.col("line").alias("k"))
     tag = F.xxhash64(F.coalesce("text", F.lit("")))
-    placed = rows.select("doc_id", tag.alias("tag"), F.posexplode(lines).alias("at", "raw")).where(n_words(F.col("raw")) >= min_words)
+    placed = rows.select("doc_id", tag.alias("tag"), F.posexplode(lines).alias("at", "raw"))
     hits = placed.select("doc_id", "tag", "at", line_hash(F.col("raw")).alias("line")).join(spread, F.col("line") == F.col("k"), "left_semi")
     gone = hits.groupBy(F.col("doc_id").alias("d"), F.col("tag").alias("t")).agg(F.collect_set("at").alias("gone"))  # positions in one document
     joined = rows.withColumn("tag", tag).join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")), "left")
@@ -55,13 +71,15 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 8, min_words: int = 4,
     return joined.select("doc_id", kept.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"))
 
 
-def oracle(min_sites: int = 8, min_words: int = 4) -> str:
+def oracle() -> str:
     white = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    long = rf"len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= {min_words}"
+    n = r"len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))"
     return rf"""
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-b AS (SELECT trim(line, {white}) AS k FROM l WHERE {long} GROUP BY 1 HAVING count(DISTINCT coalesce(source, chr(0))) >= {min_sites}),
-m AS (SELECT doc_id, line, pos, coalesce({long} AND trim(line, {white}) IN (SELECT k FROM b), false) AS gone FROM l)
+s AS (SELECT count(DISTINCT coalesce(source, chr(0))) AS n FROM documents),
+t AS (SELECT trim(line, {white}) AS k, min({n}) AS words, count(DISTINCT coalesce(source, chr(0))) AS sites FROM l WHERE {n} > 0 GROUP BY 1),
+b AS (SELECT k FROM t, s WHERE sites >= CASE WHEN words >= {MIN_WORDS} THEN greatest({LEAST_SITES}, least({ENOUGH}, ceil({SHARE} * s.n))) ELSE greatest({LEAST_SITES}, ceil({SHORT_SHARE} * s.n)) END),
+m AS (SELECT doc_id, line, pos, coalesce(trim(line, {white}) IN (SELECT k FROM b), false) AS gone FROM l)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text,
   count(*)::INT AS n_lines, (count(*) FILTER (WHERE gone))::INT AS n_removed
 FROM m GROUP BY doc_id"""

@@ -213,20 +213,39 @@ def test_connected_long_chain(spark):
 # --- 4 line dedup ------------------------------------------------------------------------------------------
 
 
-def test_lines(spark, no_docs):
-    rows = [(i, f"one of the common lines\nown line number {i} here\n short \n one of the common lines", "en", f"s{i % 9}") for i in range(30)]
-    rows += [(100, "line on seven sites only", "en", f"s{i}") for i in range(7)] + [(101, None, "en", "s1"), (102, "", None, None), (None, "one of the common lines", "en", None)]
+def slow_lines(rows):
+    """(doc, text) -> (text, lines, removed) by sets of sites."""
+    sites, of = defaultdict(set), {r[3] for r in rows}
+    strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
+    for _, text, _, site in rows:
+        for line in (text or "").split("\n"):
+            sites[strip(line)].add(site)
+    enough = lambda k: max(3, min(8, math.ceil(0.4 * len(of)))) if len(words_of(k)) >= 4 else max(3, math.ceil(0.8 * len(of)))
+    out = Counter()
+    for doc, text, _, _ in rows:
+        if text is None:
+            out[doc, None, 0, 0] += 1
+            continue
+        kept = [x for x in text.split("\n") if not words_of(x) or len(sites[strip(x)]) < enough(strip(x))]
+        out[doc, "\n".join(kept), text.count("\n") + 1, text.count("\n") + 1 - len(kept)] += 1
+    return out
+
+
+@pytest.mark.parametrize("n_sites", [1, 2, 5, 9, 25])
+def test_lines(spark, no_docs, n_sites):
+    rng = random.Random(n_sites)
+    common = [f"one of the common lines {i}" for i in range(4)] + ["All rights reserved.", "Yes.", "And so", ""]
+    rows = [(i, "\n".join(rng.choice([*common, f" own line number {i} here", "one of the common lines 1 \r"]) for _ in range(rng.randrange(0, 7))), "en", rng.choice([*(f"s{k}" for k in range(n_sites - 1)), None])) for i in range(90)]
+    rows += [(100 + i, f"rare line on some sites only\nspread {i}", "en", f"s{i % max(1, n_sites // 4)}") for i in range(20)]
+    rows += [(300, None, "en", None), (301, "", "en", None), (None, "one of the common lines 1", "en", None), (302, "word " * 50_000 + "\n" + "x" * 300_000, "en", None)]
     got = line_dedup.remove_boilerplate(make(spark, rows)).collect()
-    assert len(got) == len(rows)
-    by = {r["doc_id"]: r for r in got}
-    assert by[3]["text"] == "own line number 3 here\n short " and by[3]["n_removed"] == 2 and by[3]["n_lines"] == 4
-    assert by[100]["n_removed"] == 0 and by[101]["text"] is None and by[102]["text"] == "" and by[None]["text"] == ""
+    assert Counter(map(tuple, got)) == slow_lines(rows)
     assert line_dedup.remove_boilerplate(no_docs).count() == 0
 
 
 def test_spread_is_exact_near_the_threshold(spark):
-    lines = spark.range(3000).select((F.col("id") % 30).alias("line"), F.floor(F.col("id") / 30).alias("k")).where("k < 35 + line").select("line", F.col("k").alias("site"))
-    got = {r["line"] for r in line_dedup.boilerplate(lines.unionByName(lines), 50, lg_k=6).collect()}
+    lines = spark.range(3000).select((F.col("id") % 30).alias("line"), F.floor(F.col("id") / 30).alias("k")).where("k < 35 + line").select("line", F.lit(50).alias("need"), F.col("k").alias("site"))
+    got = {r["line"] for r in line_dedup.boilerplate(lines.unionByName(lines), lg_k=6).collect()}
     assert got == {i for i in range(30) if 35 + i >= 50}
 
 
