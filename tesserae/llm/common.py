@@ -2,43 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.sources.scratch import save, shared_dir
+
+__all__ = ["WHITE", "WORD", "held_out", "keep_rows", "let", "n_words", "number_rows", "save", "shared_dir", "without_white", "words"]
+
 #: The characters that separate words: space, tab to carriage return.
 WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
-
-    A folder of our own is made only where none is set and Spark runs in one JVM, as in tests.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="spark-tesserae-")
-    return _own_dirs[app]
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tesserae-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """The array of words of a text; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
@@ -89,17 +63,20 @@ def number_rows(df: DataFrame, groups: list[str], order: list[str], n_rows: int,
     )
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) that ``kept`` (doc_id, text_hash: xxhash64 of the text) names.
+def keep_rows(docs: DataFrame, kept: DataFrame, every: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) that ``kept`` (doc_id, text_hash: xxhash64 of the text) names; ``every`` names all of them.
 
-    A row of ``docs`` that repeats both the id and the text of another stays once.
+    What goes is mostly little beside what stays, so the rows lose it in an anti-join, which moves no text where Spark
+    finds that small enough to broadcast. A row of ``docs`` that repeats both the id and the text of another stays once.
     """
     tagged = docs.withColumn("_ts_h", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = lambda df, of: df["doc_id"].eqNullSafe(of["_ts_id"]) & (df["_ts_h"] == of["_ts_kh"])
     key = [F.col("doc_id").alias("_ts_id"), F.col("text_hash").alias("_ts_kh")]
-    named = kept.select(*key)
-    stay = tagged.join(named, same(tagged, named), "left_semi")
-    again = save(tagged.groupBy("doc_id", "_ts_h").agg(F.count(F.lit(1)).alias("_ts_n")).where("_ts_n > 1").select(F.col("doc_id").alias("_ts_id"), F.col("_ts_h").alias("_ts_kh")), "again")
+    counted = every.select(*key, F.lit(1).alias("_ts_all"), F.lit(0).alias("_ts_kept")).unionByName(kept.select(*key, F.lit(0).alias("_ts_all"), F.lit(1).alias("_ts_kept")))
+    counted = counted.groupBy("_ts_id", "_ts_kh").agg(F.sum("_ts_all").alias("_ts_all"), F.max("_ts_kept").alias("_ts_kept"))
+    counted = save(counted.where("_ts_kept = 0 or _ts_all > 1"), "gone")
+    gone, again = (save(counted.where(w).select("_ts_id", "_ts_kh"), n) for w, n in (("_ts_kept = 0", "gone"), ("_ts_kept = 1", "again")))
+    stay = tagged.join(gone, same(tagged, gone), "left_anti")
     if not again.isEmpty():
         once = stay.join(again, same(stay, again), "left_anti")
         stay = once.unionByName(stay.join(again, same(stay, again), "left_semi").dropDuplicates(["doc_id", "_ts_h"]))

@@ -17,7 +17,7 @@ _SCHEMA = "digest BINARY, keep_id BIGINT, n_rows BIGINT, batch STRING"
 
 
 class DigestIndex:
-    """A digest index in ``path``, known to this session's catalog as ``name``."""
+    """A digest index in ``path``, known to this session's catalog as ``name``; a folder that a former session wrote is opened as it is."""
 
     def __init__(self, spark: SparkSession, path: str, name: str, buckets: int = 64):
         self.spark, self.path, self.name, self.buckets = spark, path, name, buckets
@@ -34,6 +34,12 @@ class DigestIndex:
         )
         self.spark.catalog.refreshTable(self.name)
 
+    def compacted(self, path: str, name: str) -> DigestIndex:
+        """The same index in another folder with one file per bucket; each append had added one to each."""
+        out = DigestIndex(self.spark, path, name, self.buckets)
+        out.append(self.read())
+        return out
+
 
 def dedup(docs: DataFrame, index: DigestIndex, batch: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, in_index, text_hash.
@@ -43,6 +49,7 @@ def dedup(docs: DataFrame, index: DigestIndex, batch: str, doc_id: str = "doc_id
     id exactly one. A text that an earlier batch brought stays out: keep_id then names the earlier row and
     ``in_index`` is true. ``group_size`` counts the rows of this batch and of the index. The same ``batch``
     given again after a failure gives the same rows: what it had already appended doesn't count as earlier.
+    A text of any length is one digest; an empty batch gives no rows. Other columns are not read.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(without_white(F.col(text)), 256)).alias("digest"), F.char_length(body).alias("points"), F.xxhash64(body).alias("text_hash"), F.monotonically_increasing_id().alias("row"))

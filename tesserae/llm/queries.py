@@ -44,6 +44,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def digest_index_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in two batches, the second one deduplicated against the index that the first one left."""
+    docs, index = table(spark, sf_dir, "documents"), fresh_index(spark)
+    first = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8"
+    one, two = (digest_index.dedup(docs.where(w), index, f"batch{n}").withColumn("batch", F.lit(n)) for n, w in ((1, first), (2, ~first)))
+    return one.unionByName(two).select("doc_id", "batch", "keep_id", "group_size", "kept")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -68,7 +76,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_html_extraction, op3_simhash, op4_line_dedup, op5_exact_dedup, op6_quality_rules, op7_packing, op8_quality_classifier, op9_language_id, op10_mixing)
+    f.__name__: f
+    for f in (op1_sharding, op2_html_extraction, op3_simhash, op4_line_dedup, op5_exact_dedup, op6_quality_rules, op7_packing, op8_quality_classifier, op9_language_id, op10_mixing, digest_index_batches)
 }
 
 ORACLES: dict[str, str] = {
@@ -77,5 +86,11 @@ ORACLES: dict[str, str] = {
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
 w AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, text_sha256 FROM w""",
+    "digest_index_batches": r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h, CASE WHEN substr(md5(doc_id::VARCHAR), 1, 1) < '8' THEN 1 ELSE 2 END::INT AS batch FROM documents),
+w AS (SELECT *, first_value(doc_id) OVER (PARTITION BY h, batch ORDER BY points DESC, doc_id) AS best, count(*) OVER (PARTITION BY h, batch) AS n FROM d),
+o AS (SELECT h, any_value(best) AS old_best, any_value(n) AS old_n, true AS old FROM w WHERE batch = 1 GROUP BY h),
+j AS (SELECT w.*, old_best, old_n, batch = 2 AND coalesce(old, false) AS in_index FROM w LEFT JOIN o USING (h))
+SELECT doc_id, batch, CASE WHEN in_index THEN old_best ELSE best END AS keep_id, (n + CASE WHEN in_index THEN old_n ELSE 0 END)::BIGINT AS group_size, doc_id = best AND NOT in_index AS kept FROM j""",
     "op10_mixing": mixing.ORACLE,
 }

@@ -82,10 +82,10 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, doc_id: str = "doc_id",
     An empty table gives no rows. Other columns are not read.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    base = save(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("item")), "sizes")
+    base = save(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("item"), F.monotonically_increasing_id().alias("row")), "sizes")
     n = base.count()
     if not n:
         return base.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     where = shard_groups(base.groupBy("item").agg(F.sum("size").alias("bytes")), n_shards, per_bucket)
     placed = base.join(where, "item").drop("item")
-    return number_rows(placed, ["shard"], ["doc_id", "text_crc32", "size"], n, "slot")
+    return number_rows(placed, ["shard"], ["doc_id", "text_crc32", "size", "row"], n, "slot").drop("row")  # the row spreads rows that are alike

@@ -239,10 +239,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def representatives(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """(doc_id, text_hash) of the one document of each component that stays: the smallest id, null last.
+def representatives(found: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of the one document of each component of ``near_duplicates`` that stays: the smallest id, null last.
 
     Where several rows have that id, the one with the smallest text_hash stays; in a component without ids too.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    return near_duplicates(docs, distance=distance).groupBy("root").agg(F.min(order).alias("m")).select("m.doc_id", "m.text_hash")
+    return found.groupBy("root").agg(F.min(order).alias("m")).select("m.doc_id", "m.text_hash")

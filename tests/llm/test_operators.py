@@ -148,7 +148,8 @@ def test_simhash(spark, odd_docs, no_docs):
         got = simhash.near_duplicates(odd_docs, blocks=blocks).collect()
         assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == want
     assert simhash.near_duplicates(no_docs).count() == 0
-    kept = keep_rows(odd_docs, simhash.representatives(odd_docs))
+    found = simhash.near_duplicates(odd_docs)
+    kept = keep_rows(odd_docs, simhash.representatives(found), found)
     assert kept.count() == len(set(roots.values())) and kept.columns == odd_docs.columns
 
 
@@ -164,7 +165,8 @@ def test_one_row_of_each_component_stays_with_repeated_and_null_ids(spark):
     roots = slow_components({slow_fingerprint(r[1]) for r in rows}, 4)
     assert len(set(roots.values())) == 3 and len(roots) == 6
     docs = make(spark, rows)
-    kept = keep_rows(docs, simhash.representatives(docs)).collect()
+    found = simhash.near_duplicates(docs)
+    kept = keep_rows(docs, simhash.representatives(found), found).collect()
     assert Counter(roots[slow_fingerprint(r["text"])] for r in kept) == {r: 1 for r in roots.values()}
     assert [r["doc_id"] for r in kept].count(1) == 2
 
@@ -276,10 +278,29 @@ def test_exact(spark, odd_docs, no_docs):
     later = digest_index.dedup(odd_docs.unionByName(make(spark, [(900, "wholly new text", "en", "s")])), index, "b2")
     assert [r["doc_id"] for r in later.where("kept").collect()] == [900] and index.read().count() == len(groups) + 1
     assert digest_index.dedup(no_docs, index, "b3").count() == 0
-    kept = keep_rows(odd_docs, digest_index.dedup(odd_docs, fresh_index(spark), "x").where("kept"))
+    found = digest_index.dedup(odd_docs, fresh_index(spark), "x")
+    kept = keep_rows(odd_docs, found.where("kept"), found)
     assert kept.count() == len(groups) and kept.columns == odd_docs.columns
 
 
+def test_an_index_is_opened_again_and_compacted(spark, odd_docs):
+    index = fresh_index(spark)
+    digest_index.dedup(odd_docs.where("doc_id < 30"), index, "b1")
+    digest_index.dedup(odd_docs.where("doc_id between 30 and 60"), index, "b2")
+    spark.sql(f"DROP TABLE {index.name}")  # an external table: its folder stays, as after the session's end
+    again = digest_index.DigestIndex(spark, index.path, f"{index.name}_again")
+    small = again.compacted(f"{index.path}-small", f"{index.name}_small")
+    rows = Counter(map(tuple, again.read().collect()))
+    assert rows and Counter(map(tuple, small.read().collect())) == rows
+    assert len(set(small.read().inputFiles())) <= 64 < len(set(again.read().inputFiles())) or len(rows) < 64
+    for opened in (again, small):
+        got = digest_index.dedup(odd_docs, opened, "b3").collect()
+        old = {plain(r["text"]) for r in odd_docs.where("doc_id <= 60").collect()}
+        assert {hashlib.sha256(k.encode()).hexdigest() for k in old} == {r["text_sha256"] for r in got if r["in_index"]}
+        batch = opened.read().select("digest").groupBy("digest").count()
+        assert "Exchange hashpartitioning" not in batch._jdf.queryExecution().executedPlan().toString()
+
+
 def test_index_is_not_moved(spark, odd_docs):
     index = fresh_index(spark)
     digest_index.dedup(odd_docs, index, "b1")

@@ -1,11 +1,13 @@
 """The pipeline's decisions, stage by stage, and that the library stands without this subpackage."""
 
 import pathlib
-from collections import Counter
+from collections import Counter, defaultdict
+
+import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import make
-from tests.llm.test_operators import plain, slow_components, slow_fingerprint, words_of
+from tests.llm.test_operators import plain, slow_components, slow_fingerprint, slow_mix, words_of
 
 
 def test_stages(spark, odd_docs):
@@ -40,9 +42,35 @@ def test_documents_stay_where_no_language_can_be_learnt(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, t in enumerate(texts) if any(map(str.isalpha, t or ""))} and kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_an_empty_table_goes_through_each_stage(spark, no_docs, k):
+    _, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, no_docs, "")
+    assert out.count() == 0 and (k == 4 or out.columns == no_docs.columns)
+
+
 def test_run(spark):
-    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert got.count() > 100 and {"doc_id", "sequence_id", "offset"} <= set(got.columns)
+    """The whole run by plain means: which documents are packed, how often, and each piece once in its place."""
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if any(map(str.isalpha, r["text"] or ""))]
+    best = {}
+    for r in docs:
+        key = plain(r["text"])
+        if key not in best or (-len(r["text"]), r["doc_id"]) < (-len(best[key]["text"]), best[key]["doc_id"]):
+            best[key] = r
+    fps = {r["doc_id"]: slow_fingerprint(r["text"]) for r in best.values()}
+    roots, first = slow_components(set(fps.values()), 4), {}
+    for d in sorted(fps):
+        first.setdefault(roots[fps[d]], d)
+    left = [r for r in best.values() if r["doc_id"] in first.values()]
+    times = Counter({d: taken // size for (d, _, size, taken), n in slow_mix(left).items() if size})
+    assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == +times
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in sequences.values():
+        s.sort()
+        assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and sum(s[-1]) <= 1024
 
 
 def test_nothing_else_imports_the_subpackage():
