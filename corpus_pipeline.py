@@ -14,7 +14,11 @@ from tesserae.llm.queries import fresh_index
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter; the others go, whatever the language. Where no row has a language to learn from, too."""
+    """Documents with a letter; the others go, whatever the language. Where no row has a language to learn from, too.
+
+    A null or empty text has no letter. Repeated rows and ids share their fate; a text of any length is one document;
+    an empty table stays empty.
+    """
     model = language_id.train(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -23,17 +27,28 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts."""
-    return keep_rows(docs, digest_index.dedup(docs, fresh_index(spark), "all").where("kept"))
+    """One document of each set of texts that are equal without white space: the longest, then the smallest id, null last.
+
+    A null text is an empty one. Of repeated rows one stays; an empty table stays empty.
+    """
+    found = digest_index.dedup(docs, fresh_index(spark), "all")
+    return keep_rows(docs, found.where("kept"), found)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return keep_rows(docs, simhash.representatives(docs))
+    """One document of each component of near copies: the smallest id, null last, then the smallest hash of the text.
+
+    Texts without a word, null ones too, are one component. Of repeated rows one stays; an empty table stays empty.
+    """
+    found = simhash.near_duplicates(docs)
+    return keep_rows(docs, simhash.representatives(found), found)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it; documents without a word, null ones too, are not taken.
+
+    Null sources are one source. Of repeated rows each may be taken; an empty table stays empty.
+    """
     taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_ts_id"), F.col("text_hash").alias("_ts_h"), (F.col("taken") / F.col("size")).cast("int").alias("_ts_n"))
     # rows alike in id and text may be taken in different numbers: their sum, shared out again over one row each
     taken = taken.groupBy("_ts_id", "_ts_h").agg(F.sum("_ts_n").alias("_ts_n"))
@@ -43,7 +58,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens, one row per piece."""
+    """Sequences of 1024 tokens, one row per piece. A null text is its end token alone; an empty table gives no rows."""
     return packing.pack_documents(docs)
 
 
