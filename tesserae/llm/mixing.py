@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import let, n_words, save, without_white, words
+from tesserae.llm.common import let, save, without_white, words
 from tesserae.llm.statistics import count_of
 from tesserae.sources.numbering import number_in_order
 
@@ -26,16 +26,16 @@ RARE = "#*$%&|<>!0123456789"
 BINS = {"rare": 1000, "length": 500, "distinct": 100}
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Bins of a text: rare characters per thousand, tenths of characters a word, distinct words per hundred."""
-    body = F.coalesce(text, F.lit(""))
-    n = F.greatest(n_words(body), F.lit(1))
-    share = lambda part, whole, bins: F.least(F.floor(F.lit(float(bins)) * part / whole), F.lit(bins)).cast("int")
-    return {
-        "rare": share(count_of(body, RARE), F.greatest(F.char_length(body), F.lit(1)), BINS["rare"]),
-        "length": F.least(F.floor(F.lit(10.0) * F.char_length(without_white(body)) / n), F.lit(BINS["length"])).cast("int"),
-        "distinct": let(words(body), lambda w: share(F.size(F.array_distinct(w)), F.greatest(F.size(w), F.lit(1)), BINS["distinct"])),
-    }
+def statistics(rows: DataFrame, text: str) -> DataFrame:
+    """Add ``size``, the number of words, and bins of ``text``: rare characters per thousand, tenths of characters a word, distinct words per hundred."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    counted = let(words(body), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct")))
+    chars = F.struct(F.char_length(body).alias("all"), F.char_length(without_white(body)).alias("black"), count_of(body, RARE).alias("rare"))
+    rows = rows.withColumns({"_w": counted, "_c": chars}).drop(text)
+    share = lambda part, whole, name: F.least(F.floor(F.lit(float(BINS[name])) * part / F.greatest(whole, F.lit(1))), F.lit(BINS[name])).cast("int")
+    n = F.greatest(F.col("_w.n"), F.lit(1))
+    bins = {"rare": share(F.col("_c.rare"), F.col("_c.all"), "rare"), "length": F.least(F.floor(F.lit(10.0) * F.col("_c.black") / n), F.lit(BINS["length"])).cast("int"), "distinct": share(F.col("_w.distinct"), F.col("_w.n"), "distinct")}
+    return rows.withColumns({"size": F.col("_w.n").cast("long"), **bins}).drop("_w", "_c")
 
 
 def with_weights(rows: DataFrame) -> DataFrame:
@@ -169,8 +169,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """
     body = F.col(text)
     tag = F.xxhash64(F.coalesce(body, F.lit("")))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(body).alias("size"), tag.alias("text_hash"), *[c.alias(k) for k, c in statistics(body).items()])
-    rows = save(rows.withColumn("row", F.monotonically_increasing_id()), "mix")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), body.alias("body"), tag.alias("text_hash"), F.monotonically_increasing_id().alias("row"))
+    rows = save(statistics(rows, "body"), "mix")
     rows = with_weights(rows).withColumn("key", -F.log(uniform(F.col("doc_id"))) / F.col("weight"))
     rows = rows.withColumns({"high": F.shiftright("text_hash", 32).cast("double"), "low": F.col("text_hash").bitwiseAND(F.lit(0xFFFFFFFF)).cast("double"), "row": F.col("row").cast("double")})
     rows = save(rows.drop("weight"), "keys")
