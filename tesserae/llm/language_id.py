@@ -49,16 +49,15 @@ class Lattice:
     def __init__(self, pieces: tuple[str, ...]):
         self.pieces, self.ids = pieces, {p: i for i, p in enumerate(pieces)}
         self.max_piece = max(map(len, pieces), default=1)
-        h = np.array([self._hash(p) for p in pieces], np.uint64)
-        self.order = np.argsort(h)
-        self.sorted = h[self.order]
-
-    @staticmethod
-    def _hash(piece: str) -> int:
-        h = 0
-        for c in piece:
-            h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-        return h
+        known: dict[int, int] = {}  # of each beginning of a piece, the piece that it is itself, if any
+        for i, p in enumerate(pieces):
+            h = 0
+            for c in p:
+                h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+                known.setdefault(h, len(pieces))
+            known[h] = i
+        self.prefixes = np.array(sorted(known), np.uint64)
+        self.piece_of = np.array([known[h] for h in sorted(known)], np.int64)
 
     def arcs(self, same_length: list[str]) -> dict[tuple[int, int], np.ndarray]:
         """(start, end) -> for each word the id of the piece there; len(pieces) if none, +1 for an unknown character."""
@@ -67,15 +66,20 @@ class Lattice:
         none, out = len(self.pieces), {}
         with np.errstate(over="ignore"):
             for i in range(n):
-                h = np.zeros(m, np.uint64)
+                at, h = np.arange(m), np.zeros(m, np.uint64)  # the words whose characters from i on begin a piece
                 for j in range(i + 1, min(n, i + self.max_piece) + 1):
-                    h = h * _BASE + codes[:, j - 1]
-                    at = np.minimum(np.searchsorted(self.sorted, h), none - 1)
-                    ids = np.where(self.sorted[at] == h, self.order[at], none)
+                    h = h * _BASE + codes[at, j - 1]
+                    place = np.minimum(np.searchsorted(self.prefixes, h), len(self.prefixes) - 1)
+                    alive = self.prefixes[place] == h
+                    at, h = at[alive], h[alive]
+                    ids = np.full(m, none)
+                    ids[at] = self.piece_of[place[alive]]
                     if j == i + 1:
                         ids[ids == none] = none + 1
                     if j == i + 1 or (ids != none).any():
                         out[i, j] = ids
+                    if not len(at):
+                        break
         return out
 
     def table(self, probs: np.ndarray) -> np.ndarray:
