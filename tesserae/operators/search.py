@@ -50,26 +50,38 @@ def query_terms(variants: DataFrame, tokens: Column) -> DataFrame:
     return variants.select("query_id", "variant", "variant_boost", F.posexplode(tokens).alias("term_no", "term"))
 
 
+def scored_terms(terms: DataFrame, stats: DataFrame, fields: DataFrame) -> DataFrame:
+    """The queries' terms, one row for each field that has them, with their idf and the field's average length."""
+    wanted = terms.select("term").distinct().join(stats, "term").join(fields, "field")
+    return terms.join(wanted.select("field", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_len"), "term")
+
+
 def postings_join(terms: DataFrame, postings: DataFrame, stats: DataFrame, fields: DataFrame) -> DataFrame:
     """Postings of the queries' terms, with their idf and the field's average length.
 
     Statistics are joined to the few terms of the queries first; the postings are then met once, on field and term.
     """
-    wanted = terms.select("term").distinct().join(stats, "term").join(fields, "field")
-    scored = wanted.select("field", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_len")
-    return postings.join(terms.join(scored, "term"), ["field", "term"])
+    return postings.join(scored_terms(terms, stats, fields), ["field", "term"])
 
 
-def match_fields(hits: DataFrame, boosts: dict[str, float], key: str = "_id") -> DataFrame:
-    """best_fields: per variant the best field's boosted sum over terms, times the variant's boost; variants add up."""
-    boost = F.element_at(F.create_map(*[F.lit(x) for k, v in boosts.items() for x in (k, float(v))]), F.col("field"))
-    mine = hits.where(F.col("field").isin(list(boosts)))
+def field_scores(hits: DataFrame, key: str = "_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, key, variant, variant_boost, by.., field, s, n): sum over terms and number of terms met, in one aggregation."""
     part = bm25(F.col("tf"), F.col("len"), F.col("avg_len"), F.col("idf"))
-    by_field = mine.groupBy("query_id", key, "variant", "variant_boost", "field").agg(F.sum(part).alias("s"))
-    best = by_field.groupBy("query_id", key, "variant", "variant_boost").agg(F.max(F.col("s") * boost).alias("s"))
+    return hits.groupBy("query_id", key, "variant", "variant_boost", *by, "field").agg(F.sum(part).alias("s"), F.count(F.lit(1)).alias("n"))
+
+
+def best_fields(scores: DataFrame, boosts: dict[str, float], key: str = "_id") -> DataFrame:
+    """Per variant the best field's boosted sum, times the variant's boost; variants add up."""
+    boost = F.element_at(F.create_map(*[F.lit(x) for k, v in boosts.items() for x in (k, float(v))]), F.col("field"))
+    best = scores.where(F.col("field").isin(list(boosts))).groupBy("query_id", key, "variant", "variant_boost").agg(F.max(F.col("s") * boost).alias("s"))
     return best.groupBy("query_id", key).agg(F.sum(F.col("s") * F.col("variant_boost")).alias("score"))
 
 
+def match_fields(hits: DataFrame, boosts: dict[str, float], key: str = "_id") -> DataFrame:
+    """best_fields: per variant the best field's boosted sum over terms, times the variant's boost; variants add up."""
+    return best_fields(field_scores(hits.where(F.col("field").isin(list(boosts))), key), boosts, key)
+
+
 def phrase_match(hits: DataFrame, boosts: dict[str, float], key: str = "_id", best: bool = False) -> DataFrame:
     """Documents that hold all terms of a query in a row, scored by the sum of idf and the phrase's count.
 

@@ -478,40 +478,38 @@ def term_statistics(spark, d):
     return term_stats(found).join(field_stats(found, "_first"), "field").select("field", "term", "df", "n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
-def _matched(spark, d, corpus):
+def _met(spark, d):
     queries = corpus_queries(spark, d)
-    hits = retrieval._hits(corpus, queries.select("query_id", F.col("query").alias("variant"), F.lit(1.0).alias("variant_boost")), tokenize)
-    return hits, search.match_fields(hits, FIELDS)
+    return retrieval.Met.of(_corpus(spark, d), queries.select("query_id", F.col("query").alias("variant"), F.lit(1.0).alias("variant_boost"), F.lit("own").alias("role")))
 
 
 @query(rf"WITH {_CORPUS} SELECT query_id, _id, round(score, 5) AS score FROM matched")
 def match_fields(spark, d):
-    return _matched(spark, d, _corpus(spark, d))[1].select("query_id", "_id", F.round("score", 5).alias("score"))
+    return _met(spark, d).matches(FIELDS, "own").select("query_id", "_id", F.round("score", 5).alias("score"))
 
 
 @query(rf"WITH {_CORPUS}, {_PHRASE} SELECT query_id, _id, round(score, 5) AS score FROM phrases")
 def phrase_match(spark, d):
-    hits, _ = _matched(spark, d, _corpus(spark, d))
-    return search.phrase_match(hits, PHRASES).select("query_id", "_id", F.round("score", 5).alias("score"))
+    return _met(spark, d).phrases(PHRASES, "own").select("query_id", "_id", F.round("score", 5).alias("score"))
 
 
 _BOTH = "should AS (SELECT query_id, _id, sum(score) AS score FROM (SELECT * FROM matched UNION ALL SELECT * FROM phrases) GROUP BY 1, 2)"
 _TOP = "(SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, _id))::INT AS rank FROM {}) WHERE rank <= {}"
 
 
-def _should(spark, d, corpus):
-    hits, matched = _matched(spark, d, corpus)
-    return search.bool_should(matched, search.phrase_match(hits, PHRASES))
+def _should(spark, d):
+    met = _met(spark, d)
+    return search.bool_should(met.matches(FIELDS, "own"), met.phrases(PHRASES, "own"))
 
 
 @query(rf"WITH {_CORPUS}, {_PHRASE}, {_BOTH} SELECT query_id, count(*) AS hits, round(sum(score), 3) AS total FROM should GROUP BY 1")
 def bool_should(spark, d):
-    return _should(spark, d, _corpus(spark, d)).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.round(F.sum("score"), 3).alias("total"))
+    return _should(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.round(F.sum("score"), 3).alias("total"))
 
 
 @query(rf"WITH {_CORPUS} SELECT query_id, count(*) AS total_hits FROM matched GROUP BY 1")
 def total_hits(spark, d):
-    return facets.total_hits(_matched(spark, d, _corpus(spark, d))[1])
+    return facets.total_hits(_met(spark, d).matches(FIELDS, "own"))
 
 
 @query(rf"WITH {_CORPUS}, {_PHRASE}, {_BOTH} SELECT query_id, _id, round(score, 5) AS score, rank FROM " + _TOP.format("should", 5))

@@ -47,13 +47,43 @@ class Corpus:
         return cls(docs, postings.drop("_first"), terms, lengths, docs.count())
 
 
-def _hits(corpus: Corpus, variants: DataFrame, tokens) -> DataFrame:
-    """Postings of the variants' terms; further columns of ``variants`` stay on the hits."""
+def _terms(corpus: Corpus, variants: DataFrame, tokens) -> DataFrame:
+    """The variants' terms with their statistics in each field; further columns of ``variants`` stay on them."""
     terms = search.query_terms(variants, tokens(F.col("variant")))
     sizes = terms.groupBy("query_id", "variant").agg(F.count(F.lit(1)).alias("n_terms"))
     more = variants.select("query_id", "variant", *[c for c in variants.columns if c not in ("query_id", "variant", "variant_boost")])
-    found = search.postings_join(terms.join(sizes, ["query_id", "variant"]), corpus.postings, corpus.terms, corpus.lengths)
-    return found.join(more, ["query_id", "variant"]) if len(more.columns) > 2 else found
+    terms = terms.join(sizes, ["query_id", "variant"])
+    return search.scored_terms(terms.join(more, ["query_id", "variant"]) if len(more.columns) > 2 else terms, corpus.terms, corpus.lengths)
+
+
+def _hits(corpus: Corpus, variants: DataFrame, tokens) -> DataFrame:
+    """Postings of the variants' terms."""
+    return corpus.postings.join(_terms(corpus, variants, tokens), ["field", "term"])
+
+
+@dataclass
+class Met:
+    """What variants of queries (with a ``role``) met: their terms, and a score for each document and field."""
+
+    corpus: Corpus
+    terms: DataFrame
+    scores: DataFrame
+
+    @classmethod
+    def of(cls, corpus: Corpus, variants: DataFrame, tokens=tokenize) -> Met:
+        """The postings are met once, by all terms of all variants; one row for each query, document and field is written."""
+        terms = save(_terms(corpus, variants, tokens), "terms")
+        hits = corpus.postings.drop("positions").join(terms, ["field", "term"])
+        return cls(corpus, terms, save(search.field_scores(hits, by=("role", "n_terms")), "scores"))
+
+    def matches(self, boosts: dict[str, float], *roles: str) -> DataFrame:
+        return search.best_fields(self.scores.where(F.col("role").isin(list(roles))), boosts)
+
+    def phrases(self, boosts: dict[str, float], *roles: str, best: bool = False) -> DataFrame:
+        """Only documents that hold all terms of a variant in a field meet the postings again, for the positions."""
+        full = self.scores.where(F.col("role").isin(list(roles)) & F.col("field").isin(list(boosts)) & (F.col("n") == F.col("n_terms")))
+        wanted = save(full.select("query_id", "variant", "field", "_id").join(self.terms, ["query_id", "variant", "field"]), "wanted")
+        return search.phrase_match(self.corpus.postings.join(wanted, ["field", "term", "_id"]), boosts, best=best)
 
 
 def same(c: Column) -> Column:
@@ -74,26 +104,24 @@ def _variants(queries: DataFrame, to_traditional, to_simplified, raw_boost: floa
 def keyword_matches(queries: DataFrame, corpus: Corpus, boosts: Boosts = Boosts(), tokens=tokenize, code: str = search.QUERY_CODE, to_traditional=same, to_simplified=same) -> DataFrame:
     """(query_id, _id, score) of all documents that match; queries that are product codes take the code clauses.
 
-    All variants of all queries meet the postings once; their hits are written and shared by the clauses.
+    All variants of all queries meet the postings once; what they score is written and shared by the clauses.
     """
     flagged = queries.select("query_id", "query", search.is_code_query(F.col("query"), code).alias("is_code"))
     codes, texts = flagged.where("is_code"), flagged.where("not is_code")
     wanted = codes.select("query_id", F.upper(F.trim("query")).alias("value"))
     variants = _variants(texts, to_traditional, to_simplified, 1.0, 0.8)
     as_variant = wanted.select("query_id", F.col("value").alias("variant"), F.lit(1.0).alias("variant_boost"), F.lit(_CODE).alias("role"))
-    hits = save(_hits(corpus, variants.unionByName(as_variant), tokens), "hits")
-    role, clauses, ids = F.col("role"), [], corpus.docs.columns
+    met = Met.of(corpus, variants.unionByName(as_variant), tokens)
+    clauses, ids = [], corpus.docs.columns
     if "product_ids" in ids:
         clauses.append(search.exact_term(wanted, corpus.docs, "product_ids", boosts.code_ids, corpus.n_docs))
     if "metadata" in ids:
         own = corpus.docs.select("_id", F.col("metadata")["product_id"].alias("own"))
         clauses.append(search.exact_term(wanted, own, "own", boosts.code_key, corpus.n_docs))
-    code_hits = hits.where(role == _CODE)
-    clauses += [search.phrase_match(code_hits, boosts.code_phrases), search.phrase_match(code_hits, boosts.code_anywhere, best=True)]
+    clauses += [met.phrases(boosts.code_phrases, _CODE), met.phrases(boosts.code_anywhere, _CODE, best=True)]
     if "status" in ids:
         clauses.append(search.exact_term(texts.select("query_id", F.col("query").alias("value")), corpus.docs, "status", boosts.status, corpus.n_docs, normalize=normalize_keyword))
-    clauses.append(search.phrase_match(hits.where(role == _OWN), boosts.phrases))
-    clauses.append(search.match_fields(hits.where(role != _CODE), boosts.fields))
+    clauses += [met.phrases(boosts.phrases, _OWN), met.matches(boosts.fields, _OWN, _OTHER)]
     return search.bool_should(*clauses)
 
 
@@ -113,8 +141,8 @@ def over_fetch(matches: DataFrame, queries: DataFrame, factor: int, by: Column |
 def hybrid_matches(queries: DataFrame, corpus: Corpus, nearest: DataFrame, boosts: Boosts = Boosts(), tokens=tokenize, to_traditional=same, to_simplified=same) -> DataFrame:
     """(query_id, _id, score): keyword clauses and nearest vectors, weighted. Codes have no clauses of their own here."""
     variants = save(_variants(queries, to_traditional, to_simplified, boosts.hybrid_match, boosts.hybrid_match), "variants")
-    hits = save(_hits(corpus, variants, tokens), "hits")
-    clauses = [search.match_fields(hits, boosts.hybrid_fields), search.phrase_match(hits.where(F.col("role") == _OWN), boosts.hybrid_phrases)]
+    met = Met.of(corpus, variants, tokens)
+    clauses = [met.matches(boosts.hybrid_fields, _OWN, _OTHER), met.phrases(boosts.hybrid_phrases, _OWN)]
     if "status" in corpus.docs.columns:
         clauses.append(search.exact_term(variants.select("query_id", F.col("variant").alias("value")), corpus.docs, "status", boosts.hybrid_status, corpus.n_docs, normalize=normalize_keyword))
     return search.hybrid_join(search.bool_should(*clauses), nearest, boosts.keyword_weight, boosts.vector_weight)

@@ -4,39 +4,83 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesserae.sources.scratch import save
+
 KINDS = ("INSERT", "UPDATE", "DELETE", "CREATE", "DROP", "ALTER")
 _QUOTED = r"'(?:[^'\\]|\\.|'')*(?:'|\Z)|\"(?:[^\"\\]|\\.|\"\")*(?:\"|\Z)|`(?:[^`]|``)*(?:`|\Z)"
-_LEXEME = re.compile(rf"(?P<quoted>{_QUOTED})|(?P<comment>(?:--(?=\s|\Z)|\#)[^\n]*|/\*.*?(?:\*/|\Z))|(?P<end>;)", re.S)
+_SPECIAL = re.compile(r"['\"`;#]|--(?=\s|\Z)|/\*")
+_IN_QUOTE = {"'": re.compile(r"[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+", re.S), '"': re.compile(r"[^\"\\]*+(?:(?:\\.|\"\")[^\"\\]*+)*+", re.S), "`": re.compile(r"[^`]*+(?:``[^`]*+)*+")}
+#: What a text may start in: plain SQL, one of the quotes, a block comment.
+MODES = ("", "'", '"', "`", "*")
 _INSERT = re.compile(rf"^\s*(?:INSERT|REPLACE)\s+(?:\w+\s+)*?INTO\s+(`[^`]+`|[\w.]+)\s*(?:\(([^)]*)\))?\s*VALUES\s*", re.I | re.S)
 _VALUE = re.compile(rf"(?P<quoted>{_QUOTED})|(?P<mark>[(),])|(?P<plain>[^'\"`(),]+)", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "b": "\b", "Z": "\x1a"}
 
 
+def _lex(text: str, mode: str) -> Iterator[tuple[str | None, str]]:
+    """(kept text, mode after it) pieces of a text that starts in ``mode``; None for the end of a statement. Comments are left out."""
+    at, n = 0, len(text)
+    while at < n:
+        if mode == "*":
+            end = text.find("*/", at)
+            if end < 0:
+                yield "", mode
+                return
+            at, mode = end + 2, ""
+        elif mode:
+            end = _IN_QUOTE[mode].match(text, at).end()
+            if end >= n:
+                yield text[at:], mode
+                return
+            piece, at, mode = text[at : end + 1], end + 1, ""
+            yield piece, mode
+        else:
+            found = _SPECIAL.search(text, at)
+            if not found:
+                yield text[at:], mode
+                return
+            mark, start = found.group(), found.start()
+            if mark in ("#", "--"):
+                end = text.find("\n", start)
+                yield text[at:start], mode
+                at = n if end < 0 else end
+            elif mark == ";":
+                yield text[at:start], mode
+                yield None, mode
+                at = start + 1
+            elif mark == "/*":
+                mode = "*"
+                yield text[at:start], mode
+                at = start + 2
+            else:
+                mode = mark
+                yield text[at : start + 1], mode
+                at = start + 1
+
+
+def _typed(sql: str) -> str:
+    word = sql.split(None, 1)[0].upper()
+    return word if word in KINDS else "OTHER"
+
+
 def split_statements(text: str) -> Iterator[tuple[str, str]]:
     """(type, statement): quotes and comments are respected, a tail without a semicolon is OTHER."""
     kept: list[str] = []
-    at = 0
-
-    def take() -> str:
-        out = "".join(kept).strip()
-        kept.clear()
-        return out
-
-    for m in _LEXEME.finditer(text):
-        kept.append(text[at : m.start()])
-        at = m.end()
-        if m.lastgroup == "quoted":
-            kept.append(m.group())
-        elif m.lastgroup == "end" and (sql := take()):
-            word = sql.split(None, 1)[0].upper()
-            yield word if word in KINDS else "OTHER", sql
-    kept.append(text[at:])
-    if sql := take():
+    for piece, _ in _lex(text, ""):
+        if piece is not None:
+            kept.append(piece)
+        elif sql := "".join(kept).strip():
+            yield _typed(sql), sql
+            kept.clear()
+        else:
+            kept.clear()
+    if sql := "".join(kept).strip():
         yield "OTHER", sql
 
 
@@ -77,17 +121,131 @@ def split_tuples(sql: str) -> tuple[str, list[str], list[list[str | None]]] | No
     return head[1].strip("`"), columns, rows
 
 
-def read_sql_dump(spark: SparkSession, path: str) -> DataFrame:
-    """(file, stmt_no, stmt_type, sql), one row per statement; files are read in parallel, a file in one task."""
+@dataclass
+class _Effect:
+    """What a text does to the statement that is open before it: where it leaves the lexer, and which statements aren't blank."""
+
+    mode: str
+    ends: bool = False  # a statement ends in it
+    head: bool = False  # text before the first end, or in all of it
+    between: int = 0  # statements with text between the first and the last end
+    tail: bool = False  # text after the last end
+
+    def then(self, pieces: Iterator[tuple[str | None, str]]) -> None:
+        for piece, mode in pieces:
+            self.mode = mode
+            if piece is None:
+                self.between += self.ends and self.tail
+                self.ends, self.tail = True, False
+            elif piece.strip():
+                if self.ends:
+                    self.tail = True
+                else:
+                    self.head = True
+
+
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, str, bool]]:
+    """(first row, text, whether a chunk of a file begins here) of the rows that follow each other in one chunk."""
+    last = None
+    for pdf in batches:
+        key = list(zip(pdf["path"], pdf["block"]))
+        cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                yield pdf.iloc[a], "\n".join(pdf["value"].iloc[a:b]) + "\n", key[a] != last
+                last = key[a]
+
+
+def _effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each chunk what it does from each mode."""
+    names = ["path", "block", "start", "mode", "ends", "head", "between", "tail"]
+    row, effects = None, {}
+    out = lambda: pd.DataFrame([(row["path"], row["block"], m, e.mode, e.ends, e.head, e.between, e.tail) for m, e in effects.items()], columns=names)
+    for first, text, begins in _chunks(batches):
+        if begins:
+            if row is not None:
+                yield out()
+            row, effects = first, {m: _Effect(m) for m in MODES}
+        by_mode: dict[str, list[_Effect]] = {}
+        for e in effects.values():
+            by_mode.setdefault(e.mode, []).append(e)
+        for now, alike in by_mode.items():
+            pieces = list(_lex(text, now))
+            for e in alike:
+                e.then(iter(pieces))
+    if row is not None:
+        yield out()
+
+
+def _starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Where each chunk of one file starts: the mode, whether the open statement has text, and its number."""
+    mode, filled, number, rows = "", False, 0, []
+    for block, part in pdf.sort_values("block").groupby("block"):
+        e = part[part["start"] == mode].iloc[0]
+        rows.append((pdf["path"].iloc[0], block, mode, filled, number))
+        if e["ends"]:
+            number += int(filled or e["head"]) + int(e["between"])
+            filled = bool(e["tail"])
+        else:
+            filled = bool(filled or e["head"])
+        mode = e["mode"]
+    return pd.DataFrame(rows, columns=["path", "block", "mode", "filled", "number"])
+
+
+def _fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path, block, stmt_no, ended, whole, sql): whole statements of a chunk, and the parts of those that it shares with others."""
+    rows, kept, row = [], [], None
+    mode, filled, number, inside = "", False, 0, False
+
+    def take(ended: bool) -> None:
+        nonlocal filled, number, inside
+        sql = "".join(kept)
+        if sql.strip() or filled:
+            rows.append((row["path"], row["block"], number, ended, inside and ended, sql))
+        if ended:
+            number += bool(sql.strip() or filled)
+            filled, inside = False, True
+        kept.clear()
+
+    def out() -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=["path", "block", "stmt_no", "ended", "whole", "sql"])
+        rows.clear()
+        return made
+
+    for first, text, begins in _chunks(batches):
+        if begins:
+            if row is not None:
+                take(False)
+            row, mode, filled, number, inside = first, first["mode"], bool(first["filled"]), int(first["number"]), False
+        for piece, mode in _lex(text, mode):
+            if piece is None:
+                take(True)
+            else:
+                kept.append(piece)
+        yield out()
+    if row is not None:
+        take(False)
+        yield out()
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file, text in zip(pdf["file"], pdf["value"]):
-                found = [(file, i, kind, sql) for i, (kind, sql) in enumerate(split_statements(text or ""))]
-                yield pd.DataFrame(found, columns=["file", "stmt_no", "stmt_type", "sql"])
 
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("file"), "value")
-    return files.mapInPandas(split, "file string, stmt_no long, stmt_type string, sql string")
+def read_sql_dump(spark: SparkSession, path: str) -> DataFrame:
+    """(file, stmt_no, stmt_type, sql), one row per statement. Files of any size are read in chunks, side by side.
+
+    A first pass finds what each chunk does to the lexer from each mode it may start in, a chain over the chunks of a file
+    gives the mode in which each does start, and a second pass cuts it. Parts of statements that go over chunks are glued,
+    so only a statement, not a file, must fit a row. Lines end with a line feed.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    effects = lines.mapInPandas(_effects, "path string, block long, start string, mode string, ends boolean, head boolean, between long, tail boolean")
+    starts = save(effects.groupBy("path").applyInPandas(_starts, "path string, block long, mode string, filled boolean, number long"), "starts")
+    placed = lines.join(F.broadcast(starts), ["path", "block"])  # one row for each chunk that Spark reads
+    parts = save(placed.mapInPandas(_fragments, "path string, block long, stmt_no long, ended boolean, whole boolean, sql string"), "parts")
+    glued = parts.where("not whole").groupBy("path", "stmt_no").agg(F.max("ended").alias("ended"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "sql"))), lambda p: p["sql"]), "").alias("sql"))
+    every = parts.where("whole").select("path", "stmt_no", "ended", "sql").unionByName(glued.select("path", "stmt_no", "ended", "sql"))
+    text = F.regexp_replace("sql", r"(?U)^\s++|(?<!\s)\s++$", "")
+    word = F.upper(F.regexp_extract(F.col("text"), r"(?U)^\S+", 0))
+    kind = F.when(F.col("ended") & word.isin(list(KINDS)), word).otherwise("OTHER")
+    return every.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "stmt_no", "ended", text.alias("text")).where("text <> ''").select("file", "stmt_no", kind.alias("stmt_type"), F.col("text").alias("sql"))
 
 
 def insert_rows(statements: DataFrame, batch: int = 1000) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -131,3 +132,24 @@ def test_business_dumps_become_documents(spark, tmp_path):
     assert docs["complaint_CC01"]["metadata"]["related_products"] == "P001(感測器甲), P016(測距儀), P020(閥門)" and docs["product_P020"]["metadata"]["price"] == "15.25"
     facet = facets.product_facet(made.withColumn("query_id", F.lit(1))).collect()
     assert {r["value"]: r["count"] for r in facet} == {"P001": 3, "P012": 3, "P016": 4, "P020": 3}
+
+
+def test_dumps_in_many_chunks_equal_one_text(spark, tmp_path):
+    rng = random.Random(21)
+    bits = ["INSERT INTO t VALUES (1)", ";", "; ", "\n", "'a;b'", "'it''s'", "'x\\'y;'", '"q;\n"', "`c;``d`", "-- note; '\n", "# other; \"\n", "/* b; ' */", "--x", " ", "\n\n", "UPDATE t", "'long\n;\n'", "/*\n;\n*/", "\u00e9\u6f22", "\r\n"]
+    want = set()
+    for k in range(12):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(0, 60)))
+        (tmp_path / f"f{k}.sql").write_bytes(text.encode())
+        want |= {(f"f{k}.sql", i, kind, sql) for i, (kind, sql) in enumerate(dumps.split_statements(text))}
+    big = "INSERT INTO t VALUES ('" + "line;\n" * 400 + "');\nselect 1"
+    (tmp_path / "big.sql").write_text(big)
+    want |= {("big.sql", i, kind, sql) for i, (kind, sql) in enumerate(dumps.split_statements(big))}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "70b", "333b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = [tuple(r) for r in dumps.read_sql_dump(spark, str(tmp_path)).collect()]
+            assert set(got) == want and len(got) == len(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
