@@ -238,3 +238,13 @@ def test_results_have_highlights_and_facets(spark):
     assert [tuple(x) for x in got[1]["type_facet"]] == [("product_master", 1)] and [tuple(x) for x in got[1]["product_ids_facet"]] == [("P001", 1)]
     assert got[2]["type_facet"] is None and got[4]["results"] is None and got[4]["context"] == "" and got[4]["total_hits"] == 0
     assert [r["index"] for r in got[3]["results"]] == ["erp-products"] and "P002" in got[3]["context"]  # the status in capitals is met without its accent
+
+
+def test_fuzzy_search_in_one_table(spark):
+    docs = spark.createDataFrame([(1, "sensr box", "a", "x1"), (2, "sensor", "b", "x2"), (3, "other", "a", "x3")], "_id int, content string, table_name string, doc_id string")
+    corpus = retrieval.Corpus.of(docs, ["content", "doc_id"])
+    q = spark.createDataFrame([(1, "sensor")], "query_id int, query string")
+    ids = lambda **o: {r["_id"] for r in retrieval.fuzzy_search(q, corpus, **o).collect()}
+    assert ids() == {1, 2} and ids(table=("table_name", "a")) == {1}
+    met = retrieval.fuzzy_matches(q, corpus).join(docs.select("_id", "table_name"), "_id")
+    assert sorted(map(tuple, facets.table_facet(met).collect())) == [(1, "a", 1), (1, "b", 1)]

@@ -153,3 +153,18 @@ def test_dumps_in_many_chunks_equal_one_text(spark, tmp_path):
             assert set(got) == want and len(got) == len(want)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_read_table_by_jdbc(spark, tmp_path):
+    """Through the database that comes with Spark: whole, by predicates, and by ranges of a column."""
+    jdbc = {"url": f"jdbc:derby:{tmp_path}/db;create=true", "dbtable": "PRODUCTS", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = spark.range(50).select(F.col("id").alias("K"), (F.col("id") * 3).alias("V"))
+    rows.write.format("jdbc").options(**jdbc).save()
+    want = sorted(map(tuple, rows.collect()))
+    for got in (
+        tables.read_table(spark, jdbc=jdbc),
+        tables.read_table(spark, jdbc=jdbc, predicates=["K < 20", "K >= 20"]),
+        tables.read_table(spark, jdbc=jdbc | {"partitionColumn": "K", "lowerBound": "0", "upperBound": "50", "numPartitions": "4"}),
+    ):
+        assert sorted(map(tuple, got.collect())) == want
+    assert tables.read_table(spark, jdbc=jdbc, predicates=["K < 20", "K >= 20"]).rdd.getNumPartitions() == 2

@@ -83,3 +83,18 @@ def test_file_drop_with_ledger(spark, tmp_path):
     drop("b.sql", "INSERT INTO t VALUES (3);", "c3")
     assert seen[-1] == ("b.sql", "INSERT INTO t VALUES (3)")
     assert {(r["file"], r["success"]) for r in jobs.read_ledger(spark, ledger).collect()} >= {("b.sql", True)}
+
+
+def test_late_rows_in_a_stream(spark, tmp_path):
+    """Repeats of a change are left out, within a batch and across batches."""
+    source = str(tmp_path / "in")
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, ts timestamp").coalesce(1).write.mode("append").parquet(source)
+    t = lambda m: datetime(2024, 1, 1, 0, m)
+    stream = lambda: jobs.late_rows(spark.readStream.schema("k int, ts timestamp").parquet(source), "k", "ts")
+    out = lambda: run(stream().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")))
+    rows((1, t(0)), (1, t(0)), (2, t(1)))
+    out()
+    rows((1, t(0)), (2, t(5)), (3, t(6)))
+    out()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == [(1, t(0)), (2, t(1)), (2, t(5)), (3, t(6))]
