@@ -15,28 +15,28 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import held_out, let, n_words, save, without_white, words
+from tesserae.llm.common import held_out, let, save, without_white, words
 from tesserae.llm.statistics import SYMBOLS, count_of, dup_lines
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text, none null; a null text is an empty one."""
-    body = F.coalesce(text, F.lit(""))
-    chars = F.greatest(F.char_length(body), F.lit(1)).cast("double")
-    n = F.greatest(n_words(body), F.lit(1)).cast("double")
-    return {
-        "log_words": F.log1p(n_words(body).cast("double")),
-        "word_length": F.char_length(without_white(body)) / n,
-        "symbols": count_of(body, SYMBOLS) / chars,
-        "exclamations": count_of(body, "!?") / chars,
-        "digits": count_of(body, "0123456789") / chars,
-        "upper": F.regexp_count(body, F.lit(r"\p{Lu}")) / chars,
-        "stops": count_of(body, ".,;:") / n,
-        "lines": count_of(body, "\n") / n,
-        "dup_lines": dup_lines(body) / n,
-        "distinct_words": let(words(body), lambda w: F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1))),
-        "adjacent_repeats": let(words(body), lambda w: F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False)))) / F.greatest(F.size(w), F.lit(1))),
-    }
+#: The statistics, in the order in which models name them.
+NAMES = ("log_words", "word_length", "symbols", "exclamations", "digits", "upper", "stops", "lines", "dup_lines", "distinct_words", "adjacent_repeats")
+
+
+def with_statistics(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with the statistics of ``text`` in its place, none null; a null text is an empty one. A text is split once."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    again = lambda w: F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False))))
+    of_words = let(words(body), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("distinct"), again(w).alias("again")))
+    of_chars = {"all": F.char_length(body), "black": F.char_length(without_white(body)), "upper": F.regexp_count(body, F.lit(r"\p{Lu}"))}
+    of_chars |= {k: count_of(body, c) for k, c in {"symbols": SYMBOLS, "exclamations": "!?", "digits": "0123456789", "stops": ".,;:", "lines": "\n"}.items()}
+    counted = rows.withColumns({"_w": of_words, "_dup_lines": dup_lines(body), **{f"_{k}": c for k, c in of_chars.items()}})
+    at_least_1 = lambda c: F.greatest(c, F.lit(1)).cast("double")
+    chars, n = at_least_1(F.col("_all")), at_least_1(F.col("_w.n"))
+    shares = {"log_words": F.log1p(F.col("_w.n").cast("double")), "word_length": F.col("_black") / n}
+    shares |= {k: F.col(f"_{k}") / chars for k in ("symbols", "exclamations", "digits", "upper")} | {k: F.col(f"_{k}") / n for k in ("stops", "lines", "dup_lines")}
+    shares |= {"distinct_words": F.col("_w.distinct") / n, "adjacent_repeats": F.col("_w.again") / n}
+    return counted.select(*[c for c in rows.columns if c != text], *[shares[k].alias(k) for k in NAMES])
 
 
 @dataclass(frozen=True)
@@ -92,8 +92,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, trees: in
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < int(min(1.0, max_train / max(n, 1)) * 1_000_000))
     chosen = save(chosen.select(F.col("doc_id").alias("id"), "y"), "labels")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # about max_train rows at most
-    names = list(statistics(F.col("text")))
-    rows = save(texts.select(F.col("y"), *[c.cast("double").alias(k) for k, c in statistics(F.col("text")).items()]), "training").coalesce(6)
+    names = list(NAMES)
+    rows = save(with_statistics(texts.select("y", "text"), "text"), "training").coalesce(6)
     seen = [r[0] for r in rows.select("y").distinct().collect()]
     if len(seen) < 2:
         return RuleModel((), 0.0 if not seen else (8.0 if seen[0] else -8.0))
@@ -115,9 +115,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, trees: in
 def score(docs: DataFrame, model: RuleModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    A null text is scored as an empty one; repeated rows get equal scores; an empty table gives no rows.
-    Other columns are not read.
+    A null text is scored as an empty one; repeated rows and texts alike get equal scores; a text of any length is
+    one row; a score of just 0.5 is predicted 1; an empty table gives no rows. Other columns are not read.
     """
-    stats = docs.select(F.col(doc_id).alias("doc_id"), *[c.cast("double").alias(k) for k, c in statistics(F.col(text)).items()])
+    stats = with_statistics(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text")
     out = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

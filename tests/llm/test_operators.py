@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -73,6 +74,25 @@ def test_shards_balance(spark):
     assert len(loads) == 8 and max(loads.values()) - min(loads.values()) < 50
 
 
+def test_one_very_long_word_line_and_text(spark):
+    """Texts of a million characters go through every operator and come out as by plain means."""
+    rng = random.Random(20)
+    word, line = "x" * 1_000_000, "ab " * 300_000
+    texts = [word, word + "y", line, line + "\n" + line, " ".join(f"w{rng.randrange(50_000)}" for _ in range(120_000)), "\n" * 500_000, "é" * 400_000 + " #" * 200_000]
+    docs = make(spark, [(i, t, "en", f"s{i % 2}") for i, t in enumerate(texts)])
+    n = len(texts)
+    shards = sharding.shard_documents(docs, 2).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in shards} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(docs).collect()} == {i: f"{slow_fingerprint(t):016x}" for i, t in enumerate(texts)}
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality_rules.judge(docs).collect()}
+    assert got == {i: slow_counts(t) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["text_sha256"] for r in digest_index.dedup(docs, fresh_index(spark), "b").collect()} == {i: hashlib.sha256(plain(t).encode()).hexdigest() for i, t in enumerate(texts)}
+    assert Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in mixing.mix(docs).collect()) == slow_mix(docs.collect())
+    assert Counter(map(tuple, line_dedup.remove_boilerplate(docs).collect())) == slow_lines([(i, t, "en", f"s{i % 2}") for i, t in enumerate(texts)])
+    pieces, exact = packing.pack_documents(docs).collect(), packing.exact_encoder("byte_bpe_50k")
+    assert {i: sum(r["length"] for r in pieces if r["doc_id"] == i) for i in range(n)} == {i: len(exact(t)) + 1 for i, t in enumerate(texts)}
+
+
 # --- 2 html ------------------------------------------------------------------------------------------------
 
 
@@ -464,6 +484,36 @@ def test_rules_from_trees():
     assert [r.conditions for r in rules] == [(("a", False, 0.5),), (("a", False, 0.5), ("b", False, 2.0)), (("a", False, 0.5), ("b", True, 2.0)), (("a", True, 0.5),)]
 
 
+def slow_statistics(text):
+    t, w = text or "", words_of(text)
+    lines = [x for x in t.split("\n") if words_of(x)]
+    n, chars = max(len(w), 1), max(len(t), 1)
+    share = lambda cs: sum(c in cs for c in t) / chars
+    return {
+        "log_words": math.log1p(len(w)), "word_length": len(plain(t)) / n, "symbols": share("#*$%&|<>"), "exclamations": share("!?"), "digits": share("0123456789"),
+        "upper": sum(unicodedata.category(c) == "Lu" for c in t) / chars, "stops": sum(c in ".,;:" for c in t) / n, "lines": t.count("\n") / n,
+        "dup_lines": (len(lines) - len(set(lines))) / n, "distinct_words": len(set(w)) / n, "adjacent_repeats": sum(x == y for x, y in zip(w, w[1:])) / n,
+    }
+
+
+def test_scores_against_rules_one_by_one(spark, odd_docs):
+    rng = random.Random(19)
+    texts = ["".join(rng.choice(["a", "Bb", "bb", " ", " ", "\n", "#", "!", "7", ".", "É", "ß"]) for _ in range(rng.randrange(150))) for _ in range(80)]
+    docs = odd_docs.unionByName(make(spark, [(500 + i, t, "en", "s") for i, t in enumerate(texts)] + [(700, "w " * 100_000 + "x" * 300_000 + "\n" * 1000, "en", "s")]))
+    rows = docs.collect()
+    stats = [slow_statistics(r["text"]) for r in rows]
+    got = rule_ensemble.with_statistics(docs.select("doc_id", "text"), "text").collect()
+    key = lambda d, s: (-1 if d is None else d, *(round(s[k], 9) for k in rule_ensemble.NAMES))
+    assert sorted(key(r["doc_id"], r) for r in got) == sorted(key(r["doc_id"], s) for r, s in zip(rows, stats))
+    rules = [rule_ensemble.Rule(tuple((k, rng.random() < 0.5, rng.choice(stats)[k]) for k in rng.sample(rule_ensemble.NAMES, rng.randrange(1, 4)))) for _ in range(25)]
+    model = rule_ensemble.RuleModel(tuple((r, rng.uniform(-2, 2)) for r in rules), 0.3)
+    holds = lambda r, s: all(s[k] > x if greater else s[k] <= x for k, greater, x in r.conditions)
+    want = sorted((-1 if r["doc_id"] is None else r["doc_id"], round(1 / (1 + math.exp(-0.3 - sum(w for rule, w in model.rules if holds(rule, s)))), 9)) for r, s in zip(rows, stats))
+    scored = rule_ensemble.score(docs, model).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 9)) for r in scored) == want
+    assert all(r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in scored)
+
+
 def test_classifier_held_out(spark, odd_docs, no_docs):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = rule_ensemble.train(docs, labels, trees=8)
