@@ -37,8 +37,8 @@ RAW = frozenset("script style textarea title noscript iframe noembed noframes xm
 DROP = frozenset("head nav header footer aside form menu dialog button select option datalist fieldset label legend input script style textarea title noscript iframe noembed noframes template svg math canvas audio video object".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words in a class or id that mark boilerplate wherever they stand in it, and words that do so only where they come first.
-SURE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager masthead footer sidebar sidenav comment comments disqus newsletter login popup modal toolbar".split())
-FIRST_WORDS = frozenset("aside promo promotion header widget widgets reply replies respond form subscribe signup cookie cookies consent gdpr notice notices notification alert overlay share sharing social related recommended copyright skip".split())
+SURE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager masthead footer sidebar sidenav comment comments disqus newsletter login popup modal toolbar promo consent gdpr commentlist".split())
+FIRST_WORDS = frozenset("aside promotion header widget widgets reply replies respond form subscribe signup cookie cookies notice notices notification alert overlay share sharing social related recommended copyright skip".split())
 #: Words before which a word of the second kind counts, too, and words after which a name says nothing of its element.
 SITE_WORDS = frozenset("site top global blog mobile left right bottom page".split())
 STATE_WORDS = frozenset("has with no without not".split())
