@@ -13,7 +13,9 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g")
+        # what ended queries leave for the web interface, which is off, would fill the heap of the one session of all tests
+        .config("spark.sql.ui.retainedExecutions", "10").config("spark.ui.retainedJobs", "50").config("spark.ui.retainedStages", "50").config("spark.ui.retainedTasks", "500").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
