@@ -49,6 +49,15 @@ def test_an_empty_table_goes_through_each_stage(spark, no_docs, k):
     assert out.count() == 0 and (k == 4 or out.columns == no_docs.columns)
 
 
+def test_mixing_takes_repeated_rows_as_often_as_all_together(spark, odd_docs):
+    docs = odd_docs.unionByName(odd_docs.where("doc_id between 5 and 30"))
+    want = Counter()
+    for (doc, source, size, taken), n in slow_mix(docs.collect()).items():
+        want[doc, source, size] += n * (taken // size if size else 0)
+    got = Counter((r["doc_id"], r["source"], len(words_of(r["text"]))) for r in corpus_pipeline.mixing_stage(spark, docs, "").collect())
+    assert got == +want
+
+
 def test_run(spark):
     """The whole run by plain means: which documents are packed, how often, and each piece once in its place."""
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
