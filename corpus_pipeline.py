@@ -47,13 +47,16 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it; documents without a word, null ones too, are not taken.
 
-    Null sources are one source. Of repeated rows each may be taken; an empty table stays empty.
+    Null sources are one source. Repeated rows count each, and come as often as all of them together are taken; an empty
+    table stays empty.
     """
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_ts_id"), F.col("text_hash").alias("_ts_h"), (F.col("taken") / F.col("size")).cast("int").alias("_ts_n"))
-    # rows alike in id and text may be taken in different numbers: their sum, shared out again over one row each
-    taken = taken.groupBy("_ts_id", "_ts_h").agg(F.sum("_ts_n").alias("_ts_n"))
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_ts_id"), F.col("text_hash").alias("_ts_h")).agg(F.sum(times).alias("_ts_n"), F.count(F.lit(1)).alias("_ts_m"))
+    taken = save(taken.where("_ts_n > 0"), "taken")  # of known size, so that Spark may broadcast it
     mine = F.xxhash64(F.coalesce("text", F.lit("")))
     joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_ts_id")) & (mine == F.col("_ts_h")))
+    if not taken.where("_ts_m > 1").isEmpty():  # rows alike in id and text: one of them as often as all together are taken
+        joined = joined.where("_ts_m = 1").unionByName(joined.where("_ts_m > 1").dropDuplicates(["_ts_id", "_ts_h"]))
     return joined.withColumn("_ts_k", F.explode(F.sequence(F.lit(1), F.col("_ts_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
