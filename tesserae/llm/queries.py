@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import digest_index, html_text, language_id, line_dedup, mixing, packing, quality_rules, rule_ensemble, sharding, simhash
+from tesserae.llm import digest_index, html_text, language_id, lexical_index, line_dedup, mixing, packing, quality_rules, rule_ensemble, sharding, simhash
 from tesserae.llm.common import held_out, shared_dir
 
 
@@ -75,9 +75,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_index.search(lexical_index.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_html_extraction, op3_simhash, op4_line_dedup, op5_exact_dedup, op6_quality_rules, op7_packing, op8_quality_classifier, op9_language_id, op10_mixing, digest_index_batches)
+    for f in (op1_sharding, op2_html_extraction, op3_simhash, op4_line_dedup, op5_exact_dedup, op6_quality_rules, op7_packing, op8_quality_classifier, op9_language_id, op10_mixing, op11_lexical_search, digest_index_batches)
 }
 
 ORACLES: dict[str, str] = {
@@ -93,4 +97,5 @@ o AS (SELECT h, any_value(best) AS old_best, any_value(n) AS old_n, true AS old
 j AS (SELECT w.*, old_best, old_n, batch = 2 AND coalesce(old, false) AS in_index FROM w LEFT JOIN o USING (h))
 SELECT doc_id, batch, CASE WHEN in_index THEN old_best ELSE best END AS keep_id, (n + CASE WHEN in_index THEN old_n ELSE 0 END)::BIGINT AS group_size, doc_id = best AND NOT in_index AS kept FROM j""",
     "op10_mixing": mixing.ORACLE,
+    "op11_lexical_search": lexical_index.ORACLE,
 }
