@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import digest_index, html_text, language_id, lexical_index, line_dedup, mixing, packing, quality_rules, rule_ensemble, sharding, simhash
+from tesserae.llm import conversation_repair, digest_index, html_text, language_id, lexical_index, line_dedup, mixing, packing, quality_rules, rule_ensemble, sharding, simhash
 from tesserae.llm.common import held_out, shared_dir
 
 
@@ -79,9 +79,14 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_index.search(lexical_index.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_conversations(rows, conversation_repair.damage(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_html_extraction, op3_simhash, op4_line_dedup, op5_exact_dedup, op6_quality_rules, op7_packing, op8_quality_classifier, op9_language_id, op10_mixing, op11_lexical_search, digest_index_batches)
+    for f in (op1_sharding, op2_html_extraction, op3_simhash, op4_line_dedup, op5_exact_dedup, op6_quality_rules, op7_packing, op8_quality_classifier, op9_language_id, op10_mixing, op11_lexical_search, op12_conversation_repair, digest_index_batches)
 }
 
 ORACLES: dict[str, str] = {
