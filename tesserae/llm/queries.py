@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import conversation_repair, digest_index, html_text, language_id, lexical_index, line_dedup, mixing, packing, quality_rules, rule_ensemble, sharding, simhash
+from tesserae.llm import conversation_repair, digest_index, html_text, language_id, lexical_index, line_dedup, mixing, packing, quality_rules, rule_ensemble, sharding, simhash, substring_dedup
 from tesserae.llm.common import held_out, shared_dir
 
 
@@ -84,9 +84,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_conversations(rows, conversation_repair.damage(rows))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_html_extraction, op3_simhash, op4_line_dedup, op5_exact_dedup, op6_quality_rules, op7_packing, op8_quality_classifier, op9_language_id, op10_mixing, op11_lexical_search, op12_conversation_repair, digest_index_batches)
+    for f in (op1_sharding, op2_html_extraction, op3_simhash, op4_line_dedup, op5_exact_dedup, op6_quality_rules, op7_packing, op8_quality_classifier, op9_language_id, op10_mixing, op11_lexical_search, op12_conversation_repair, op13_substring_dedup, digest_index_batches)
 }
 
 ORACLES: dict[str, str] = {
@@ -103,4 +107,5 @@ j AS (SELECT w.*, old_best, old_n, batch = 2 AND coalesce(old, false) AS in_inde
 SELECT doc_id, batch, CASE WHEN in_index THEN old_best ELSE best END AS keep_id, (n + CASE WHEN in_index THEN old_n ELSE 0 END)::BIGINT AS group_size, doc_id = best AND NOT in_index AS kept FROM j""",
     "op10_mixing": mixing.ORACLE,
     "op11_lexical_search": lexical_index.ORACLE,
+    "op13_substring_dedup": substring_dedup.ORACLE,
 }
