@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import columns as fn
-from tesserae.operators import documents, facets, linking, results, search, vectors
+from tesserae.operators import documents, facets, linking, results, search, vector_cells, vectors
 from tesserae.operators.index import build_postings, field_stats, term_stats, tokenize
 from tesserae.plans import retrieval
 from tesserae.plans.views import CODE, CODE_LINKS, FX_COMPLAINTS, FX_PRODUCTS, FX_WAREHOUSE, LINKS, NAME_LINKS, changes, complaints, products, table, warehouse
@@ -531,6 +531,27 @@ def vector_search(spark, d):
     return vectors.vector_search(q, e, 64, 10).select("query_id", "_id", F.round("score", 5).alias("score"), "rank")
 
 
+def _embeddings(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("_id"), F.col("embedding").alias("content_vector"))
+    return e, e.where("_id % 20 = 0").select(F.col("_id").alias("query_id"), F.col("content_vector").alias("query_vector"))
+
+
+@query()
+def vector_search_cells(spark, d):
+    """The neighbours of every twentieth vector in the cells nearest to it."""
+    e, q = _embeddings(spark, d)
+    return vectors.vector_search(q, e, 64, 10, cells=vector_cells.fit_cells(e, 64)).select("query_id", "_id", F.round("score", 5).alias("score"), "rank")
+
+
+@query("SELECT count(*) AS queries, 10 * count(*) AS wanted, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def vector_cells_recall(spark, d):
+    """Whether the cells find nine tenths of the exact neighbours of every twentieth vector."""
+    e, q = _embeddings(spark, d)
+    found = vectors.vector_search(q, e, 64, 10, cells=vector_cells.fit_cells(e, 64))
+    measured = vector_cells.recall(found, vectors.vector_search(q, e, 64, 10))
+    return measured.select("queries", "wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
 _HYBRID = """near AS (SELECT query_id, _id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, _id) AS rn FROM
  (SELECT b.item_id AS query_id, v.vec_id AS _id, (1 + list_cosine_similarity(w.embedding::DOUBLE[], v.embedding::DOUBLE[])) / 2 AS score FROM benchmark b JOIN embeddings w ON w.vec_id = b.item_id, embeddings v)) WHERE rn <= 10),
 hybrid AS (SELECT query_id, _id, 0.6 * coalesce(k.score, 0) + 0.4 * coalesce(n.score, 0) AS score FROM

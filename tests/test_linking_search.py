@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from tesserae.operators import documents, facets, linking, results, search, vectors
+from tesserae.operators import documents, facets, linking, results, search, vector_cells, vectors
 from tesserae.operators.index import segment, tokenize, tokenize_udf
 from tesserae.plans import retrieval
 from tesserae.plans.queries import all_docs
@@ -92,6 +92,29 @@ def test_vectors_equal_numpy(spark):
     assert math.isclose(one, 1.0)
 
 
+def test_cells(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(20, 8)) * 3
+    m = (centre[rng.integers(20, size=1500)] + rng.normal(size=(1500, 8))).astype(np.float32)
+    m[:500] = m[0]  # copies: a third of the vectors in one cell
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(9000, [0.0] * 8), (9001, [1.0] * 3), (9002, None), (None, [1.0] * 8)]
+    docs = spark.createDataFrame(rows, "_id long, content_vector array<float>").repartition(3)
+    q = docs.where("_id % 20 = 0 and _id < 1500").select(F.col("_id").alias("query_id"), F.col("content_vector").alias("query_vector"))
+    exact = vectors.vector_search(q, docs.where("_id is not null"), 8, 5)
+    cells = vector_cells.fit_cells(docs, 8)
+    held = vector_cells.placed_docs(docs, cells, rows=32)
+    found = vectors.vector_search(q, held, 8, 5, cells=cells)
+    assert vector_cells.recall(found, exact).first()["recall"] >= 0.9 and cells.probes < len(cells.centres)
+    whole = vector_cells.cell_search(q, docs, cells, 5, probes=len(cells.centres), rows=32)
+    key = lambda df: Counter((r["query_id"], r["_id"], r["rank"]) for r in df.collect())
+    assert key(whole) == key(exact)
+    assert "Cartesian" not in (plan := found._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+    none = docs.limit(0)
+    assert vector_cells.cell_search(q, none, vector_cells.fit_cells(none, 8), 5).count() == 0
+    again = vector_cells.fit_cells(docs.repartition(5), 8, sample=300)
+    assert (again.centres == vector_cells.fit_cells(docs, 8, sample=300).centres).all() and len(again.centres) == 15
+
+
 def test_embed_falls_back_to_single_texts(spark):
     def encode(texts):
         if len(texts) > 1 or texts[0] == "bad":
