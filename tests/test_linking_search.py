@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import regex
 from pyspark.sql import functions as F
 
 from tesserae.operators import documents, facets, linking, results, search, vector_cells, vectors
@@ -133,6 +134,39 @@ def test_segment_and_highlight(spark):
     assert spark.createDataFrame([("的 資料庫",)], "t string").select(tokenize_udf(words, ["的"], True)("t")).first()[0] == ["資料庫"]
     assert results.highlight("a red fox and a red dog", ["red"], 100, 2, "<m>", "</m>") == ["a <m>red</m> fox and a <m>red</m> dog"]
     assert results.highlight("none here", ["red"], 10, 2, "<", ">") == [] and results.highlight(None, ["x"], 5, 1, "", "") == []
+    assert results.highlight("party started at Paris, in ART a", ["art", "a", "in"], 100, 1, "<m>", "</m>") == ["party started at Paris, <m>in</m> <m>ART</m> <m>a</m>"]
+    assert results.highlight("查資料庫的資料", ["資料", "資料庫"], 20, 1, "<", ">") == ["查<資料庫>的<資料>"]
+
+
+def slow_windows(spans, size, most):
+    """All groups of neighbouring spans that fit, the largest and then first of those left, again and again."""
+    left, out = set(range(len(spans))), []
+    while len(out) < most:
+        fit = [(i, j) for i in range(len(spans)) for j in range(i, len(spans)) if (j == i or spans[j][1] - spans[i][0] <= size) and left.issuperset(range(i, j + 1))]
+        if not fit:
+            break
+        i, j = min(fit, key=lambda x: (x[0] - x[1], x[0]))
+        out.append(spans[i : j + 1])
+        left -= set(range(i, j + 1))
+    return out
+
+
+def test_fragments_against_all_windows():
+    rng = random.Random(11)
+    words = ["in", "the", "thin", "a", "Paris", "art", "ÉTÉ", "x1", "資料", "long" * 10]
+    for _ in range(150):
+        text = "".join(rng.choice(words) + rng.choice([" ", ", ", ".\n"]) for _ in range(rng.randrange(0, 60)))
+        terms, size, most = [w.lower() for w in rng.sample(words, 3)], rng.choice([5, 20, 60]), rng.choice([1, 3])
+        spans = results.term_spans(text, terms)
+        tokens = [(m.start(), m.end()) for m in regex.finditer(r"[\p{L}\p{N}]+", text)]
+        assert spans == [s for s in tokens if text[slice(*s)].lower() in terms]
+        assert results.best_windows(spans, size, most) == slow_windows(spans, size, most)
+        found = results.highlight(text, terms, size, most, "<<", ">>")
+        bare = [f.replace("<<", "").replace(">>", "") for f in found]
+        assert len(found) == len(slow_windows(spans, size, most)) and all(b in text for b in bare)
+        assert all(len(b) <= max(size, 40) for b in bare)
+        for f in found:  # every whole token of the fragment that is a term, and no other, is marked
+            assert [m for m in regex.findall(r"<<(.*?)>>", f)] == [t for t in regex.findall(r"[\p{L}\p{N}]+", f.replace("<<", "").replace(">>", "")) if t.lower() in terms]
 
 
 def test_facets_and_context(spark):
