@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import columns as fn
-from tesserae.operators import documents, facets, linking, results, search, vector_cells, vectors
-from tesserae.operators.index import build_postings, field_stats, term_stats, tokenize
+from tesserae.operators import bitmaps, documents, facets, linking, results, search, vector_cells, vectors
+from tesserae.operators.index import bm25, build_postings, field_stats, idf, term_stats, tokenize
+from tesserae.operators.postings_index import PostingsIndex
 from tesserae.plans import retrieval
 from tesserae.plans.views import CODE, CODE_LINKS, FX_COMPLAINTS, FX_PRODUCTS, FX_WAREHOUSE, LINKS, NAME_LINKS, changes, complaints, products, table, warehouse
-from tesserae.sources import dumps, store, tables
+from tesserae.sources import dumps, generations, store, tables
 from tesserae.sources.scratch import save, shared_dir
 from tesserae.streaming import jobs
 
@@ -60,6 +61,20 @@ def upsert_latest(spark, d):
     return store.upsert(old.withColumn("ts", F.lit(None).cast(new.schema["ts"].dataType)), new, "user_id", ("ts", "event_id")).select("user_id", "event_id", "value")
 
 
+@query("""SELECT user_id, event_type, event_id, value, n::BIGINT AS events FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events) WHERE rn = 1 AND event_id % 10 <> 0""")
+def document_store(spark, d):
+    """The latest event of each user and type in a store that takes them in four batches; keys whose latest event ends in 0 are deleted."""
+    e = table(spark, d, "events").select(F.concat_ws(":", "user_id", "event_type").alias("_id"), "user_id", "event_type", "event_id", "value")
+    kept = store.latest_per_key(e, "_id", "event_id")
+    n = e.groupBy("_id").agg(F.count(F.lit(1)).alias("events"), F.max("event_id").alias("last"))
+    old = save(n.join(e, "_id"), "events")
+    docs = generations.DocStore(spark, generations.new_path(spark, "store"), old.drop("last").schema)
+    for batch in range(4):
+        part = old.where(F.when(F.col("event_id") == F.col("last"), 2).otherwise(F.pmod(F.xxhash64("event_id"), F.lit(2))) == batch)
+        docs.apply(f"batch {batch}", store.latest_per_key(part.drop("last"), "_id", "event_id") if batch < 3 else None, kept.where("event_id % 10 = 0").select("_id") if batch == 3 else None)
+    return docs.read().drop("_id")
+
+
 @query("""SELECT doc_id, lang, CASE WHEN quality IS NULL THEN source ELSE 'labelled ' || quality END AS source FROM documents LEFT JOIN labels USING (doc_id)""")
 def partial_update(spark, d):
     patch = table(spark, d, "labels").select("doc_id", F.concat(F.lit("labelled "), F.col("quality").cast("string")).alias("source"))
@@ -520,6 +535,51 @@ def keyword_search(spark, d):
     return top.select("query_id", "_id", F.round("score", 5).alias("score"), "rank")
 
 
+@query(rf"""WITH {_CORPUS}, g AS (SELECT query_id, lang, count(*) AS n FROM matched JOIN documents ON doc_id = _id GROUP BY 1, 2)
+SELECT query_id, sum(n)::BIGINT AS total_hits, coalesce(string_agg(lang || ':' || n, ',' ORDER BY n DESC, lang) FILTER (WHERE lang IS NOT NULL), '') AS languages FROM g GROUP BY 1""")
+def search_facets(spark, d):
+    """Totals and languages of all documents that each passage matches, from bitmaps."""
+    queries, corpus = corpus_queries(spark, d), _corpus(spark, d)
+    clauses = retrieval.keyword_clauses(queries, corpus, retrieval.Boosts(fields=FIELDS, phrases=PHRASES))
+    numbers = bitmaps.numbered(corpus.docs)
+    found = clauses.bitmaps(numbers)
+    of = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "value")))
+    shown = F.array_join(F.transform(of, lambda x: F.concat_ws(":", x["value"], (-x["n"]).cast("string"))), ",")
+    counted = bitmaps.facet(found, corpus.docs, numbers, "type", 10).groupBy("query_id").agg(shown.alias("languages"))
+    return bitmaps.totals(found).join(counted, "query_id", "left").select("query_id", "total_hits", F.coalesce("languages", F.lit("")).alias("languages"))
+
+
+_CHANGED = r"""old AS (SELECT _id, CASE WHEN _id % 5 = 0 THEN c[1:4] ELSE c END AS c FROM toks WHERE _id % 7 <> 0 AND _id % 11 <> 0),
+fresh AS (SELECT * FROM old WHERE len(c) > 0), pairs AS (SELECT _id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT _id, unnest(c) AS term, len(c) AS n FROM fresh) GROUP BY 1, 2),
+s AS (SELECT count(*) AS docs, avg(len(c)) AS avg_len FROM fresh)"""
+
+
+@query(rf"""WITH toks AS (SELECT doc_id AS _id, {_TOK.format("text")} AS c FROM documents), {_CHANGED},
+f AS (SELECT term, count(*) AS df FROM pairs GROUP BY 1)
+SELECT term, count(*) AS postings, sum(tf)::BIGINT AS occurrences, any_value(df) AS df, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len))), 4) AS score FROM pairs JOIN f USING (term), s GROUP BY term""")
+def changed_postings(spark, d):
+    """Scores of every term after two batches of changes: documents that were missing or other come, some go."""
+    docs = corpus_docs(spark, d).select("_id", "content")
+    n, short = F.col("_id"), F.array_join(F.slice(tokenize(F.col("content")), 1, 4), " ")
+    index = PostingsIndex.create(docs.where(n % 3 != 0).withColumn("content", F.concat_ws(" ", F.lit("outdated words"), "content")), ["content"])
+    index.apply("one", docs.where((n % 3 == 0) | (n % 2 == 0)), docs.where(n % 7 == 0).select("_id"))
+    index.apply("two", docs.where((n % 2 != 0) | (n % 5 == 0)).where(n % 7 != 0).withColumn("content", F.when(n % 5 == 0, short).otherwise(F.col("content"))), docs.where(n % 11 == 0).select("_id"))
+    met = index.postings().join(index.terms(), ["field", "term"]).join(F.broadcast(index.lengths()), "field")
+    score = bm25(F.col("tf"), F.col("len"), F.col("avg_len"), idf(F.col("n_docs"), F.col("df")))
+    return met.groupBy("term").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("occurrences"), F.max("df").alias("df"), F.round(F.sum(score), 4).alias("score"))
+
+
+@query(rf"""WITH {_CORPUS}, {_PHRASE}, {_BOTH}, top AS (SELECT query_id, _id, rank FROM {_TOP.format("should", 5)})
+SELECT query_id, _id, rank, array_to_string(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+'), lambda p: CASE WHEN list_contains(t, lower(p)) THEN '<mark>' || p || '</mark>' ELSE p END), '') AS marked
+FROM top JOIN q USING (query_id) JOIN documents ON doc_id = _id""")
+def marked_texts(spark, d):
+    """The whole texts of the five best documents of each passage, the passage's terms marked as whole tokens."""
+    queries = corpus_queries(spark, d)
+    top = retrieval.keyword_search(queries, _corpus(spark, d), boosts=retrieval.Boosts(fields=FIELDS, phrases=PHRASES))
+    rows = top.join(queries.select("query_id", tokenize(F.col("query")).alias("terms")), "query_id").join(corpus_docs(spark, d).select("_id", "content"), "_id")
+    return rows.select("query_id", "_id", "rank", results.marked(F.col("content"), F.col("terms")).alias("marked"))
+
+
 _COSINE = """qv AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
 cosines AS (SELECT query_id, vec_id AS _id, (1 + list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[])) / 2 AS score FROM qv, embeddings)"""
 

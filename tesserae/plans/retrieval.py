@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.columns import normalize_keyword
-from tesserae.operators import facets, results, search
-from tesserae.operators.index import build_postings, field_stats, term_stats, tokenize
+from tesserae.operators import bitmaps, facets, results, search
+from tesserae.operators.index import tokenize
+from tesserae.operators.postings_index import PostingsIndex
 from tesserae.sources.scratch import save
 
 
@@ -30,7 +31,7 @@ class Boosts:
 
 @dataclass
 class Corpus:
-    """Documents with their postings and statistics."""
+    """Documents with their postings and statistics; postings lie in buckets by document."""
 
     docs: DataFrame
     postings: DataFrame
@@ -40,11 +41,14 @@ class Corpus:
 
     @classmethod
     def of(cls, docs: DataFrame, names: list[str], tokens=tokenize) -> Corpus:
-        """Documents are tokenised once; every clause of every query reads the written tables."""
+        """Documents are tokenised once, into a new index; every clause of every query reads the written tables."""
         docs = save(docs, "docs")
-        postings = save(build_postings(docs, {n: tokens(F.col(n)) for n in names}, first="_first"), "postings")
-        terms, lengths = save(term_stats(postings), "terms"), save(field_stats(postings, "_first"), "lengths")
-        return cls(docs, postings.drop("_first"), terms, lengths, docs.count())
+        return cls.opened(docs, PostingsIndex.create(docs, names, tokens))
+
+    @classmethod
+    def opened(cls, docs: DataFrame, index: PostingsIndex) -> Corpus:
+        """A corpus of an index that exists, of which ``docs`` are the documents as they are now; many searches may share it."""
+        return cls(docs, index.postings(), save(index.terms(), "terms"), save(index.lengths(), "lengths"), docs.count())
 
 
 def _terms(corpus: Corpus, variants: DataFrame, tokens) -> DataFrame:
@@ -63,26 +67,39 @@ def _hits(corpus: Corpus, variants: DataFrame, tokens) -> DataFrame:
 
 @dataclass
 class Met:
-    """What variants of queries (with a ``role``) met: their terms, and a score for each document and field."""
+    """Variants of queries (with a ``role``) and what they meet.
+
+    A document's postings lie in one bucket. Terms of at most ``most`` rows are broadcast to them, so a document's scores for
+    all queries are summed where they lie, and a cut to the k best follows in the same task: what the queries match is
+    neither shuffled nor written.
+    """
 
     corpus: Corpus
     terms: DataFrame
-    scores: DataFrame
+    small: bool
 
     @classmethod
-    def of(cls, corpus: Corpus, variants: DataFrame, tokens=tokenize) -> Met:
-        """The postings are met once, by all terms of all variants; one row for each query, document and field is written."""
+    def of(cls, corpus: Corpus, variants: DataFrame, tokens=tokenize, most: int = 500_000) -> Met:
         terms = save(_terms(corpus, variants, tokens), "terms")
-        hits = corpus.postings.drop("positions").join(terms, ["field", "term"])
-        return cls(corpus, terms, save(search.field_scores(hits, by=("role", "n_terms")), "scores"))
-
-    def matches(self, boosts: dict[str, float], *roles: str) -> DataFrame:
-        return search.best_fields(self.scores.where(F.col("role").isin(list(roles))), boosts)
+        return cls(corpus, terms, terms.count() <= most)
+
+    def matches(self, boosts: dict[str, float], *roles: str, only: DataFrame | None = None) -> DataFrame:
+        """(query_id, _id, score) of all documents with any term, or those of the pairs (query_id, _id) in ``only``."""
+        terms = self.terms.where(F.col("role").isin(list(roles)) & F.col("field").isin(list(boosts)))
+        if only is None:
+            hits = self.corpus.postings.drop("positions").join(F.broadcast(terms) if self.small else terms, ["field", "term"])
+        else:
+            asked = only.select("query_id", "_id").distinct().join(terms, "query_id")
+            hits = self.corpus.postings.drop("positions").join(asked, ["field", "term", "_id"])
+        return search.best_fields(search.field_scores(hits), boosts)
 
     def phrases(self, boosts: dict[str, float], *roles: str, best: bool = False) -> DataFrame:
-        """Only documents that hold all terms of a variant in a field meet the postings again, for the positions."""
-        full = self.scores.where(F.col("role").isin(list(roles)) & F.col("field").isin(list(boosts)) & (F.col("n") == F.col("n_terms")))
-        wanted = save(full.select("query_id", "variant", "field", "_id").join(self.terms, ["query_id", "variant", "field"]), "wanted")
+        """Only documents that hold a phrase's rarest term, where the field has all of its terms, meet the postings for the others."""
+        terms = self.terms.where(F.col("role").isin(list(roles)) & F.col("field").isin(list(boosts)))
+        by = ["query_id", "variant", "field"]
+        rarest = terms.groupBy(*by, "n_terms").agg(F.max_by("term", "idf").alias("term"), F.count(F.lit(1)).alias("n")).where("n = n_terms").select(*by, "term")
+        likely = self.corpus.postings.select("field", "term", "_id").join(F.broadcast(rarest) if self.small else rarest, ["field", "term"])
+        wanted = save(likely.select(*by, "_id").join(terms, by), "wanted")
         return search.phrase_match(self.corpus.postings.join(wanted, ["field", "term", "_id"]), boosts, best=best)
 
 
@@ -101,33 +118,68 @@ def _variants(queries: DataFrame, to_traditional, to_simplified, raw_boost: floa
     return made.join(own, ["query_id", "variant"], "left").withColumn("role", F.coalesce("role", F.lit(_OTHER)))
 
 
-def keyword_matches(queries: DataFrame, corpus: Corpus, boosts: Boosts = Boosts(), tokens=tokenize, code: str = search.QUERY_CODE, to_traditional=same, to_simplified=same) -> DataFrame:
-    """(query_id, _id, score) of all documents that match; queries that are product codes take the code clauses.
-
-    All variants of all queries meet the postings once; what they score is written and shared by the clauses.
-    """
+@dataclass
+class Clauses:
+    """The clauses of a search: scores of documents with any term, and the few documents that other clauses score."""
+
+    met: Met
+    boosts: dict[str, float]
+    few: DataFrame
+
+    def every(self) -> DataFrame:
+        """(query_id, _id, score) of all documents that match."""
+        return search.bool_should(self.few, self.met.matches(self.boosts, _OWN, _OTHER))
+
+    def best(self, queries: DataFrame, factor: int, weight: float = 1.0, few: DataFrame | None = None) -> DataFrame:
+        """(query_id, _id, score): among others the ``factor * top_k`` best documents of each query.
+
+        Documents of ``few`` are scored by all clauses, the others by their terms, and of those only the best are kept
+        where they are read.
+        """
+        few = self.few if few is None else few
+        pairs = few.select("query_id", "_id")
+        weighed = lambda df: df.withColumn("score", F.col("score") * weight)
+        rest = self.met.matches(self.boosts, _OWN, _OTHER).join(pairs, ["query_id", "_id"], "left_anti")
+        rest = search.top_k_per_query(rest.join(F.broadcast(queries.select("query_id", "top_k")) if self.met.small else queries.select("query_id", "top_k"), "query_id"), F.col("top_k") * factor)
+        both = search.bool_should(few, weighed(self.met.matches(self.boosts, _OWN, _OTHER, only=pairs)))
+        return both.unionByName(weighed(rest).select("query_id", "_id", "score"))
+
+    def bitmaps(self, numbers: DataFrame, few: DataFrame | None = None) -> DataFrame:
+        """(query_id, part, bits): all documents that match."""
+        terms = self.met.terms.where(F.col("role").isin(_OWN, _OTHER) & F.col("field").isin(list(self.boosts)))
+        by_term = bitmaps.term_bitmaps(self.met.corpus.postings, terms, numbers, list(self.boosts))
+        return save(bitmaps.result_bitmaps(terms, by_term, self.few if few is None else few, numbers), "bitmaps")
+
+
+def keyword_clauses(queries: DataFrame, corpus: Corpus, boosts: Boosts = Boosts(), tokens=tokenize, code: str = search.QUERY_CODE, to_traditional=same, to_simplified=same) -> Clauses:
+    """Clauses of keyword queries; queries that are product codes take the code clauses."""
     flagged = queries.select("query_id", "query", search.is_code_query(F.col("query"), code).alias("is_code"))
     codes, texts = flagged.where("is_code"), flagged.where("not is_code")
     wanted = codes.select("query_id", F.upper(F.trim("query")).alias("value"))
     variants = _variants(texts, to_traditional, to_simplified, 1.0, 0.8)
     as_variant = wanted.select("query_id", F.col("value").alias("variant"), F.lit(1.0).alias("variant_boost"), F.lit(_CODE).alias("role"))
     met = Met.of(corpus, variants.unionByName(as_variant), tokens)
-    clauses, ids = [], corpus.docs.columns
+    few, ids = [], corpus.docs.columns
     if "product_ids" in ids:
-        clauses.append(search.exact_term(wanted, corpus.docs, "product_ids", boosts.code_ids, corpus.n_docs))
+        few.append(search.exact_term(wanted, corpus.docs, "product_ids", boosts.code_ids, corpus.n_docs))
     if "metadata" in ids:
         own = corpus.docs.select("_id", F.col("metadata")["product_id"].alias("own"))
-        clauses.append(search.exact_term(wanted, own, "own", boosts.code_key, corpus.n_docs))
-    clauses += [met.phrases(boosts.code_phrases, _CODE), met.phrases(boosts.code_anywhere, _CODE, best=True)]
+        few.append(search.exact_term(wanted, own, "own", boosts.code_key, corpus.n_docs))
+    few += [met.phrases(boosts.code_phrases, _CODE), met.phrases(boosts.code_anywhere, _CODE, best=True)]
     if "status" in ids:
-        clauses.append(search.exact_term(texts.select("query_id", F.col("query").alias("value")), corpus.docs, "status", boosts.status, corpus.n_docs, normalize=normalize_keyword))
-    clauses += [met.phrases(boosts.phrases, _OWN), met.matches(boosts.fields, _OWN, _OTHER)]
-    return search.bool_should(*clauses)
+        few.append(search.exact_term(texts.select("query_id", F.col("query").alias("value")), corpus.docs, "status", boosts.status, corpus.n_docs, normalize=normalize_keyword))
+    few.append(met.phrases(boosts.phrases, _OWN))
+    return Clauses(met, boosts.fields, save(search.bool_should(*few), "few"))
+
+
+def keyword_matches(queries: DataFrame, corpus: Corpus, **options) -> DataFrame:
+    """(query_id, _id, score) of all documents that match."""
+    return keyword_clauses(queries, corpus, **options).every()
 
 
 def keyword_search(queries: DataFrame, corpus: Corpus, **options) -> DataFrame:
     """The ``top_k`` best documents of each query, of twice as many fetched."""
-    return over_fetch(keyword_matches(queries, corpus, **options), queries, 2)
+    return over_fetch(keyword_clauses(queries, corpus, **options).best(queries, 2), queries, 2)
 
 
 def over_fetch(matches: DataFrame, queries: DataFrame, factor: int, by: Column | None = None) -> DataFrame:
@@ -138,19 +190,32 @@ def over_fetch(matches: DataFrame, queries: DataFrame, factor: int, by: Column |
     return search.top_k_per_query(deduped, F.col("top_k")).select("query_id", "_id", "score", "rank")
 
 
-def hybrid_matches(queries: DataFrame, corpus: Corpus, nearest: DataFrame, boosts: Boosts = Boosts(), tokens=tokenize, to_traditional=same, to_simplified=same) -> DataFrame:
-    """(query_id, _id, score): keyword clauses and nearest vectors, weighted. Codes have no clauses of their own here."""
+def hybrid_clauses(queries: DataFrame, corpus: Corpus, boosts: Boosts = Boosts(), tokens=tokenize, to_traditional=same, to_simplified=same) -> Clauses:
+    """The keyword clauses of hybrid queries. Codes have no clauses of their own here."""
     variants = save(_variants(queries, to_traditional, to_simplified, boosts.hybrid_match, boosts.hybrid_match), "variants")
     met = Met.of(corpus, variants, tokens)
-    clauses = [met.matches(boosts.hybrid_fields, _OWN, _OTHER), met.phrases(boosts.hybrid_phrases, _OWN)]
+    few = [met.phrases(boosts.hybrid_phrases, _OWN)]
     if "status" in corpus.docs.columns:
-        clauses.append(search.exact_term(variants.select("query_id", F.col("variant").alias("value")), corpus.docs, "status", boosts.hybrid_status, corpus.n_docs, normalize=normalize_keyword))
-    return search.hybrid_join(search.bool_should(*clauses), nearest, boosts.keyword_weight, boosts.vector_weight)
+        few.append(search.exact_term(variants.select("query_id", F.col("variant").alias("value")), corpus.docs, "status", boosts.hybrid_status, corpus.n_docs, normalize=normalize_keyword))
+    return Clauses(met, boosts.hybrid_fields, save(search.bool_should(*few), "few"))
+
+
+def hybrid_best(clauses: Clauses, queries: DataFrame, nearest: DataFrame, factor: int, boosts: Boosts = Boosts()) -> tuple[DataFrame, DataFrame]:
+    """(the best of keyword clauses and nearest vectors, weighted; the few documents that vectors or other clauses than terms score)."""
+    part = lambda df, w: df.select("query_id", "_id", (w * F.col("score")).alias("score"))
+    few = save(search.bool_should(part(clauses.few, boosts.keyword_weight), part(nearest, boosts.vector_weight)), "few")
+    return clauses.best(queries, factor, boosts.keyword_weight, few), few
+
+
+def hybrid_matches(queries: DataFrame, corpus: Corpus, nearest: DataFrame, boosts: Boosts = Boosts(), **options) -> DataFrame:
+    """(query_id, _id, score) of all documents that match: keyword clauses and nearest vectors, weighted."""
+    return search.hybrid_join(hybrid_clauses(queries, corpus, boosts, **options).every(), nearest, boosts.keyword_weight, boosts.vector_weight)
 
 
-def hybrid_search(queries: DataFrame, corpus: Corpus, nearest: DataFrame, by: Column | None = None, **options) -> DataFrame:
+def hybrid_search(queries: DataFrame, corpus: Corpus, nearest: DataFrame, by: Column | None = None, boosts: Boosts = Boosts(), **options) -> DataFrame:
     """The k best of three times as many, the best hit of each ``by`` value. ``nearest`` holds 2k hits a query at most."""
-    return over_fetch(hybrid_matches(queries, corpus, nearest, **options), queries, 3, by)
+    best, _ = hybrid_best(hybrid_clauses(queries, corpus, boosts, **options), queries, nearest, 3, boosts)
+    return over_fetch(best, queries, 3, by)
 
 
 def fuzzy_matches(queries: DataFrame, corpus: Corpus, boosts: Boosts = Boosts(), tokens=tokenize) -> DataFrame:
@@ -176,7 +241,8 @@ def process_queries(queries: DataFrame, corpus: Corpus, vector_hits=None, max_co
     takes (queries, factor) and gives the nearest documents, factor * top_k a query; without it vector queries
     find nothing and hybrid ones only by keyword. Keyword queries that match ``code`` are product codes. Keyword and
     hybrid hits have highlights, which the context prefers; keyword queries have facets over all their matches. The
-    context takes all results, or ``max_contexts`` of them.
+    context takes all results, or ``max_contexts`` of them. Totals and facets are of bitmaps, results of the best that
+    each task keeps: there is no row for each query and document that match. Query ids are longs.
     """
     asked = search.valid_queries(queries).where("reject is null")
     names = ["query_id", "_id", "score"]
@@ -184,12 +250,14 @@ def process_queries(queries: DataFrame, corpus: Corpus, vector_hits=None, max_co
     nearest = lambda part, factor: vector_hits(part, factor).select(*names) if vector_hits else empty
     kw, vec, hyb = (asked.where(F.col("mode") == m) for m in ("keyword", "vector", "hybrid"))
     script = {"to_traditional": to_traditional, "to_simplified": to_simplified}
-    kw_all = keyword_matches(kw, corpus, code=code, tokens=tokens, **script)
-    hyb_all = hybrid_matches(hyb, corpus, nearest(hyb, 2), tokens=tokens, **script)
-    vec_all = nearest(vec, 1)
-    kw_all, hyb_all, vec_all = (save(m, "matches") for m in (kw_all, hyb_all, vec_all))
-    every = kw_all.select(*names).unionByName(hyb_all.select(*names)).unionByName(vec_all)
-    cut = over_fetch(kw_all, kw, 2).unionByName(over_fetch(hyb_all, hyb, 3)).unionByName(over_fetch(vec_all, vec, 1))
+    kw_clauses = keyword_clauses(kw, corpus, code=code, tokens=tokens, **script)
+    hyb_clauses = hybrid_clauses(hyb, corpus, tokens=tokens, **script)
+    hyb_best, hyb_few = hybrid_best(hyb_clauses, hyb, nearest(hyb, 2), 3)
+    vec_all = save(nearest(vec, 1), "nearest")
+    numbers = bitmaps.numbered(corpus.docs)
+    kw_bits, hyb_bits = kw_clauses.bitmaps(numbers), hyb_clauses.bitmaps(numbers, hyb_few)
+    every = bitmaps.totals(kw_bits.unionByName(hyb_bits)).unionByName(facets.total_hits(vec_all))
+    cut = over_fetch(kw_clauses.best(kw, 2), kw, 2).unionByName(over_fetch(hyb_best, hyb, 3)).unionByName(over_fetch(vec_all, vec, 1))
     variants = F.array(F.trim("query"), to_traditional(F.trim("query")), to_simplified(F.trim("query")))
     terms = asked.select("query_id", "mode", "query", F.explode(F.array_distinct(variants)).alias("v")).select("query_id", "mode", tokens(F.col("v")).alias("t"))
     terms = terms.groupBy("query_id", "mode").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias("terms"))  # of one query
@@ -199,11 +267,11 @@ def process_queries(queries: DataFrame, corpus: Corpus, vector_hits=None, max_co
     part = results.context_part(F.col("metadata"), F.map_from_entries("highlights"), F.col("searchable_content"), F.col("all_content"))
     context = results.format_context(shown, part, max_contexts)
     head = asked.select("query_id", "mode", F.when(F.coalesce("convert_to_traditional", F.lit(True)), to_traditional(F.trim("query"))).otherwise(F.trim("query")).alias("processed_query"))
-    out = head.join(facets.total_hits(every), "query_id", "left").join(rows, "query_id", "left").join(context, "query_id", "left")
-    met = kw_all.select("query_id", "_id").join(corpus.docs.select("_id", *[c for c in ("type", "product_ids") if c in corpus.docs.columns]), "_id")
-    for column, counted in (("type", facets.type_facet), ("product_ids", facets.product_facet)):
-        if column in met.columns:
+    out = head.join(every, "query_id", "left").join(rows, "query_id", "left").join(context, "query_id", "left")
+    for column, size in (("type", 10), ("product_ids", 20)):
+        if column in corpus.docs.columns:
+            counted = bitmaps.facet(kw_bits, corpus.docs, numbers, column, size)
             values = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "value"))), lambda x: F.struct(x["value"].alias("value"), (-x["n"]).alias("count")))
-            out = out.join(counted(met).groupBy("query_id").agg(values.alias(f"{column}_facet")), "query_id", "left")  # twenty values at most
+            out = out.join(counted.groupBy("query_id").agg(values.alias(f"{column}_facet")), "query_id", "left")  # twenty values at most
     out = out.withColumn("total_hits", F.coalesce("total_hits", F.lit(0))).withColumn("context", F.coalesce("context", F.lit("")))
     return out.withColumn("prompt", results.build_prompt(F.col("processed_query"), F.col("context")))
