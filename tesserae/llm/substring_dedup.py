@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,20 +29,21 @@ from tesserae.llm.fm_index import FmIndex
 _NO_ID = (1 << 63) - 1
 GROUP = 5
 
-_hash_of: dict[bytes, int] = {}
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: A random number for each byte at each of 64 places of a word; a word's hash is their sum.
+_TABLE = np.random.default_rng(13).integers(0, 2**64, (64, 256), np.uint64).ravel()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _hash_of
-    if len(known) > 1_000_000:
-        known.clear()
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, where it begins) of each word. Equal words have equal hashes; that is all that counts."""
+    data = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero(~_WHITE[data])
+    if not len(at):
+        return np.zeros(0, np.uint64), at
+    first = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
+    place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    return np.add.reduceat(_TABLE[((place & 63) << 8) + data[at]], first), at[first]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,7 +53,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _groups(h: np.ndarray, size: int) -> np.ndarray:
     """A hash for each ``size`` consecutive words."""
-    out = np.zeros(len(h) - size + 1, np.uint64)
+    out = np.zeros(max(0, len(h) - size + 1), np.uint64)
     for i in range(size):
         out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(out)]
     return _mixed(out)
@@ -68,34 +68,47 @@ def _least(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def runs_of(h: np.ndarray, window: int, longest: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, start, number of windows, groups): runs of windows of one anchor, of at most ``longest`` windows each."""
-    groups = _groups(h, GROUP)
-    anchor = _least(groups, window - GROUP + 1)
-    cut = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-    start = np.flatnonzero(cut)
-    long = np.flatnonzero(np.diff(np.append(start, len(anchor))) > longest)
-    if len(long):
-        ends = np.append(start, len(anchor))
-        start = np.union1d(start, np.concatenate([np.arange(ends[i], ends[i + 1], longest) for i in long]))
-    return anchor[start], start, np.diff(np.append(start, len(anchor))), groups
+class Runs:
+    """Runs of windows of one anchor in texts that stand one after the other: anchor, first word, number of windows, text.
 
-
-def _sides(h: np.ndarray, window: int, anchor: np.ndarray, start: np.ndarray, count: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each run and place of its anchor: hashes of the anchor with half of the rest of a window before, and after it.
-
-    A window shared by two texts holds one of them. A place without room on one side has 0 there.
+    ``texts`` are the texts' numbers of words; a run is of one text and of at most ``longest`` windows.
     """
-    half = (window - GROUP) // 2
-    span = count + window - GROUP  # groups in the run's windows
-    run = np.repeat(np.arange(len(start)), span)
-    place = np.arange(len(run)) - np.repeat(np.cumsum(span) - span, span) + np.repeat(start, span)
-    held = groups[place] == anchor[run]
-    run, place = run[held], place[held]
-    wide = _groups(h, GROUP + half)
-    before = np.where(place >= half, wide[np.maximum(place - half, 0)], np.uint64(0))
-    after = np.where(place < len(wide), wide[np.minimum(place, len(wide) - 1)] ^ np.uint64(1), np.uint64(0))
-    return run, np.stack([before, after])
+
+    def __init__(self, h: np.ndarray, texts: np.ndarray, window: int, longest: int = 64):
+        self.h, self.window = h, window
+        self.begin = np.cumsum(texts) - texts
+        self.end = self.begin + texts
+        of = np.repeat(np.arange(len(texts)), texts)
+        n = max(0, len(h) - window + 1)
+        self.groups = _groups(h, GROUP)
+        least = _least(self.groups, window - GROUP + 1) if n else np.zeros(0, np.uint64)
+        good = of[:n] == of[window - 1 : window - 1 + n]
+        new = np.concatenate([[True], (least[1:] != least[:-1]) | (of[1:n] != of[: n - 1]) | ~good[:-1]]) & good if n else good
+        start = np.flatnonzero(new)
+        stop = np.flatnonzero(np.concatenate([~good[1:] | new[1:], [True]]) & good) + 1 if n else start
+        long = np.flatnonzero(stop - start > longest)
+        if len(long):
+            start = np.union1d(start, np.concatenate([np.arange(start[i], stop[i], longest) for i in long]))
+            stop = np.minimum(np.append(start[1:], n), stop[np.searchsorted(stop, start, "right")])
+        self.start, self.count, self.anchor, self.text = start, stop - start, least[start], of[start]
+
+    def sides(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(run, before, after) for each place of each run's anchor: hashes of the anchor with half of the rest of a window before, and after it.
+
+        A window that two texts share holds one of the two. Where the text has no room on a side, its hash is 0.
+        """
+        half = (self.window - GROUP) // 2
+        span = self.count + self.window - GROUP  # groups in the run's windows
+        run = np.repeat(np.arange(len(span)), span)
+        place = np.arange(len(run)) - np.repeat(np.cumsum(span) - span, span) + self.start[run]
+        held = self.groups[place] == self.anchor[run]
+        run, place = run[held], place[held]
+        wide, of, none = _groups(self.h, GROUP + half), self.text[run], np.uint64(0)
+        if not len(wide):
+            return run, np.zeros(len(run), np.uint64), np.zeros(len(run), np.uint64)
+        before = np.where(place - half >= self.begin[of], wide[np.maximum(place - half, 0)], none)
+        after = np.where(place + GROUP + half <= self.end[of], wide[np.minimum(place, len(wide) - 1)] ^ np.uint64(1), none)
+        return run, before, after
 
 
 def _words(text: pa.Scalar) -> list[bytes]:
@@ -113,29 +126,44 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([len(w) for w in words], pa.int64()), pa.array(sha, pa.binary()), pa.array([key_of(x) for x in sha], pa.int64())], ["doc", "text_hash", "n_words", "sha", "key"])
 
 
-def _anchors(window: int):
-    """(key, anchor, before, after) of each text's anchors; ``key`` stands for the sequence of words."""
+def _anchors(window: int, sides: bool, per_turn: int = 1 << 20):
+    """(key, anchor) of each text's anchors, with before and after if ``sides``; ``key`` stands for the sequence of words."""
+
+    def rows_of(keys: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        h, at = word_hashes(b"\n".join(texts))
+        length = np.array([len(t) + 1 for t in texts], np.int64)
+        bounds = np.searchsorted(at, np.concatenate([[0], np.cumsum(length)]))
+        runs, key = Runs(h, np.diff(bounds), window), np.array(keys, np.int64)
+        if sides:
+            run, before, after = runs.sides()
+            columns = [key[runs.text[run]], runs.anchor[run].view(np.int64), before.view(np.int64), after.view(np.int64)]
+        else:
+            columns = [key[runs.text], runs.anchor.view(np.int64)]
+        again = np.ones(max(0, len(columns[0]) - 1), bool)  # in texts of few words
+        for c in columns:
+            again &= c[1:] == c[:-1]
+        stay = np.concatenate([np.ones(min(1, len(columns[0])), bool), ~again])
+        return pa.RecordBatch.from_arrays([pa.array(c[stay]) for c in columns], ["key", "anchor", "before", "after"][: len(columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, seen = [], set()
+            keys, texts, held, seen = [], [], 0, set()
             for x in batch.column(0):
                 words = _words(x)
                 if len(words) < window:
                     continue
-                key = key_of(hashlib.sha256(b" ".join(words)).digest())
-                if key in seen:
-                    continue
-                seen.add(key)
-                h = word_hashes(words)
-                anchor, start, count, groups = runs_of(h, window)
-                which, sides = _sides(h, window, anchor, start, count, groups)
-                # a group stands in the windows of several runs only where they were cut
-                rows = np.unique(np.stack([anchor[which], *sides]), axis=1) if len(start) != len(which) else np.stack([anchor[which], *sides])
-                parts.append((np.full(rows.shape[1], key, np.int64), rows))
-            if parts:
-                rows = np.concatenate([r for _, r in parts], axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in parts])), *map(pa.array, rows)], ["key", "anchor", "before", "after"])
+                joined = b" ".join(words)
+                key = key_of(hashlib.sha256(joined).digest())
+                if key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    texts.append(joined)
+                    held += len(joined)
+                if held >= per_turn:
+                    yield rows_of(keys, texts)
+                    keys, texts, held = [], [], 0
+            if keys:
+                yield rows_of(keys, texts)
 
     return run
 
@@ -147,11 +175,11 @@ def _cut(window: int):
         for batch in batches:
             out = []
             for x, key, first, anchors in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                words = _words(x)
-                anchor, start, count, _ = runs_of(word_hashes(words), window)
-                anchor = anchor.view(np.int64)
+                words, (h, _) = _words(x), word_hashes(bytes(x.as_buffer()))
+                runs = Runs(h, np.array([len(h)]), window)
+                anchor = runs.anchor.view(np.int64)
                 stay = np.isin(anchor, anchors.values.to_numpy(zero_copy_only=False))
-                for a, s, n in zip(anchor[stay].tolist(), start[stay].tolist(), count[stay].tolist()):
+                for a, s, n in zip(anchor[stay].tolist(), runs.start[stay].tolist(), runs.count[stay].tolist()):
                     out.append((a, key, first, s, b" ".join(words[s : s + n + window - 1])))
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["anchor", "key", "first", "start", "content"])
@@ -234,11 +262,9 @@ def dedup_passages(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     groups = marks.groupBy("sha", "key").agg(F.min(F.struct("doc", "text_hash")).alias("place"))
     groups = save(groups.select("sha", "key", F.col("place.doc").alias("first"), F.col("place.text_hash").alias("text_hash")), "texts")
 
-    def anchors() -> DataFrame:
-        return rows.select("text").mapInArrow(_anchors(window), "key long, anchor long, before long, after long")
-
-    likely = anchors().join(_shared(anchors().select("key", "anchor"), "anchor"), "anchor", "left_semi").distinct()
-    likely = save(likely, "likely")
+    anchors = rows.select("text").mapInArrow(_anchors(window, False), "key long, anchor long")
+    sides = rows.select("text").mapInArrow(_anchors(window, True), "key long, anchor long, before long, after long")
+    likely = save(sides.join(_shared(anchors, "anchor"), "anchor", "left_semi").distinct(), "likely")
     sided = likely.select("key", "anchor", F.explode(F.filter(F.array("before", "after"), lambda x: x != 0)).alias("side"))
     sure = sided.join(_shared(sided, "side"), "side", "left_semi").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))  # of one text
     sure = save(sure.join(groups.select("key", "first", "text_hash"), "key"), "sure")

@@ -173,11 +173,29 @@ def test_equal_windows_keep_an_anchor_and_a_side():
         found = []
         for _ in range(2):
             words = [b"%d" % rng.randrange(4) for _ in range(rng.randrange(0, 30))] + shared + [b"%d" % rng.randrange(4) for _ in range(rng.randrange(0, 30))]
-            h = substring_dedup.word_hashes(words)
-            anchor, start, count, groups = substring_dedup.runs_of(h, 13)
-            which, sides = substring_dedup._sides(h, 13, anchor, start, count, groups)
-            assert count.sum() == len(words) - 12 and (start == np.cumsum(count) - count).all()
+            h, _ = substring_dedup.word_hashes(b" ".join(words))
+            runs = substring_dedup.Runs(h, np.array([len(h)]), 13)
+            assert runs.count.sum() == len(words) - 12 and (runs.start == np.cumsum(runs.count) - runs.count).all()
             found.append(defaultdict(set))
-            for i, *two in zip(which, *sides):
-                found[-1][anchor[i]].update(x for x in two if x)
+            for i, *two in zip(*runs.sides()):
+                found[-1][runs.anchor[i]].update(x for x in two if x)
         assert any(found[0][a] & found[1][a] for a in found[0])
+
+
+def test_runs_of_many_texts_are_those_of_each():
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("a bb ccc dd".split()) for _ in range(rng.choice([0, 3, 12, 13, 14, 40, 300]))).encode() for _ in range(60)] + [b"same " * 500]
+    joined, at = substring_dedup.word_hashes(b"\n".join(texts))
+    n = np.array([len(t.split()) for t in texts])
+    assert len(joined) == n.sum() and at[0] == 0
+    whole = substring_dedup.Runs(joined, n, 13, longest=20)
+    begin = np.cumsum(n) - n
+    found = [(t, a, s - begin[t], c) for t, a, s, c in zip(whole.text, whole.anchor, whole.start, whole.count)]
+    sides = [(whole.text[i], whole.anchor[i], b, a) for i, b, a in zip(*whole.sides())]
+    want, want_sides = [], []
+    for t, text in enumerate(texts):
+        runs = substring_dedup.Runs(substring_dedup.word_hashes(text)[0], n[t : t + 1], 13, longest=20)
+        want += [(t, a, s, c) for a, s, c in zip(runs.anchor, runs.start, runs.count)]
+        want_sides += [(t, runs.anchor[i], b, a) for i, b, a in zip(*runs.sides())]
+        assert runs.count.sum() == max(0, n[t] - 12) and runs.count.max(initial=0) <= 20
+    assert found == want and sides == want_sides
