@@ -71,10 +71,18 @@ def warehouse_docs(warehouse: DataFrame, products: DataFrame, pattern: str = lin
         product_ids=linking.own_first("product_id", "_ids"), warehouse_location=place, metadata=dynamic_fields(warehouse, metadata), updated_at=c("last_modified"))
 
 
-def complaint_docs(complaints: DataFrame, products: DataFrame, pattern: str = linking.CODE, null_text: str = "None") -> DataFrame:
+def complaint_docs(complaints: DataFrame, products: DataFrame, pattern: str = linking.CODE, null_text: str = "None", columns: list[str] | None = None) -> DataFrame:
+    """One document per complaint, with ``columns`` only if given; products are looked for in the texts only where a column shows them."""
+    if columns and not {"product_ids", "metadata"} & set(columns):
+        return _complaint_docs(complaints, complaints, null_text).select(*columns)
     links = linking.link_products(complaints.select("complaint_id", "description"), products, pattern, "complaint_id", "description")
     related = linking.related_products(links, products, "complaint_id")
     rows = complaints.join(links.withColumnRenamed("product_ids", "_ids"), "complaint_id", "left").join(related, "complaint_id", "left")
+    out = _complaint_docs(rows, complaints, null_text)
+    return out.select(*columns) if columns else out
+
+
+def _complaint_docs(rows: DataFrame, complaints: DataFrame, null_text: str) -> DataFrame:
     c = lambda name: _col(rows, name)
     s = lambda name: shown(c(name), null_text)
     key = F.concat(F.lit("complaint_"), c("complaint_id"))
@@ -87,7 +95,7 @@ def complaint_docs(complaints: DataFrame, products: DataFrame, pattern: str = li
         title=F.concat(F.lit("["), c("complaint_id"), F.lit("] "), s("customer_company"), F.lit(" - "), s("complaint_type"), F.lit(" ("), s("status"), F.lit(")")),
         content=text, all_content=F.concat_ws(" ", s("customer_name"), s("customer_company"), text, s("complaint_type")),
         searchable_content=F.concat(F.lit("客訴編號 "), c("complaint_id"), F.lit(" 客戶 "), s("customer_company"), F.lit(" 類型 "), s("complaint_type"), F.lit(" "), text),
-        product_ids=F.coalesce(c("_ids") if "_ids" in rows.columns else None, F.array().cast("array<string>")), status=c("status"), severity=c("severity"), metadata=dynamic_fields(complaints, metadata), updated_at=c("last_modified"))
+        product_ids=F.coalesce(c("_ids").cast("array<string>") if "_ids" in rows.columns else F.lit(None).cast("array<string>"), F.array().cast("array<string>")), status=c("status"), severity=c("severity"), metadata=dynamic_fields(complaints, metadata), updated_at=c("last_modified"))
 
 
 def union_docs(*docs: DataFrame) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.sources.scratch import save
 
@@ -20,33 +26,59 @@ def valid_ids(found: DataFrame, products: DataFrame) -> DataFrame:
     return found.join(products.select("product_id"), "product_id", "left_semi").select(*found.columns)
 
 
-def _pieces(text: Column, n: int) -> Column:
-    """The distinct pieces of ``n`` characters, in time that grows with the length."""
-    chars = F.transform(F.array(F.split(text, "")), lambda c: F.transform(c, lambda x, i: F.when(i + n <= F.size(c), F.concat(x, *[F.get(c, i + k) for k in range(1, n)])))).getItem(0)
-    return F.array_distinct(F.filter(chars, lambda g: g.isNotNull() & (F.length(g) == n)))
+_automata: dict[str, object] = {}
+
+
+def automaton(token: str, names: list[str]):
+    """The Aho-Corasick automaton of ``names``; a worker keeps the last one, known by ``token``."""
+    if token not in _automata:
+        import ahocorasick
+
+        built = ahocorasick.Automaton()
+        for i, n in enumerate(names):
+            built.add_word(n, i)
+        built.make_automaton()
+        _automata.clear()
+        _automata[token] = built
+    return _automata[token]
+
 
+def _found(token: str, names):
+    """(key, text) -> (key, name) for each distinct name in the text, in one pass over it."""
 
-def name_mentions(texts: DataFrame, products: DataFrame, key: str = "row_id", text: str = "text", name: str = "product_name", gram: int = 3, broadcast_names: int = 200_000) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, found = pa.array(names.value, pa.string()), automaton(token, names.value)
+        for batch in batches:
+            rows, hits = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                some = sorted({n for _, n in found.iter(text)})
+                rows += [i] * len(some)
+                hits += some
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), known.take(pa.array(hits, pa.int64()))], ["_key", "name"])
+
+    return run
+
+
+def name_mentions(texts: DataFrame, products: DataFrame, key: str = "row_id", text: str = "text", name: str = "product_name", names_at_once: int = 200_000, characters_at_once: int = 16_000_000) -> DataFrame:
     """(key, product_id): products whose name stands in the text, case-sensitive; names that several ids share link all.
 
-    Each distinct name waits under one of its ``gram``-character pieces, the one fewest names have; names shorter
-    than that are pieces themselves. Texts are cut into pieces of the lengths that wait, without the text on their
-    rows; a piece that is awaited brings its names. Texts meet these few candidates once, by key, and ``contains``
-    decides. Pieces of at most ``broadcast_names`` names are broadcast; beyond that Spark joins by piece and may
-    split a frequent one.
+    The distinct names become an Aho-Corasick automaton, so a text is read once for all of them. An automaton is sent to
+    the executors, so it has at most ``names_at_once`` names and about ``characters_at_once`` characters; more names are
+    dealt into several, each with a pass of its own over the texts. Empty names and texts, and nulls, link nothing.
     """
-    names = save(products.where(F.length(name) > 0).select(F.col(name).alias("name")).distinct(), "names")
-    long = names.where(F.length("name") >= gram).select("name", F.explode(_pieces(F.col("name"), gram)).alias("gram"))
-    common = long.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    block = long.join(common, "gram").groupBy("name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    waiting = save(block.select("name", "gram").unionByName(names.where(F.length("name") < gram).select("name", F.col("name").alias("gram"))), "pieces")
-    lengths = sorted(r[0] for r in waiting.select(F.length("gram")).distinct().collect())  # at most ``gram`` numbers
+    spark = texts.sparkSession
+    names = products.where(F.length(name) > 0).select(F.col(name).alias("name")).distinct()
+    n, size = names.agg(F.count(F.lit(1)), F.sum(F.length("name"))).first()
+    shards = max(1, -(-n // names_at_once), -(-(size or 0) // characters_at_once))
+    shard = F.pmod(F.xxhash64("name"), F.lit(shards))
+    names = names if shards == 1 else save(names.withColumn("_shard", shard), "names")
     rows = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.length(text) > 0)
-    none = F.array().cast("array<string>")
-    grams = rows.select("_key", F.explode(F.concat(none, *[_pieces(F.col("_text"), n) for n in lengths])).alias("gram"))
-    side = F.broadcast(waiting) if waiting.count() <= broadcast_names else waiting
-    likely = grams.join(side, "gram").groupBy("_key").agg(F.collect_set("name").alias("names"))  # the candidates of one text
-    hit = likely.join(rows, "_key").select("_key", F.explode(F.filter("names", lambda n: F.contains("_text", n))).alias("name"))
+    schema = T.StructType([T.StructField("_key", texts.schema[key].dataType), T.StructField("name", T.StringType())])
+    parts = []
+    for i in range(shards):
+        some = sorted(r[0] for r in (names if shards == 1 else names.where(F.col("_shard") == i)).select("name").collect())  # of bounded number and size
+        parts.append(rows.mapInArrow(_found(uuid.uuid4().hex, spark.sparkContext.broadcast(some)), schema))
+    hit = reduce(lambda a, b: a.unionByName(b), parts)
     return hit.join(products.select("product_id", F.col(name).alias("name")), "name").select(F.col("_key").alias(key), "product_id").distinct()
 
 

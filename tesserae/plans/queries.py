@@ -752,7 +752,7 @@ SELECT product_id, complaint_id, rank FROM (SELECT *, (row_number() OVER (PARTIT
 def changed_documents_per_code(spark, d):
     """Flagship: changed complaints, linked to products, as documents, the latest five of each product code."""
     c = tables.incremental_extract(complaints(spark, d), "1995-01-01 00:00:00")
-    docs = documents.complaint_docs(c, products(spark, d), CODE)
+    docs = documents.complaint_docs(c, products(spark, d), CODE, columns=["id", "content", "updated_at"])
     mentions = linking.code_mentions(docs.select("id", "content"), products(spark, d), CODE, "id", "content")
     hits = mentions.join(docs.select("id", "updated_at"), "id").select(F.col("product_id").alias("query_id"), F.col("id").alias("_id"), F.unix_micros("updated_at").cast("double").alias("score"))
     return search.top_k_per_query(hits, 5).select(F.col("query_id").alias("product_id"), F.col("_id").alias("complaint_id"), "rank")

@@ -3,13 +3,16 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import regex
 from pyspark.sql import functions as F
 
 from tesserae.operators import documents, facets, linking, results, search, vector_cells, vectors
 from tesserae.operators.index import segment, tokenize, tokenize_udf
+from tesserae.operators.postings_index import PostingsIndex
 from tesserae.plans import retrieval
 from tesserae.plans.queries import all_docs
+from tesserae.sources.generations import DocStore, new_path
 
 PRODUCTS = [("P001", "sensor"), ("P002", "motor x"), ("P003", "ab"), ("P004", "sensor"), ("P005", ""), ("P006", None)]
 
@@ -25,13 +28,16 @@ def test_links(spark):
     assert got == {1: ["P001", "P003"], 2: ["P001"], 3: ["P001", "P002", "P004"], 6: ["P003", "P005"]}
 
 
-def test_name_blocks_equal_plain_contains(spark):
+@pytest.mark.parametrize("names_at_once", [200_000, 9])
+def test_names_equal_plain_contains(spark, names_at_once):
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("abc漢") for _ in range(n))
-    names = [(f"P{i:03d}", word(rng.randrange(1, 6))) for i in range(40)]
-    texts = [(i, word(rng.randrange(0, 30))) for i in range(60)]
-    got = linking.name_mentions(spark.createDataFrame(texts, "row_id int, text string"), spark.createDataFrame(names, "product_id string, product_name string"))
-    assert {tuple(r) for r in got.collect()} == {(i, p) for i, t in texts for p, n in names if n in t}
+    names = [(f"P{i:03d}", word(rng.randrange(1, 6))) for i in range(40)] + [("P900", None), ("P901", "")]
+    texts = [(i, word(rng.randrange(0, 30))) for i in range(60)] + [(1 << 60, "abc" * 9), (None, "abc"), (70, None)]
+    p = spark.createDataFrame(names, "product_id string, product_name string")
+    got = linking.name_mentions(spark.createDataFrame(texts, "row_id long, text string"), p, names_at_once=names_at_once)
+    assert {tuple(r) for r in got.collect()} == {(i, p) for i, t in texts for p, n in names if n and n in (t or "")}
+    assert linking.name_mentions(spark.createDataFrame(texts, "row_id long, text string"), p.limit(0)).count() == 0
 
 
 def test_document_shapes(spark):
@@ -279,7 +285,7 @@ def test_fuzzy_long_words(spark):
 
 def test_names_in_long_texts(spark):
     texts = [(1, "x " * 200_000 + "motor x"), (2, "y" * 300_000), (3, "ab")]
-    got = linking.name_mentions(spark.createDataFrame(texts, "row_id int, text string"), products(spark), broadcast_names=0)
+    got = linking.name_mentions(spark.createDataFrame(texts, "row_id int, text string"), products(spark), names_at_once=2)
     assert {tuple(r) for r in got.collect()} == {(1, "P002"), (3, "P003")}
 
 
@@ -305,3 +311,80 @@ def test_fuzzy_search_in_one_table(spark):
     assert ids() == {1, 2} and ids(table=("table_name", "a")) == {1}
     met = retrieval.fuzzy_matches(q, corpus).join(docs.select("_id", "table_name"), "_id")
     assert sorted(map(tuple, facets.table_facet(met).collect())) == [(1, "a", 1), (1, "b", 1)]
+
+
+# --- changes and bitmaps -----------------------------------------------------------------------------------
+
+
+def test_two_batches_give_the_index_of_one_build(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choice("red fox runs the dog a".split()) for _ in range(rng.randrange(0, 12)))
+    frame = lambda rows: spark.createDataFrame(rows, "_id string, title string, content string")
+    state, index = {}, None
+    for batch in range(4):
+        changed = {f"d{rng.randrange(60)}": (text(), text()) for _ in range(30)}
+        gone = {f"d{rng.randrange(70)}" for _ in range(5 * batch)}
+        state = {k: v for k, v in (state | changed).items() if k not in gone}
+        df, keys = frame([(k, *v) for k, v in changed.items()] + [(None, "null", "key")]), frame([(k, None, None) for k in gone])
+        if index is None:
+            index = PostingsIndex.create(df, ["title", "content"])
+        else:
+            for _ in range(2):  # the second time it is known
+                index.apply(f"b{batch}", df, keys)
+    whole = PostingsIndex.create(frame([(k, *v) for k, v in state.items()]), ["title", "content"])
+    rows = lambda df: Counter(str(r) for r in df.collect())
+    compact = index.compacted(index.path + "-compacted")
+    for other in (index, compact, PostingsIndex(spark, index.path, index.table.schema["_id"].dataType, index.fields)):
+        assert rows(other.postings()) == rows(whole.postings())
+        assert rows(other.terms()) == rows(whole.terms()) and rows(other.lengths()) == rows(whole.lengths())
+    assert "Exchange hashpartitioning(_id" not in index.postings()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_document_store(spark):
+    schema = "_id string, v int, tags array<string>"
+    store = DocStore(spark, new_path(spark, "docs"), spark.createDataFrame([], schema).schema)
+    state, rng = {}, random.Random(4)
+    for batch in range(4):
+        changed = {f"k{rng.randrange(30)}": (batch * 100 + i, [str(batch)]) for i in range(15)}
+        gone = {f"k{rng.randrange(40)}" for _ in range(4)} if batch else set()
+        state = {k: v for k, v in (state | changed).items() if k not in gone}
+        for _ in range(2):
+            store.apply(f"b{batch}", spark.createDataFrame([(k, *v) for k, v in changed.items()], schema), spark.createDataFrame([(k, 0, None) for k in gone], schema) if gone else None)
+    read = lambda s: {r["_id"]: (r["v"], r["tags"]) for r in s.read().collect()}
+    assert read(store) == state == read(store.compacted(store.table.path + "-compacted"))
+    assert "Exchange" not in store.read()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_process_queries_totals_facets_and_results(spark):
+    rng = random.Random(9)
+    names = "sensor motor valve red blue".split()
+    p = spark.createDataFrame([(f"P{i:03d}", " ".join(rng.sample(names, 2)), "active" if i % 3 else "stopped") for i in range(80)], "product_id string, product_name string, status string")
+    docs = documents.product_docs(p).withColumn("type", F.when(F.col("id") < "P030", "old").otherwise(F.col("type")))
+    corpus = retrieval.Corpus.of(docs, ["title", "all_content", "searchable_content", "content", "status"])
+    q = spark.createDataFrame([(1, "red sensor", "keyword"), (2, "P007", "keyword"), (3, "active", "keyword"), (4, "blue valve", "hybrid"), (5, "nothing", "keyword"), (6, "ACTIVE", "hybrid")], "query_id long, query string, mode string").withColumns({"top_k": F.lit(4), "convert_to_traditional": F.lit(False)})
+    near = lambda part, factor: part.select("query_id", F.lit("product_P011").alias("_id"), F.lit(0.9).alias("score"))
+    got = {r["query_id"]: r for r in retrieval.process_queries(q, corpus, near).collect()}
+    kw, hyb = q.where("mode = 'keyword'"), q.where("mode = 'hybrid'")
+    matches = retrieval.keyword_matches(kw, corpus)
+    both = retrieval.hybrid_matches(hyb, corpus, near(hyb, 2))
+    want = {r[0]: r[1] for r in facets.total_hits(matches.unionByName(both)).collect()}
+    assert {k: r["total_hits"] for k, r in got.items() if r["total_hits"]} == want and got[5]["total_hits"] == 0
+    met = matches.join(corpus.docs.select("_id", "type", "product_ids"), "_id")
+    for column, counted in (("type", facets.type_facet), ("product_ids", facets.product_facet)):
+        by = {}
+        for r in counted(met).collect():
+            by.setdefault(r["query_id"], []).append((-r["count"], r["value"]))
+        found = {k: [(-x["count"], x["value"]) for x in r[f"{column}_facet"]] for k, r in got.items() if r[f"{column}_facet"]}
+        assert found == {k: sorted(v) for k, v in by.items()}
+    top = retrieval.over_fetch(matches, kw, 2).unionByName(retrieval.over_fetch(both, hyb, 3)).collect()
+    for k, r in got.items():
+        mine = sorted((t["rank"], round(t["score"], 9)) for t in top if t["query_id"] == k)
+        assert [(x["rank"], round(x["score"], 9)) for x in (r["results"] or [])] == mine
+
+
+def test_a_search_neither_shuffles_nor_writes_what_it_matches(spark):
+    docs = spark.createDataFrame([(i, "red fox " * (i % 3)) for i in range(50)], "_id long, content string")
+    corpus = retrieval.Corpus.of(docs, ["content"])
+    q = spark.createDataFrame([(1, "fox", 1.0, "own")], "query_id long, variant string, variant_boost double, role string")
+    plan = retrieval.Met.of(corpus, q).matches({"content": 1.0}, "own")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
