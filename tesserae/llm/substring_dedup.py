@@ -127,7 +127,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _anchors(window: int, sides: bool, per_turn: int = 1 << 20):
-    """(key, anchor) of each text's anchors, with before and after if ``sides``; ``key`` stands for the sequence of words."""
+    """(key, anchor) of each text's anchors, with 32 bits each of before and after if ``sides``; ``key`` stands for the sequence of words."""
 
     def rows_of(keys: list[int], texts: list[bytes]) -> pa.RecordBatch:
         h, at = word_hashes(b"\n".join(texts))
@@ -136,14 +136,15 @@ def _anchors(window: int, sides: bool, per_turn: int = 1 << 20):
         runs, key = Runs(h, np.diff(bounds), window), np.array(keys, np.int64)
         if sides:
             run, before, after = runs.sides()
-            columns = [key[runs.text[run]], runs.anchor[run].view(np.int64), before.view(np.int64), after.view(np.int64)]
+            both = (before & np.uint64(0xFFFFFFFF00000000)) | (after >> np.uint64(32))
+            columns = [key[runs.text[run]], runs.anchor[run].view(np.int64), both.view(np.int64)]
         else:
             columns = [key[runs.text], runs.anchor.view(np.int64)]
         again = np.ones(max(0, len(columns[0]) - 1), bool)  # in texts of few words
         for c in columns:
             again &= c[1:] == c[:-1]
         stay = np.concatenate([np.ones(min(1, len(columns[0])), bool), ~again])
-        return pa.RecordBatch.from_arrays([pa.array(c[stay]) for c in columns], ["key", "anchor", "before", "after"][: len(columns)])
+        return pa.RecordBatch.from_arrays([pa.array(c[stay]) for c in columns], ["key", "anchor", "sides"][: len(columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,9 +264,11 @@ def dedup_passages(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     groups = save(groups.select("sha", "key", F.col("place.doc").alias("first"), F.col("place.text_hash").alias("text_hash")), "texts")
 
     anchors = rows.select("text").mapInArrow(_anchors(window, False), "key long, anchor long")
-    sides = rows.select("text").mapInArrow(_anchors(window, True), "key long, anchor long, before long, after long")
-    likely = save(sides.join(_shared(anchors, "anchor"), "anchor", "left_semi").distinct(), "likely")
-    sided = likely.select("key", "anchor", F.explode(F.filter(F.array("before", "after"), lambda x: x != 0)).alias("side"))
+    sides = rows.select("text").mapInArrow(_anchors(window, True), "key long, anchor long, sides long")
+    likely = save(sides.join(_shared(anchors, "anchor"), "anchor", "left_semi"), "likely")
+    before, after = F.shiftrightunsigned("sides", 32), F.col("sides").bitwiseAND(0xFFFFFFFF)
+    named = F.transform(F.filter(F.array(F.struct(before.alias("x"), F.lit(0).alias("n")), F.struct(after.alias("x"), F.lit(1).alias("n"))), lambda s: s["x"] != 0), lambda s: F.xxhash64("anchor", s["x"], s["n"]))
+    sided = likely.select("key", "anchor", F.explode(named).alias("side"))
     sure = sided.join(_shared(sided, "side"), "side", "left_semi").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))  # of one text
     sure = save(sure.join(groups.select("key", "first", "text_hash"), "key"), "sure")
     if (n := sure.count()) == 0:
@@ -283,9 +286,8 @@ def dedup_passages(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
         single = runs.join(counts, "anchor", "left_semi").select("key", "first", "start", "content").mapInPandas(_single(window), schema)
         runs = save(runs.join(counts, "anchor", "left_anti").unionByName(single), "runs")
         distinct = runs.groupBy("anchor", "content").agg(F.min("first").alias("first"))
-    distinct = save(distinct.withColumn("content_hash", F.xxhash64("content")), "distinct")
-    shards = max(1, -(-distinct.count() // per_shard))
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    shards = max(1, -(-runs.count() // per_shard))
+    dealt = distinct.withColumn("content_hash", F.xxhash64("content")).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     firsts = save(dealt.groupBy("shard").applyInPandas(_first_documents(window), "anchor long, content_hash long, firsts array<long>"), "firsts")
     met = runs.select("key", "first", "start", "anchor", F.xxhash64("content").alias("content_hash")).join(firsts, ["anchor", "content_hash"])
     gone = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("first"), F.col("start") + i)), lambda s: s.isNotNull())
