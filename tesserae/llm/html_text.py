@@ -34,19 +34,31 @@ _DIGITS = re.compile(r"\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 #: Elements that never hold article text, and roles that mark such elements.
-DROP = frozenset("head nav header footer aside form menu dialog button select option datalist fieldset label legend input script style textarea title noscript iframe noembed noframes template svg math canvas audio video object".split())
-DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words in a class or id that mark boilerplate wherever they stand in it, and words that do so only where they come first.
+DROP = frozenset("head nav header footer aside menu dialog button select option datalist fieldset label legend input script style textarea title noscript iframe noembed noframes template svg math canvas audio video object".split())
+DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+#: Words in a class or id that cast doubt on an element wherever they stand in it, and, by kind, words that do so only where they
+#: come first and no other words than those of ``CHROME`` follow.
 SURE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager masthead footer sidebar sidenav comment comments disqus newsletter login popup modal toolbar promo consent gdpr commentlist".split())
-FIRST_WORDS = frozenset("aside promotion header widget widgets reply replies respond form subscribe signup cookie cookies notice notices notification alert overlay share sharing social related recommended copyright skip".split())
+FIRST_WORDS = {w: kind for kind, words in {
+    "weak": "aside promotion widget widgets subscribe signup overlay share sharing social related recommended copyright skip more latest popular trending",
+    "header": "header",
+    "notice": "cookie cookies notice notices notification alert flash",
+    "thread": "reply replies respond responses discussion discussions",
+    "form": "form",
+}.items() for w in words.split()}
+CHROME = frozenset("area articles bar block blocks body bottom box button buttons container content count default field fields footer form group head header icons info inner items left line link links list main media menu message messages nav news outer panel post posts right row section site social story stories strip text thread title tools top widget widgets wrap wrapper".split())
 #: Words before which a word of the second kind counts, too, and words after which a name says nothing of its element.
-SITE_WORDS = frozenset("site top global blog mobile left right bottom page".split())
+SITE_WORDS = frozenset("site top global blog mobile left right bottom page social".split())
 STATE_WORDS = frozenset("has with no without not".split())
 KEEP_CLASSES = frozenset("content main article post story entry-content post-content article-content article-body post-body story-body main-content page-content".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article body center div main section td html".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose names count at all; those within a line and headings are text of what holds them.
+NAMED_TAGS = frozenset("article body center div dl fieldset form html li main ol p section table tbody td tr ul".split())
+#: Characters outside links from which on a block is prose, and words of a heading over what readers say.
+PROSE, TALK = 80, re.compile(r"comment|repl(?:y|ies)|respon|discuss", re.I)
 #: A start tag on the left ends an open element on the right, unless one of the bounds stands between.
 ENDS = {t: ("p",) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()}
 ENDS |= {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th"), "body": ("head",)}
@@ -61,7 +73,7 @@ ARTICLE, MAIN, NAMED = 3, 2, 1
 class Node:
     """An open or closed element. ``own`` is what stands in it outside inner containers; ``chars`` and ``score`` count all of it."""
 
-    __slots__ = ("tag", "name", "key", "above", "drop", "kind", "holder", "own", "chars", "score", "h1", "inner", "kids", "region")
+    __slots__ = ("tag", "name", "key", "above", "drop", "kind", "holder", "own", "chars", "score", "h1", "inner", "kids", "region", "doubt")
 
     def __init__(self, tag: str, classes: tuple[str, ...], drop: bool, above: Node | None, holder: Node | None, kind: int):
         self.tag, self.drop, self.above, self.holder, self.kind = tag, drop, above, holder, kind
@@ -69,7 +81,7 @@ class Node:
         # a path is known by a hash of its names, so that deep pages cost no long strings
         self.key = xxhash.xxh64_intdigest(self.name.encode("utf-8", "replace"), above.key if above else 0)
         self.own = self.chars = self.score = self.inner = 0
-        self.h1, self.kids, self.region = False, [], None
+        self.h1, self.kids, self.region, self.doubt = False, [], None, False
 
 
 def path_of(node: Node, most: int = 16) -> str:
@@ -81,20 +93,57 @@ def path_of(node: Node, most: int = 16) -> str:
     return (">" if node.above is not None else "") + ">".join(reversed(names))
 
 
-def _is_boilerplate(tag: str, classes: tuple[str, ...], ident: str, role: str) -> bool:
+def _doubt_of(tag: str, classes: tuple[str, ...], ident: str, role: str) -> str:
+    """What an element's names say against it: nothing, "drop" where its tag or role does, else a kind of doubt."""
     if tag in DROP or role in DROP_ROLES:
-        return True
-    if tag in ("html", "body", "main", "article") or any(c.lower() in KEEP_CLASSES for c in (*classes, ident)):
-        return False
+        return "drop"
+    if tag in ("html", "body", "main", "article") or tag not in NAMED_TAGS or any(c.lower() in KEEP_CLASSES for c in (*classes, ident)):
+        return ""
+    found = "form" if tag == "form" or role == "form" else ""
     for name in (*classes, ident):
         parts = [w.lower() for w in _NAME.findall(name)]
         if not parts or not STATE_WORDS.isdisjoint(parts):
             continue
-        if tag not in CONTAINER and tag not in ("ul", "ol", "dl", "table", "section", "span"):
-            parts = parts if len(parts) == 1 else []  # a paragraph in class market-share is about shares
-        if not SURE_WORDS.isdisjoint(parts) or parts and (parts[0] in FIRST_WORDS or parts[0] in SITE_WORDS and not FIRST_WORDS.isdisjoint(parts)):
-            return True
-    return False
+        if tag == "p":  # a paragraph in class market-share is about shares
+            if len(parts) == 1 and parts[0] in SURE_WORDS:
+                return "sure"
+            continue
+        if not SURE_WORDS.isdisjoint(parts):
+            return "sure"
+        while len(parts) > 1 and parts[0] in SITE_WORDS:
+            parts = parts[1:]
+        if parts[0] in FIRST_WORDS and CHROME.issuperset(p for p in parts[1:] if not p.isdigit() and p not in FIRST_WORDS):
+            found = found or FIRST_WORDS[parts[0]]
+    return found
+
+
+class Doubt:
+    """An element that its names speak against, with what its text says."""
+
+    __slots__ = ("kind", "tag", "inside", "before", "chars", "links", "heading", "talk")
+
+    def __init__(self, kind: str, tag: str, inside: bool, before: int):
+        self.kind, self.tag, self.inside, self.before = kind, tag, inside, before
+        self.chars = self.links = 0
+        self.heading = self.talk = False
+
+
+def settle(doubt: Doubt, plain: int) -> bool:
+    """Whether a doubtful element stays, on a page of ``plain`` characters outside links.
+
+    What holds over half of the page's text is the page's text, whatever its name. Mostly links, it goes. Then names decide
+    by kind: sure ones go, forms and threads of readers go unless a section has a heading of its own; others stay
+    inside an article or main element where they hold prose, notices only under a heading.
+    """
+    own = doubt.chars - doubt.links
+    if 2 * own > plain:
+        return True
+    if doubt.kind in ("sure", "form") or 2 * doubt.links > doubt.chars:
+        return False
+    if doubt.kind == "thread":
+        return doubt.tag == "section" and doubt.heading and not doubt.talk or doubt.before < own
+    prose = doubt.inside and own >= PROSE
+    return prose and (doubt.kind != "notice" or doubt.heading)
 
 
 def _kind(tag: str, classes: tuple[str, ...], attributes: dict[str, str]) -> int:
@@ -126,10 +175,15 @@ def _slow_tag(page: str, at: int) -> tuple[int, dict[str, str]]:
 def parse(page: str) -> tuple[list[tuple[str, int, Node, bool]], list[Node]]:
     """Blocks of text outside boilerplate (text, characters in links, container, in a first heading), and all containers in page order.
 
+    Elements whose tag or role is never the article's go at once. Those that only a name speaks against are kept apart with
+    their text until the page has been read, and then stay or go by it (``settle``).
+
     Each character is looked at a bounded number of times, however deep, unclosed or unmatched the tags are: a
     tag, comment or quoted value that never ends ends the page, and open elements are found by their tag.
     """
-    blocks: list[tuple[str, int, Node, bool]] = []
+    blocks: list[tuple[str, int, Node, bool, Doubt | None]] = []
+    doubts: list[Doubt] = []  # the outermost open one first
+    before = 0  # characters outside links so far
     root = Node("html", (), False, None, None, 0)
     containers, stack, holders, text = [root], [root], [root], []
     places: dict[str, list[int]] = {}  # where in the stack each tag is open
@@ -139,12 +193,22 @@ def parse(page: str) -> tuple[list[tuple[str, int, Node, bool]], list[Node]]:
     article_header = 0  # open headers of an article
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, before
         if text:
             joined = _SPACE.sub(" ", "".join(text)).strip()
             text.clear()
             if joined:
-                blocks.append((joined, min(links, len(joined)), holders[-1], bool(places.get("h1"))))
+                linked, heading = min(links, len(joined)), any(places.get(h) for h in HEADING)
+                doubt = doubts[0] if doubts else None
+                if doubt:
+                    doubt.chars += len(joined)
+                    doubt.links += linked
+                    doubt.heading |= heading
+                    doubt.talk |= heading and TALK.search(joined) is not None
+                    if heading and doubt.kind == "header" and doubt.inside:
+                        doubt = None  # a heading in the header of an article is the article's
+                before += len(joined) - linked
+                blocks.append((joined, linked, holders[-1], bool(places.get("h1")), doubt))
         links = 0
 
     def add(piece: str) -> None:
@@ -166,6 +230,8 @@ def parse(page: str) -> tuple[list[tuple[str, int, Node, bool]], list[Node]]:
             if holders[-1] is node:
                 holders.pop()
             dropped -= node.drop
+            if node.doubt:
+                doubts.pop()
             in_link -= node.tag == "a"
             if node.tag in HEADING:
                 kept_heading = False
@@ -242,13 +308,17 @@ def parse(page: str) -> tuple[list[tuple[str, int, Node, bool]], list[Node]]:
             at = end.end()
             continue
         classes = tuple(attributes.get("class", "").split())
-        drop = _is_boilerplate(tag, classes, attributes.get("id", ""), attributes.get("role", "").lower())
+        named = _doubt_of(tag, classes, attributes.get("id", ""), attributes.get("role", "").lower())
+        drop = named == "drop"
         node = Node(tag, classes, drop, stack[-1], holders[-1], _kind(tag, classes, attributes) if tag in CONTAINER else 0)
         # a heading in the header of an article is the article's
         if tag in HEADING and dropped == 1 and article_header:
             kept_heading = True
         if tag == "header" and drop and (article_header or not dropped and (last("article") or last("main"))):
             article_header += 1
+        if named and not drop:
+            doubts.append(Doubt(named, tag, bool(last("article") or last("main")), before))
+            node.doubt = True
         places.setdefault(tag, []).append(len(stack))
         stack.append(node)
         dropped += drop
@@ -258,7 +328,12 @@ def parse(page: str) -> tuple[list[tuple[str, int, Node, bool]], list[Node]]:
             holders.append(node)
     close(1)
     flush()
-    return blocks, containers
+    plain = sum(len(text) - linked for text, linked, *_ in blocks)
+    settled: dict[int, bool] = {}
+    for *_, doubt in blocks:
+        if doubt is not None and id(doubt) not in settled:
+            settled[id(doubt)] = settle(doubt, plain)
+    return [b[:4] for b in blocks if b[4] is None or settled[id(b[4])]], containers
 
 
 def regions_of(blocks: list[tuple[str, int, Node, bool]], containers: list[Node]) -> list[Node]:

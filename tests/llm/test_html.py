@@ -144,6 +144,36 @@ def test_nothing_of_the_article_is_lost(page, text):
     assert html_text.extract(page)[0] == text
 
 
+_PROSE = "A sentence of the article with some words in it. " * 7
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><h1 class='header'>Title</h1><p>{}</p></article>", "Title\n\n{}"),
+        ("<article><h2 class='header'>Title</h2><p>{}</p></article>", "Title\n\n{}"),
+        ("<article><div class='header'><h1>Title</h1></div><p>{}</p></article>", "Title\n\n{}"),
+        ("<article><h1>Baking</h1><section id='cookies'><p>{}</p></section></article>", "Baking\n\n{}"),
+        ("<article><h1>Baking</h1><section id='cakes'><h2>Cakes</h2><p>{}</p></section><section id='cookies'><h2>Cookies</h2><p>{}</p></section></article>", "Baking\n\nCakes\n\n{}\n\nCookies\n\n{}"),
+        ("<div class='form-and-function'><h1>Design</h1><p>{}</p></div>", "Design\n\n{}"),
+        ("<body><main><form id='aspnetForm' action='x'><input type=hidden><h1>T</h1><p>{}</p><button>Go</button></form></main></body>", "T\n\n{}"),
+        ("<body><form method=post><nav>m</nav><article><p>{}</p></article></form></body>", "{}"),
+        ("<article><p>{}</p><div class='share-price'>It closed at 12.</div><p class='form'>On form.</p></article>", "{}\n\nIt closed at 12.\n\nOn form."),
+        ("<article><p>The <span class='menu'>dinner</span> card. {}</p></article>", "The dinner card. {}"),
+        ("<article><p>{}</p><section class='responses'><h3>Responses</h3><p>First, says one.</p><p>Second, says two.</p></section></article>", "{}"),
+        ("<article><p>{}</p><div id='discussion'><p>I do not agree with any of it.</p></div></article>", "{}"),
+        ("<article><p>{}</p><section id='discussion'><h2>Discussion of results</h2><p>{}</p></section></article>", "{}\n\nDiscussion of results\n\n{}"),
+        ("<article><div class='flash'>Your settings were saved.</div><p>{}</p></article>", "{}"),
+        ("<article><p>{}</p><div class='more-stories'><a href=1>Another story of the day</a><a href=2>And one more of it</a></div></article>", "{}"),
+        ("<article><p>{}</p><div class='cookie-notice'><p>We use cookies. By going on you agree to that, as it says in our policy, which you may read.</p></div></article>", "{}"),
+        ("<article><p>{}</p><form action=x><label>Name</label><input><p>Write to us</p></form><div class='comments'><p>{}</p></div></article>", "{}"),
+        ("<body><div class='related-posts'><p>{}</p></div><article><p>{}</p><p>{}</p></article></body>", "{}\n\n{}"),
+    ],
+)
+def test_text_outweighs_names(page, text):
+    assert html_text.extract(page.replace("{}", _PROSE))[0] == text.replace("{}", _PROSE.strip())
+
+
 def test_a_sidebar_on_the_winning_path_does_not_beat_another_layout(spark):
     usual = "<body><div class=text><p>{}</p></div></body>".format("words of an article " * 20)
     other = "<body><div class=story><p>{}</p></div><div class=text><p>short note</p></div></body>".format("another story told " * 30)
