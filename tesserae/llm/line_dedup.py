@@ -1,9 +1,9 @@
 """Cross-site boilerplate lines by their spread over distinct sites.
 
 Lines are hashed. Rows of a hash are first reduced to counts, which prove most lines too rare or confined to
-one site; the sites of the others are gathered in HyperLogLog sketches that merge by aggregation. Where an
-estimate lies near the threshold, within several times its standard error, the exact number of distinct
-sites decides. Lines seen on enough sites are removed from every document: of lines of a few words and more on
+one site; the sites of the others are gathered from their rows in HyperLogLog sketches that merge by aggregation. An
+estimate that is clear of the threshold decides; only of lines near it, within several times the standard error, the
+distinct sites are counted. Lines seen on enough sites are removed from every document: of lines of a few words and more on
 two fifths of the sites or eight, of shorter ones on four fifths.
 """
 
@@ -31,18 +31,26 @@ def sites_needed(n_sites: int) -> tuple[int, int]:
     return max(LEAST_SITES, min(ENOUGH, math.ceil(SHARE * n_sites))), max(LEAST_SITES, math.ceil(SHORT_SHARE * n_sites))
 
 
-def boilerplate(lines: DataFrame, lg_k: int = 12, errors: float = 6.0) -> DataFrame:
-    """(line, need, site) -> (line, sites): the lines of at least ``need`` distinct sites; ``need`` is the same for all rows of a line."""
+def boilerplate(lines: DataFrame, lg_k: int = 12, errors: float = 6.0, broadcast_lines: int = 1_000_000) -> DataFrame:
+    """(line, need, site), repeats included -> (line, sites): the lines of at least ``need`` distinct sites; ``need`` is the same for all rows of a line.
+
+    ``sites`` is the sketch's estimate where that is clear of the threshold, else the exact number. Lines that are left
+    after a step are broadcast to the rows up to ``broadcast_lines`` of them.
+    """
     need = F.col("need")
-    pairs = save(lines.groupBy("line", "need", "site").agg(F.count(F.lit(1)).alias("n")), "sites")
-    spread = pairs.groupBy("line", "need").agg(F.sum("n").alias("n"), F.min("site").alias("low"), F.max("site").alias("high"))
-    likely = save(spread.where((F.col("n") >= need) & ((F.col("low") < F.col("high")) | (need <= 1))).select(F.col("line").alias("k")), "likely")
-    rest = pairs.join(likely, F.col("line") == F.col("k"), "left_semi")
-    sketch = rest.groupBy("line", "need").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"))
+    lines = save(lines, "lines")
+
+    def of(some: DataFrame, name: str) -> DataFrame:
+        kept = save(some.select(F.col("line").alias("k")), name)
+        return lines.join(F.broadcast(kept) if kept.count() <= broadcast_lines else kept, F.col("line") == F.col("k"), "left_semi")
+
+    spread = lines.groupBy("line", "need").agg(F.count(F.lit(1)).alias("n"), F.min("site").alias("low"), F.max("site").alias("high"))
+    likely = of(spread.where((F.col("n") >= need) & ((F.col("low") < F.col("high")) | (need <= 1))), "likely")
+    sketch = likely.groupBy("line", "need").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"))
     estimate = save(sketch.select("line", "need", F.hll_sketch_estimate("sketch").alias("sites")), "estimates")
     margin = errors * 1.04 / 2 ** (lg_k / 2) * need + 1
-    near = estimate.where(F.abs(F.col("sites") - need) <= margin).select(F.col("line").alias("k"))
-    exact = rest.join(near, F.col("line") == F.col("k"), "left_semi").groupBy("line", "need").agg(F.count(F.lit(1)).alias("sites"))
+    near = of(estimate.where(F.abs(F.col("sites") - need) <= margin), "near")
+    exact = near.groupBy("line", "need").agg(F.count_distinct("site").alias("sites"))
     clear = estimate.where(F.col("sites") > need + margin)
     return clear.unionByName(exact.where(F.col("sites") >= need)).select("line", "sites")
 
