@@ -85,7 +85,7 @@ def _reduced(tokens: Column, positions: bool) -> Column:
 
         return _let(starts, lambda all_starts: F.transform(all_starts, lambda at, k: one(all_starts, at, k)))
 
-    return _let(F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))), runs)
+    return _let(F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))), runs)
 
 
 def build_postings(docs: DataFrame, fields: dict[str, Column], key: str = "_id", positions: bool = True, first: str | None = None) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,31 +145,42 @@ def hybrid_join(keyword: DataFrame, nearest: DataFrame, keyword_weight: float =
     return joined.select("query_id", key, (keyword_weight * F.coalesce("_k", zero) + vector_weight * F.coalesce("_v", zero)).alias("score"))
 
 
-def _edits(a: str, b: str, most: int) -> int:
-    """Damerau-Levenshtein distance; ``most`` + 1 where it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    last: dict[str, int] = {}
-    far = len(a) + len(b)
-    d = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]] + [[far, i + 1, *[0] * len(b)] for i in range(len(a))]
-    for i, x in enumerate(a, 1):
-        seen = 0
-        for j, y in enumerate(b, 1):
-            k, m = last.get(y, 0), seen
-            if x == y:
-                seen = j
-            d[i + 1][j + 1] = min(d[i][j] + (x != y), d[i + 1][j] + 1, d[i][j + 1] + 1, d[k][m] + (i - k - 1) + 1 + (j - m - 1))
-        last[x] = i
-    return min(d[-1][-1], most + 1)
+#: Words up to the first length are keyed by what two deletions leave, up to the second by what one leaves of a half, longer ones by segments.
+_SHORT, _MIDDLE, _SEGMENTS = 8, 32, 5
 
 
-@F.pandas_udf(T.IntegerType())
-def _distance(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([_edits(x, y, int(m)) for x, y, m in zip(a, b, most)], dtype="int32")
+def _swaps(word: Column) -> Column:
+    """The word with each two different neighbours exchanged."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1)))
+    one = lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, F.lit(1)), F.substr(word, i, F.lit(1)), F.substr(word, i + 2))
+    return F.filter(F.transform(at, one), lambda w: (w != word) & (F.length(w) == F.length(word)))
 
 
-#: Words up to this length are keyed by what is left after deletions, longer ones by segments.
-_SHORT, _SEGMENTS = 32, 5
+def edits(a: Column, b: Column) -> Column:
+    """Damerau-Levenshtein distance where it is at most 2, else 3 or more, by Spark's functions.
+
+    Plain edits are Spark's own distance. A swap of neighbours is one edit; beside one of them there may be a plain edit, before
+    or after it, or another swap. A swap may also stand across a character that comes or goes between the two (``_across``).
+    """
+    plain = F.levenshtein(a, b, 4)
+    far = F.when(plain < 0, 3).otherwise(plain)
+    one = F.exists(_swaps(a), lambda w: w == b)
+    # a swap and one more edit, in either order, next to each other or apart
+    two = F.exists(_swaps(a), lambda w: F.coalesce(F.levenshtein(w, b, 1), F.lit(-1)) >= 0) | F.exists(_swaps(b), lambda w: F.coalesce(F.levenshtein(w, a, 1), F.lit(-1)) >= 0)
+    both = F.coalesce(F.arrays_overlap(_swaps(a), _swaps(b)), F.lit(False))
+    return F.when(far <= 1, far).when(one, 1).when(far == 2, 2).when(two | both | _across(a, b) | _across(b, a), 2).otherwise(3)
+
+
+def _others(a: Column, b: Column) -> Column:
+    """How many characters of a are nowhere in b."""
+    return F.length(F.call_function("translate", a, b, F.lit("")))
+
+
+def _across(a: Column, b: Column) -> Column:
+    """Whether b is a with neighbours xy replaced by y, any character, x."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1)))
+    fits = lambda i: (F.substr(a, F.lit(1), i - 1) == F.substr(b, F.lit(1), i - 1)) & (F.substr(a, i, F.lit(1)) == F.substr(b, i + 2, F.lit(1))) & (F.substr(a, i + 1, F.lit(1)) == F.substr(b, i, F.lit(1))) & (F.substr(a, i + 2) == F.substr(b, i + 3))
+    return (F.length(b) == F.length(a) + 1) & (F.length(a) >= 2) & F.exists(at, fits)
 
 
 def _deletion_keys(word: Column, most: Column) -> Column:
@@ -180,6 +190,19 @@ def _deletion_keys(word: Column, most: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), F.when(most >= 1, one).otherwise(none), F.when(most >= 2, two).otherwise(none)))
 
 
+def _half_keys(word: Column, sizes: Column, spread: int) -> Column:
+    """Names of halves and what at most one deletion leaves of them: of the first and last ``size`` characters, or up to ``spread`` more or fewer."""
+
+    def of(side: str, size: Column, more: int) -> Column:
+        part = F.left(word, size + more) if side == "l" else F.right(word, size + more)
+        named = lambda w: F.concat_ws(":", F.lit(side), size.cast("string"), w)
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), lambda i: named(F.concat(F.substr(part, F.lit(1), i - 1), F.substr(part, i + 1))))
+        return F.concat(F.array(named(part)), cut)
+
+    each = F.transform(sizes, lambda n: F.concat(*[of(side, n, d) for side in "lr" for d in range(-spread, spread + 1)]))
+    return F.array_distinct(F.flatten(each))
+
+
 def _segment_keys(word: Column, length: Column, shift: int) -> Column:
     """Names and texts of the segments that a word of ``length`` has, taken from ``word`` at ``shift`` from their place."""
     bound = lambda i: F.floor(length * i / _SEGMENTS).cast("int")
@@ -191,10 +214,10 @@ def fuzzy_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(query_term, term, edits): words of the vocabulary within 0, 1 or 2 edits by the query term's length (to 2, to 5, more).
 
     Only words of about the length of a query term get keys. Short words that are close agree after at most that
-    many characters are deleted from each, so what is left after deletions are the keys of an equi-join. Two edits,
-    swaps of neighbours included, leave one of five segments of a long word whole and at most two places away, so
-    these are its keys; their number doesn't grow with the word. Spark's own distance decides, but for pairs in
-    which a swap, one edit here and two there, may matter.
+    many characters are deleted from each, so what is left after deletions are the keys of an equi-join. Of longer words
+    one half has at most one edit, or a swap's one side, so what one deletion leaves of a half is a key. Two edits,
+    swaps of neighbours included, leave one of five segments of a very long word whole and at most two places away, so
+    these are its keys; their number doesn't grow with the word. ``edits``, a column of Spark's functions, decides.
     """
     allowed = F.when(F.length("query_term") <= 2, 0).when(F.length("query_term") <= 5, 1).otherwise(2)
     left = save(terms.select("query_term").distinct().withColumns({"most": allowed, "n": F.length("query_term")}), "terms")
@@ -204,12 +227,20 @@ def fuzzy_join(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     most = F.when(F.col("m") >= 6, 2).when(F.col("m") >= 3, 1).otherwise(0)
     short = words.where(F.col("m") <= _SHORT + 2).select("term", F.explode(_deletion_keys(F.col("term"), most)).alias("key"))
     asked = left.where(F.col("n") <= _SHORT).select("query_term", "most", F.explode(_deletion_keys(F.col("query_term"), F.col("most"))).alias("key"))
-    long = words.where(F.col("m") > _SHORT - 2).select("term", F.explode(_segment_keys(F.col("term"), F.col("m"), 0)).alias("key"))
+    half = lambda n: F.floor(n / 2).cast("int")
+    middle = words.where(F.col("m").between(_SHORT - 1, _MIDDLE + 2)).select("term", F.explode(_half_keys(F.col("term"), F.array_distinct(F.array(half(F.col("m")), F.col("m") - half(F.col("m")))), 0)).alias("key"))
+    sizes = F.array_distinct(F.transform(F.sequence(F.col("n") - 2, F.col("n") + 3), half))  # halves, the larger ones too, of words of such lengths
+    asked_middle = left.where(F.col("n").between(_SHORT + 1, _MIDDLE)).select("query_term", "most", F.explode(_half_keys(F.col("query_term"), sizes, 1)).alias("key"))
+    long = words.where(F.col("m") > _MIDDLE - 2).select("term", F.explode(_segment_keys(F.col("term"), F.col("m"), 0)).alias("key"))
     shifted = F.flatten(F.array(*[_segment_keys(F.col("query_term"), F.col("n") + F.lit(d), s) for d in range(-2, 3) for s in range(-2, 3)]))
-    asked_long = left.where(F.col("n") > _SHORT).select("query_term", "most", F.explode(F.filter(shifted, lambda k: k.isNotNull())).alias("key"))
-    met = asked.join(short, "key").unionByName(asked_long.join(long, "key")).select("query_term", "most", "term")
-    far = F.when(F.col("most") == 0, F.when(F.col("query_term") == F.col("term"), 0).otherwise(-1)).when(F.col("most") == 1, F.levenshtein("query_term", "term", 2)).otherwise(F.levenshtein("query_term", "term", 4))
-    near = save(met.where(F.abs(F.length("query_term") - F.length("term")) <= F.col("most")).distinct().withColumn("far", far).where("far >= 0"), "near")
-    plain = near.where("far <= 1 and far <= most").select("query_term", "term", F.col("far").alias("edits"))
-    swapped = near.where("far > 1").withColumn("edits", _distance("query_term", "term", "most")).where("edits <= most")
-    return plain.unionByName(swapped.select("query_term", "term", "edits"))
+    asked_long = left.where(F.col("n") > _MIDDLE).select("query_term", "most", F.explode(F.filter(shifted, lambda k: k.isNotNull())).alias("key"))
+    met = asked.join(short, "key").unionByName(asked_middle.join(middle, "key")).unionByName(asked_long.join(long, "key")).select("query_term", "most", "term")
+    near = save(met.where(F.abs(F.length("query_term") - F.length("term")) <= F.col("most")).distinct(), "near")
+    exact = near.where("query_term = term").select("query_term", "term", F.lit(0).alias("edits"))
+    far, a, b = F.levenshtein("query_term", "term", 4), F.col("query_term"), F.col("term")
+    # two plain edits stand for a swap at most twice, so what is farther than four has no chance; farther than two, there is
+    # a swap, so that at most one character of each word is not in the other
+    alike = (_others(a, b) <= 1) & (_others(b, a) <= 1)
+    likely = near.where((a != b) & (F.col("most") > 0) & (far >= 0) & ((far <= F.col("most")) | alike))
+    found = F.filter(F.array(edits(a, b)), lambda e: e <= F.col("most"))  # evaluated once a pair
+    return exact.unionByName(likely.select("query_term", "term", F.explode(found).alias("edits")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import columns as fn
-from tesserae.operators import bitmaps, documents, facets, linking, results, search, vector_cells, vectors
+from tesserae.operators import bitmaps, documents, facets, linking, results, search, vector_cells, vectors, word_graph
 from tesserae.operators.index import bm25, build_postings, field_stats, idf, term_stats, tokenize
 from tesserae.operators.postings_index import PostingsIndex
 from tesserae.plans import retrieval
@@ -164,6 +164,17 @@ def sql_dump_round_trip(spark, d):
     return rows.select(F.get("values", F.lit(0)).cast("bigint").alias("page_id"), F.col("tuple_no").cast("int").alias("rn"), F.get("values", F.lit(1)).alias("body"))
 
 
+@query("""SELECT page_id, html AS body FROM pages""")
+def sql_dump_files(spark, d):
+    """Every page as an INSERT in dump files, which are read in chunks and split into statements and tuples."""
+    quoted = F.concat(F.lit("'"), F.replace(F.replace("html", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''")), F.lit("'"))
+    dump = F.concat(F.lit("/* page; */ INSERT INTO `t` (id, body) VALUES ("), F.col("page_id").cast("string"), F.lit(", "), quoted, F.lit(");  -- end; 'of it"))
+    path = f"{shared_dir(spark)}/tesserae-{uuid.uuid4().hex}-dumps"
+    table(spark, d, "pages").select(dump.alias("value")).write.text(path)
+    rows = dumps.insert_rows(dumps.read_sql_dump(spark, path))
+    return rows.select(F.get("values", F.lit(0)).cast("bigint").alias("page_id"), F.get("values", F.lit(1)).alias("body"))
+
+
 # --- linking and documents ---------------------------------------------------------------------------------
 
 
@@ -797,6 +808,14 @@ def highlights(spark, d):
     return top.select("query_id", "_id", "rank", F.array_join(results.highlight_udf()("text", tokenize(F.col("query"))), "\n").alias("fragments"))
 
 
+@query()
+def segmented_terms(spark, d):
+    """How many documents of the three tables have each term, by the word graph learnt from their own texts."""
+    docs = save(all_docs(spark, d).select("_id", "searchable_content"), "texts")
+    tokens = word_graph.graph_tokenizer(word_graph.learn_words(docs, "searchable_content"))
+    return docs.select("_id", F.explode(F.array_distinct(tokens("searchable_content"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+
+
 @query()
 def embed(spark, d):
     """Hashed vectors of all documents, with the sum of their squares."""

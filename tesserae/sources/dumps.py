@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -228,7 +229,24 @@ def _fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out()
 
 
-def read_sql_dump(spark: SparkSession, path: str) -> DataFrame:
+def _chunk_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: dict[tuple[str, int], hashlib._Hash] = {}  # of the few chunks of one task
+    for pdf in batches:
+        for path, block, line in zip(pdf["path"], pdf["block"], pdf["value"]):
+            found = held.get((path, block)) or held.setdefault((path, block), hashlib.md5(usedforsecurity=False))
+            found.update(line.encode() + b"\n")
+    yield pd.DataFrame([(path, block, found.hexdigest()) for (path, block), found in held.items()], columns=["path", "block", "hash"])
+
+
+def file_hashes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, file, hash): a hash of the content of files of any size, made of those of the chunks that Spark reads; it holds for one size of chunks."""
+    lines = spark.read.text(paths, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    chunks = lines.mapInPandas(_chunk_hashes, "path string, block long, hash string")
+    whole = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "hash"))), lambda c: c["hash"]), ""))  # one entry a chunk
+    return chunks.groupBy("path").agg(whole.alias("hash")).select("path", F.regexp_extract("path", "[^/]+$", 0).alias("file"), "hash")
+
+
+def read_sql_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, stmt_no, stmt_type, sql), one row per statement. Files of any size are read in chunks, side by side.
 
     A first pass finds what each chunk does to the lexer from each mode it may start in, a chain over the chunks of a file

@@ -66,37 +66,32 @@ def stream_sync(changes: DataFrame, build: Callable[[DataFrame], DataFrame], pat
 def stream_file_drop(spark: SparkSession, path: str, load: Callable[[DataFrame, int], DataFrame | None], checkpoint: str, archive: str | None = None, per_batch: int = 16, ledger: str | None = None) -> DataStreamWriter:
     """New dump files -> ``load(statements, batch number)``; done files move to ``archive`` if given.
 
-    With a ``ledger`` folder a file whose latest row there has the same content is not loaded again. ``load`` may return
-    (file, ok) for its statements, from which the ledger takes whether a file succeeded; without it all do. A batch that is
-    run again after a failure doesn't see its own rows and replaces them.
+    The stream brings the files' names; each batch reads at most ``per_batch`` files in chunks side by side
+    (``dumps.read_sql_dump``), so a file of any size is never one row. With a ``ledger`` folder a file whose latest row
+    there has the same content is not loaded again. ``load`` may return (file, ok) for its statements, from which the
+    ledger takes whether a file succeeded; without it all do. A batch that is run again after a failure doesn't see
+    its own rows and replaces them.
     """
-    reader = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", "*.sql")
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", "*.sql")
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
 
-    def split(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for file, digest, text in zip(pdf["file"], pdf["hash"], pdf["value"]):
-                yield pd.DataFrame([(file, digest, i, k, s) for i, (k, s) in enumerate(dumps.split_statements(text or ""))], columns=["file", "hash", "stmt_no", "stmt_type", "sql"])
-
     def run(batch: DataFrame, number: int) -> None:
-        if ledger is None:
-            load(batch.drop("hash"), number)
-            return
         session = batch.sparkSession
-        fresh = dumps.new_files(batch.select("file", "hash").distinct(), read_ledger(session, ledger).where(F.col("batch") != number))
-        fresh = save(fresh.select("file", "hash"), "fresh")  # as the ledger stood before this batch
-        outcome = load(batch.join(fresh, ["file", "hash"], "left_semi").select("file", "stmt_no", "stmt_type", "sql"), number)
-        rows = fresh.withColumn("success", F.lit(True))
-        if outcome is not None:
-            rows = fresh.join(dumps.import_outcome(outcome).select("file", "success"), "file", "left").withColumn("success", F.coalesce("success", F.lit(True)))
-        rows.withColumn("processed_at", F.current_timestamp()).select("file", "hash", "processed_at", "success").write.mode("overwrite").parquet(f"{ledger}/batch={number}")
-
-    files = reader.load(path).select(F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0).alias("file"), F.md5("value").alias("hash"), "value")
-    statements = files.mapInPandas(split, "file string, hash string, stmt_no long, stmt_type string, sql string")
-    return statements.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        paths = sorted(r["path"] for r in batch.select("path").distinct().collect())  # per_batch names
+        if ledger is not None and paths:
+            hashes = save(dumps.file_hashes(session, paths), "hashes")
+            known = read_ledger(session, ledger).where(F.col("batch") != number)
+            fresh = save(dumps.new_files(hashes.select("file", "hash"), known).select("file", "hash"), "fresh")  # as the ledger stood before this batch
+            paths = sorted(r["path"] for r in hashes.join(fresh, ["file", "hash"], "left_semi").select("path").collect())
+        outcome = load(dumps.read_sql_dump(session, paths), number) if paths else None
+        if ledger is not None and paths:
+            rows = fresh.withColumn("success", F.lit(True))
+            if outcome is not None:
+                rows = fresh.join(dumps.import_outcome(outcome).select("file", "success"), "file", "left").withColumn("success", F.coalesce("success", F.lit(True)))
+            rows.withColumn("processed_at", F.current_timestamp()).select("file", "hash", "processed_at", "success").write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+
+    return reader.load(path).select("path").writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter
@@ -7,7 +8,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from tesserae.operators import documents, facets, linking, results, search, vector_cells, vectors
+from tesserae.operators import documents, facets, linking, results, search, vector_cells, vectors, word_graph
 from tesserae.operators.index import segment, tokenize, tokenize_udf
 from tesserae.operators.postings_index import PostingsIndex
 from tesserae.plans import retrieval
@@ -75,14 +76,46 @@ def test_keyword_code_branch(spark):
     assert {r["_id"] for r in got if r["query_id"] == 2} == {"product_P001"} and not [r for r in got if r["query_id"] == 3]
 
 
-def test_fuzzy_distance(spark):
+def slow_edits(a, b):
+    """Damerau-Levenshtein distance."""
+    last, far = {}, len(a) + len(b)
+    d = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]] + [[far, i + 1, *[0] * len(b)] for i in range(len(a))]
+    for i, x in enumerate(a, 1):
+        seen = 0
+        for j, y in enumerate(b, 1):
+            k, m = last.get(y, 0), seen
+            if x == y:
+                seen = j
+            d[i + 1][j + 1] = min(d[i][j] + (x != y), d[i + 1][j] + 1, d[i][j + 1] + 1, d[k][m] + (i - k - 1) + 1 + (j - m - 1))
+        last[x] = i
+    return d[-1][-1]
+
+
+def test_edits_of_all_short_words(spark):
+    words = ["".join(w) for n in range(1, 6) for w in itertools.product("abc"[: 3 if n < 5 else 2], repeat=n)]
+    rng = random.Random(2)
+    pairs = [(x, y) for x in words for y in rng.sample(words, 40)]
+    pairs += [("ca", "abc"), ("ab", "bxa"), ("abcd", "acbd"), ("abcd", "badc"), ("axb", "ba"), ("abc", "cab"), ("abcdef", "abdcfe")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", search.edits(F.col("a"), F.col("b")).alias("e")).collect()
+    assert all(min(r["e"], 3) == min(slow_edits(r["a"], r["b"]), 3) for r in got)
+
+
+@pytest.mark.parametrize("longest", [9, 20])
+def test_fuzzy_distance(spark, longest):
     rng = random.Random(8)
-    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))
-    a, b = sorted({word() for _ in range(60)}), sorted({word() for _ in range(200)})
-    got = {(r["query_term"], r["term"]) for r in search.fuzzy_join(spark.createDataFrame([(x,) for x in a], "query_term string"), spark.createDataFrame([(x,) for x in b], "term string")).collect()}
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, longest)))
+
+    def changed(w):
+        for _ in range(rng.randrange(0, 3)):
+            i, kind = rng.randrange(len(w)), rng.randrange(4)
+            w = [w[:i] + "x" + w[i:], w[:i] + w[i + 1 :], w[:i] + "y" + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]][kind] or "z"
+        return w
+
+    a = sorted({word() for _ in range(60)})
+    b = sorted({word() for _ in range(150)} | {changed(w) for w in a for _ in range(4)})
+    got = {(r["query_term"], r["term"], r["edits"]) for r in search.fuzzy_join(spark.createDataFrame([(x,) for x in a], "query_term string"), spark.createDataFrame([(x,) for x in b], "term string")).collect()}
     allow = lambda x: 0 if len(x) <= 2 else 1 if len(x) <= 5 else 2
-    assert got == {(x, y) for x in a for y in b if search._edits(x, y, allow(x)) <= allow(x)}
-    assert search._edits("ab", "ba", 2) == 1 and search._edits("ca", "abc", 2) == 2
+    assert got == {(x, y, slow_edits(x, y)) for x in a for y in b if slow_edits(x, y) <= allow(x)}
 
 
 def test_vectors_equal_numpy(spark):
@@ -279,7 +312,7 @@ def test_fuzzy_long_words(spark):
             edited.add("".join(chars))
     vocabulary = [(w,) for w in edited] + [("z" * 100_000,)]
     got = {(r["query_term"], r["term"]): r["edits"] for r in search.fuzzy_join(spark.createDataFrame([(w,) for w in asked], "query_term string"), spark.createDataFrame(vocabulary, "term string")).collect()}
-    want = {(a, b): d for a in asked for b in edited if (d := search._edits(a, b, 2)) <= 2}
+    want = {(a, b): d for a in asked for b in edited if (d := slow_edits(a, b)) <= 2}
     assert got == want and len(want) > 200
 
 
@@ -388,3 +421,43 @@ def test_a_search_neither_shuffles_nor_writes_what_it_matches(spark):
     q = spark.createDataFrame([(1, "fox", 1.0, "own")], "query_id long, variant string, variant_boost double, role string")
     plan = retrieval.Met.of(corpus, q).matches({"content": 1.0}, "own")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+# --- words without spaces ----------------------------------------------------------------------------------
+
+
+def test_best_path_against_all_paths(spark):
+    rng = random.Random(5)
+    for _ in range(200):
+        words = {"".join(rng.choice("天地人口") for _ in range(rng.randrange(1, 4))): -rng.random() * 9 for _ in range(12)}
+        run = "".join(rng.choice("天地人口大") for _ in range(rng.randrange(1, 9)))
+        worth = lambda parts: sum(words.get(p, -20.0 if len(p) == 1 else -math.inf) for p in parts)
+        cuts = [c for n in range(len(run)) for c in itertools.combinations(range(1, len(run)), n)]
+        paths = [[run[a:b] for a, b in zip((0, *c), (*c, len(run)))] for c in cuts]
+        found = word_graph.best_path(run, words, 3, -20.0)
+        assert "".join(found) == run and math.isclose(worth(found), max(map(worth, paths)))
+    texts = ["資料庫的資料", "查資料庫 ABC", "資料庫", "大資料", None, "", "的確"] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    model = word_graph.learn_words(df, "t", ["的確", "未見詞"], least=9)
+    count = lambda w: sum(sum((t or "").startswith(w, i) for i in range(len(t or ""))) for t in texts)
+    n = {w: count(w) or 1 for w in model}
+    assert {"資料", "資料庫", "的確", "未見詞", "大"} <= set(model) and "大資" not in model
+    assert all(math.isclose(v, math.log(n[w] / sum(n.values()))) for w, v in model.items())
+    got = df.select("t", word_graph.graph_tokenizer(model, ["的"])("t").alias("w")).distinct().collect()
+    assert {r["t"]: r["w"] for r in got}["查資料庫 ABC"] == ["查", "資料庫", "abc"] and {r["t"]: r["w"] for r in got}["資料庫的資料"] == ["資料庫", "資料"]
+
+
+def test_conversion_goes_by_phrases(spark):
+    table = {"头发": "頭髮", "发": "發", "发现": "發現", "头": "頭", "理发": "理髮", "后": "後", "皇后": "皇后", "现": "現"}
+    texts = ["头发", "发现头发", "理发后", "皇后后", "无", "", None, "发"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(word_graph.phrase_converter(table)("t")).collect()]
+    assert got == ["頭髮", "發現頭髮", "理髮後", "皇后後", "无", "", None, "發"]
+    rng = random.Random(1)
+    for _ in range(100):
+        phrases = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))): str(i) for i in range(5)}
+        text, want, at = "".join(rng.choice("abcd") for _ in range(12)), "", 0
+        while at < len(text):
+            p = max((p for p in phrases if text.startswith(p, at)), key=len, default=None)
+            want, at = want + (phrases[p] if p else text[at]), at + len(p or "x")
+        starts = {c: max(len(p) for p in phrases if p[0] == c) for c in {p[0] for p in phrases}}
+        assert word_graph.convert_phrases(text, phrases, starts) == want
