@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import vectors
 from tesserae.schemas import DOCUMENT
-from tesserae.streaming import jobs
+from tesserae.streaming import jobs, keyed
 
 SCHEMA = ", ".join(f"{k} {v}" for k, v in DOCUMENT.items())
 
@@ -98,3 +98,40 @@ def test_late_rows_in_a_stream(spark, tmp_path):
     out()
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
     assert got == [(1, t(0)), (2, t(1)), (2, t(5)), (3, t(6))]
+
+
+def test_latest_change_by_keyed_state(spark, tmp_path):
+    """Late and repeated changes give the batch upsert; a failed text is tried again without a change of its own."""
+    source, flag = tmp_path / "changes", str(tmp_path / "works")
+    spark.conf.set(*keyed.PROVIDER)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # with timers there would always be one more
+    try:
+        schema = "_id string, updated_at timestamp, text string"
+
+        def encode(texts):
+            import os
+
+            if texts[0].startswith("hard") and not os.path.exists(flag):
+                raise ValueError("not now")
+            return [[float(len(t))] for t in texts]
+
+        got = []
+
+        def turn(rows):
+            spark.createDataFrame([(k, t and f"2024-01-01 00:00:{t:02d}", x) for k, t, x in rows], "_id string, t string, text string").selectExpr("_id", "cast(t as timestamp) updated_at", "text").coalesce(1).write.mode("append").parquet(str(source))
+            out = keyed.stream_latest(spark.readStream.schema(schema).parquet(str(source)), encode, wait=1)
+            write = lambda df, n: got.extend(df.collect())
+            out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+        turn([("a", 5, "five"), ("a", 3, "three"), ("b", 1, "hard one"), ("a", 5, "five"), (None, 1, "x"), ("e", 1, None)])
+        assert {(r["_id"], r["text"], r["content_vector"] is None) for r in got} == {("a", "five", False), ("b", "hard one", True), ("e", "", True)}
+        got.clear()
+        open(flag, "w").close()
+        turn([("a", 4, "late"), ("a", 5, "five"), ("c", 2, "new")])
+        assert {(r["_id"], r["text"], tuple(r["content_vector"])) for r in got} == {("b", "hard one", (8.0,)), ("c", "new", (3.0,))}
+        got.clear()
+        turn([("b", 9, "other"), ("a", 6, "six")])
+        assert {(r["_id"], r["text"], r["tries"]) for r in got} == {("b", "other", 1), ("a", "six", 1)}
+    finally:
+        spark.conf.unset(keyed.PROVIDER[0])
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
