@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -67,7 +68,7 @@ def stream_file_drop(spark: SparkSession, path: str, load: Callable[[DataFrame,
     """New dump files -> ``load(statements, batch number)``; done files move to ``archive`` if given.
 
     The stream brings the files' names; each batch reads at most ``per_batch`` files in chunks side by side
-    (``dumps.read_sql_dump``), so a file of any size is never one row. With a ``ledger`` folder a file whose latest row
+    (``dumps.read_sql_dump``), so a file of any size is never one row; statements come in order of their files' times and their numbers. With a ``ledger`` folder a file whose latest row
     there has the same content is not loaded again. ``load`` may return (file, ok) for its statements, from which the
     ledger takes whether a file succeeded; without it all do. A batch that is run again after a failure doesn't see
     its own rows and replaces them.
@@ -78,20 +79,23 @@ def stream_file_drop(spark: SparkSession, path: str, load: Callable[[DataFrame,
 
     def run(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        paths = sorted(r["path"] for r in batch.select("path").distinct().collect())  # per_batch names
+        when = {r["path"]: r["modificationTime"] for r in batch.select("path", "modificationTime").collect()}  # per_batch names
+        paths = sorted(when, key=lambda p: (when[p], p))
         if ledger is not None and paths:
             hashes = save(dumps.file_hashes(session, paths), "hashes")
             known = read_ledger(session, ledger).where(F.col("batch") != number)
             fresh = save(dumps.new_files(hashes.select("file", "hash"), known).select("file", "hash"), "fresh")  # as the ledger stood before this batch
-            paths = sorted(r["path"] for r in hashes.join(fresh, ["file", "hash"], "left_semi").select("path").collect())
-        outcome = load(dumps.read_sql_dump(session, paths), number) if paths else None
+            new = {unquote(r["file"]) for r in fresh.select("file").collect()}  # file names may come as parts of a URL
+            paths = [p for p in paths if unquote(p.rsplit("/", 1)[-1]) in new]
+        turn = F.array_position(F.array(*[F.lit(p.rsplit("/", 1)[-1]) for p in paths]), F.col("file"))
+        outcome = load(dumps.read_sql_dump(session, paths).orderBy(turn, "stmt_no"), number) if paths else None
         if ledger is not None and paths:
             rows = fresh.withColumn("success", F.lit(True))
             if outcome is not None:
                 rows = fresh.join(dumps.import_outcome(outcome).select("file", "success"), "file", "left").withColumn("success", F.coalesce("success", F.lit(True)))
             rows.withColumn("processed_at", F.current_timestamp()).select("file", "hash", "processed_at", "success").write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
-    return reader.load(path).select("path").writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return reader.load(path).select("path", "modificationTime").writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
