@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import columns as fn
 from tesserae.operators import bitmaps, documents, facets, linking, results, search, vector_cells, vectors, word_graph
-from tesserae.operators.index import bm25, build_postings, field_stats, idf, term_stats, tokenize
+from tesserae.operators.index import bm25, build_postings, field_stats, idf, term_stats, tokenize, tokenize_udf
 from tesserae.operators.postings_index import PostingsIndex
 from tesserae.plans import retrieval
 from tesserae.plans.views import CODE, CODE_LINKS, FX_COMPLAINTS, FX_PRODUCTS, FX_WAREHOUSE, LINKS, NAME_LINKS, changes, complaints, products, table, warehouse
@@ -38,6 +38,17 @@ joined = lambda c: F.array_join(c, ",")
 pairs = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(F.map_filter(m, lambda k, v: v.isNotNull()))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
 
 
+def vowels(texts: list[str]) -> list[list[float]]:
+    """An encoder whose vectors SQL can state: how often each vowel stands in a text. It refuses batches with a text with PROMO."""
+    if any("PROMO" in t for t in texts):
+        raise ValueError("refused")
+    return [[float(t.count(v)) for v in "aeiou"] for t in texts]
+
+
+def vowels_sql(text: str) -> str:
+    return "concat_ws(',', " + ", ".join(f"length({text}) - length(replace({text}, '{v}', ''))" for v in "aeiou") + ")"
+
+
 # --- sources and store -------------------------------------------------------------------------------------
 
 
@@ -164,13 +175,18 @@ def sql_dump_round_trip(spark, d):
     return rows.select(F.get("values", F.lit(0)).cast("bigint").alias("page_id"), F.col("tuple_no").cast("int").alias("rn"), F.get("values", F.lit(1)).alias("body"))
 
 
+def page_dumps(spark, d):
+    """Every page as a statement with comments round it."""
+    quoted = F.concat(F.lit("'"), F.replace(F.replace("html", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''")), F.lit("'"))
+    dump = F.concat(F.lit("/* page; */ INSERT INTO `t` (id, body) VALUES ("), F.col("page_id").cast("string"), F.lit(", "), quoted, F.lit(");  -- end; 'of it"))
+    return table(spark, d, "pages").select("page_id", dump.alias("value"))
+
+
 @query("""SELECT page_id, html AS body FROM pages""")
 def sql_dump_files(spark, d):
     """Every page as an INSERT in dump files, which are read in chunks and split into statements and tuples."""
-    quoted = F.concat(F.lit("'"), F.replace(F.replace("html", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''")), F.lit("'"))
-    dump = F.concat(F.lit("/* page; */ INSERT INTO `t` (id, body) VALUES ("), F.col("page_id").cast("string"), F.lit(", "), quoted, F.lit(");  -- end; 'of it"))
     path = f"{shared_dir(spark)}/tesserae-{uuid.uuid4().hex}-dumps"
-    table(spark, d, "pages").select(dump.alias("value")).write.text(path)
+    page_dumps(spark, d).select("value").write.text(path)
     rows = dumps.insert_rows(dumps.read_sql_dump(spark, path))
     return rows.select(F.get("values", F.lit(0)).cast("bigint").alias("page_id"), F.get("values", F.lit(1)).alias("body"))
 
@@ -476,15 +492,17 @@ def _corpus(spark, d):
     return retrieval.Corpus.of(corpus_docs(spark, d), list(FIELDS))
 
 
-_CORPUS = rf"""toks AS (SELECT doc_id AS _id, {_TOK.format("text")} AS c FROM documents),
-fields AS (SELECT _id, 'content' AS field, c AS t FROM toks UNION ALL SELECT _id, 'title', c[1:8] FROM toks),
-post AS (SELECT _id, field, term, count(*) AS tf, any_value(len) AS len FROM (SELECT _id, field, unnest(t) AS term, len(t) AS len FROM fields) GROUP BY 1, 2, 3),
-df AS (SELECT field, term, count(*) AS df FROM post GROUP BY 1, 2), fl AS (SELECT field, count(*) AS n_docs, avg(len(t)) AS avg_len FROM fields WHERE len(t) > 0 GROUP BY 1),
-q AS (SELECT item_id AS query_id, {_TOK.format("text")} AS t FROM benchmark),
-qt AS (SELECT query_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS term_no, len(t) AS n_terms FROM q),
+_POSTED = """post AS (SELECT _id, field, term, count(*) AS tf, any_value(len) AS len FROM (SELECT _id, field, unnest(t) AS term, len(t) AS len FROM fields) GROUP BY 1, 2, 3),
+df AS (SELECT field, term, count(*) AS df FROM post GROUP BY 1, 2), fl AS (SELECT field, count(*) AS n_docs, avg(len(t)) AS avg_len FROM fields WHERE len(t) > 0 GROUP BY 1)"""
+_MATCHED = """qt AS (SELECT query_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS term_no, len(t) AS n_terms FROM q),
 hits AS (SELECT qt.*, post._id, post.field, tf, len, avg_len, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf FROM qt JOIN post USING (term) JOIN df USING (field, term) JOIN fl USING (field)),
 part AS (SELECT *, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS s FROM hits),
 matched AS (SELECT query_id, _id, max(s * CASE field WHEN 'title' THEN 3.0 ELSE 2.0 END) AS score FROM (SELECT query_id, _id, field, sum(s) AS s FROM part GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+_CORPUS = rf"""toks AS (SELECT doc_id AS _id, {_TOK.format("text")} AS c FROM documents),
+fields AS (SELECT _id, 'content' AS field, c AS t FROM toks UNION ALL SELECT _id, 'title', c[1:8] FROM toks),
+{_POSTED},
+q AS (SELECT item_id AS query_id, {_TOK.format("text")} AS t FROM benchmark),
+{_MATCHED}"""
 _PHRASE = """pos AS (SELECT _id, field, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS p, len(t) AS len FROM fields),
 runs AS (SELECT query_id, pos._id, pos.field, p - term_no AS start, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5))) AS idf, any_value(pos.len) AS len, any_value(avg_len) AS avg_len
  FROM qt JOIN pos USING (term) JOIN df USING (field, term) JOIN fl USING (field) GROUP BY query_id, pos._id, pos.field, p - term_no HAVING count(*) = any_value(n_terms)),
@@ -546,6 +564,23 @@ def keyword_search(spark, d):
     return top.select("query_id", "_id", F.round("score", 5).alias("score"), "rank")
 
 
+_WORDS = ("產品", "編號", "名稱", "型號", "分類")
+_CJK = rf"regexp_extract_all(lower({{}}), '{'|'.join(_WORDS)}|[a-z0-9]+')"
+
+
+@query(rf"""WITH {FX_PRODUCTS}, fields AS (SELECT 'product_' || product_id AS _id, 'title' AS field, {_CJK.format("'[' || product_id || '] ' || product_name || ' (' || product_model || ')'")} AS t FROM fx_products
+UNION ALL SELECT 'product_' || product_id, 'content', {_CJK.format("'產品編號 ' || product_id || ' 產品名稱 ' || product_name || ' 型號 ' || product_model || ' 分類 ' || category")} FROM fx_products),
+{_POSTED}, q AS (SELECT DISTINCT category AS query_id, {_CJK.format("'分類' || category")} AS t FROM fx_products), {_MATCHED}, {_PHRASE}, {_BOTH} SELECT query_id, _id, round(score, 4) AS score, rank FROM """ + _TOP.format("should", 10))
+def dictionary_search(spark, d):
+    """Products for each category, asked in Chinese without blanks (分類 and the category) by a tokenizer with a user dictionary."""
+    docs = documents.product_docs(products(spark, d)).select("_id", "title", F.col("searchable_content").alias("content"))
+    tokens = tokenize_udf(_WORDS)
+    asked = products(spark, d).select("category").distinct().select(F.col("category").alias("query_id"), F.concat(F.lit("分類"), "category").alias("variant"), F.lit(1.0).alias("variant_boost"), F.lit("own").alias("role"))
+    met = retrieval.Met.of(retrieval.Corpus.of(docs, list(FIELDS), tokens), asked, tokens)
+    found = search.bool_should(met.matches(FIELDS, "own"), met.phrases(PHRASES, "own")).withColumn("exact", F.col("score")).withColumn("score", F.round("score", 6))
+    return search.top_k_per_query(found, 10).select("query_id", "_id", F.round("exact", 4).alias("score"), "rank")
+
+
 @query(rf"""WITH {_CORPUS}, g AS (SELECT query_id, lang, count(*) AS n FROM matched JOIN documents ON doc_id = _id GROUP BY 1, 2)
 SELECT query_id, sum(n)::BIGINT AS total_hits, coalesce(string_agg(lang || ':' || n, ',' ORDER BY n DESC, lang) FILTER (WHERE lang IS NOT NULL), '') AS languages FROM g GROUP BY 1""")
 def search_facets(spark, d):
@@ -821,3 +856,13 @@ def embed(spark, d):
     """Hashed vectors of all documents, with the sum of their squares."""
     docs = table(spark, d, "documents").select("doc_id", vectors.embed(vectors.hashing_encoder(64))("text").alias("v"))
     return docs.select("doc_id", F.size("v").alias("dims"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm"))
+
+
+@query(f"""WITH {FX_PRODUCTS}, t AS (SELECT product_id AS id, product_name || ' ' || category AS text FROM fx_products UNION ALL SELECT doc_id::VARCHAR, text FROM documents)
+SELECT id, CASE WHEN text <> '' AND NOT contains(text, 'PROMO') THEN {vowels_sql("text")} END AS vector FROM t""")
+def embed_texts(spark, d):
+    """Vectors of all documents and products, of an encoder that refuses some texts: these alone have none."""
+    p = products(spark, d).select(F.col("product_id").alias("id"), F.concat_ws(" ", "product_name", "category").alias("text"))
+    rows = p.unionByName(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"))
+    made = rows.select("id", vectors.embed(vowels)("text").alias("v"))
+    return made.select("id", F.array_join(F.transform("v", lambda x: x.cast("int").cast("string")), ",").alias("vector"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from urllib.parse import unquote
 
@@ -64,16 +65,18 @@ def stream_sync(changes: DataFrame, build: Callable[[DataFrame], DataFrame], pat
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
-def stream_file_drop(spark: SparkSession, path: str, load: Callable[[DataFrame, int], DataFrame | None], checkpoint: str, archive: str | None = None, per_batch: int = 16, ledger: str | None = None) -> DataStreamWriter:
-    """New dump files -> ``load(statements, batch number)``; done files move to ``archive`` if given.
+def stream_file_drop(spark: SparkSession, path: str, load: Callable[[DataFrame, int], DataFrame | None], checkpoint: str, archive: str | None = None, per_batch: int = 16, ledger: str | None = None, pattern: str = "*.sql") -> DataStreamWriter:
+    """New files of names like ``pattern`` -> ``load(statements, batch number)``; done files move to ``archive`` if given.
 
     The stream brings the files' names; each batch reads at most ``per_batch`` files in chunks side by side
     (``dumps.read_sql_dump``), so a file of any size is never one row; statements come in order of their files' times and their numbers. With a ``ledger`` folder a file whose latest row
     there has the same content is not loaded again. ``load`` may return (file, ok) for its statements, from which the
     ledger takes whether a file succeeded; without it all do. A batch that is run again after a failure doesn't see
-    its own rows and replaces them.
+    its own rows and replaces them; rows are a batch's own by the checkpoint and the batch's number, so streams with
+    other checkpoints may share a ledger.
     """
-    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", "*.sql")
+    mine = hashlib.md5(checkpoint.rstrip("/").encode(), usedforsecurity=False).hexdigest()
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", pattern)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
 
@@ -83,7 +86,7 @@ def stream_file_drop(spark: SparkSession, path: str, load: Callable[[DataFrame,
         paths = sorted(when, key=lambda p: (when[p], p))
         if ledger is not None and paths:
             hashes = save(dumps.file_hashes(session, paths), "hashes")
-            known = read_ledger(session, ledger).where(F.col("batch") != number)
+            known = read_ledger(session, ledger).where((F.col("run") != mine) | (F.col("batch") != number))
             fresh = save(dumps.new_files(hashes.select("file", "hash"), known).select("file", "hash"), "fresh")  # as the ledger stood before this batch
             new = {unquote(r["file"]) for r in fresh.select("file").collect()}  # file names may come as parts of a URL
             paths = [p for p in paths if unquote(p.rsplit("/", 1)[-1]) in new]
@@ -93,14 +96,14 @@ def stream_file_drop(spark: SparkSession, path: str, load: Callable[[DataFrame,
             rows = fresh.withColumn("success", F.lit(True))
             if outcome is not None:
                 rows = fresh.join(dumps.import_outcome(outcome).select("file", "success"), "file", "left").withColumn("success", F.coalesce("success", F.lit(True)))
-            rows.withColumn("processed_at", F.current_timestamp()).select("file", "hash", "processed_at", "success").write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+            rows.withColumn("processed_at", F.current_timestamp()).select("file", "hash", "processed_at", "success").write.mode("overwrite").parquet(f"{ledger}/run={mine}/batch={number}")
 
     return reader.load(path).select("path", "modificationTime").writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """(file, hash, processed_at, success, batch) of all batches; empty before the first."""
-    schema = "file string, hash string, processed_at timestamp, success boolean, batch long"
+    """(file, hash, processed_at, success, run, batch) of all batches; empty before the first."""
+    schema = "file string, hash string, processed_at timestamp, success boolean, run string, batch long"
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
