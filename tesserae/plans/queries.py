@@ -701,6 +701,28 @@ def fuzzy_search(spark, d):
     return search.top_k_per_query(matches, 10).select("query_id", "_id", F.round("exact", 4).alias("score"), "rank")
 
 
+_TYPED = "array_to_string([substr(w, 2, 1) || substr(w, 1, 1) || substr(w, 3) FOR w IN string_split(category, ' ')], ' ')"
+_SEARCHED = rf"""shown AS (SELECT 'product_' || product_id AS _id, '[' || product_id || '] ' || product_name || ' (' || product_model || ')' AS title,
+'型號: ' || product_model || '; 分類: ' || category || '; 供應商: None; 狀態: ' || status || '; 價格: ' || {_PRICE} || '; 庫存: ' || stock_qty AS content,
+'產品編號 ' || product_id || ' 產品名稱 ' || product_name || ' 型號 ' || product_model || ' 分類 ' || category AS searchable_content,
+concat_ws(' ', product_id, nullif(product_name, ''), nullif(product_model, ''), nullif(category, ''), nullif(status, '')) AS all_content FROM fx_products),
+fields AS (SELECT _id, field, {_TOK.format("text")} AS t FROM (SELECT _id, unnest(['doc_id', 'title', 'content', 'searchable_content', 'all_content']) AS field, unnest([_id, title, content, searchable_content, all_content]) AS text FROM shown)),
+{_POSTED}, q AS (SELECT DISTINCT category AS query_id, {_TOK.format(_TYPED)} AS t FROM fx_products), {_MATCHED}"""
+_FIVE = _SPREAD.replace("CASE field WHEN 'title' THEN 2.0 ELSE 3.0 END", "CASE field WHEN 'doc_id' THEN 5.0 WHEN 'content' THEN 3.0 ELSE 2.0 END")
+
+
+@query(rf"WITH {FX_PRODUCTS}, {_SEARCHED}, {_FUZZY}, {_FIVE} SELECT query_id, _id, round(score, 4) AS score, rank FROM " + _TOP.format("f", 10))
+def quick_search(spark, d):
+    """Products by all five fields of a quick search, for each category with the first two letters of its words changed round."""
+    p = products(spark, d)
+    docs = documents.product_docs(p).select("_id", *retrieval.Boosts().fuzzy_fields)
+    typed = F.array_join(F.transform(F.split("category", " "), lambda w: F.concat(F.substring(w, 2, 1), F.substring(w, 1, 1), w.substr(F.lit(3), F.length(w)))), " ")
+    asked = p.select("category").distinct().select(F.col("category").alias("query_id"), typed.alias("query"))
+    matches = retrieval.fuzzy_matches(asked, retrieval.Corpus.of(docs, list(retrieval.Boosts().fuzzy_fields)))
+    rounded = matches.withColumn("exact", F.col("score")).withColumn("score", F.round("score", 6))
+    return search.top_k_per_query(rounded, 10).select("query_id", "_id", F.round("exact", 4).alias("score"), "rank")
+
+
 @query(rf"WITH {_CORPUS}, {_FUZZY}, {_SPREAD}, g AS (SELECT query_id, source, count(*) AS cnt FROM f JOIN documents ON doc_id = _id WHERE source IS NOT NULL GROUP BY 1, 2) "
        "SELECT query_id, source AS source_file, cnt AS count FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cnt DESC, source) AS rn FROM g) WHERE rn <= 10")
 def fuzzy_facets(spark, d):
