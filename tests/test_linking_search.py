@@ -461,3 +461,30 @@ def test_conversion_goes_by_phrases(spark):
             want, at = want + (phrases[p] if p else text[at]), at + len(p or "x")
         starts = {c: max(len(p) for p in phrases if p[0] == c) for c in {p[0] for p in phrases}}
         assert word_graph.convert_phrases(text, phrases, starts) == want
+
+
+def shuffled(node) -> int:
+    """Rows that the exchanges of an executed plan wrote."""
+    n = node.metrics().apply("shuffleRecordsWritten").value() if node.metrics().contains("shuffleRecordsWritten") else 0
+    kind, kids = node.getClass().getSimpleName(), node.children()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled(node.plan())
+    return n + sum(shuffled(kids.apply(i)) for i in range(kids.size()))
+
+
+def test_links_of_a_shared_name_are_made_once(spark):
+    p = spark.range(200).selectExpr("concat('P', lpad(cast(id as string), 3, '0')) AS product_id", "CASE WHEN id % 2 = 0 THEN 'red bolt' ELSE 'nut' END AS product_name")
+    p = p.unionByName(spark.createDataFrame([("P000", "nut")], p.schema))  # one id of two names
+    texts = spark.range(400).selectExpr("id AS row_id", "CASE id % 4 WHEN 0 THEN 'a red bolt' WHEN 1 THEN 'red bolt and nut, P001' WHEN 2 THEN 'P003 only' ELSE 'none' END AS text")
+    links = linking.link_products(texts, p)
+    got = {r["row_id"]: r["product_ids"] for r in links.collect()}
+    even, every = [f"P{i:03d}" for i in range(0, 200, 2)], [f"P{i:03d}" for i in range(200)]
+    assert len(got) == 300 and got[0] == even and got[1] == every and got[2] == ["P003"]
+    assert shuffled(links._jdf.queryExecution().executedPlan()) < 4000  # 20,000 and more where each link is a row
+    pairs = linking.name_mentions(texts, p)
+    assert pairs.count() == pairs.distinct().count() == 100 * 100 + 100 * 200
+    rows = linking.with_links(texts, texts, p).where("row_id IN (1, 2, 3)").orderBy("row_id").collect()
+    assert rows[0]["_ids"] == every and rows[0]["_related"].startswith("P000(nut), P000(red bolt), P001(nut), P002(red bolt)")
+    assert (rows[1]["_related"], rows[2]["_ids"], rows[2]["_related"]) == ("P003(nut)", None, None)
