@@ -44,10 +44,15 @@ def _dealt(*columns: str):
 
 def _product_changes(spark: SparkSession, d: str) -> DataFrame:
     """Each product in three versions, in drops that don't follow their times; the last version is the product as it is."""
-    p = products(spark, d).withColumn("version", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    p = products(spark, d, F.col("p_partkey").alias("field_row")).withColumn("version", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     name = F.when(F.col("version") == 3, F.col("product_name")).otherwise(F.concat(F.lit("outdated "), F.col("product_name")))
     dated = p.withColumns({"product_name": name, "last_modified": F.timestamp_seconds(F.col("version") * 1000)})
-    return dated.withColumn("drop", _dealt("product_id", "version")).drop("version")
+    return dated.withColumn("drop", _dealt("field_row", "version")).drop("version")
+
+
+def _stored(changed: DataFrame) -> DataFrame:
+    """Products as documents under the keys of their table, as codes may repeat."""
+    return documents.product_docs(changed).withColumn("_id", F.concat(F.lit("product_"), F.col("metadata")["field_row"]))
 
 
 _PRODUCT_TEXT = "concat_ws(' ', product_id, nullif(product_name, ''), nullif(product_model, ''), nullif(category, ''), status)"
@@ -57,7 +62,7 @@ _PRODUCT_TEXT = "concat_ws(' ', product_id, nullif(product_name, ''), nullif(pro
 def stream_sync(spark, d):
     """The store that product changes leave which come late and in any order."""
     folder = _folder(spark)
-    _in_drops(_product_changes(spark, d), folder, lambda s: jobs.stream_sync(s, documents.product_docs, f"{folder}/store", f"{folder}/sync"))
+    _in_drops(_product_changes(spark, d), folder, lambda s: jobs.stream_sync(s, _stored, f"{folder}/store", f"{folder}/sync"))
     return jobs.read_latest(spark, f"{folder}/store", SCHEMA).select("id", "title", "all_content")
 
 
@@ -65,8 +70,8 @@ def stream_sync(spark, d):
 def stream_vectorize(spark, d):
     """The vectors of the same store, of an encoder that refuses some texts; those have none."""
     folder = _folder(spark)
-    sync = lambda s: jobs.stream_sync(s, documents.product_docs, f"{folder}/store", f"{folder}/sync")
-    fill = lambda s: jobs.stream_vectorize(documents.product_docs(s), f"{folder}/store", SCHEMA, vowels, "2024-02-01 00:00:00", f"{folder}/vectors")
+    sync = lambda s: jobs.stream_sync(s, _stored, f"{folder}/store", f"{folder}/sync")
+    fill = lambda s: jobs.stream_vectorize(_stored(s), f"{folder}/store", SCHEMA, vowels, "2024-02-01 00:00:00", f"{folder}/vectors")
     _in_drops(_product_changes(spark, d), folder, sync, fill)
     return jobs.read_latest(spark, f"{folder}/store", SCHEMA).select("id", _shown("content_vector"))
 
