@@ -488,3 +488,10 @@ def test_links_of_a_shared_name_are_made_once(spark):
     rows = linking.with_links(texts, texts, p).where("row_id IN (1, 2, 3)").orderBy("row_id").collect()
     assert rows[0]["_ids"] == every and rows[0]["_related"].startswith("P000(nut), P000(red bolt), P001(nut), P002(red bolt)")
     assert (rows[1]["_related"], rows[2]["_ids"], rows[2]["_related"]) == ("P003(nut)", None, None)
+
+
+def test_sums_that_differ_in_the_last_bits_are_ties(spark):
+    hits = spark.createDataFrame([(1, "b", 0.1 + 0.2 + 0.3), (1, "a", 0.3 + 0.2 + 0.1), (1, "c", 0.1)], "query_id int, _id string, score double")
+    queries = spark.createDataFrame([(1, 2)], "query_id int, top_k int")
+    got = retrieval.over_fetch(hits, queries, 1).orderBy("rank").collect()
+    assert [r["_id"] for r in got] == ["a", "b"]
