@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.sources.scratch import save
 
@@ -229,21 +230,43 @@ def _fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out()
 
 
+#: Hashes of lines are the digits of a number in this base, modulo a prime, so that those of chunks give that of the file.
+_BASE, _PRIME = int.from_bytes(hashlib.sha256(b"lines").digest()[:15], "big"), (1 << 127) - 1
+
+
 def _chunk_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[tuple[str, int], hashlib._Hash] = {}  # of the few chunks of one task
+    held: dict[tuple[str, int], tuple[int, int]] = {}  # of the few chunks of one task
     for pdf in batches:
         for path, block, line in zip(pdf["path"], pdf["block"], pdf["value"]):
-            found = held.get((path, block)) or held.setdefault((path, block), hashlib.md5(usedforsecurity=False))
-            found.update(line.encode() + b"\n")
-    yield pd.DataFrame([(path, block, found.hexdigest()) for (path, block), found in held.items()], columns=["path", "block", "hash"])
+            value, n = held.get((path, block), (0, 0))
+            digest = int.from_bytes(hashlib.md5(line.encode(), usedforsecurity=False).digest(), "big")
+            held[path, block] = (value * _BASE + digest) % _PRIME, n + 1
+    yield pd.DataFrame([(path, block, n, f"{value:x}") for (path, block), (value, n) in held.items()], columns=["path", "block", "n", "hash"])
+
+
+@F.pandas_udf(T.StringType())
+def _joined_hash(chunks: pd.Series) -> pd.Series:
+    """The hash of a file from the (block, n, hash) of its chunks in order."""
+
+    def one(parts) -> str:
+        value = lines = 0
+        for part in parts:
+            n = int(part["n"])
+            value, lines = (value * pow(_BASE, n, _PRIME) + int(part["hash"], 16)) % _PRIME, lines + n
+        return hashlib.md5(f"{lines}:{value:x}".encode(), usedforsecurity=False).hexdigest()
+
+    return chunks.map(one)
 
 
 def file_hashes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, file, hash): a hash of the content of files of any size, made of those of the chunks that Spark reads; it holds for one size of chunks."""
+    """(path, file, hash): a hash of the lines of files of any size, made of those of the chunks that Spark reads; the same however Spark cuts them.
+
+    Spark cuts by the sizes of all files that are read together, so a file may come in other chunks each time.
+    """
     lines = spark.read.text(paths, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
-    chunks = lines.mapInPandas(_chunk_hashes, "path string, block long, hash string")
-    whole = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "hash"))), lambda c: c["hash"]), ""))  # one entry a chunk
-    return chunks.groupBy("path").agg(whole.alias("hash")).select("path", F.regexp_extract("path", "[^/]+$", 0).alias("file"), "hash")
+    chunks = lines.mapInPandas(_chunk_hashes, "path string, block long, n long, hash string")
+    each = chunks.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("block", "n", "hash"))).alias("chunks"))  # one entry a chunk
+    return each.select("path", F.regexp_extract("path", "[^/]+$", 0).alias("file"), _joined_hash("chunks").alias("hash"))
 
 
 def read_sql_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:

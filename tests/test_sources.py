@@ -168,3 +168,24 @@ def test_read_table_by_jdbc(spark, tmp_path):
     ):
         assert sorted(map(tuple, got.collect())) == want
     assert tables.read_table(spark, jdbc=jdbc, predicates=["K < 20", "K >= 20"]).rdd.getNumPartitions() == 2
+
+
+def test_file_hash_is_the_same_however_spark_cuts(spark, tmp_path):
+    path = str(tmp_path / "a.txt")
+    with open(path, "w") as f:
+        f.writelines(f"line {i} é\n" for i in range(2000))
+    found = set()
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for size in ("128m", "7k", "1k"):
+            for n in names:
+                spark.conf.set(n, size)
+            found |= {r["hash"] for r in dumps.file_hashes(spark, path).collect()}
+        with open(path, "a") as f:
+            f.write("more\n")
+        other = {r["hash"] for r in dumps.file_hashes(spark, path).collect()}
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert len(found) == 1 and len(other) == 1 and not found & other
