@@ -495,3 +495,15 @@ def test_sums_that_differ_in_the_last_bits_are_ties(spark):
     queries = spark.createDataFrame([(1, 2)], "query_id int, top_k int")
     got = retrieval.over_fetch(hits, queries, 1).orderBy("rank").collect()
     assert [r["_id"] for r in got] == ["a", "b"]
+
+
+def test_fuzzy_scores_are_summed_where_the_postings_lie(spark):
+    docs = spark.range(300).selectExpr("id AS _id", "concat('sensor motor valve ', id) AS content", "'red bolt' AS title")
+    queries = spark.createDataFrame([(i, "sensr motro valvee blot") for i in range(20)], "query_id long, query string")
+    found = retrieval.fuzzy_matches(queries, retrieval.Corpus.of(docs, ["title", "content"]))
+    rows = found.collect()
+    assert len(rows) == 20 * 300
+    assert shuffled(found._jdf.queryExecution().executedPlan()) == 0
+    spread = retrieval.fuzzy_matches(queries, retrieval.Corpus.of(docs, ["title", "content"]), most=0).collect()
+    near = lambda rs: {(r["query_id"], r["_id"]): round(r["score"], 9) for r in rs}
+    assert near(rows) == near(spread)
