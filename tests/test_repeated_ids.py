@@ -33,3 +33,13 @@ def test_rows_are_those_of_the_sql(spark, folder, name):
     got = __spark_entry__.queries()[name](spark, folder).select(*columns).collect()
     order = lambda rows: sorted((tuple(r) for r in rows), key=str)
     assert order(got) == order(want.fetchall())
+
+
+def test_words_of_one_id_are_one_document(spark, folder):
+    """Rows of one id add their words up; lengths of fields are equal there, so SQL's any_value is one value."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet'")
+    want = con.execute(__spark_entry__.oracle_sql()["dictionary_search"])
+    columns = [c[0] for c in want.description]
+    got = __spark_entry__.queries()["dictionary_search"](spark, folder).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
