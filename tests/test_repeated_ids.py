@@ -43,3 +43,14 @@ def test_words_of_one_id_are_one_document(spark, folder):
     columns = [c[0] for c in want.description]
     got = __spark_entry__.queries()["dictionary_search"](spark, folder).select(*columns).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_quick_search_where_lengths_agree(spark, folder, tmp_path):
+    """With one status for all products the lengths of one id agree, and the rows are those of the SQL."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (p_size // 10 * 10 + 5 AS p_size) FROM '{folder}/part.parquet') TO '{tmp_path}/part.parquet'")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    want = con.execute(__spark_entry__.oracle_sql()["quick_search"])
+    columns = [c[0] for c in want.description]
+    got = __spark_entry__.queries()["quick_search"](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
