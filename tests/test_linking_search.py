@@ -507,3 +507,37 @@ def test_fuzzy_scores_are_summed_where_the_postings_lie(spark):
     spread = retrieval.fuzzy_matches(queries, retrieval.Corpus.of(docs, ["title", "content"]), most=0).collect()
     near = lambda rs: {(r["query_id"], r["_id"]): round(r["score"], 9) for r in rs}
     assert near(rows) == near(spread)
+
+
+def test_workers_hold_few_pairs_of_blocks(spark, monkeypatch):
+    """Rows of two matrices come in small batches, and the session's setting is as it was."""
+    import numpy as np
+
+    from tesserae.operators import vector_cells, vectors
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, dims = spark.conf.get(setting), 4
+    monkeypatch.setattr(vector_cells, "_BYTES", 2 * 8 * 5 * 8 * 3)
+    made = vector_cells._best
+
+    def watched(dims, k):
+        run = made(dims, k)
+
+        def checked(batches):
+            def few():
+                for pdf in batches:
+                    assert len(pdf) <= 3, len(pdf)
+                    yield pdf
+
+            return run(few())
+
+        return checked
+
+    monkeypatch.setattr(vector_cells, "_best", watched)
+    m = np.random.default_rng(3).normal(size=(400, dims))
+    docs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "_id long, content_vector array<double>").coalesce(1)
+    queries = docs.where("_id % 20 = 0").selectExpr("_id as query_id", "content_vector as query_vector")
+    cells = vector_cells.fit_cells(docs, dims, cells=2)
+    found = vector_cells.cell_search(queries, docs, cells, 3, probes=2, rows=8).select("query_id", "_id", "rank").collect()
+    want = vectors.vector_search(queries, docs, dims, 3).select("query_id", "_id", "rank").collect()
+    assert sorted(found) == sorted(want) and spark.conf.get(setting) == before
