@@ -541,3 +541,25 @@ def test_workers_hold_few_pairs_of_blocks(spark, monkeypatch):
     found = vector_cells.cell_search(queries, docs, cells, 3, probes=2, rows=8).select("query_id", "_id", "rank").collect()
     want = vectors.vector_search(queries, docs, dims, 3).select("query_id", "_id", "rank").collect()
     assert sorted(found) == sorted(want) and spark.conf.get(setting) == before
+
+
+def test_terms_of_documents_are_counted_once_a_set_of_runs(spark):
+    """The same counts as of whole texts, and the tokenizer sees no text whose rest is ASCII."""
+    from pyspark.sql import functions as F
+
+    from tesserae.operators import word_graph
+
+    texts = ["產品編號 P1 產品名稱 hot Bolt", "產品編號 P2 產品名稱 hot_ring產品", "客訴編號 ４２ Été 產品名稱", "plain WORDS words", "", None, "產品名稱 é", "\tＡbc產品 x"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "_id long, text string")
+    tokens = word_graph.graph_tokenizer(word_graph.learn_words(docs, "text"))
+    want = docs.select("_id", F.explode(F.array_distinct(tokens("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+    got = word_graph.document_frequencies(docs, "text", tokens)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    seen = []
+
+    def watched(text):
+        seen.append(text)
+        return tokens(text)
+
+    word_graph.document_frequencies(docs, "text", watched)
+    assert len(seen) == 2
