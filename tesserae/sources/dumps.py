@@ -146,15 +146,19 @@ class _Effect:
                     self.head = True
 
 
+#: Lines that are lexed at once; what is made of them takes several times their room.
+_LINES = 256
+
+
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.Series, str, bool]]:
     """(first row, text, whether a chunk of a file begins here) of the rows that follow each other in one chunk."""
     last = None
     for pdf in batches:
         key = list(zip(pdf["path"], pdf["block"]))
         cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a < b:
-                yield pdf.iloc[a], "\n".join(pdf["value"].iloc[a:b]) + "\n", key[a] != last
+        for begin, end in zip(cuts, cuts[1:]):
+            for a in range(begin, end, _LINES):
+                yield pdf.iloc[a], "\n".join(pdf["value"].iloc[a : min(a + _LINES, end)]) + "\n", key[a] != last
                 last = key[a]
 
 

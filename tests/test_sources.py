@@ -189,3 +189,11 @@ def test_file_hash_is_the_same_however_spark_cuts(spark, tmp_path):
         for n, v in before.items():
             spark.conf.set(n, v)
     assert len(found) == 1 and len(other) == 1 and not found & other
+
+
+def test_few_lines_are_lexed_at_once():
+    import pandas as pd
+
+    batches = [pd.DataFrame({"path": "a", "block": [0] * 700 + [1] * 300, "value": [str(i) for i in range(1000)]}), pd.DataFrame({"path": "a", "block": [1] * 5, "value": ["x"] * 5})]
+    got = [(first["block"], text.count("\n"), begins) for first, text, begins in dumps._chunks(iter(batches))]
+    assert got == [(0, 256, True), (0, 256, False), (0, 188, False), (1, 256, True), (1, 44, False), (1, 5, False)]
