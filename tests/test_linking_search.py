@@ -563,3 +563,19 @@ def test_terms_of_documents_are_counted_once_a_set_of_runs(spark):
 
     word_graph.document_frequencies(docs, "text", watched)
     assert len(seen) == 2
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_notes_of_warehouse_rows_are_made_once(spark, monkeypatch, most):
+    monkeypatch.setattr(documents, "_IDS", most)
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def note(i):
+        runs.add(1)
+        return "needs P002" if i % 2 else None
+
+    rows = spark.range(10).repartition(1).select(F.concat(F.lit("P00"), (F.col("id") % 4).cast("string")).alias("product_id"), F.col("id").cast("string").alias("warehouse_location"), note("id").alias("special_notes"))
+    got = {r["warehouse_location"]: r["product_ids"] for r in documents.warehouse_docs(rows, products(spark)).select("warehouse_location", "product_ids").collect()}
+    assert got == {str(i): [f"P00{i % 4}", *(["P002"] if i % 2 and i % 4 != 2 else [])] for i in range(10)}
+    assert runs.value <= 50  # where notes are looked through and where they are joined, filters included
