@@ -197,3 +197,26 @@ def test_few_lines_are_lexed_at_once():
     batches = [pd.DataFrame({"path": "a", "block": [0] * 700 + [1] * 300, "value": [str(i) for i in range(1000)]}), pd.DataFrame({"path": "a", "block": [1] * 5, "value": ["x"] * 5})]
     got = [(first["block"], text.count("\n"), begins) for first, text, begins in dumps._chunks(iter(batches))]
     assert got == [(0, 256, True), (0, 256, False), (0, 188, False), (1, 256, True), (1, 44, False), (1, 5, False)]
+
+
+def test_links_by_name_are_stored_once(spark, tmp_path, monkeypatch):
+    """A hundred products of one name and sixty texts with it: the store holds the names, and reading it gives whole documents."""
+    from collections import Counter
+
+    from tesserae.plans import queries
+
+    d = tmp_path / "in"
+    for t in ("supplier", "lineitem", "customer", "part", "orders"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        if t == "part":
+            df = df.withColumn("p_name", F.when(F.col("p_partkey") < 100, F.lit("blue box")).otherwise(F.col("p_name")))
+        (df.where("o_orderkey < 240") if t == "orders" else df.where("l_orderkey < 300") if t == "lineitem" else df).write.parquet(str(d / f"{t}.parquet"))
+    monkeypatch.setattr(queries, "shared_dir", lambda _: str(tmp_path / "shared"))
+    got = {r["_index"]: r["docs"] for r in queries.QUERIES["write_docs"](spark, str(d)).collect()}
+    path = next((tmp_path / "shared").glob("*-store"))
+    held = spark.read.parquet(str(path / "documents" if (path / "documents").exists() else path)).where("type = 'complaint'")
+    whole = queries.all_docs(spark, str(d))
+    links = lambda df: df.agg(F.sum(F.size("product_ids"))).first()[0]
+    assert links(held) <= 3 * got["erp-complaints"] < links(whole.where("type = 'complaint'")) / 4
+    rows = lambda df: Counter(str((*r[:-1], sorted(r[-1].items()))) for r in df.select(*[c for c in whole.columns if c != "metadata"], "metadata").collect())
+    assert rows(store.read_linked_docs(spark, str(path))) == rows(whole)
