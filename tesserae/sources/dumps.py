@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -293,20 +294,54 @@ def read_sql_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return every.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "stmt_no", "ended", text.alias("text")).where("text <> ''").select("file", "stmt_no", kind.alias("stmt_type"), F.col("text").alias("sql"))
 
 
+#: Rows taken out of an Arrow batch at once, and about how many characters of tuples are handed on at once.
+_ROWS, _CHARACTERS = 16, 1_000_000
+_TUPLE = pa.schema([("file", pa.string()), ("stmt_no", pa.int64()), ("tuple_no", pa.int64()), ("batch_no", pa.int64()), ("table", pa.string()), ("columns", pa.list_(pa.string())), ("values", pa.list_(pa.string()))])
+_TUPLE_DDL = "file string, stmt_no long, tuple_no long, batch_no long, table string, columns array<string>, values array<string>"
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of Arrow batches, of which only a few are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), _ROWS):
+            yield from zip(*[c.to_pylist() for c in batch.slice(at, _ROWS).columns])
+
+
+def _tuples(inserts: Iterator[tuple[str, int, str]], batch: int) -> Iterator[pa.RecordBatch]:
+    """The tuples of (file, stmt_no, sql) statements, handed on as soon as they have about ``_CHARACTERS`` characters."""
+    rows, held = [], 0
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TUPLE)], schema=_TUPLE)
+    for file, no, sql in inserts:
+        if found := split_tuples(sql):
+            table, columns, values = found
+            for i, row in enumerate(values):
+                rows.append((file, no, i + 1, i // batch, table, columns, row))
+                held += 100 + sum(len(v) for v in row if v is not None)
+                if held >= _CHARACTERS:
+                    yield out()
+                    rows, held = [], 0
+    if rows:
+        yield out()
+
+
 def insert_rows(statements: DataFrame, batch: int = 1000) -> DataFrame:
     """(file, stmt_no, tuple_no, batch_no, table, columns, values) of the INSERT statements, one row per tuple."""
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file, no, sql in zip(pdf["file"], pdf["stmt_no"], pdf["sql"]):
-                if found := split_tuples(sql):
-                    table, columns, rows = found
-                    for at in range(0, len(rows), batch):
-                        part = rows[at : at + batch]
-                        yield pd.DataFrame({"file": file, "stmt_no": no, "tuple_no": range(at + 1, at + len(part) + 1), "batch_no": at // batch, "table": table, "columns": [columns] * len(part), "values": part})
-
-    inserts = statements.where(F.col("stmt_type") == "INSERT").select("file", "stmt_no", "sql")
-    return inserts.mapInPandas(split, "file string, stmt_no long, tuple_no long, batch_no long, table string, columns array<string>, values array<string>")
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _tuples(_few(batches), batch)
+
+    inserts = statements.where(F.col("stmt_type") == "INSERT").select("file", F.col("stmt_no").cast("long"), "sql")
+    return inserts.mapInArrow(split, _TUPLE_DDL)
+
+
+def text_rows(texts: DataFrame, batch: int = 1000) -> DataFrame:
+    """``insert_rows`` of dumps that are a row each, (file, value): a text's statements and their tuples are cut in the same worker, one after the other."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inserts = ((file, no, sql) for file, text in _few(batches) for no, (kind, sql) in enumerate(split_statements(text)) if kind == "INSERT")
+        return _tuples(inserts, batch)
+
+    return texts.select("file", "value").where("value is not null").mapInArrow(split, _TUPLE_DDL)
 
 
 def typed_rows(rows: DataFrame, schema: str, columns: list[str]) -> DataFrame:

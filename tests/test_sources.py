@@ -220,3 +220,42 @@ def test_links_by_name_are_stored_once(spark, tmp_path, monkeypatch):
     assert links(held) <= 3 * got["erp-complaints"] < links(whole.where("type = 'complaint'")) / 4
     rows = lambda df: Counter(str((*r[:-1], sorted(r[-1].items()))) for r in df.select(*[c for c in whole.columns if c != "metadata"], "metadata").collect())
     assert rows(store.read_linked_docs(spark, str(path))) == rows(whole)
+
+
+def test_large_statements_are_few_python_objects_at_once():
+    """Of an Arrow batch of 2,000 texts of 20,000 characters, 40 MB, only a few are taken out and handed on at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import pytest
+
+    body = "it''s; " * 2857
+    want = body.replace("''", "'")
+    texts = [f"-- a; b\nINSERT INTO `t` (id, body) VALUES ({i}, '{body}'), ({i}, NULL); /* end; */" for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(2000)]), pa.array(texts)], ["file", "value"])
+    del texts
+    runs = []
+
+    class Frame:
+        """What of a DataFrame the operator asks, to get at the function that runs in the workers."""
+
+        def select(self, *_):
+            return self
+
+        where = select
+
+        def mapInArrow(self, run, schema):
+            runs.append(run)
+
+    if not hasattr(dumps, "text_rows"):
+        pytest.fail("statements and tuples are cut from whole batches of Python strings")
+    dumps.text_rows(Frame())
+    tracemalloc.start()
+    n = 0
+    for got in runs[0](iter([batch])):
+        assert got.nbytes < 4_000_000
+        for file, no, at, part, values in zip(*[got.column(c).to_pylist() for c in ("file", "stmt_no", "tuple_no", "batch_no", "values")]):
+            assert (file, no, at, part, values) == (str(n // 2), 0, n % 2 + 1, 0, [str(n // 2), None if n % 2 else want])
+            n += 1
+    assert n == 4000 and tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
