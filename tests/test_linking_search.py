@@ -579,3 +579,26 @@ def test_notes_of_warehouse_rows_are_made_once(spark, monkeypatch, most):
     got = {r["warehouse_location"]: r["product_ids"] for r in documents.warehouse_docs(rows, products(spark)).select("warehouse_location", "product_ids").collect()}
     assert got == {str(i): [f"P00{i % 4}", *(["P002"] if i % 2 and i % 4 != 2 else [])] for i in range(10)}
     assert runs.value <= 50  # where notes are looked through and where they are joined, filters included
+
+
+def test_codes_in_folded_documents(spark):
+    """Documents that hold names in place of the ids of all products of a name have the totals and best documents of whole ones, and no row for each link."""
+    rng = random.Random(31)
+    names = ["red fox", "blue box", "green jar", ""]
+    p = spark.createDataFrame([(f"P{i:03d}", names[i % 4] if i < 60 else "tin can", "active", "m") for i in range(64)] + [("P001", "green jar", "active", "m")], "product_id string, product_name string, status string, product_model string")
+    said = lambda: " and ".join(rng.choice([f"P{rng.randrange(70):03d}", *names[:3], "nothing"]) for _ in range(3))
+    c = spark.createDataFrame([(f"C{i:03d}", said(), "open") for i in range(150)] + [("C900", None, "open"), ("C901", "", None)], "complaint_id string, description string, status string")
+    made = documents.product_docs(p.dropDuplicates(["product_id"]))
+    whole, folded = documents.union_docs(made, documents.complaint_docs(c, p)), documents.union_docs(made, documents.folded_complaint_docs(c, p))
+    asked = [f"P{i:03d}" for i in range(0, 70, 3)] + ["P001", "p005 ", "red fox", "tin", "open", "zzz"]
+    q = spark.createDataFrame([(i, t, 1 + i % 4) for i, t in enumerate(asked)], "query_id long, query string, top_k int")
+    fields, named = ["title", "status", "searchable_content", "all_content", "content"], p.where("product_name <> ''").select(F.col("product_name").alias("name"), "product_id")
+    old, new = retrieval.Corpus.of(whole, fields), retrieval.Corpus.asked(folded, fields, q.select("query"), named=named)
+    a, b = retrieval.keyword_clauses(q, old), retrieval.keyword_clauses(q, new)
+    total = lambda df: {r[0]: r[1] for r in df.collect() if r[1]}
+    want = total(facets.total_hits(a.every()))
+    assert total(a.totals(old.numbers())) == total(b.totals(new.numbers())) == want
+    top = lambda c: sorted((r["query_id"], r["rank"], r["_id"], round(r["score"], 6)) for r in retrieval.over_fetch(c.best(q, 2), q, 2).collect())
+    assert top(a) == top(b)
+    of_codes = F.col("query_id") < 25
+    assert b.few.where(of_codes).count() < 0.7 * a.few.where(of_codes).count()
